@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chainloom.llm import language, quality, secrets
+from chainloom.llm import language, mixing, quality, secrets
+from chainloom.storage import settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +21,18 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digests(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = settle(mixing.sized(table(spark, sf_dir, "documents")), "sizes")
+    return mixing.mix_totals(sizes).withColumn("target", F.round("target", 6))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_with_folds(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality, op4_secrets, op7_language)}
+    return {f.__name__: f for f in (op3_quality, op4_secrets, op5_mixing, op7_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": mixing.MIX_SQL}
