@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import language, mixing, quality, secrets, simhash
+from chainloom.llm import language, licences, mixing, quality, secrets, simhash
 from chainloom.storage import settle
 
 
@@ -34,9 +34,13 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_with_folds(table(spark, sf_dir, "documents"))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op3_quality, op4_secrets, op5_mixing, op7_language)}
+    return {f.__name__: f for f in (op1_simhash, op3_quality, op4_secrets, op5_mixing, op7_language, op9_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.MIX_SQL}
+    return {"op5_mixing": mixing.MIX_SQL, "op9_licences": licences.LICENCE_SQL}
