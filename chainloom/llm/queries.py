@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import language, licences, mixing, quality, secrets, simhash
+from chainloom.llm import decontaminate, language, licences, mixing, quality, secrets, simhash
 from chainloom.storage import settle
 
 
@@ -17,6 +17,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("coverage", F.round("coverage", 6))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_with_folds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,7 +44,7 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op3_quality, op4_secrets, op5_mixing, op7_language, op9_licences)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality, op4_secrets, op5_mixing, op7_language, op9_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
