@@ -46,5 +46,10 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def hash_order_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows, those of smallest key hash: the same rows on every run and partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(17), F.col(key)), key).limit(rows)
+    """At most ``rows`` rows, those of smallest key hash: the same rows on every run and partitioning.
+
+    Keys alone are ranked first, so no task gathers the other columns of more than the chosen rows.
+    """
+    order = [F.xxhash64(F.lit(17), F.col(key)), F.col(key)]
+    chosen = df.select(key).where(F.col(key).isNotNull()).orderBy(*order).limit(rows).distinct()  # ``rows`` keys bound the broadcast
+    return df.join(F.broadcast(chosen), key, "left_semi").orderBy(*order).limit(rows)

@@ -71,10 +71,10 @@ def _features(texts: list, bits: int) -> Iterator[tuple[bytes, bytes]]:
     for text in texts:
         total = sum((counted(g, bits) for g in grams(text, bits)), np.zeros(1 << bits, np.int64))
         ids = np.flatnonzero(total)
-        yield ids.astype(np.int32).tobytes(), (total[ids] / max(1, total.sum())).astype(np.float32).tobytes()
+        yield ids.astype(np.uint16).tobytes(), (total[ids] / max(1, total.sum())).astype(np.float32).tobytes()
 
 
-def train(labelled: DataFrame, max_rows: int = 2500, bits: int = 15, epochs: int = 6, rate: float = 60.0, seed: int = 7) -> LanguageModel:
+def train(labelled: DataFrame, max_rows: int = 1500, bits: int = 15, epochs: int = 6, rate: float = 60.0, seed: int = 7) -> LanguageModel:
     """Fit on ``(doc_id, text, lang)``.
 
     At most ``max_rows`` rows take part, chosen by the hash of doc_id; the set of languages comes from
@@ -91,7 +91,7 @@ def train(labelled: DataFrame, max_rows: int = 2500, bits: int = 15, epochs: int
     picked = hash_order_sample(clean.select("doc_id", "lang", "text"), "doc_id", max_rows)
     data = map_rows(picked, rows, "lang string, ids binary, parts binary").collect()
     weights, bias = np.zeros((1 << bits, code.shape[1])), np.zeros(code.shape[1])
-    data = sorted(((r.lang, np.frombuffer(r.ids, np.int32), np.frombuffer(r.parts, np.float32)) for r in data), key=lambda x: (x[0], x[1].tobytes(), x[2].tobytes()))
+    data = sorted(((r.lang, np.frombuffer(r.ids, np.uint16), np.frombuffer(r.parts, np.float32)) for r in data), key=lambda x: (x[0], x[1].tobytes(), x[2].tobytes()))
     rng = np.random.default_rng(seed)
     for epoch in range(epochs):
         for i in rng.permutation(len(data)):

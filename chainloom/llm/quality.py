@@ -42,10 +42,10 @@ class QualityModel:
 def _counts(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     total = sum((counted(g, bits) for g in grams(text, bits)), np.zeros(1 << bits, np.int64))
     ids = np.flatnonzero(total)
-    return ids.astype(np.int32), (total[ids] / max(1, total.sum())).astype(np.float32)
+    return ids.astype(np.uint16), (total[ids] / max(1, total.sum())).astype(np.float32)
 
 
-def train(labelled: DataFrame, max_rows: int = 2500, bits: int = 15, dim: int = 12, epochs: int = 8, rate: float = 2.0, seed: int = 3) -> QualityModel:
+def train(labelled: DataFrame, max_rows: int = 1500, bits: int = 15, dim: int = 12, epochs: int = 8, rate: float = 2.0, seed: int = 3) -> QualityModel:
     """Fit on ``(doc_id, text, quality)``; at most ``max_rows`` rows, chosen by the hash of doc_id.
 
     Rows with a null label are left out.  Without any row the model scores 0.5 everywhere.
@@ -58,7 +58,7 @@ def train(labelled: DataFrame, max_rows: int = 2500, bits: int = 15, dim: int =
 
     picked = hash_order_sample(labelled.where("quality in (0, 1)").select("doc_id", "quality", "text"), "doc_id", max_rows)
     found = map_rows(picked, rows, "label int, ids binary, parts binary").collect()
-    data = sorted(((r.label, np.frombuffer(r.ids, np.int32), np.frombuffer(r.parts, np.float32)) for r in found), key=lambda x: (x[0], x[1].tobytes(), x[2].tobytes()))
+    data = sorted(((r.label, np.frombuffer(r.ids, np.uint16), np.frombuffer(r.parts, np.float32)) for r in found), key=lambda x: (x[0], x[1].tobytes(), x[2].tobytes()))
     rng = np.random.default_rng(seed)
     vectors, output, bias = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)), np.zeros((dim, 2)), np.zeros(2)
     steps, step = max(1, epochs * len(data)), 0
@@ -100,11 +100,12 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataF
     return map_rows(docs.select("doc_id", "text"), rows, "doc_id long, score double, predicted int")
 
 
-def score_with_folds(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:
+def score_with_folds(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, max_rows: int = 1500) -> DataFrame:
     """Learn from labelled rows outside ``fold``; score every document, marked with ``held_out``.
 
     A document with several label rows counts once, with the smaller label.
     """
     marks = labels.where(~held_out(F.col("doc_id"), folds, fold)).where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    model = train(docs.select("doc_id", "text").join(marks, "doc_id"))
+    marks = hash_order_sample(marks, "doc_id", max_rows)  # bounds the broadcast; texts of other documents are not moved
+    model = train(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id"), max_rows)
     return score(docs, model).select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", "predicted")
