@@ -114,7 +114,8 @@ def sliced_links(prints: np.ndarray, upto: np.ndarray, radius: int) -> np.ndarra
     spread = np.unpackbits(prints.astype(">u8").view(np.uint8).reshape(n, 8 * words), axis=1)
     padded = np.zeros((64 * lanes, 64 * words), np.uint8)
     padded[:n] = spread
-    planes = np.packbits(padded.T.reshape(64 * words, lanes, 64), axis=2, bitorder="little").reshape(64 * words, lanes, 8).view("<u8")[:, :, 0].astype(np.uint64)
+    packed = np.packbits(np.ascontiguousarray(padded.T), axis=1, bitorder="little")
+    planes = np.ascontiguousarray(packed).view("<u8").astype(np.uint64)
     flips = (spread.T.astype(np.uint64)) * np.uint64(0xFFFFFFFFFFFFFFFF)
     counters = radius.bit_length()
     start = (np.arange(n) + 1) // 64
