@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import decontaminate, language, licences, mixing, quality, secrets, simhash
+from chainloom.llm import decontaminate, language, licences, mixing, quality, secrets, simhash, substring
 from chainloom.storage import settle
 
 
@@ -35,6 +35,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_totals(sizes).withColumn("target", F.round("target", 6))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_with_folds(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality, op4_secrets, op5_mixing, op7_language, op9_licences)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality, op4_secrets, op5_mixing, op6_substring, op7_language, op9_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
