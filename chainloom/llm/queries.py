@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import decontaminate, language, licences, mixing, quality, secrets, simhash, substring, suffix
+from chainloom.llm import decontaminate, embeddings, language, licences, mixing, quality, secrets, simhash, substring, suffix
 from chainloom.storage import settle
 
 
@@ -51,8 +51,12 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_summary(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality, op4_secrets, op5_mixing, op6_substring, op7_language, op8_suffix_array, op9_licences)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality, op4_secrets, op5_mixing, op6_substring, op7_language, op8_suffix_array, op9_licences, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
