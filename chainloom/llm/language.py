@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +105,17 @@ def train(labelled: DataFrame, max_rows: int = 1500, bits: int = 15, epochs: int
     return LanguageModel(classes, code, weights.astype(np.float32), bias)
 
 
+def verdict(text: str | None, model: LanguageModel) -> tuple[str, float, bool]:
+    """Language, score and ambiguity of one text."""
+    if not model.classes or not has_letter(text):
+        return UNDETERMINED, 0.0, False
+    total, n = np.zeros(model.code.shape[1]), 0
+    for g in (g for part in grams(text, model.weights.shape[0].bit_length() - 1) for g in part):
+        total += np.ones(len(g), np.float32) @ model.weights.take(g, axis=0)
+        n += len(g)
+    return model.decode(total / max(1, n) + model.bias)
+
+
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``(doc_id, lang_pred, score, ambiguous)``, one row per row of ``docs``; reads doc_id and text only.
 
@@ -112,22 +124,28 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     repeated results, an empty table an empty one; a null doc_id stays null.
     """
 
-    bits = model.weights.shape[0].bit_length() - 1  # the model travels with the task: buckets x bits floats, set by parameters
 
     def rows(c):
         for doc_id, text in zip(c["doc_id"], c["text"], strict=True):
-            if not model.classes or not has_letter(text):
-                yield doc_id, UNDETERMINED, 0.0, False
-                continue
-            total, n = np.zeros(model.code.shape[1]), 0
-            for g in (g for part in grams(text, bits) for g in part):
-                total += np.ones(len(g), np.float32) @ model.weights.take(g, axis=0)
-                n += len(g)
-            yield doc_id, *model.decode(total / max(1, n) + model.bias)
+            yield doc_id, *verdict(text, model)
 
     return map_rows(docs.select("doc_id", "text"), rows, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
+def recognised(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """``docs`` without the rows whose text is null or has no letter; narrow, all columns stay.
+
+    Ambiguous texts stay: short clean documents are often ambiguous.  A model without classes keeps all.
+    """
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([not model.classes or has_letter(t) and verdict(t, model)[0] != UNDETERMINED for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def identify_with_folds(docs: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
     """Learn from the rows outside ``fold`` and predict every row, marked with ``held_out``."""
     model = train(docs.where(~held_out(F.col("doc_id"), folds, fold)).select("doc_id", "text", "lang"))

@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chainloom.functions.joins import null_safe_join
+from chainloom.storage import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 CYCLE = (5, 2, 1)
@@ -128,6 +129,20 @@ def mix_totals(sizes: DataFrame, seed: int = 1) -> DataFrame:
     return null_safe_join(spread, goals, ["source"]).select("doc_id", "size", "source_size", "target", (F.col("each") + F.when(F.col("n") <= F.col("more"), 1).otherwise(0)).alias("taken"))
 
 
+def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``mix_words``: how many of their words, up to twice their number.
+
+    Rows that agree in doc_id, source and size share what the mix takes of them evenly.
+    """
+    keys = ["doc_id", "source", "__size"]
+    whole = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    sizes = settle(whole.select("doc_id", "source", F.col("__size").alias("size")), "sizes")
+    taken = mix(sizes, seed)[0].groupBy("doc_id", "source", F.col("size").alias("__size")).agg(F.sum("words").alias("__all"))
+    copies = sizes.groupBy("doc_id", "source", F.col("size").alias("__size")).agg(F.count("*").alias("__copies"))
+    each = null_safe_join(taken, copies, keys).select(*keys, F.ceil(F.col("__all") / F.col("__copies")).alias("mix_words"))
+    return null_safe_join(whole.drop("mix_words"), each, keys).drop("__size")
+
+
 #: The same rows in DuckDB: shuffled streams of the sources, cut at their targets.
 MIX_SQL = r"""
 WITH RECURSIVE d AS (
