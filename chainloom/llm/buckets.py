@@ -1,12 +1,14 @@
 """Minimiser buckets: how equal windows of all documents meet without shipping every window.
 
 Every window (so many consecutive words or bytes) contains a minimiser, the piece of smallest hash.
-Consecutive windows with one minimiser travel as one string to the bucket of that minimiser, and equal windows
-always meet, as the minimiser is a function of the window alone.  The strings of one map batch and
-one bucket are packed into a single compressed row.
-
-A minimiser that very many windows share ("hot") is left out of the buckets; its windows are
-hashed one by one and grouped with a map-side combine, so no bucket holds a hot group.
+Consecutive windows with one minimiser form a super-string, and equal windows always lie in super-strings
+of one minimiser, as it is a function of the window alone.
+
+1. Only the minimisers' hashes go to buckets, a few bytes per super-string, and come back as the list of
+   super-strings of each document whose minimiser occurs again.
+2. Those super-strings travel, packed, to the bucket of their minimiser, where windows are compared.
+3. A minimiser with more than ``HOT`` super-strings is kept out of step 2: its windows are hashed one
+   by one and grouped by Spark with a map-side combine, so no task gathers a hot group.
 """
 
 from __future__ import annotations
@@ -15,23 +17,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainloom.llm.common import NULL_ID, as_batch, to_arrow_schema
+from chainloom.storage import settle
 
-#: A cutter turns one text, segment by segment, into (strings, first window, windows, place of the minimiser in
-#: the string, minimiser hash): one entry per super-string.
-Cutter = Callable[[str | None], Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
-PACK_BYTES = 16 << 20
+#: A cutter turns one text, segment by segment, into (data, start, end, first window, windows, place of the minimiser,
+#: minimiser hash): one entry per super-string ``data[start:end]``.
+Cutter = Callable[[str | None], Iterator[tuple]]
 #: Windows that are cut at once, so that memory does not follow the longest text.
 SEGMENT_WINDOWS = 1 << 16
+PACK_BYTES, PACK_ROWS = 16 << 20, 1 << 20
+HOT = 20_000
+RUNS = "doc long, row long, first int, count int"
 _PLACE = np.uint64(20)
-#: A minimiser is hot if it heads at least this many super-strings of one map batch and a share of HOT_SHARE of them.
-HOT_LEAST, HOT_SHARE = 64, 1 / 4096
-PACKED = "bucket int, blob binary"
 
 
 def minimisers(hashes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,104 +53,36 @@ def minimisers(hashes: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, n
     return first, np.diff(np.append(first, n)), piece[first]
 
 
-def row_key(doc_id, text: str | None) -> int:
+def row_key(text: str | None) -> int:
     """Tells rows of one doc_id but different texts apart."""
-    import xxhash
-
     return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"), 9) - 2**63
 
 
-def hot_minimisers(docs: DataFrame, cut: Cutter) -> np.ndarray:
-    """Minimisers that head a large share of the super-strings of some map batch.
+def _zip(parts: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
-    A minimiser with a share of the whole has that share in some batch.  Per batch at most 1 / HOT_SHARE
-    values qualify, and those that stay after adding up are as few, so the result is small at any size.
-    """
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = [], 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for *_, low in cut(text):
-                    seen.append(low)
-                    n += len(low)
-        if seen:
-            keys, counts = np.unique(np.concatenate(seen), return_counts=True)
-            heavy = (counts >= HOT_LEAST) & (counts >= HOT_SHARE * n)
-            heads = {"minimiser": pa.array(keys[heavy].view(np.int64), pa.int64()), "n": pa.array(counts[heavy], pa.int64())}
-            yield pa.RecordBatch.from_pydict(heads)
+def _unzip(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
 
-    heavy = docs.select("text").mapInArrow(rows, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
-    most = heavy.orderBy(F.desc("n"), "minimiser").limit(int(1 / HOT_SHARE))
-    return np.sort(np.array([r[0] for r in most.collect()], np.int64)).view(np.uint64)
 
-
-def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), bool)
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
-
-
-def pack(docs: DataFrame, cut: Cutter, buckets: int, hot: np.ndarray) -> DataFrame:
-    """``(bucket, blob)``: the super-strings of ``docs`` that are not hot, packed per batch and bucket."""
-    hot = np.sort(hot)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for strings, first, count, at, low in cut(text):
-                    keep = np.flatnonzero(~_among(low, hot))
-                    kept = [strings[i] for i in keep.tolist()]
-                    size += sum(map(len, kept))
-                    held.append((NULL_ID if doc_id is None else doc_id, row_key(doc_id, text), kept, first[keep], count[keep], at[keep], low[keep]))
-                    if size >= PACK_BYTES:
-                        yield _packed(held, buckets)
-                        held, size = [], 0
-        if held:
-            yield _packed(held, buckets)
-
-    return docs.select("doc_id", "text").mapInArrow(rows, PACKED)
-
-
-def _packed(held: list[tuple], buckets: int) -> pa.RecordBatch:
-    strings = [s for h in held for s in h[2]]
-    sizes = [len(h[2]) for h in held]
-    doc, row = (np.repeat(np.array([h[i] for h in held], np.int64), sizes) for i in (0, 1))
-    first, count, place, low = (np.concatenate([h[i] for h in held]) for i in (3, 4, 5, 6))
-    bucket = (low % np.uint64(buckets)).astype(np.int64)
+def _blobs(bucket: np.ndarray, columns: list[np.ndarray], strings: list[bytes] | None = None) -> pa.RecordBatch:
+    """One compressed row per bucket: the length, the columns, then the strings."""
     order = np.argsort(bucket, kind="stable")
-    if not len(order):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], ["bucket", "blob"])
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    squeeze = zstandard.ZstdCompressor(level=1)
     names, blobs = [], []
-    for at in np.split(order, cuts):
-        mine = [strings[i] for i in at.tolist()]
-        lengths = np.fromiter(map(len, mine), np.int32, len(mine))
-        parts = [np.array([len(mine)], np.int64), doc[at], row[at], first[at].astype(np.int32), count[at].astype(np.int32), place[at].astype(np.int32), lengths, (low[at] >> np.uint64(32)).astype(np.uint32)]
+    for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+        parts = [np.array([len(at)], np.int64).tobytes(), *(c[at].tobytes() for c in columns)]
         names.append(int(bucket[at[0]]))
-        blobs.append(squeeze.compress(b"".join([p.tobytes() for p in parts] + mine)))
+        blobs.append(_zip(parts + ([strings[i] for i in at.tolist()] if strings else [])))
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
-def unpack(blobs: list[bytes]) -> tuple[list[bytes], dict[str, np.ndarray]]:
-    """The strings of a bucket with doc, row, first, count, place and low (32 bits of the minimiser hash)."""
-    strings, columns = [], {k: [] for k in ("doc", "row", "first", "count", "place", "low")}
-    for blob in blobs:
-        data = zstandard.ZstdDecompressor().decompress(blob)
-        n, at = int(np.frombuffer(data, np.int64, 1)[0]), 8
-        for name, kind in (("doc", np.int64), ("row", np.int64), ("first", np.int32), ("count", np.int32), ("place", np.int32), ("length", np.int32), ("low", np.uint32)):
-            column = np.frombuffer(data, kind, n, at)
-            at += column.nbytes
-            if name == "length":
-                ends = np.cumsum(column, dtype=np.int64) + at + 4 * n
-                starts = (ends - column).tolist()
-                lengths = ends.tolist()
-            else:
-                columns[name].append(column)
-        strings += [data[s:e] for s, e in zip(starts, lengths, strict=True)]
-    return strings, {k: np.concatenate(v) for k, v in columns.items()}
+def _columns(data: bytes, kinds: list[type]) -> tuple[list[np.ndarray], int]:
+    n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
+    for kind in kinds:
+        out.append(np.frombuffer(data, kind, n, at))
+        at += out[-1].nbytes
+    return out, at
 
 
 def by_bucket(packed: DataFrame, buckets: int, work: Callable[[list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -168,39 +103,156 @@ def by_bucket(packed: DataFrame, buckets: int, work: Callable[[list[bytes]], Ite
     return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(rows, schema)
 
 
-def hot_windows(docs: DataFrame, cut: Cutter, windows: Callable[[bytes, int], list[bytes]], hot: np.ndarray) -> DataFrame:
-    """``(doc, row, first, digest)``: every window of the hot super-strings by its 128-bit digest."""
-    import xxhash
-
-    hot = np.sort(hot)
-    schema = T.StructType.fromDDL("doc long, row long, first int, digest binary")
+def zipped(docs: DataFrame) -> DataFrame:
+    """``(doc, row, doc_id, text binary)``: what a shuffle of whole texts carries."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
+            ids, texts = (batch.column(i).to_pylist() for i in (0, 1))
+            blobs = [None if t is None else _zip([t.encode("utf-8", "surrogatepass")]) for t in texts]
+            doc = [NULL_ID if i is None else i for i in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(map(row_key, texts), pa.int64()), pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["doc", "row", "doc_id", "zip"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc long, row long, doc_id long, zip binary")
+
+
+def text_of(blob: bytes | None) -> str | None:
+    return None if blob is None else _unzip(blob).decode("utf-8", "surrogatepass")
+
+
+_HEADS = [np.uint32, np.int64, np.int64, np.int32]
+
+
+def repeated_heads(docs: DataFrame, cut: Cutter, buckets: int, across: bool) -> DataFrame:
+    """``(doc, row, seqs array<int>, hot array<int>)``: super-strings whose minimiser occurs again.
+
+    ``seq`` counts the super-strings of a text.  With ``across`` it must occur in another document.
+    """
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for strings, first, count, _, low in cut(text):
-                    for i in np.flatnonzero(_among(low, hot)).tolist():
-                        found = [xxhash.xxh3_128_digest(w) for w in windows(strings[i], int(count[i]))]
-                        out[0] += [NULL_ID if doc_id is None else doc_id] * len(found)
-                        out[1] += [row_key(doc_id, text)] * len(found)
-                        out[2] += range(int(first[i]), int(first[i]) + len(found))
-                        out[3] += found
-                    if len(out[0]) > 200_000:
-                        yield _hot_batch(out)
-                        out = [[], [], [], []]
-            if out[0]:
-                yield _hot_batch(out)
+                seq, key = 0, row_key(text)
+                for *_, low in cut(text):
+                    held.append((low, NULL_ID if doc_id is None else doc_id, key, seq))
+                    seq += len(low)
+                    n += len(low)
+                if n >= PACK_ROWS:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
 
-    return docs.select("doc_id", "text").mapInArrow(rows, schema)
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        low, sizes = np.concatenate([h[0] for h in held]), [len(h[0]) for h in held]
+        doc, row = (np.repeat(np.array([h[i] for h in held], np.int64), sizes) for i in (1, 2))
+        seq = np.concatenate([np.arange(h[3], h[3] + len(h[0]), dtype=np.int32) for h in held])
+        return _blobs((low % np.uint64(buckets)).astype(np.int64), [(low >> np.uint64(32)).astype(np.uint32), doc, row, seq])
 
+    def again(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        low, doc, row, seq = (np.concatenate(c) for c in zip(*(_columns(_unzip(b), _HEADS)[0] for b in blobs), strict=True))
+        _, inverse, counts = np.unique(low, return_inverse=True, return_counts=True)
+        keep = counts[inverse] > 1
+        if across:
+            least, most = np.full(len(counts), 2**63 - 1), np.full(len(counts), -(2**63))
+            np.minimum.at(least, inverse, doc)
+            np.maximum.at(most, inverse, doc)
+            keep &= (least < most)[inverse]
+        hot = counts[inverse] > HOT
+        yield pa.RecordBatch.from_arrays([pa.array(doc[keep], pa.int64()), pa.array(row[keep], pa.int64()), pa.array(seq[keep], pa.int32()), pa.array(hot[keep], pa.bool_())], ["doc", "row", "seq", "hot"])
 
-def _hot_batch(out: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc", "row", "first", "digest"])
+    found = by_bucket(docs.select("doc_id", "text").mapInArrow(heads, "bucket int, blob binary"), buckets, again, "doc long, row long, seq int, hot boolean")
+    pick = lambda c: F.collect_set(F.when(c, F.col("seq")))
+    return found.groupBy("doc", "row").agg(pick(~F.col("hot")).alias("seqs"), pick(F.col("hot")).alias("hot"))
 
 
-RUNS = "doc long, row long, first int, count int"
+_STRINGS = [np.int64, np.int64, np.int32, np.int32, np.int32, np.uint32, np.int32]
+NAMES = ("doc", "row", "first", "count", "place", "low")
+
+
+def unpack(blobs: list[bytes]) -> tuple[list[bytes], dict[str, np.ndarray]]:
+    """The super-strings of a bucket with doc, row, first, count, place and low (32 bits of the minimiser hash)."""
+    strings, columns = [], []
+    for blob in blobs:
+        data = _unzip(blob)
+        (*mine, length), at = _columns(data, _STRINGS)
+        ends = np.cumsum(length, dtype=np.int64) + at
+        strings += [data[s:e] for s, e in zip((ends - length).tolist(), ends.tolist(), strict=True)]
+        columns.append(mine)
+    return strings, {n: np.concatenate(c) for n, c in zip(NAMES, zip(*columns, strict=True), strict=True)}
+
+
+def marked_windows(
+    docs: DataFrame,
+    cut: Cutter,
+    windows: Callable[[bytes, int], list[bytes]],
+    buckets: int,
+    compare: Callable[[list[bytes]], Iterator[pa.RecordBatch]],
+    verdict: Callable[[DataFrame], DataFrame],
+    across: bool,
+) -> DataFrame:
+    """``(doc, row, first, count)``: runs of marked windows.
+
+    ``compare`` marks the windows of one bucket, ``verdict`` those of the hot minimisers, given as
+    ``(doc, row, first, digest)``, a row per window.
+    """
+    lists = settle(repeated_heads(docs, cut, buckets, across), "heads")
+    joined = zipped(docs).join(lists, ["doc", "row"]).select("doc", "row", "zip", "seqs", "hot")
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for doc, row, blob, seqs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for *some, texts in chosen(blob, seqs):
+                    size += sum(map(len, texts))
+                    held.append((doc, row, *some, texts))
+                    if size >= PACK_BYTES:
+                        yield packed(held)
+                        held, size = [], 0
+        if held:
+            yield packed(held)
+
+    def chosen(blob: bytes, seqs: list[int]) -> Iterator[tuple]:
+        wanted, seq = np.sort(np.array(seqs, np.int64)), 0
+        for data, start, end, first, count, place, low in cut(text_of(blob)) if len(wanted) else ():
+            at = wanted[np.searchsorted(wanted, seq) : np.searchsorted(wanted, seq + len(low))] - seq
+            seq += len(low)
+            if len(at):
+                yield first[at], count[at], place[at], low[at], [data[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        sizes, texts = [len(h[6]) for h in held], [t for h in held for t in h[6]]
+        doc, row = (np.repeat(np.array([h[i] for h in held], np.int64), sizes) for i in (0, 1))
+        first, count, place, low = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4, 5))
+        numbers = [c.astype(np.int32) for c in (first, count, place)]
+        return _blobs((low % np.uint64(buckets)).astype(np.int64), [doc, row, *numbers, (low >> np.uint64(32)).astype(np.uint32), np.fromiter(map(len, texts), np.int32, len(texts))], texts)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[], [], [], []]
+        for batch in batches:
+            for doc, row, blob, seqs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                for first, count, _, _, texts in chosen(blob, seqs):
+                    for f, n, t in zip(first.tolist(), count.tolist(), texts, strict=True):
+                        out[0] += [doc] * n
+                        out[1] += [row] * n
+                        out[2] += range(f, f + n)
+                        out[3] += [xxhash.xxh3_128_digest(w) for w in windows(t, n)]
+                    if len(out[0]) > 100_000:
+                        yield hot_batch(out)
+                        out = [[], [], [], []]
+        if out[0]:
+            yield hot_batch(out)
+
+    def hot_batch(out: list[list]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc", "row", "first", "digest"])
+
+    cold = by_bucket(joined.select("doc", "row", "zip", "seqs").mapInArrow(strings, "bucket int, blob binary"), buckets, compare, RUNS)
+    if lists.where(F.size("hot") > 0).isEmpty():
+        return cold
+    hot = joined.where(F.size("hot") > 0).select("doc", "row", "zip", "hot").mapInArrow(digests, "doc long, row long, first int, digest binary")
+    return cold.unionByName(verdict(settle(hot, "hot")))
 
 
 def runs_of(doc: np.ndarray, row: np.ndarray, first: np.ndarray, flags: list[np.ndarray]) -> pa.RecordBatch:
@@ -217,24 +269,15 @@ def runs_of(doc: np.ndarray, row: np.ndarray, first: np.ndarray, flags: list[np.
     return pa.RecordBatch.from_arrays([pa.array(doc[who], pa.int64()), pa.array(row[who], pa.int64()), pa.array(first[who] + inside[begin], pa.int32()), pa.array(end - begin + 1, pa.int32())], ["doc", "row", "first", "count"])
 
 
-def merged(marks: DataFrame) -> DataFrame:
-    """``(doc, row, runs array<struct<first, count>>)``: one row per document that has marked windows."""
-    return marks.groupBy("doc", "row").agg(F.sort_array(F.collect_set(F.struct("first", "count"))).alias("runs"))
-
-
 def with_runs(docs: DataFrame, marks: DataFrame, work: Callable[[int | None, str | None, list], tuple], schema: str) -> DataFrame:
     """``work(doc_id, text, runs)`` for every row of ``docs``; runs is empty for documents without marks."""
-    keyed = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"))
     kind = to_arrow_schema(T.StructType.fromDDL(schema))
-    joined = keyed.join(merged(marks).groupBy("doc").agg(F.collect_list(F.struct("row", "runs")).alias("found")), "doc", "left").select("doc_id", "text", "found")
+    runs = marks.groupBy("doc", "row").agg(F.collect_set(F.struct("first", "count")).alias("runs"))
+    joined = zipped(docs).join(runs, ["doc", "row"], "left").select("doc_id", "zip", "runs")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, text, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                mine = [r for f in found or () for r in f["runs"] if f["row"] == row_key(doc_id, text)] if found else []
-                out.append(work(doc_id, text, [(r["first"], r["count"]) for r in mine]))
-            if out:
+            if out := [work(doc_id, text_of(blob), sorted((r["first"], r["count"]) for r in found or ())) for doc_id, blob, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]:
                 yield as_batch(out, kind)
 
     return joined.mapInArrow(rows, schema)

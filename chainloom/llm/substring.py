@@ -1,7 +1,7 @@
 """Exact substring dedup of word windows over super-k-mers.
 
-A window is 13 consecutive words.  Consecutive windows with the same minimising word 4-gram travel as one
-packed string to the bucket of that 4-gram; there the windows are sorted, equal ones lie side by
+A window is 13 consecutive words.  Consecutive windows with the same minimising word pair travel as one
+packed string to the bucket of that pair; there the windows are sorted, equal ones lie side by
 side, and each run yields the smallest document in which the window starts.
 """
 
@@ -20,7 +20,7 @@ from chainloom.llm.decontaminate import token_hashes
 from chainloom.llm.hashing import SEGMENT, word_hashes
 from chainloom.storage import settle
 
-WINDOW, PIECE = 13, 4
+WINDOW, PIECE = 13, 2
 #: Windows per bucket that a task holds at once.
 BUCKET_WINDOWS = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -45,8 +45,7 @@ def cut(text: str | None) -> Iterator[tuple]:
         first, count, piece = B.minimisers(pieces, WINDOW - PIECE + 1)
         ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
         starts = np.concatenate([[0], ends[:-1]])
-        strings = [line[s:e] for s, e in zip(starts[first].tolist(), (ends[first + count + WINDOW - 2] - 1).tolist(), strict=True)]
-        yield strings, first + at, count, piece - first, pieces[piece]
+        yield line, starts[first], ends[first + count + WINDOW - 2] - 1, first + at, count, piece - first, pieces[piece]
 
 
 def windows(string: bytes, count: int) -> list[bytes]:
@@ -96,17 +95,16 @@ def count_windows(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         yield B.runs_of(doc[at], c["row"][at], c["first"][at], [m[1] for m in marked])
 
 
+def _hot_repeats(each: DataFrame) -> DataFrame:
+    least = each.groupBy("digest").agg(F.min("doc").alias("least"))
+    return each.join(least, "digest").where("least < doc").select("doc", "row", "first", F.lit(1).alias("count"))
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """``(doc, row, first, count)``: runs of windows that also start in a document of smaller id."""
-    total = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 6
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
     buckets = max(8, int(total // BUCKET_WINDOWS) + 1)
-    hot = B.hot_minimisers(docs, cut)
-    cold = B.by_bucket(B.pack(docs, cut, buckets, hot), buckets, count_windows, B.RUNS)
-    if not len(hot):
-        return cold
-    each = settle(B.hot_windows(docs, cut, windows, hot), "hot_windows")
-    least = each.groupBy("digest").agg(F.min("doc").alias("least"))
-    return cold.unionByName(each.join(least, "digest").where("least < doc").select("doc", "row", "first", F.lit(1).alias("count")))
+    return B.marked_windows(docs, cut, windows, buckets, count_windows, _hot_repeats, across=True)
 
 
 def _kept(doc_id: int | None, text: str | None, runs: list[tuple[int, int]]) -> tuple:

@@ -1,6 +1,6 @@
 """Removal of repeated byte strings with an enhanced suffix array per bucket.
 
-A window is 200 bytes.  Windows that share a minimising 24-byte piece travel as one string to that
+A window is 200 bytes.  Windows that share a minimising 16-byte piece travel as one string to that
 piece's bucket.  There the distinct strings form a suffix array with common prefixes; a stack scan
 turns it into the tree of common-prefix intervals, and every interval whose occurrences differ in
 the byte before them is a maximal repeat, given with all its occurrences.  Strings that occur as
@@ -22,7 +22,7 @@ from chainloom.llm import buckets as B
 from chainloom.llm.hashing import _INVERSES, _MIX, _POWERS
 from chainloom.storage import settle
 
-WINDOW, PIECE = 200, 24
+WINDOW, PIECE = 200, 16
 #: Bytes of text per bucket, and bytes of distinct strings in one suffix array.
 BUCKET_BYTES, ARRAY_BYTES = 3 << 20, 1 << 20
 
@@ -38,8 +38,7 @@ def cut(text: str | None) -> Iterator[tuple]:
         pieces = (sums[PIECE:] - sums[:n]) * _INVERSES[:n] * _MIX
         pieces = (pieces ^ (pieces >> np.uint64(32))) * _MIX
         first, count, piece = B.minimisers(pieces, WINDOW - PIECE + 1)
-        strings = [part[s:e] for s, e in zip(first.tolist(), (first + count + WINDOW - 1).tolist(), strict=True)]
-        yield strings, first + at, count, piece - first, pieces[piece]
+        yield part, first, first + count + WINDOW - 1, first + at, count, piece - first, pieces[piece]
 
 
 def windows(string: bytes, count: int) -> list[bytes]:
@@ -153,17 +152,16 @@ def mark_repeats(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         yield B.runs_of(c["doc"][at], c["row"][at], c["first"][at], [flags[strings[i]] for i in at.tolist()])
 
 
+def _hot_repeats(each: DataFrame) -> DataFrame:
+    often = each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    return each.join(often, "digest").select("doc", "row", "first", F.lit(1).alias("count"))
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """``(doc, row, first, count)``: runs of windows that also start somewhere else."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, int(total // BUCKET_BYTES) + 1)
-    hot = B.hot_minimisers(docs, cut)
-    cold = B.by_bucket(B.pack(docs, cut, buckets, hot), buckets, mark_repeats, B.RUNS)
-    if not len(hot):
-        return cold
-    each = settle(B.hot_windows(docs, cut, windows, hot), "hot_windows")
-    often = each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    return cold.unionByName(each.join(often, "digest").select("doc", "row", "first", F.lit(1).alias("count")))
+    return B.marked_windows(docs, cut, windows, buckets, mark_repeats, _hot_repeats, across=False)
 
 
 def _kept(doc_id: int | None, text: str | None, runs: list[tuple[int, int]]) -> tuple:
