@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from chainloom.plans import resolution
+
+MODULES = (resolution,)
+
 
 def queries() -> dict:
-    return {}
+    return {n: f for m in MODULES for n, f in m.build(m.QUERIES)[0].items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {n: s for m in MODULES for n, s in m.build(m.QUERIES)[1].items()}
