@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.operators import correlate, detectors, resolve
+from chainloom.operators import correlate, detectors, features, graph, resolve
 from chainloom.plans.observations import observations
 from chainloom.storage import settle
 
@@ -61,6 +61,18 @@ class Capture:
         risk = F.rint(100 * F.least(F.lit(1.0), F.lit(0.5) * F.col("collector_score") + 0.4 * F.col("peel_score") + 0.3 * F.col("mixer_interaction") + 0.2 * F.col("burst_score") + 0.15 * F.col("country_count")))
         return settle(whole.withColumn("risk", risk.cast("int")), "scored")
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return settle(graph.flow_graph(self.flows), "pairs")
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return settle(graph.graph_metrics(self.flows), "metrics")
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return settle(features.feature_table(self.entities, self.structural, self.metrics), "features")
+
 
 _open: dict[tuple[str, str], Capture] = {}
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chainloom.plans import resolution
+from chainloom.plans import graphs, resolution
 
-MODULES = (resolution,)
+MODULES = (resolution, graphs)
 
 
 def queries() -> dict:
