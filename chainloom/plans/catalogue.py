@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chainloom.plans import graphs, resolution
+from chainloom.plans import graphs, resolution, statistics
 
-MODULES = (resolution, graphs)
+MODULES = (resolution, graphs, statistics)
 
 
 def queries() -> dict:
