@@ -73,6 +73,12 @@ class Capture:
     def features(self) -> DataFrame:
         return settle(features.feature_table(self.entities, self.structural, self.metrics), "features")
 
+    @cached_property
+    def history(self) -> DataFrame:
+        from chainloom.plans.replay import history
+
+        return settle(history(self), "history")
+
 
 _open: dict[tuple[str, str], Capture] = {}
 

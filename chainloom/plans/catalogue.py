@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chainloom.plans import graphs, resolution, statistics
+from chainloom.plans import graphs, replay, resolution, statistics
 
-MODULES = (resolution, graphs, statistics)
+MODULES = (resolution, graphs, statistics, replay)
 
 
 def queries() -> dict:
