@@ -32,7 +32,7 @@ Cutter = Callable[[str | None], Iterator[tuple]]
 #: Windows that are cut at once, so that memory does not follow the longest text.
 SEGMENT_WINDOWS = 1 << 16
 PACK_BYTES, PACK_ROWS = 16 << 20, 1 << 20
-HOT = 20_000
+HOT = 200_000
 RUNS = "doc long, row long, first int, count int"
 _PLACE = np.uint64(20)
 
