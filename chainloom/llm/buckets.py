@@ -33,6 +33,8 @@ Cutter = Callable[[str | None], Iterator[tuple]]
 SEGMENT_WINDOWS = 1 << 16
 PACK_BYTES, PACK_ROWS = 16 << 20, 1 << 20
 HOT = 200_000
+#: Documents per bucket of the first step, which holds some 24 bytes per super-string; only memory depends on it.
+ROWS_PER_BUCKET = 2_000
 RUNS = "doc long, row long, first int, count int"
 _PLACE = np.uint64(20)
 
@@ -59,7 +61,7 @@ def row_key(text: str | None) -> int:
 
 
 def _zip(parts: list[bytes]) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def _unzip(blob: bytes) -> bytes:
@@ -187,7 +189,7 @@ def marked_windows(
     docs: DataFrame,
     cut: Cutter,
     windows: Callable[[bytes, int], list[bytes]],
-    buckets: int,
+    per_bucket: int,
     compare: Callable[[list[bytes]], Iterator[pa.RecordBatch]],
     verdict: Callable[[DataFrame], DataFrame],
     across: bool,
@@ -195,9 +197,11 @@ def marked_windows(
     """``(doc, row, first, count)``: runs of marked windows.
 
     ``compare`` marks the windows of one bucket, ``verdict`` those of the hot minimisers, given as
-    ``(doc, row, first, digest)``, a row per window.
+    ``(doc, row, first, digest)``, a row per window.  A bucket gets about ``per_bucket`` super-strings.
     """
-    lists = settle(repeated_heads(docs, cut, buckets, across), "heads")
+    lists = settle(repeated_heads(docs, cut, max(8, docs.count() // ROWS_PER_BUCKET), across), "heads")
+    found = lists.agg(F.coalesce(F.sum(F.size("seqs")), F.lit(0))).first()[0]
+    buckets = max(8, int(found // per_bucket))
     joined = zipped(docs).join(lists, ["doc", "row"]).select("doc", "row", "zip", "seqs", "hot")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,8 +21,8 @@ from chainloom.llm.hashing import SEGMENT, word_hashes
 from chainloom.storage import settle
 
 WINDOW, PIECE = 13, 2
-#: Windows per bucket that a task holds at once.
-BUCKET_WINDOWS = 400_000
+#: Super-strings per bucket, which a task holds at once.
+BUCKET_STRINGS = 60_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -102,9 +102,7 @@ def _hot_repeats(each: DataFrame) -> DataFrame:
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """``(doc, row, first, count)``: runs of windows that also start in a document of smaller id."""
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
-    buckets = max(8, int(total // BUCKET_WINDOWS) + 1)
-    return B.marked_windows(docs, cut, windows, buckets, count_windows, _hot_repeats, across=True)
+    return B.marked_windows(docs, cut, windows, BUCKET_STRINGS, count_windows, _hot_repeats, across=True)
 
 
 def _kept(doc_id: int | None, text: str | None, runs: list[tuple[int, int]]) -> tuple:

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ from chainloom.llm.hashing import _INVERSES, _MIX, _POWERS
 from chainloom.storage import settle
 
 WINDOW, PIECE = 200, 16
-#: Bytes of text per bucket, and bytes of distinct strings in one suffix array.
-BUCKET_BYTES, ARRAY_BYTES = 3 << 20, 1 << 20
+#: Super-strings per bucket, and bytes of distinct strings in one suffix array.
+BUCKET_STRINGS, ARRAY_BYTES = 20_000, 1 << 20
 
 
 def cut(text: str | None) -> Iterator[tuple]:
@@ -45,41 +46,48 @@ def windows(string: bytes, count: int) -> list[bytes]:
     return [string[i : i + WINDOW] for i in range(count)]
 
 
-def ranks(codes: np.ndarray, depths: list[int]) -> dict[int, np.ndarray]:
-    """For each depth (each at most twice the one before) the rank of every position's prefix of that length.
+#: Prefix lengths at which ranks are taken, each at most twice the one before; the last is no shorter than any string.
+DEPTHS = (4, 8, 16, 32, 64, 128, 256, 384)
 
-    ``codes`` are the ranks at depth 1; positions past the end rank below all others.
-    """
-    found, now, depth = {1: codes}, codes, 1
-    for d in depths:
-        shift = d - depth
-        other = np.concatenate([now[shift:], np.full(min(shift, len(now)), -1, now.dtype)])
-        _, now = np.unique(now * np.int64(len(codes) + 2) + other + 1, return_inverse=True)
-        now, depth = now.astype(np.int64), d
-        found[d] = now
+
+def ranks(codes: np.ndarray) -> dict[int, np.ndarray]:
+    """For each depth the rank of every position's prefix of that length; positions past the end rank lowest."""
+
+    def ahead(row: np.ndarray, shift: int) -> np.ndarray:
+        return np.concatenate([row[shift:], np.full(min(shift, len(row)), -1, np.int64)]) + 1
+
+    bits = int(codes.max() + 1).bit_length()
+    keys, found, depth = ahead(codes, 0), {}, 0
+    for i in range(1, 4):
+        if bits * (i + 1) > 62:
+            keys = np.unique(keys, return_inverse=True)[1].astype(np.int64)
+            keys = keys * np.int64(int(codes.max()) + 2) + ahead(codes, i)
+        else:
+            keys = keys << bits | ahead(codes, i)
+    for d in DEPTHS:
+        if depth:
+            keys = found[depth] * np.int64(len(codes) + 2) + ahead(found[depth], d - depth)
+        found[d], depth = np.unique(keys, return_inverse=True)[1].astype(np.int64), d
     return found
 
 
 def enhanced_array(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text codes, suffix array in the order of the first 512 symbols, and neighbours' common prefixes.
+    """Text codes, suffix array in the order of the first 384 symbols, and neighbours' common prefixes.
 
-    Every string ends in a separator of its own, so no common prefix leaves a string.  Common prefixes are
-    exact up to 511, more than any string here is long.
+    Every string ends in a separator of its own, so no common prefix leaves a string, and none here is longer
+    than 384 bytes.
     """
     ends = np.cumsum([len(s) + 1 for s in strings]) - 1
     codes = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + len(strings)
     codes[ends] = np.arange(len(strings))
-    depths = [2**k for k in range(1, 10)]
-    level = ranks(codes, depths)
-    order = np.argsort(level[512], kind="stable")
+    level = ranks(codes)
+    order = np.argsort(level[DEPTHS[-1]], kind="stable")
     i, j = order[:-1].copy(), order[1:].copy()
     common = np.zeros(len(i), np.int64)
-    for d in reversed([1, *depths[:-1]]):
-        safe = (i < len(codes)) & (j < len(codes))
-        same = safe.copy()
-        same[safe] = level[d][i[safe]] == level[d][j[safe]]
-        step = same * d
-        common, i, j = common + step, i + step, j + step
+    for d, row in [*((d, level[d]) for d in (256, 128, 64, 32, 16, 8, 4)), *[(1, codes)] * 3]:
+        row = np.append(row, [-1, -2])  # past the end nothing is equal
+        same = (row[np.minimum(i, len(codes))] == row[np.where(j < len(codes), j, len(codes) + 1)]) * d
+        common, i, j = common + same, i + same, j + same
     return codes, order, common
 
 
@@ -120,6 +128,17 @@ def _candidates(strings: list[bytes], places: dict[bytes, int]) -> list[bytes]:
     return [s for s, (a, b) in zip(strings, sides, strict=True) if (a and left[a] > 1) or (b and right[b] > 1)]
 
 
+def repeats_by_digest(strings: list[bytes]) -> list[np.ndarray]:
+    """Marks of the windows that occur again, for a family of strings too large for one suffix array: 16 bytes a window."""
+    sizes = [len(s) - WINDOW + 1 for s in strings]
+    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s[i : i + WINDOW]) for s, n in zip(strings, sizes, strict=True) for i in range(n)), np.uint64).reshape(-1, 2)
+    order = np.lexsort((raw[:, 0], raw[:, 1]))
+    same = (raw[order[1:]] == raw[order[:-1]]).all(axis=1)
+    again = np.zeros(len(raw), bool)
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    return np.split(again, np.cumsum(sizes)[:-1])
+
+
 def mark_repeats(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     """The windows of one bucket that start in two or more places."""
     strings, c = B.unpack(blobs)
@@ -137,6 +156,10 @@ def mark_repeats(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     for group in [*groups.values(), None]:
         if group is not None and len(group) > 1:
             found = _candidates(list(group), places)
+            if sum(map(len, found)) > 8 * ARRAY_BYTES:
+                for text, again in zip(found, repeats_by_digest(found), strict=True):
+                    flags[text] = flags.get(text, False) | again
+                found = []
             held += found
             size += sum(map(len, found))
         if held and (group is None or size >= ARRAY_BYTES):
@@ -159,9 +182,7 @@ def _hot_repeats(each: DataFrame) -> DataFrame:
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """``(doc, row, first, count)``: runs of windows that also start somewhere else."""
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(8, int(total // BUCKET_BYTES) + 1)
-    return B.marked_windows(docs, cut, windows, buckets, mark_repeats, _hot_repeats, across=False)
+    return B.marked_windows(docs, cut, windows, BUCKET_STRINGS, mark_repeats, _hot_repeats, across=False)
 
 
 def _kept(doc_id: int | None, text: str | None, runs: list[tuple[int, int]]) -> tuple:

@@ -72,6 +72,19 @@ def test_byte_strings_match_brute_force(make, rows, hot, monkeypatch):
     assert got == bytes_brute(rows)
 
 
+def test_large_families_go_by_digest(make, rows, monkeypatch):
+    monkeypatch.setattr(suffix, "ARRAY_BYTES", 10)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(make(rows), with_bytes=False).collect())
+    assert got == bytes_brute(rows)
+
+
+def test_ranks_of_many_codes():
+    codes = np.random.default_rng(1).integers(0, 1 << 20, 3000)
+    text = codes.tolist()
+    order = np.argsort(suffix.ranks(codes)[384], kind="stable")
+    assert [text[i : i + 384] for i in order] == sorted(text[i : i + 384] for i in range(len(text)))
+
+
 def test_empty_table(make):
     assert substring.remove_repeats(make([])).count() == 0 and suffix.remove_repeats(make([])).count() == 0
 
