@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import ipaddress
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chainloom.functions.arrays import amount_error, parse_amounts, parse_array
 
@@ -57,19 +53,13 @@ def placeholder(c: Column) -> Column:
     return F.lower(c).isin(*PLACEHOLDERS)
 
 
-@F.pandas_udf(T.BooleanType())
-def parses_as_ip(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """For the few texts that are no dotted quad: IPv6 and the like."""
-
-    def ok(text: str) -> bool:
-        try:
-            ipaddress.ip_address(text)
-        except ValueError:
-            return False
-        return True
-
-    for part in parts:
-        yield part.map(ok).astype(bool)
+def valid_ip(c: Column) -> Column:
+    """A dotted quad, or an IPv6 address: eight groups, or fewer around one ``::``; the last two may be a quad."""
+    group = "[0-9A-Fa-f]{1,4}"
+    plain = F.regexp_replace(F.regexp_replace(c, "%[^%/]+$", ""), "(?<=:)" + IPV4[1:], "0:0")
+    some = f"({group}(:{group})*)?"
+    short = plain.rlike(f"^{some}::{some}$") & (F.size(F.filter(F.split(plain, ":"), lambda g: g != "")) <= 7)
+    return c.rlike(IPV4) | ((F.instr(c, ":") > 0) & (plain.rlike(f"^({group}:){{7}}{group}$") | short))
 
 
 def number(c: Column) -> Column:
@@ -78,18 +68,33 @@ def number(c: Column) -> Column:
     return F.when(F.abs(value) < float("inf"), value)
 
 
-def check(raw: DataFrame, ipv6: bool = True) -> DataFrame:
+def _once(obs_id: Column) -> Column:
+    """The id, made to depend on the partition: so the optimiser cannot copy the parsed columns of its
+    projection into every later filter, and each cell is parsed once."""
+    return (obs_id + 0 * F.spark_partition_id()).alias("obs_id")
+
+
+def check(raw: DataFrame) -> DataFrame:
     """Text columns, parsed columns and ``reason``: the first failing check in contract order, null if none fails.
 
-    One narrow pass.  Only rows with a text that is no dotted quad reach Python, and none if ``ipv6`` is off.
+    One narrow pass without Python.
     """
-    keep = [F.col("obs_id")] if "obs_id" in raw.columns else [F.monotonically_increasing_id().alias("obs_id")]
+    if "obs_id" in raw.columns:
+        keep = [F.col("obs_id")]
+    else:  # a stream has no positions: there the id is a hash of the record
+        keep = [(F.xxhash64(*raw.columns) if raw.isStreaming else F.monotonically_increasing_id()).alias("obs_id")]
     text = raw.select(*keep, *(clean_text(raw, n).alias(n) for n in REQUIRED + OPTIONAL))
-    for side in ("src_ip", "dst_ip"):
-        quad = F.col(side).rlike(IPV4)
-        text = text.withColumn(f"{side}_ok", F.when(quad, True).when(F.instr(side, ":") > 0, parses_as_ip(side)).otherwise(False) if ipv6 else quad)
-    parsed = text.withColumns({"at": F.try_to_timestamp("timestamp"), "src_p": number(F.col("src_port")), "dst_p": number(F.col("dst_port"))})
-    parsed = parsed.withColumns({f"{n}_l": parse_array(F.col(n)) for n in ("input_addresses", "output_addresses", "input_amounts", "output_amounts")})
+    lists = {f"{n}_l": parse_array(F.col(n)) for n in ("input_addresses", "output_addresses", "input_amounts", "output_amounts")}
+    parsed = text.select(
+        _once(F.col("obs_id")),
+        *REQUIRED,
+        *OPTIONAL,
+        F.try_to_timestamp("timestamp").alias("at"),
+        number(F.col("src_port")).alias("src_p"),
+        number(F.col("dst_port")).alias("dst_p"),
+        *(valid_ip(F.col(n)).alias(f"{n}_ok") for n in ("src_ip", "dst_ip")),
+        *(c.alias(n) for n, c in lists.items()),
+    )
     reason = [F.when(placeholder(F.col(n)), f"missing field '{n}'") for n in REQUIRED]
     reason += [F.when(F.col("at").isNull(), "unparseable timestamp"), F.when(F.col("txid") == "", "empty txid")]
     reason += [F.when(~F.col(f"{n}_ok"), f"invalid {n}") for n in ("src_ip", "dst_ip")]
@@ -99,12 +104,12 @@ def check(raw: DataFrame, ipv6: bool = True) -> DataFrame:
     for n in ("input", "output"):
         reason += [amount_error(F.col(f"{n}_amounts_l")), F.when(F.size(f"{n}_amounts_l") == 0, f"empty {n}_amounts")]
     reason += [F.when(F.size(f"{n}_addresses_l") != F.size(f"{n}_amounts_l"), f"{n} addresses/amounts length mismatch") for n in ("input", "output")]
-    return parsed.withColumn("reason", F.coalesce(*reason))
+    return parsed.select(_once(F.col("obs_id")), *(c for c in parsed.columns if c != "obs_id"), F.coalesce(*reason).alias("reason"))
 
 
-def gate(raw: DataFrame, ipv6: bool = True) -> GateResult:
+def gate(raw: DataFrame) -> GateResult:
     """``raw`` has text columns (lists are joined); unknown columns are ignored, absent ones count as missing."""
-    checked = check(raw, ipv6)
+    checked = check(raw)
     blank = lambda n: F.when(placeholder(F.col(n)), "").otherwise(F.col(n)).alias(n)
     clean = checked.where("reason is null").select(
         "obs_id",

@@ -47,5 +47,5 @@ def fold_batches(stream: DataFrame, keys: list[str], sums: list[str], tag: str)
 
 
 def gated_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A folder of CSV files as a stream of clean observations (dotted quads only: narrow and without Python)."""
-    return gate(spark.readStream.schema(schema).option("header", True).csv(path), ipv6=False).clean
+    """A folder of CSV files as a stream of clean observations."""
+    return gate(spark.readStream.schema(schema).option("header", True).csv(path)).clean

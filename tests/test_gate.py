@@ -90,3 +90,30 @@ def test_unknown_suffix_is_refused(spark):
 
     with pytest.raises(ValueError, match="unsupported"):
         readers.scan_any(spark, "/x/y.sql")
+
+
+def test_ip_rule_matches_the_standard_library(spark):
+    import ipaddress
+
+    from chainloom.operators.gate import valid_ip
+
+    texts = ["::1", "::", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1::2::3", "::ffff:1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "fe80::1%eth0", "fe80::1%", "12345::", "g::1", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4::5:6:7:8", ":1", "1:", "1.2.3", "1.2.3.4", "256.1.1.1", "01.2.3.4", "", ":", ":::"]
+
+    def ok(t):
+        try:
+            ipaddress.ip_address(t)
+        except ValueError:
+            return False
+        return True
+
+    got = {r.t: r.v for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", valid_ip(F.col("t")).alias("v")).collect()}
+    assert got == {t: ok(t) for t in texts}
+
+
+def test_gate_over_a_stream(spark, tmp_path):
+    from chainloom.streaming.replay import gated_stream, run_available
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text(",".join(COLUMNS) + "\n" + "\n".join(",".join(row(txid=f"t{i}", src_port="-1" if i == 2 else "1")) for i in range(4)) + "\n")
+    stream = gated_stream(spark, str(tmp_path / "in"), ", ".join(f"{c} string" for c in COLUMNS))
+    assert sorted(r.txid for r in run_available(stream, "gate").collect()) == ["t0", "t1", "t3"]
