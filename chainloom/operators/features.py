@@ -37,11 +37,11 @@ def long_form(table: DataFrame, key: str = "entity_id", names: tuple[str, ...] =
 
 
 def fit_baseline(table: DataFrame, names: tuple[str, ...] = FEATURES, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """``(feature, median, mad, lower, upper)``: exact percentiles; a spread of 0 counts as 1."""
+    """``(feature, median, mad, lower, upper)``: exact percentiles; a spread of 0, but for float noise, counts as 1."""
     cells = long_form(table, names=names)
     middle = cells.groupBy("feature").agg(F.percentile("x", F.lit(0.5)).alias("median"), F.percentile("x", F.lit(low)).alias("lower"), F.percentile("x", F.lit(high)).alias("upper"))
     spread = cells.join(F.broadcast(middle), "feature").groupBy("feature").agg(F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5)).alias("mad"))
-    return middle.join(spread, "feature").select("feature", "median", F.when(F.col("mad") == 0, 1.0).otherwise(F.col("mad")).alias("mad"), "lower", "upper")
+    return middle.join(spread, "feature").select("feature", "median", F.when(F.col("mad") < 1e-12, 1.0).otherwise(F.col("mad")).alias("mad"), "lower", "upper")
 
 
 def robust_z(table: DataFrame, baseline: DataFrame, names: tuple[str, ...] = FEATURES) -> DataFrame:

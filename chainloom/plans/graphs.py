@@ -38,7 +38,7 @@ twins.add(
     "baseline",
     ("cells",),
     """middle AS (SELECT feature, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.01) AS lower, quantile_cont(x, 0.99) AS upper FROM cells GROUP BY 1),
-baseline AS (SELECT feature, median, CASE WHEN mad = 0 THEN 1.0 ELSE mad END AS mad, lower, upper FROM middle JOIN (SELECT feature, quantile_cont(abs(x - median), 0.5) AS mad FROM cells JOIN middle USING (feature) GROUP BY 1) USING (feature))""",
+baseline AS (SELECT feature, median, CASE WHEN mad < 1e-12 THEN 1.0 ELSE mad END AS mad, lower, upper FROM middle JOIN (SELECT feature, quantile_cont(abs(x - median), 0.5) AS mad FROM cells JOIN middle USING (feature) GROUP BY 1) USING (feature))""",
 )
 
 _plain = lambda c: c.features.select("entity_id", *_PLAIN)
@@ -93,8 +93,8 @@ QUERIES = {
     "feature_table_full": (lambda c: rounded(c.features, *features.FEATURES), None),
     "feature_baseline": (lambda c: rounded(_base(c), "median", "mad", "lower", "upper"), over("SELECT feature, round(median, 6) AS median, round(mad, 6) AS mad, round(lower, 6) AS lower, round(upper, 6) AS upper FROM baseline", "baseline")),
     "robust_z": (
-        lambda c: features.robust_z(_plain(c), _base(c), tuple(_PLAIN)).withColumns({"x": F.round("x", 6), "z": F.round("z", 9)}),
-        over("SELECT entity_id, feature, round(x, 6) AS x, round(0.6745 * (greatest(lower, least(upper, x)) - median) / mad, 9) AS z FROM cells JOIN baseline USING (feature)", "baseline"),
+        lambda c: rounded(features.robust_z(_plain(c), _base(c), tuple(_PLAIN)), "x", "z"),
+        over("SELECT entity_id, feature, round(x, 6) AS x, round(0.6745 * (greatest(lower, least(upper, x)) - median) / mad, 6) AS z FROM cells JOIN baseline USING (feature)", "baseline"),
     ),
     "clamped_features": (
         lambda c: rounded(features.clamp(_plain(c), _base(c), tuple(_PLAIN)), *_PLAIN),

@@ -86,7 +86,7 @@ twins.add(
     "moves",
     ("hcells",),
     """hmid AS (SELECT feature, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.01) AS lower, quantile_cont(x, 0.99) AS upper FROM hcells GROUP BY 1),
-hbase AS (SELECT h.*, CASE WHEN mad = 0 THEN 1.0 ELSE mad END AS mad FROM hmid h JOIN (SELECT feature, quantile_cont(abs(x - median), 0.5) AS mad FROM hcells JOIN hmid USING (feature) GROUP BY 1) USING (feature)),
+hbase AS (SELECT h.*, CASE WHEN mad < 1e-12 THEN 1.0 ELSE mad END AS mad FROM hmid h JOIN (SELECT feature, quantile_cont(abs(x - median), 0.5) AS mad FROM hcells JOIN hmid USING (feature) GROUP BY 1) USING (feature)),
 hz AS (SELECT window_id, entity_key, feature, x, 0.6745 * (greatest(lower, least(upper, x)) - median) / mad AS z FROM hcells JOIN hbase USING (feature)),
 hstep AS (SELECT window_id, lag(window_id) OVER (ORDER BY window_id) AS prev FROM (SELECT DISTINCT window_id FROM history)),
 moves AS (SELECT a.window_id, a.entity_key, a.feature, b.x AS before, a.x AS after, a.z - b.z AS delta_z, row_number() OVER (PARTITION BY a.window_id, a.entity_key ORDER BY -abs(a.z - b.z), a.feature) AS r

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from chainloom.operators import correlate, detectors, resolve
 from chainloom.plans.capture import Capture
-from chainloom.plans.twins import over
+from chainloom.plans.twins import NUDGE, over
 
 SIX = 6
 
 
 def rounded(df, *columns: str):
-    return df.withColumns({c: F.round(c, SIX) for c in columns})
+    """Doubles at six places, nudged as in the twins so that exact halves and signed zeros come out alike."""
+    return df.withColumns({c: F.round(F.col(c) + NUDGE, SIX) for c in columns})
 
 
 def _r(*columns: str) -> str:

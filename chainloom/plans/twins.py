@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from chainloom.plans.observations import OBS_SQL
 
+#: Added before rounding to six places: sums of doubles that should be an exact half differ in their last bits.
+NUDGE = 3e-9
 #: name -> (names it needs, CTE text)
 _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "obs": ((), OBS_SQL.strip()),
@@ -118,4 +120,5 @@ def over(select: str, *needs: str) -> str:
 
     for n in needs:
         visit(n)
-    return "WITH RECURSIVE " + ",\n".join(_CTES[n][1] for n in order) + "\n" + select
+    text = "WITH RECURSIVE " + ",\n".join(_CTES[n][1] for n in order) + "\n" + select
+    return text.replace(", 6)", f" + {NUDGE}, 6)")  # every such call is a rounding
