@@ -32,8 +32,8 @@ CHUNK = 1 << 14
 WORDS_AT_ONCE = 1 << 15
 
 
-def shingle_hashes(text: str | None, width: int, words: int, at_once: int = 1 << 16) -> Iterator[np.ndarray]:
-    """XXH64 values (seed 42, 43, ... for further fingerprint words) of all shingles, in pieces ``[n, words]``.
+def shingle_hashes(text: str | None, width: int, words: int, at_once: int = 1 << 14) -> Iterator[np.ndarray]:
+    """Hashes of all shingles, in pieces ``[n, words]``: XXH64 with seed 42, then mixes of it for further fingerprint words.
 
     A-Z are lower-cased, words are runs of bytes other than ASCII whitespace; a text of fewer words
     than ``width`` is one shingle, a text without words none.
@@ -47,14 +47,25 @@ def shingle_hashes(text: str | None, width: int, words: int, at_once: int = 1 <<
         line, ends = b" ".join(part), np.cumsum([len(w) + 1 for w in part])
         starts = np.concatenate([[0], ends[:-1]])[: len(part) - width + 1].tolist()
         cuts = [line[s:e] for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
-        yield np.stack([np.frombuffer(b"".join([xxhash.xxh64_digest(c, 42 + w) for c in cuts]), ">u8").astype(np.uint64) for w in range(words)], axis=1)
+        first = np.frombuffer(b"".join([xxhash.xxh64_digest(c, 42) for c in cuts]), ">u8").astype(np.uint64)
+        yield np.stack([first, *(_mixed(first, w) for w in range(1, words))], axis=1)
+
+
+def _mixed(h: np.ndarray, w: int) -> np.ndarray:
+    """The ``w``-th 64-bit hash that follows from the first: multiply and shift, each input bit reaches all output bits."""
+    h = h + np.uint64(w * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
 
 
 def fingerprint(text: str | None, width: int = 3, words: int = 1) -> np.ndarray:
     """``words`` 64-bit words; a bit is set if more than half of the shingles' hashes set it."""
     ones, n = np.zeros(64 * words, np.int64), 0
     for h in shingle_hashes(text, width, words):
-        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.int64)
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1)
+        for low in range(0, len(h), 255):  # so many ones fit in a byte
+            ones += bits[low : low + 255].sum(axis=0, dtype=np.uint8)
         n += len(h)
     return np.packbits(2 * ones > n).view(">u8").astype(np.uint64)
 
@@ -116,8 +127,8 @@ def sliced_links(prints: np.ndarray, upto: np.ndarray, radius: int) -> np.ndarra
     padded[:n] = spread
     packed = np.packbits(np.ascontiguousarray(padded.T), axis=1, bitorder="little")
     planes = np.ascontiguousarray(packed).view("<u8").astype(np.uint64)
-    flips = (spread.T.astype(np.uint64)) * np.uint64(0xFFFFFFFFFFFFFFFF)
-    counters = radius.bit_length()
+    flips = -np.ascontiguousarray(spread.T).view(np.int8)  # -1 widens to a word of ones
+    counters = max(3, radius.bit_length())
     start = (np.arange(n) + 1) // 64
     spans = np.maximum((upto + 63) // 64 - start, 0)
     parent = np.arange(n)
@@ -143,15 +154,21 @@ def _sweep(planes: np.ndarray, flips: np.ndarray, q: np.ndarray, w: np.ndarray,
     over = np.zeros(len(q), np.uint64)
     count = [np.zeros(len(q), np.uint64) for _ in range(counters)]
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for k in range(len(planes)):
-        carry = planes[k][w] ^ flips[k][q]
-        for c in range(counters):
+    for k in range(0, len(planes), 8):
+        differ = [planes[i][w] ^ flips[i][q].astype(np.int64).view(np.uint64) for i in range(k, k + 8)]
+        fours = []
+        for half in (differ[:4], differ[4:]):
+            count[0], two = _carry_save(count[0], half[0], half[1])
+            count[0], more = _carry_save(count[0], half[2], half[3])
+            count[1], four = _carry_save(count[1], two, more)
+            fours.append(four)
+        count[2], carry = _carry_save(count[2], *fours)
+        for c in range(3, counters):
             count[c], carry = count[c] ^ carry, count[c] & carry
         over |= carry
-        if k % 8 == 7 and len(q):
-            beyond = over | _above(count, radius)
-            alive = beyond != full
-            if not alive.all():
+        if k + 8 > 2 * radius and len(q):  # sooner, a block seldom is beyond the radius in all its lanes
+            alive = (over | _above(count, radius)) != full
+            if alive.sum() < 0.75 * len(q):
                 q, w, over, count = q[alive], w[alive], over[alive], [c[alive] for c in count]
     hit = ~(over | _above(count, radius))
     at = np.flatnonzero(hit)
@@ -160,6 +177,12 @@ def _sweep(planes: np.ndarray, flips: np.ndarray, q: np.ndarray, w: np.ndarray,
     return q[at[i]], w[at[i]] * 64 + j
 
 
+def _carry_save(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lane by lane the sum of three bits: its low bit and its high bit."""
+    half = a ^ b
+    return half ^ c, a & b | half & c
+
+
 def _above(count: list[np.ndarray], radius: int) -> np.ndarray:
     """Lanes whose counter exceeds ``radius``: a bitwise comparison from the top counter down."""
     above, equal = np.zeros_like(count[0]), np.full_like(count[0], 0xFFFFFFFFFFFFFFFF)
@@ -172,32 +195,38 @@ def _above(count: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def _bucket_rows(prints: DataFrame, tables: list[np.ndarray], words: int) -> DataFrame:
-    """``(bucket, fingerprint)``, a row per table."""
+    """``(bucket, fingerprint)``, a row per table; a bucket is the table's number and the key's bits, 48 at most."""
 
-    def rows(c):
-        spread = np.unpackbits(np.frombuffer(b"".join(c["fingerprint"]), np.uint8).reshape(-1, 8 * words), axis=1)
-        for t, bits in enumerate(tables):
-            for f, key in zip(c["fingerprint"], np.packbits(spread[:, bits], axis=1), strict=True):
-                yield xxhash.xxh64_intdigest(key.tobytes(), t) - 2**63, f
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            spread = np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 8 * words), axis=1)
+            for t, bits in enumerate(tables):
+                key = np.packbits(spread[:, bits[:48]], axis=1)
+                wide = np.zeros((len(key), 8), np.uint8)
+                wide[:, 8 - key.shape[1] :] = key
+                yield pa.RecordBatch.from_arrays([pa.array(wide.view(">i8").ravel().astype(np.int64) + (t << 48)), column.cast(pa.binary())], names=["bucket", "fingerprint"])
 
-    return map_rows(prints, rows, "bucket long, fingerprint binary")
+    return prints.select("fingerprint").mapInArrow(run, "bucket long, fingerprint binary")
 
 
 def links(prints: DataFrame, radius: int, words: int = 1, differing: float | None = None) -> DataFrame:
     """``(a, b)``: links between distinct fingerprints, enough to connect all within ``radius``.
 
-    ``prints`` holds each fingerprint once.  Buckets of more than ``CHUNK`` fingerprints are compared in
-    pairs of chunks, each pair a group of its own, so no task holds an unbounded bucket.
+    ``prints`` holds each fingerprint once and is read several times: pass a settled table.  Bucket rows
+    are made anew for each reading, so only keys and one shuffle of fingerprints touch the disks.
+    Buckets of more than ``CHUNK`` fingerprints are compared in pairs of chunks, each pair a group of
+    its own, so no task holds an unbounded bucket.
     """
     rows = prints.count()
     tables = exact_tables(64 * words, radius, rows) if differing is None else sampled_tables(64 * words, differing, rows)
-    keyed = settle(_bucket_rows(prints, tables, words), "buckets")
-    sizes = keyed.groupBy("bucket").count().where("count > 1")
+    keyed = _bucket_rows(prints, tables, words)
     chunks = F.ceil(F.col("count") / CHUNK).cast("int")
-    large = sizes.where(F.col("count") > CHUNK).select("bucket", chunks.alias("chunks"))  # at most rows * tables / CHUNK of them
-    met = keyed.join(sizes.select("bucket", chunks.alias("chunks")), "bucket").select("bucket", "fingerprint", "chunks")
+    large = keyed.groupBy("bucket").count().where(F.col("count") > CHUNK).select("bucket", chunks.alias("chunks"))
+    large = settle(large, "large_buckets")  # at most rows * tables / CHUNK of them
+    split = not large.isEmpty()
+    small = (keyed.join(large, "bucket", "left_anti") if split else keyed).select("bucket", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("part"), "fingerprint")
     mine = F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int")
-    small = met.where("chunks = 1").select("bucket", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("part"), "fingerprint")
     pair = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     big = keyed.join(large, "bucket").withColumn("part", mine).withColumn("other", pair)
     big = big.select("bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "fingerprint")
@@ -215,7 +244,7 @@ def links(prints: DataFrame, radius: int, words: int = 1, differing: float | Non
     def in_order(df: DataFrame) -> DataFrame:
         return df.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "part").mapInArrow(forest, "a binary, b binary")
 
-    return in_order(small.unionByName(big)).distinct()
+    return in_order(small.unionByName(big) if split else small).distinct()
 
 
 def _split_last(held: pa.Table) -> tuple[pa.Table, pa.Table]:
@@ -247,7 +276,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, words: int = 1, radius: int
     is in it (then null).  Columns besides doc_id and text are ignored.
     """
     prints = settle(fingerprints(docs, width, words), "fingerprints")
-    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    distinct = settle(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
     roots = connected_components(links(distinct.select("fingerprint"), radius, words, differing), "a", "b")
     roots = roots.select(F.col("node").alias("fingerprint"), "component")
     named = distinct.join(roots, "fingerprint", "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("component"))
@@ -256,9 +285,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, words: int = 1, radius: int
     return prints.join(found, "fingerprint").select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
-#: Near-duplicates of similarity 0.8 or more over five-word shingles: 256 bits, of which such texts differ in 39 on average
-#: (share 0.152: the angle of a cosine of 2 * 0.8 / 1.8), standard deviation 5.8; unrelated texts differ in 128.
-FUZZY = {"width": 5, "words": 4, "radius": 44, "differing": 0.152}
+#: Near-duplicates of similarity 0.8 or more over five-word shingles: 512 bits, of which such texts differ in 78 on average
+#: (share 0.152: the angle of a cosine of 2 * 0.8 / 1.8), standard deviation 8.1; unrelated texts differ in 256.
+FUZZY = {"width": 5, "words": 8, "radius": 92, "differing": 0.152}
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:

@@ -13,7 +13,7 @@ def plain(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
 
 
-@pytest.mark.parametrize("words,radius,n", [(1, 3, 300), (1, 3, 1), (1, 3, 64), (4, 48, 200)])
+@pytest.mark.parametrize("words,radius,n", [(1, 3, 300), (1, 3, 1), (1, 3, 64), (4, 48, 200), (8, 92, 150), (1, 0, 70), (2, 9, 130)])
 def test_sliced_links_match_all_pairs(words, radius, n):
     rng = np.random.default_rng(n)
     prints = rng.integers(0, 2**63, (20, words), dtype=np.uint64)[rng.integers(0, 20, n)]
