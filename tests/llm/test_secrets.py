@@ -43,3 +43,12 @@ def test_redaction_keeps_rows_and_columns(make):
     rows = [(1, "clean"), (2, "x secret=abcdefghij y"), (None, None)]
     out = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact_secrets(make(rows)).collect()}
     assert out == {1: ("clean", 5), 2: ("x [assign] y", 12), None: (None, 0)}
+
+
+def test_header_tokens_start_at_an_edge():
+    import base64
+
+    head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    kinds = lambda text: [k for _, _, k in secrets.find_secrets(text)]
+    assert kinds(f"({head}.abc.def)") == ["jwt"] and kinds(f"x{head}.abc.def") == []
+    assert kinds("eyJ" * 300_000) == []  # one long run without a dot

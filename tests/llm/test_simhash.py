@@ -73,3 +73,18 @@ def test_one_row_of_each_group_stays(make, prose):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "7", "8", "None"]
     assert kept.columns == make(rows).columns
     assert simhash.deduplicated(make([])).count() == 0 and simhash.near_duplicates(make([])).count() == 0
+
+
+def test_few_pairs_of_similarity_four_fifths_lie_beyond_the_fuzzy_radius():
+    rng, beyond = np.random.default_rng(4), 0
+    how = {k: simhash.FUZZY[k] for k in ("width", "words")}
+    for _ in range(200):
+        a = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        b = a.copy()
+        for i in range(20, 380, 40):  # nine changed words: 351 of 441 five-word shingles are shared
+            b[i] = f"x{rng.integers(5000)}"
+        apart = simhash.fingerprint(" ".join(a), **how) ^ simhash.fingerprint(" ".join(b), **how)
+        beyond += int(np.bitwise_count(apart).sum()) > simhash.FUZZY["radius"]
+    assert beyond <= 20
+    other = simhash.fingerprint(" ".join(f"y{x}" for x in rng.integers(0, 5000, 400)), **how)
+    assert np.bitwise_count(simhash.fingerprint(" ".join(a), **how) ^ other).sum() > 150
