@@ -22,6 +22,9 @@ from chainloom.llm.hashing import char_grams, counted, segments
 
 LETTER = re.compile(r"[^\W\d_]")
 UNDETERMINED = "und"
+#: A text of n n-grams belongs to no learned language if its smallest loss, per code bit, is beyond FAR + NOISE / sqrt(n);
+#: ln 2 is the loss of a text that says nothing.  Set on the labelled rows of the small ``documents`` table.
+FAR, NOISE = 0.4, 2.0
 LENGTHS = (2, 3, 4)
 #: Bytes that are no ASCII letter and no part of a longer character read as a blank.
 BLANKED = np.array([c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
@@ -105,15 +108,29 @@ def train(labelled: DataFrame, max_rows: int = 1500, bits: int = 15, epochs: int
     return LanguageModel(classes, code, weights.astype(np.float32), bias)
 
 
-def verdict(text: str | None, model: LanguageModel) -> tuple[str, float, bool]:
-    """Language, score and ambiguity of one text."""
-    if not model.classes or not has_letter(text):
-        return UNDETERMINED, 0.0, False
+def margins(text: str, model: LanguageModel) -> tuple[np.ndarray, int]:
+    """The margin of every code bit, and how many n-grams they average."""
     total, n = np.zeros(model.code.shape[1]), 0
     for g in (g for part in grams(text, model.weights.shape[0].bit_length() - 1) for g in part):
         total += np.ones(len(g), np.float32) @ model.weights.take(g, axis=0)
         n += len(g)
-    return model.decode(total / max(1, n) + model.bias)
+    return total / max(1, n) + model.bias, n
+
+
+def verdict(text: str | None, model: LanguageModel) -> tuple[str, float, bool]:
+    """Language, score and ambiguity of one text."""
+    if not model.classes or not has_letter(text):
+        return UNDETERMINED, 0.0, False
+    return model.decode(margins(text, model)[0])
+
+
+def is_recognised(text: str | None, model: LanguageModel) -> bool:
+    """Whether the text has a letter and, if the model has classes, lies near the codeword of one of them."""
+    if not has_letter(text) or not model.classes:
+        return has_letter(text)
+    found, n = margins(text, model)
+    loss = np.logaddexp(0, -model.code * found).mean(axis=1).min()
+    return bool(loss <= FAR + NOISE / np.sqrt(max(1, n)))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -133,15 +150,16 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def recognised(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` without the rows whose text is null or has no letter; narrow, all columns stay.
+    """``docs`` without the rows whose text is null, has no letter or is far from every learned language; narrow, all columns stay.
 
-    Ambiguous texts stay: short clean documents are often ambiguous.  A model without classes keeps all.
+    Ambiguous texts stay: short clean documents are often ambiguous.  A model without classes knows only
+    the rule of letters.
     """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([not model.classes or has_letter(t) and verdict(t, model)[0] != UNDETERMINED for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([is_recognised(t, model) for t in texts], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

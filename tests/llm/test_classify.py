@@ -47,6 +47,16 @@ def test_language_on_held_out_rows(make, corpus):
     assert {r.lang_pred for r in language.identify(make(rows[:3]), language.train(make([]))).collect()} == {"und"}
 
 
+def test_texts_far_from_every_language_go(make, corpus):
+    model = language.train(make(corpus))
+    short = [(900 + i, " ".join(t.split()[:3])) for i, (_, t, _, _) in enumerate(corpus[:30])]
+    far = [(950, "все люди рождаются свободными и равными в своём достоинстве " * 5), (951, "qxzjkvwpbm zxqwvk pjbxz " * 20), (952, "12 34"), (953, None)]
+    kept = {r.doc_id for r in language.recognised(make(corpus + short + far), model).collect()}
+    assert kept == {d for d, *_ in corpus + short}
+    unlabelled = language.recognised(make(far), language.train(make([])))
+    assert {r.doc_id for r in unlabelled.collect()} == {950, 951}
+
+
 def test_quality_on_held_out_rows(spark, make, prose):
     rows = [(i, prose(40, i) if i % 4 else " ".join(w.upper() + "!!" for w in prose(40, i).split())) for i in range(200)] + [(900, None), (901, ""), (None, "x")]
     labels = spark.createDataFrame([(i, int(i % 4 > 0), None) for i in range(200)] + [(3, 1, None), (None, 1, None), (5, None, None)], "doc_id long, quality int, toxic int")
