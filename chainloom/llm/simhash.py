@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, words: int = 1, radius: int
     return prints.join(found, "fingerprint").select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
-#: Near-duplicates of similarity 0.8 or more over five-word shingles: 512 bits, of which such texts differ in 78 on average
+#: Near-duplicates of a similarity of about 0.8 or more over five-word shingles by fingerprints alone: 512 bits, of which such texts differ in 78 on average
 #: (share 0.152: the angle of a cosine of 2 * 0.8 / 1.8), standard deviation 8.1; unrelated texts differ in 256.
 FUZZY = {"width": 5, "words": 8, "radius": 92, "differing": 0.152}
 
@@ -293,10 +293,15 @@ FUZZY = {"width": 5, "words": 8, "radius": 92, "differing": 0.152}
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id; all columns stay.
 
-    Of rows that repeat a doc_id one stays.  Rows with a null doc_id stay only where no row of the
-    component has an id, and then one per text.
+    Components are those of five-word shingle sets of exact similarity 0.8 or more; with options (as
+    ``FUZZY``) those of fingerprints.  Of rows that repeat a doc_id one stays.  Rows with a null doc_id
+    stay only where no row of the component has an id, and then one per text.
     """
-    found = near_duplicates(docs, **(how or FUZZY))
+    from chainloom.llm import jaccard
+
+    found = settle(near_duplicates(docs, **how) if how else jaccard.near_duplicates(docs), "components")
+    shape = {k: v for k, v in how.items() if k in ("width", "words")}
+    name = (lambda t: fingerprint(t, **shape).astype(">u8").tobytes().hex()) if how else (lambda t: jaccard.text_digest(t).hex())
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     once = docs.join(kept, "doc_id", "left_semi")
     again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
@@ -305,7 +310,7 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     if not docs.where("doc_id is null").isEmpty():
         alone = found.where("doc_id is null and component_id is null").select(F.col("fingerprint").alias("__f")).distinct()
         nameless = docs.where("doc_id is null")
-        prints = map_rows(nameless.select("text").distinct(), lambda c: ((t, fingerprint(t, **{k: v for k, v in (how or FUZZY).items() if k in ("width", "words")}).astype(">u8").tobytes().hex()) for t in c["text"]), "__t string, __f string")
+        prints = map_rows(nameless.select("text").distinct(), lambda c: ((t, name(t)) for t in c["text"]), "__t string, __f string")
         chosen = prints.join(alone, "__f").groupBy("__f").agg(F.min(F.struct(F.col("__t").isNull(), "__t")).alias("t")).select(F.col("t.__t").alias("__t"))
         once = once.unionByName(nameless.join(chosen, nameless["text"].eqNullSafe(chosen["__t"]), "left_semi").dropDuplicates(["text"]))
     return once.select(*docs.columns)
