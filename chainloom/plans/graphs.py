@@ -81,6 +81,10 @@ QUERIES = {
             "sinks",
         ),
     ),
+    # the whole jobs, which the twins of the three forms above cannot follow
+    "pagerank_full": (lambda c: rounded(graph.pagerank(c.pairs), "pagerank"), None),
+    "roles_full": (lambda c: graph.assign_roles(c.metrics, c.entities, graph.sink_entities(c.structural)), None),
+    "modularity_full": (lambda c: rounded(graph.modularity(graph.undirected(graph.backbone(c.pairs)), c.metrics.where("community >= 0").select(F.col("entity_id").alias("node"), "community")), "modularity"), None),
     "trace_funds": (
         lambda c: rounded(graph.trace_funds(c.flows, _seeds(c), graph.sink_entities(c.structural)).drop("path"), "amount"),
         over("SELECT seed, entity, kind, round(amount, 6) AS amount, hops FROM trace", "trace"),

@@ -103,3 +103,24 @@ def test_trace_stops_or_passes_at_sinks(spark):
     assert got == {"m": ("mixer", 7.0, 2, ["s", "y", "m"]), "e": ("exchange", 7.0, 3, ["s", "y", "m", "e"])}
     stopped = graph.trace_funds(edges, seeds, sinks, expand_sinks=False)
     assert {r.entity for r in stopped.collect()} == {"m"}
+
+
+def test_whole_jobs_are_registered(spark, cliques):
+    from types import SimpleNamespace
+
+    from chainloom.plans import graphs
+
+    rows = [("a", "b", 2), ("b", "c", 1), ("c", "a", 1), ("a", "d", 1)]
+    rank, out = dict.fromkeys("abcd", 0.25), {"a": 3, "b": 1, "c": 1}
+    for _ in range(200):
+        rank = {x: 0.15 / 4 + 0.85 * (sum(rank[s] * v / out[s] for s, t, v in rows if t == x) + rank["d"] / 4) for x in "abcd"}
+    got = {r.node: r.pagerank for r in graphs.QUERIES["pagerank_full"][0](SimpleNamespace(pairs=frame(spark, rows))).collect()}
+    assert got == pytest.approx(rank, abs=1e-5)
+
+    metrics = spark.createDataFrame([(f"e{i}", float(i == 3), i // 2) for i in range(4)], "entity_id string, betweenness double, community int")
+    entities = spark.createDataFrame([(f"e{i}", 2, 2, 1.0, 1.0) for i in range(4)], "entity_id string, fan_in long, fan_out long, value_sent double, value_received double")
+    structural = spark.createDataFrame([("none", 0.0, 0.0)], "entity_id string, mixer_score double, exchange_score double")
+    pairs = frame(spark, [("e0", "e1", 5), ("e2", "e3", 5)])
+    c = SimpleNamespace(metrics=metrics, entities=entities, structural=structural, pairs=pairs)
+    assert {r.entity_id: r.role for r in graphs.QUERIES["roles_full"][0](c).collect()} == {"e0": "wallet", "e1": "wallet", "e2": "wallet", "e3": "relay"}
+    assert graphs.QUERIES["modularity_full"][0](c).first()[0] == pytest.approx(0.5)
