@@ -12,24 +12,22 @@ from chainloom.sources import readers, writers
 from chainloom.storage import shared_dir
 from chainloom.streaming import replay as streams
 
-TREES = 60
-
 
 def _table(c) -> DataFrame:
     return c.features.join(replay.judged(c).select("entity_id", F.col("y").cast("double").alias("label")), "entity_id")
 
 
 def _risk(c):
-    return models.fit_risk(_table(c), features.fit_baseline(c.features), trees=TREES)
+    return models.fit_risk(_table(c), features.fit_baseline(c.features))
 
 
 def _scored(c) -> DataFrame:
     return models.probability(_risk(c), c.features).select("entity_id", "p")
 
 
-def _validated(c, names=features.FEATURES, fit=models.fit_risk, **how) -> DataFrame:
+def _validated(c, names=features.FEATURES, fit=None) -> DataFrame:
     table = models.with_folds(_table(c), "entity_id")
-    return models.cross_validate(table, lambda t: fit(t, features.fit_baseline(t, names), names, **how))
+    return models.cross_validate(table, lambda t: (fit or models.fit_risk)(t, features.fit_baseline(t, names), names))
 
 
 def _calibrated(c) -> DataFrame:
@@ -42,13 +40,13 @@ _CAPTURE = {
     "risk_model": (lambda c: _scored(c).select("entity_id", F.round("p", 6).alias("p"), models.risk_score(F.col("p")).alias("risk")), None),
     "risk_attributions": (lambda c: models.attributions(_risk(c), features.robust_z(c.features, features.fit_baseline(c.features))), None),
     "explanations": (lambda c: models.explanation_block(models.explain(_risk(c), c.features)), None),
-    "anomaly_model": (lambda c: models.anomaly_scores(models.fit_isolation(c.features, trees=TREES), c.features), None),
+    "anomaly_model": (lambda c: models.anomaly_scores(models.fit_isolation(c.features), c.features), None),
     "logistic_baseline": (lambda c: rounded(models.probability(models.fit_logistic(_table(c), features.fit_baseline(c.features)), c.features).select("entity_id", "p"), "p"), None),
-    "cross_validation": (lambda c: models.fold_summary(_validated(c, trees=20)), None),
+    "cross_validation": (lambda c: models.fold_summary(_validated(c)), None),
     "logistic_validation": (lambda c: models.fold_summary(_validated(c, fit=models.fit_logistic)), None),
-    "ablation": (lambda c: models.fold_summary(_validated(c, tuple(f for f in features.FEATURES if f not in models.RULE_FEATURES), trees=20)), None),
+    "ablation": (lambda c: models.fold_summary(_validated(c, tuple(f for f in features.FEATURES if f not in models.RULE_FEATURES))), None),
     "calibrator": (_calibrated, None),
-    "holdout": (lambda c: evaluate.confusion(models.probability(models.fit_risk(models.stratified_split(_table(c)).where("not held_out").drop("held_out"), features.fit_baseline(c.features), trees=TREES), models.stratified_split(_table(c)).where("held_out")).select(F.col("label").alias("y"), "p")), None),
+    "holdout": (lambda c: evaluate.confusion(models.probability(models.fit_risk(models.stratified_split(_table(c)).where("not held_out").drop("held_out"), features.fit_baseline(c.features)), models.stratified_split(_table(c)).where("held_out")).select(F.col("label").alias("y"), "p")), None),
 }
 
 
