@@ -124,3 +124,17 @@ def test_whole_jobs_are_registered(spark, cliques):
     c = SimpleNamespace(metrics=metrics, entities=entities, structural=structural, pairs=pairs)
     assert {r.entity_id: r.role for r in graphs.QUERIES["roles_full"][0](c).collect()} == {"e0": "wallet", "e1": "wallet", "e2": "wallet", "e3": "relay"}
     assert graphs.QUERIES["modularity_full"][0](c).first()[0] == pytest.approx(0.5)
+
+
+def test_neighbours_do_not_swap_labels_for_ever(spark):
+    links = frame(spark, [(f"p{i}", f"q{i}", 1) for i in range(8)])
+    groups = {}
+    for r in graph.communities(graph.undirected(links)).collect():
+        groups.setdefault(r.community, set()).add(r.node)
+    assert sorted(map(sorted, groups.values())) == [[f"p{i}", f"q{i}"] for i in range(8)]
+
+
+def test_betweenness_of_a_long_path(spark):
+    n = 70
+    got = {r.node: r.betweenness for r in graph.betweenness(graph.undirected(frame(spark, [(f"{i:03}", f"{i + 1:03}", 1) for i in range(n - 1)]))).collect()}
+    assert got == pytest.approx({f"{i:03}": 2 * i * (n - 1 - i) / ((n - 1) * (n - 2)) for i in range(n)})
