@@ -5,10 +5,12 @@ Consecutive windows with one minimiser form a super-string, and equal windows al
 of one minimiser, as it is a function of the window alone.
 
 1. Only the minimisers' hashes go to buckets, a few bytes per super-string, and come back as the list of
-   super-strings of each document whose minimiser occurs again.
+   super-strings of each document whose minimiser occurs again.  A minimiser that one map pack holds more than
+   ``PACK_HOT`` times goes as one head, so a bucket gets few rows of the most common ones.
 2. Those super-strings travel, packed, to the bucket of their minimiser, where windows are compared.
-3. A minimiser with more than ``HOT`` super-strings is kept out of step 2: its windows are hashed one
-   by one and grouped by Spark with a map-side combine, so no task gathers a hot group.
+3. A minimiser with more than ``HOT`` super-strings stays out of step 2.  Spark first groups its equal
+   super-strings (with a map-side combine, by their bytes), so copies count once; the distinct ones are then
+   compared by the operator in families that share more than the minimiser.  No digest stands for a text.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +35,8 @@ Cutter = Callable[[str | None], Iterator[tuple]]
 SEGMENT_WINDOWS = 1 << 16
 PACK_BYTES, PACK_ROWS = 16 << 20, 1 << 20
 HOT = 200_000
+#: Heads of one minimiser in one map pack beyond which the pack sends a single head for all of them.
+PACK_HOT = 1_000
 #: Documents per bucket of the first step, which holds some 24 bytes per super-string; only memory depends on it.
 ROWS_PER_BUCKET = 2_000
 RUNS = "doc long, row long, first int, count int"
@@ -122,7 +126,7 @@ def text_of(blob: bytes | None) -> str | None:
     return None if blob is None else _unzip(blob).decode("utf-8", "surrogatepass")
 
 
-_HEADS = [np.uint32, np.int64, np.int64, np.int32]
+_HEADS = [np.uint32, np.int64, np.int64, np.int32, np.int8]
 
 
 def repeated_heads(docs: DataFrame, cut: Cutter, buckets: int, across: bool) -> DataFrame:
@@ -150,18 +154,32 @@ def repeated_heads(docs: DataFrame, cut: Cutter, buckets: int, across: bool) ->
         low, sizes = np.concatenate([h[0] for h in held]), [len(h[0]) for h in held]
         doc, row = (np.repeat(np.array([h[i] for h in held], np.int64), sizes) for i in (1, 2))
         seq = np.concatenate([np.arange(h[3], h[3] + len(h[0]), dtype=np.int32) for h in held])
-        return _blobs((low % np.uint64(buckets)).astype(np.int64), [(low >> np.uint64(32)).astype(np.uint32), doc, row, seq])
+        _, inverse, counts = np.unique(low, return_inverse=True, return_counts=True)
+        # heads of a minimiser that fills the pack are settled as hot at once, dealt to any bucket; its own bucket learns of them from one
+        many = counts[inverse] > PACK_HOT
+        told = np.zeros(len(low), bool)
+        told[np.unique(np.where(many, inverse, -1), return_index=True)[1]] = True
+        told &= many
+        own = (low % np.uint64(buckets)).astype(np.int64)
+        dealt = np.where(many & ~told, (row ^ seq) % buckets, own)
+        kind = np.where(many, np.where(told, 2, 1), 0).astype(np.int8)
+        return _blobs(dealt, [(low >> np.uint64(32)).astype(np.uint32), doc, row, seq, kind])
 
     def again(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        low, doc, row, seq = (np.concatenate(c) for c in zip(*(_columns(_unzip(b), _HEADS)[0] for b in blobs), strict=True))
-        _, inverse, counts = np.unique(low, return_inverse=True, return_counts=True)
-        keep = counts[inverse] > 1
+        low, doc, row, seq, kind = (np.concatenate(c) for c in zip(*(_columns(_unzip(b), _HEADS)[0] for b in blobs), strict=True))
+        asks = kind != 1
+        _, inverse, counts = np.unique(low[asks], return_inverse=True, return_counts=True)
+        full = np.zeros(len(counts), bool)
+        np.logical_or.at(full, inverse, kind[asks] == 2)
+        keep, hot = np.ones(len(low), bool), np.ones(len(low), bool)
+        hot[asks] = ((counts > HOT) | full)[inverse]
         if across:
             least, most = np.full(len(counts), 2**63 - 1), np.full(len(counts), -(2**63))
-            np.minimum.at(least, inverse, doc)
-            np.maximum.at(most, inverse, doc)
-            keep &= (least < most)[inverse]
-        hot = counts[inverse] > HOT
+            np.minimum.at(least, inverse, doc[asks])
+            np.maximum.at(most, inverse, doc[asks])
+            keep[asks] = (full | (least < most))[inverse]
+        else:
+            keep[asks] = (full | (counts > 1))[inverse]
         yield pa.RecordBatch.from_arrays([pa.array(doc[keep], pa.int64()), pa.array(row[keep], pa.int64()), pa.array(seq[keep], pa.int32()), pa.array(hot[keep], pa.bool_())], ["doc", "row", "seq", "hot"])
 
     found = by_bucket(docs.select("doc_id", "text").mapInArrow(heads, "bucket int, blob binary"), buckets, again, "doc long, row long, seq int, hot boolean")
@@ -173,6 +191,12 @@ _STRINGS = [np.int64, np.int64, np.int32, np.int32, np.int32, np.uint32, np.int3
 NAMES = ("doc", "row", "first", "count", "place", "low")
 
 
+def pack_strings(doc: np.ndarray, row: np.ndarray, first: np.ndarray, count: np.ndarray, place: np.ndarray, low: np.ndarray, texts: list[bytes], buckets: int) -> pa.RecordBatch:
+    """One row per bucket, dealt by ``low``, that :func:`unpack` reads."""
+    numbers = [doc.astype(np.int64), row.astype(np.int64), *(c.astype(np.int32) for c in (first, count, place)), (low >> np.uint64(32)).astype(np.uint32)]
+    return _blobs((low % np.uint64(buckets)).astype(np.int64), [*numbers, np.fromiter(map(len, texts), np.int32, len(texts))], texts)
+
+
 def unpack(blobs: list[bytes]) -> tuple[list[bytes], dict[str, np.ndarray]]:
     """The super-strings of a bucket with doc, row, first, count, place and low (32 bits of the minimiser hash)."""
     strings, columns = [], []
@@ -188,16 +212,18 @@ def unpack(blobs: list[bytes]) -> tuple[list[bytes], dict[str, np.ndarray]]:
 def marked_windows(
     docs: DataFrame,
     cut: Cutter,
-    windows: Callable[[bytes, int], list[bytes]],
     per_bucket: int,
     compare: Callable[[list[bytes]], Iterator[pa.RecordBatch]],
-    verdict: Callable[[DataFrame], DataFrame],
+    families: Callable[[DataFrame], DataFrame],
+    whole: Column,
     across: bool,
 ) -> DataFrame:
     """``(doc, row, first, count)``: runs of marked windows.
 
-    ``compare`` marks the windows of one bucket, ``verdict`` those of the hot minimisers, given as
-    ``(doc, row, first, digest)``, a row per window.  A bucket gets about ``per_bucket`` super-strings.
+    ``compare`` marks the windows of one bucket, which gets about ``per_bucket`` super-strings.  ``families``
+    gives ``(id, first, count)`` for the distinct super-strings of hot minimisers, a table ``(id, string, least,
+    n, windows, place)`` with the smallest document and the number of their occurrences; ``whole`` says on
+    such a row and ``doc`` whether all windows of an occurrence are marked.
     """
     lists = settle(repeated_heads(docs, cut, max(8, docs.count() // ROWS_PER_BUCKET), across), "heads")
     found = lists.agg(F.coalesce(F.sum(F.size("seqs")), F.lit(0))).first()[0]
@@ -228,51 +254,46 @@ def marked_windows(
     def packed(held: list[tuple]) -> pa.RecordBatch:
         sizes, texts = [len(h[6]) for h in held], [t for h in held for t in h[6]]
         doc, row = (np.repeat(np.array([h[i] for h in held], np.int64), sizes) for i in (0, 1))
-        first, count, place, low = (np.concatenate([h[i] for h in held]) for i in (2, 3, 4, 5))
-        numbers = [c.astype(np.int32) for c in (first, count, place)]
-        return _blobs((low % np.uint64(buckets)).astype(np.int64), [doc, row, *numbers, (low >> np.uint64(32)).astype(np.uint32), np.fromiter(map(len, texts), np.int32, len(texts))], texts)
+        return pack_strings(doc, row, *(np.concatenate([h[i] for h in held]) for i in (2, 3, 4, 5)), texts, buckets)
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], [], []]
+    def hot_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, row, blob, seqs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                for first, count, _, _, texts in chosen(blob, seqs):
-                    for f, n, t in zip(first.tolist(), count.tolist(), texts, strict=True):
-                        out[0] += [doc] * n
-                        out[1] += [row] * n
-                        out[2] += range(f, f + n)
-                        out[3] += [xxhash.xxh3_128_digest(w) for w in windows(t, n)]
-                    if len(out[0]) > 100_000:
-                        yield hot_batch(out)
-                        out = [[], [], [], []]
-        if out[0]:
-            yield hot_batch(out)
-
-    def hot_batch(out: list[list]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc", "row", "first", "digest"])
+                for first, count, place, _, texts in chosen(blob, seqs):
+                    n = len(texts)
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([row] * n, pa.int64()), *(pa.array(c, pa.int32()) for c in (first, count, place)), pa.array(texts, pa.binary())], ["doc", "row", "first", "windows", "place", "string"])
 
     cold = by_bucket(joined.select("doc", "row", "zip", "seqs").mapInArrow(strings, "bucket int, blob binary"), buckets, compare, RUNS)
-    if lists.where(F.size("hot") > 0).isEmpty():
+    hot_lists = lists.where(F.size("hot") > 0)
+    if hot_lists.isEmpty():
         return cold
-    hot = joined.where(F.size("hot") > 0).select("doc", "row", "zip", "hot").mapInArrow(digests, "doc long, row long, first int, digest binary")
-    return cold.unionByName(verdict(settle(hot, "hot")))
-
-
-def runs_of(doc: np.ndarray, row: np.ndarray, first: np.ndarray, flags: list[np.ndarray]) -> pa.RecordBatch:
-    """Marked windows as ``(doc, row, first window, windows)``; ``flags`` has the marks of each super-string."""
-    sizes = np.fromiter(map(len, flags), np.int64, len(flags))
-    owner = np.repeat(np.arange(len(flags)), sizes)
-    flat = np.concatenate(flags) if len(flags) else np.zeros(0, bool)
+    asked = joined.where(F.size("hot") > 0).select("doc", "row", "zip", "hot")
+    each = settle(asked.mapInArrow(hot_strings, "doc long, row long, first int, windows int, place int, string binary"), "hot")
+    classes = each.groupBy("string").agg(F.min("doc").alias("least"), F.count("*").alias("n"), F.first("windows").alias("windows"), F.first("place").alias("place"))
+    classes = settle(classes.withColumn("id", F.monotonically_increasing_id()), "hot_strings")
+    runs = families(classes).groupBy("id").agg(F.collect_set(F.struct(F.col("first").alias("at"), F.col("count").alias("many"))).alias("runs"))
+    told = settle(classes.join(runs, "id", "left").select("string", "least", "n", "runs"), "hot_runs")  # settled, so that the join below may be split where it is skewed
+    all_of_it = F.array(F.struct(F.lit(0).alias("at"), F.col("windows").alias("many")))
+    marks = each.join(told, "string").withColumn("run", F.explode(F.when(whole, all_of_it).otherwise(F.col("runs"))))
+    return cold.unionByName(marks.select("doc", "row", (F.col("first") + F.col("run.at")).alias("first"), F.col("run.many").alias("count")))
+
+
+def runs_of(doc: np.ndarray, row: np.ndarray, first: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
+    """Marked windows as ``(doc, row, first window, windows)``; ``flat`` has the marks of all super-strings, ``sizes`` of each."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     inside = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    before = np.concatenate([[False], flat[:-1] & (owner[1:] == owner[:-1])]) if len(flat) else flat
-    begin = np.flatnonzero(flat & ~before)
-    after = np.concatenate([flat[1:] & (owner[1:] == owner[:-1]), [False]]) if len(flat) else flat
-    end = np.flatnonzero(flat & ~after)
+    joined = flat[1:] & flat[:-1] & (owner[1:] == owner[:-1])
+    begin = np.flatnonzero(flat & ~np.concatenate([[False], joined])[: len(flat)])
+    end = np.flatnonzero(flat & ~np.concatenate([joined, [False]])[: len(flat)])
     who = owner[begin]
     return pa.RecordBatch.from_arrays([pa.array(doc[who], pa.int64()), pa.array(row[who], pa.int64()), pa.array(first[who] + inside[begin], pa.int32()), pa.array(end - begin + 1, pa.int32())], ["doc", "row", "first", "count"])
 
 
+def spread(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches ``values[start : start + size]`` one after the other."""
+    return values[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+
+
 def with_runs(docs: DataFrame, marks: DataFrame, work: Callable[[int | None, str | None, list], tuple], schema: str) -> DataFrame:
     """``work(doc_id, text, runs)`` for every row of ``docs``; runs is empty for documents without marks."""
     kind = to_arrow_schema(T.StructType.fromDDL(schema))

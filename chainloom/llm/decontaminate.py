@@ -10,13 +10,15 @@ tiles cover at least ``coverage`` of the item's tokens.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.llm.common import map_rows
-from chainloom.llm.hashing import SEGMENT, word_hashes
+from chainloom.llm.hashing import token_hashes
 from chainloom.storage import settle
 
 #: ASCII letters in lower case, digits, and the bytes of longer characters stay; everything else separates tokens.
@@ -32,18 +34,6 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(TOKENS).split()
 
 
-def token_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash per token."""
-    out, part, size = [], [], 0
-    for w in words:
-        if size + len(w) >= SEGMENT and part:
-            out.append(word_hashes(np.frombuffer(b" ".join(part), np.uint8)))
-            part, size = [], 0
-        part.append(w[: SEGMENT // 2])
-        size += len(part[-1]) + 1
-    return np.concatenate([*out, word_hashes(np.frombuffer(b" ".join(part), np.uint8))]) if part else np.zeros(0, np.uint64)
-
-
 def seeds(hashes: np.ndarray, width: int) -> np.ndarray:
     """The hash of every ``width`` consecutive tokens."""
     n = len(hashes) - width + 1
@@ -57,52 +47,55 @@ def seeds(hashes: np.ndarray, width: int) -> np.ndarray:
 def tile(item: list, runs: list[list], least: int) -> list[tuple[int, int, int, int]]:
     """Greedy string tiling: ``(item position, run, position in run, length)``, longest first.
 
-    Every token of the item and of the runs belongs to one tile at most; no tile is shorter than ``least``.
+    Every token of the item and of the runs belongs to one tile at most; no tile is shorter than ``least``.  Running
+    Karp-Rabin hashes of ``least`` tokens find where matches start; each is extended as far as it goes.  The
+    longest match left is marked next, ties by place; one that marked tiles overlap comes back as the stretches
+    that are still free.  So the tiles do not depend on how much else the runs hold.
     """
     base, mod = 1_000_003, (1 << 61) - 1
-    free_item, free_runs = [True] * len(item), [[True] * len(r) for r in runs]
-    found: list[tuple[int, int, int, int]] = []
     number = {t: i + 1 for i, t in enumerate(dict.fromkeys(item))}
     a, b = [number[t] for t in item], [[number.get(t, 0) for t in r] for r in runs]
+    top = pow(base, least, mod)
 
-    def windows(row: list[int], free: list[bool], s: int):
-        top, h, since = pow(base, s, mod), 0, 0
+    def windows(row: list[int]) -> Iterator[tuple[int, int]]:
+        h = 0
         for j, x in enumerate(row):
-            if not free[j]:
-                h = since = 0
-                continue
-            h, since = (h * base + x) % mod, since + 1
-            if since > s:
-                h = (h - row[j - s] * top) % mod
-            if since >= s:
-                yield j - s + 1, h
-
-    s = max(least, min(len(item), max(map(len, runs), default=0)))
-    while True:
-        again = True
-        while again:
-            again, at = False, defaultdict(list)
-            for i, h in windows(a, free_item, s):
-                at[h].append(i)
-            longest: dict[tuple[int, int, int], int] = {}
-            for r, row in enumerate(b):
-                for j, h in windows(row, free_runs[r], s):
-                    for i in at.get(h, ()):
-                        if (i and j and free_item[i - 1] and free_runs[r][j - 1] and a[i - 1] == row[j - 1]) or a[i : i + s] != row[j : j + s]:
-                            continue  # part of a match that starts earlier, or a hash collision
-                        n = s
-                        while i + n < len(a) and j + n < len(row) and free_item[i + n] and free_runs[r][j + n] and a[i + n] == row[j + n]:
-                            n += 1
-                        longest[i, r, j] = n
-            for (i, r, j), n in sorted(longest.items(), key=lambda m: (-m[1], m[0])):
-                if all(free_item[i : i + n]) and all(free_runs[r][j : j + n]):
-                    free_item[i : i + n], free_runs[r][j : j + n] = [False] * n, [False] * n
-                    found.append((i, r, j, n))
-                else:
-                    again = True  # what is left of an overlapped match is searched anew at this length
-        if s <= least:
-            return found
-        s = max(least, s // 2)
+            h = (h * base + x - (row[j - least] * top if j >= least else 0)) % mod
+            if j >= least - 1:
+                yield j - least + 1, h
+
+    at = defaultdict(list)
+    for i, h in windows(a):
+        at[h].append(i)
+    heap: list[tuple[int, int, int, int]] = []
+    for r, row in enumerate(b):
+        for j, h in windows(row):
+            for i in at.get(h, ()):
+                if (i and j and a[i - 1] == row[j - 1]) or a[i : i + least] != row[j : j + least]:
+                    continue  # part of a match that starts earlier, or a hash collision
+                n = least
+                while i + n < len(a) and j + n < len(row) and a[i + n] == row[j + n]:
+                    n += 1
+                heap.append((-n, i, r, j))
+    heapify(heap)
+    free_item, free_runs = bytearray(b"\1" * len(item)), [bytearray(b"\1" * len(r)) for r in runs]
+    found: list[tuple[int, int, int, int]] = []
+    while heap:
+        n, i, r, j = heappop(heap)
+        n = -n
+        if 0 not in free_item[i : i + n] and 0 not in free_runs[r][j : j + n]:
+            free_item[i : i + n], free_runs[r][j : j + n] = bytes(n), bytes(n)
+            found.append((i, r, j, n))
+            continue
+        start = None
+        for k in range(n + 1):
+            if k < n and free_item[i + k] and free_runs[r][j + k]:
+                start = k if start is None else start
+            elif start is not None:
+                if k - start >= least:
+                    heappush(heap, (start - k, i + start, r, j + start))
+                start = None
+    return found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, width: int = SEED) -> DataFrame:
@@ -113,39 +106,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     match nothing.  Repeated rows, and rows with null ids, are judged one by one and give a row each.
     Documents are read once; what is shuffled are seed hits and the token runs around them.
     """
-    items = settle(map_rows(benchmark.select("item_id", "text"), lambda c: _item_rows(c, width), "item_id long, item long, n int, width int, words binary, seeds array<long>"), "items")
+    return _findings(docs, benchmark, coverage, width).select("doc_id", "item_id", "n_tokens", "covered", "tiles", (F.col("covered") / F.col("n_tokens")).alias("coverage"))
+
+
+def _row_key() -> Column:
+    """Tells documents apart; with doc_id it names a row (equal rows share their findings)."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _findings(docs: DataFrame, benchmark: DataFrame, coverage: float, width: int) -> DataFrame:
+    """``(doc_id, doc, item_id, n_tokens, covered, tiles)``: contaminated pairs, ``doc`` being the row's key."""
+    named = benchmark.select("item_id", F.xxhash64("item_id", "text").alias("item"), "text")
+    items = settle(map_rows(named, lambda c: _item_rows(c, width), "item_id long, item long, n int, width int, words binary, seeds array<long>"), "items")
     entries = settle(items.select("item", "n", "width", F.posexplode("seeds").alias("pos", "seed")).distinct(), "item_seeds")
     widths = [r[0] for r in items.select("width").distinct().collect()]  # at most ``width`` values
-    known = None
-    if entries.select("seed").distinct().count() <= FILTER_SEEDS:
-        known = np.sort(np.array([r[0] for r in entries.select("seed").distinct().collect()], np.int64))
-    found = map_rows(docs.select("doc_id", "text"), lambda c: _run_rows(c, widths, known), "doc_id long, doc long, runs array<binary>, seeds array<long>")
-    hits = settle(found, "seed_hits")
+    known, distinct = None, entries.select("seed").distinct()
+    if distinct.count() <= FILTER_SEEDS:
+        known = np.sort(distinct.toArrow()["seed"].to_numpy())
+    rows = docs.select("doc_id", _row_key().alias("doc"), "text")
+    hits = settle(map_rows(rows, lambda c: _run_rows(c, widths, known), "doc_id long, doc long, runs array<binary>, seeds array<long>"), "seed_hits")
     shared = hits.select("doc", F.explode("seeds").alias("seed")).distinct().join(entries, "seed")
     pairs = shared.groupBy("doc", "item", "n", "width").agg(F.countDistinct("pos").alias("positions"))
     pairs = pairs.where(F.col("positions") * F.col("width") >= F.col("n") * F.lit(coverage)).select("doc", "item")
     texts = items.select("item", "n", "width", "words").distinct()
-    per_doc = pairs.join(texts, "item").groupBy("doc").agg(F.collect_list(F.struct("item", "n", "width", "words")).alias("items"))
-    tiled = map_rows(hits.select("doc_id", "doc", "runs").join(per_doc, "doc").select("doc_id", "runs", "items"), lambda c: _tile_rows(c, coverage), "doc_id long, item long, covered int, tiles int")
-    names = items.select("item_id", "item", F.col("n").alias("n_tokens"))
-    return tiled.join(names, "item").select("doc_id", "item_id", "n_tokens", "covered", "tiles", (F.col("covered") / F.col("n_tokens")).alias("coverage"))
-
-
-def _key(identity: int | None, text: str | None) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(f"{identity}:{text}".encode("utf-8", "replace")) - 2**63
+    both = hits.select("doc_id", "doc", "runs").join(pairs, "doc").join(texts, "item")  # a row per pair: no list grows with the items of a document
+    tiled = map_rows(both, lambda c: _tile_rows(c, coverage), "doc_id long, doc long, item long, covered int, tiles int")
+    return tiled.join(items.select("item_id", "item", F.col("n").alias("n_tokens")), "item")
 
 
 def _item_rows(c: dict, width: int):
-    for item_id, text in zip(c["item_id"], c["text"], strict=True):
+    for item_id, item, text in zip(c["item_id"], c["item"], c["text"], strict=True):
         if words := tokens(text):
             k = min(width, len(words))
-            yield item_id, _key(item_id, text), len(words), k, b" ".join(words), seeds(token_hashes(words), k).tolist()
+            yield item_id, item, len(words), k, b" ".join(words), seeds(token_hashes(words), k).tolist()
 
 
 def _run_rows(c: dict, widths: list[int], known: np.ndarray | None):
-    for doc_id, text in zip(c["doc_id"], c["text"], strict=True):
+    for doc_id, doc, text in zip(c["doc_id"], c["doc"], c["text"], strict=True):
         words = tokens(text)
         hashes, near, found = token_hashes(words), np.zeros(len(words) + 1, np.int64), []
         for k in widths:
@@ -160,21 +157,25 @@ def _run_rows(c: dict, widths: list[int], known: np.ndarray | None):
         if sum(map(len, found)):
             edges = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(near) > 0]).astype(np.int8)))
             runs = [b" ".join(words[s:e]) for s, e in zip(edges[::2].tolist(), [*edges[1::2].tolist(), len(words)], strict=False)]
-            yield doc_id, _key(doc_id, text), runs, np.unique(np.concatenate(found)).tolist()
+            yield doc_id, doc, runs, np.unique(np.concatenate(found)).tolist()
 
 
 def _tile_rows(c: dict, coverage: float):
-    for doc_id, runs, items in zip(c["doc_id"], c["runs"], c["items"], strict=True):
-        split = [r.split() for r in runs]
-        for item in items:
-            words = item["words"].split()
-            wanted = set(words)
-            tiles = tile(words, [r for r in split if not wanted.isdisjoint(r)], item["width"])
-            covered = sum(t[3] for t in tiles)
-            if covered >= coverage * item["n"]:
-                yield doc_id, item["item"], covered, len(tiles)
+    for doc_id, doc, runs, item, n, width, text in zip(*(c[k] for k in ("doc_id", "doc", "runs", "item", "n", "width", "words")), strict=True):
+        words = text.split()
+        wanted = set(words)
+        tiles = tile(words, [r for r in map(bytes.split, runs) if not wanted.isdisjoint(r)], width)
+        covered = sum(t[3] for t in tiles)
+        if covered >= coverage * n:
+            yield doc_id, doc, item, covered, len(tiles)
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` without the contaminated documents; a null doc_id can't be named by a finding, so such rows are kept."""
-    return docs.join(contaminated(docs, benchmark, coverage).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the contaminated rows, judged row by row: rows of one doc_id, or of none, go or stay each by its own text.
+
+    Repeated rows go together.  Empty tables, empty texts and a benchmark without items leave ``docs`` as it is.
+    """
+    found = settle(_findings(docs, benchmark, coverage, SEED).select("doc_id", "doc").distinct(), "contaminated")
+    other = found.select(F.col("doc_id").alias("__found_id"), F.col("doc").alias("__found"))
+    on = F.xxhash64(docs["doc_id"], docs["text"]).eqNullSafe(F.col("__found")) & docs["doc_id"].eqNullSafe(F.col("__found_id"))
+    return docs.join(other, on, "left_anti")

@@ -41,6 +41,37 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
     return (sums[end] - sums[start]) * _INVERSES[start] * _MIX
 
 
+def _long_hash(word: bytes) -> int:
+    """What :func:`word_hashes` gives for a single word, of any length."""
+    total = 0
+    for at in range(0, len(word), SEGMENT):
+        part = np.frombuffer(word, np.uint8, min(SEGMENT, len(word) - at), at).astype(np.uint64) + np.uint64(1)
+        total += int((part * _POWERS[: len(part)]).sum(dtype=np.uint64)) * pow(int(_MULT), at, 1 << 64)
+    return total * int(_MIX) % (1 << 64)
+
+
+def token_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash per word: a function of the whole word alone, wherever and beside whatever it stands."""
+    out, part, size = [], [], 0
+
+    def close() -> None:
+        if part:
+            out.append(word_hashes(np.frombuffer(b" ".join(part), np.uint8)))
+            part.clear()
+
+    for w in words:
+        if size + len(w) >= SEGMENT:
+            close()
+            size = 0
+        if len(w) >= SEGMENT:
+            out.append(np.array([_long_hash(w)], np.uint64))
+        else:
+            part.append(w)
+            size += len(w) + 1
+    close()
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def word_grams(words: np.ndarray, bits: int) -> list[np.ndarray]:
     """Buckets of single words and of neighbouring pairs."""
     top = np.uint64(64 - bits)

@@ -13,8 +13,9 @@ import hashlib
 import json
 import re
 import zlib
-from functools import lru_cache
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,8 +81,8 @@ def holds(kind: str, m: re.Match) -> bool:
     return True
 
 
-@lru_cache(maxsize=1)
 def automaton():
+    """The keyword machine; built per batch of rows, so that nothing but code travels to the workers."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
@@ -91,13 +92,14 @@ def automaton():
     return found
 
 
-def find_secrets(text: str | None) -> list[tuple[int, int, str]]:
+def find_secrets(text: str | None, machine=None) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` in code points, by start, then by kind; per kind leftmost without overlap."""
     if not text:
         return []
+    machine = machine or automaton()
     low = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
     found, free = [(m.start(), m.end(), "hex") for m in LONG_HEX.finditer(text)], dict.fromkeys(KINDS, 0)
-    for start, kind in sorted((end - n + 1, kind) for end, (n, kind) in automaton().iter(low)):
+    for start, kind in sorted((end - n + 1, kind) for end, (n, kind) in machine.iter(low)):
         if start >= free[kind] and (m := EXPRESSIONS[kind].match(text, start)):
             free[kind] = m.end()
             if holds(kind, m):
@@ -123,26 +125,38 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """
 
     def rows(c):
+        machine = automaton()
         for doc_id, text in zip(c["doc_id"], c["text"], strict=True):
-            yield doc_id, [{"start": s, "end": e, "kind": k} for s, e, k in find_secrets(text)]
+            yield doc_id, [{"start": s, "end": e, "kind": k} for s, e, k in find_secrets(text, machine)]
 
     return map_rows(docs.select("doc_id", "text"), rows, "doc_id long, spans array<struct<start: int, end: int, kind: string>>")
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """``docs`` with secrets replaced by ``[kind]`` and the length column brought up to date; rows and columns stay."""
+    """``docs`` with secrets replaced by ``[kind]``; rows and columns stay.
 
-    def rows(c):
-        names = list(c)
-        for row in zip(*c.values(), strict=True):
-            r = dict(zip(names, row, strict=True))
-            if spans := find_secrets(r[text]):
-                r[text] = redact(r[text], spans)
-                if length in r:
-                    r[length] = len(r[text])
-            yield tuple(r.values())
-
-    return map_rows(docs, rows, docs.schema)
+    A ``length`` column of an integer type is brought up to date where the text changed; one of another type, or
+    none at all, is left alone.  Null and empty texts, null ids, repeated rows and empty tables pass through.
+    """
+    names = docs.columns
+    at = names.index(text)
+    counts = names.index(length) if length in names and docs.schema[length].dataType.typeName() in ("long", "integer") else None
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton()
+        for batch in batches:
+            columns = list(batch.columns)
+            texts, changed = columns[at].to_pylist(), {}
+            for i, value in enumerate(texts):
+                if spans := find_secrets(value, machine):
+                    changed[i] = redact(value, spans)
+            if changed:
+                columns[at] = pa.array([changed.get(i, t) for i, t in enumerate(texts)], columns[at].type)
+                if counts is not None:
+                    columns[counts] = pa.array([len(changed[i]) if i in changed else n for i, n in enumerate(columns[counts].to_pylist())], columns[counts].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def span_digests(found: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Exact substring dedup of word windows over super-k-mers.
 
-A window is 13 consecutive words.  Consecutive windows with the same minimising word pair travel as one
-packed string to the bucket of that pair; there the windows are sorted, equal ones lie side by
-side, and each run yields the smallest document in which the window starts.
+A window is 13 consecutive words.  Consecutive windows with the same minimising run of four words travel
+as one packed string to the bucket of that run; there the windows are sorted, equal ones lie side by
+side, and each group yields the smallest document in which the window starts.
 """
 
 from __future__ import annotations
@@ -16,11 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.llm import buckets as B
-from chainloom.llm.decontaminate import token_hashes
-from chainloom.llm.hashing import SEGMENT, word_hashes
+from chainloom.llm.hashing import SEGMENT, token_hashes, word_hashes
 from chainloom.storage import settle
 
-WINDOW, PIECE = 13, 2
+WINDOW, PIECE = 13, 4
 #: Super-strings per bucket, which a task holds at once.
 BUCKET_STRINGS = 60_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -53,56 +52,75 @@ def windows(string: bytes, count: int) -> list[bytes]:
     return [b" ".join(words[i : i + WINDOW]) for i in range(count)]
 
 
+def window_least(strings: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of every string, one after the other, the smallest ``least`` of the strings that hold it; and the windows per string.
+
+    Words are numbered, runs of words ranked by doubling (pairs, fours, eights, then two eights that overlap
+    to a window), and the windows sorted by that rank: equal windows lie side by side, nothing is hashed.
+    """
+    words = b" ".join(strings).split(b" ")
+    sizes = np.fromiter((s.count(b" ") + 1 for s in strings), np.int64, len(strings))
+    numbers: dict[bytes, int] = {}
+    rank = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    width = 1
+    while 2 * width <= WINDOW:
+        rank, width = _ranked(rank[:-width], rank[width:]), 2 * width
+    counts = np.maximum(sizes - WINDOW + 1, 0)
+    at = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+    key = rank[at] * np.int64(len(words) + 1) + rank[at + WINDOW - width]
+    order = np.argsort(key, kind="stable")
+    sorted_key, owner = key[order], np.repeat(least, counts)[order]
+    edges = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])[: len(order)])
+    found = np.empty(len(order), np.int64)
+    if len(order):
+        found[order] = np.repeat(np.minimum.reduceat(owner, edges), np.diff(np.append(edges, len(order))))
+    return found, counts
+
+
+def _ranked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The rank of every pair ``(a, b)``: equal pairs, equal ranks."""
+    key = a * np.int64(int(b.max(initial=0)) + 1) + b
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    out = np.empty(len(key), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])[: len(key)])
+    return out
+
+
 def count_windows(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     """The windows of one bucket that also start in a smaller document."""
     strings, c = B.unpack(blobs)
-    doc, low = c["doc"], c["low"]
-    _, inverse, heads = np.unique(low, return_inverse=True, return_counts=True)
-    rows = np.flatnonzero(heads[inverse] > 1).tolist()
-    least: dict[bytes, int] = {}
-    kinds: dict[int, set] = {}
-    for i in rows:
-        s, d = strings[i], int(doc[i])
-        if d < least.get(s, B.NULL_ID + 1):
-            least[s] = d
-        kinds.setdefault(int(low[i]), set()).add(s)
-    found: dict[bytes, np.ndarray] = {}
-    cut_up: list[bytes] = []
-    owner: list[tuple[bytes, int]] = []
-    for group in kinds.values():
-        for s in group if len(group) > 1 else ():
-            if s not in found:
-                mine = windows(s, s.count(b" ") + 2 - WINDOW)
-                found[s] = np.full(len(mine), least[s])
-                cut_up += mine
-                owner += [(s, k) for k in range(len(mine))]
-    order = sorted(range(len(cut_up)), key=cut_up.__getitem__)
-    at = 0
-    while at < len(order):
-        end = at + 1
-        while end < len(order) and cut_up[order[end]] == cut_up[order[at]]:
-            end += 1
-        if end - at > 1:
-            smallest = min(least[owner[i][0]] for i in order[at:end])
-            for i in order[at:end]:
-                s, k = owner[i]
-                found[s][k] = smallest
-        at = end
-    marked = [(i, found[strings[i]] < doc[i] if strings[i] in found else np.full(int(c["count"][i]), least[strings[i]] < doc[i])) for i in rows]
-    marked = [m for m in marked if m[1].any()]
-    if marked:
-        at = np.array([m[0] for m in marked])
-        yield B.runs_of(doc[at], c["row"][at], c["first"][at], [m[1] for m in marked])
-
-
-def _hot_repeats(each: DataFrame) -> DataFrame:
-    least = each.groupBy("digest").agg(F.min("doc").alias("least"))
-    return each.join(least, "digest").where("least < doc").select("doc", "row", "first", F.lit(1).alias("count"))
+    doc = c["doc"]
+    _, inverse, heads = np.unique(c["low"], return_inverse=True, return_counts=True)
+    rows = np.flatnonzero(heads[inverse] > 1)
+    number: dict[bytes, int] = {}
+    kind = np.fromiter((number.setdefault(strings[i], len(number)) for i in rows.tolist()), np.int64, len(rows))
+    if not len(rows):
+        return
+    least = np.full(len(number), B.NULL_ID)
+    np.minimum.at(least, kind, doc[rows])
+    found, counts = window_least(list(number), least)
+    sizes = counts[kind]
+    flat = B.spread(found, (np.cumsum(counts) - counts)[kind], sizes) < np.repeat(doc[rows], sizes)
+    yield B.runs_of(doc[rows], c["row"][rows], c["first"][rows], sizes, flat)
+
+
+def _families(classes: DataFrame) -> DataFrame:
+    """Windows of hot distinct super-strings that a smaller document also holds; Spark groups the windows themselves."""
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, string, least, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(windows(string, n), pa.binary()), pa.array([least] * n, pa.int64())], ["id", "first", "window", "least"])
+
+    each = classes.select("id", "string", "least", "windows").mapInArrow(cut_up, "id long, first int, window binary, least long")
+    low = settle(each.groupBy("window").agg(F.min("least").alias("smallest")), "hot_windows")
+    return each.join(low, "window").where("smallest < least").select("id", "first", F.lit(1).alias("count"))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """``(doc, row, first, count)``: runs of windows that also start in a document of smaller id."""
-    return B.marked_windows(docs, cut, windows, BUCKET_STRINGS, count_windows, _hot_repeats, across=True)
+    return B.marked_windows(docs, cut, BUCKET_STRINGS, count_windows, _families, F.col("least") < F.col("doc"), across=True)
 
 
 def _kept(doc_id: int | None, text: str | None, runs: list[tuple[int, int]]) -> tuple:

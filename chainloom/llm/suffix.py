@@ -42,16 +42,12 @@ def cut(text: str | None) -> Iterator[tuple]:
         yield part, first, first + count + WINDOW - 1, first + at, count, piece - first, pieces[piece]
 
 
-def windows(string: bytes, count: int) -> list[bytes]:
-    return [string[i : i + WINDOW] for i in range(count)]
-
-
 #: Prefix lengths at which ranks are taken, each at most twice the one before; the last is no shorter than any string.
 DEPTHS = (4, 8, 16, 32, 64, 128, 256, 384)
 
 
-def ranks(codes: np.ndarray) -> dict[int, np.ndarray]:
-    """For each depth the rank of every position's prefix of that length; positions past the end rank lowest."""
+def ranks(codes: np.ndarray, depths: tuple[int, ...] = DEPTHS, keep: bool = True) -> dict[int, np.ndarray]:
+    """For each depth (or only the last) the rank of every position's prefix of that length; positions past the end rank lowest."""
 
     def ahead(row: np.ndarray, shift: int) -> np.ndarray:
         return np.concatenate([row[shift:], np.full(min(shift, len(row)), -1, np.int64)]) + 1
@@ -64,22 +60,30 @@ def ranks(codes: np.ndarray) -> dict[int, np.ndarray]:
             keys = keys * np.int64(int(codes.max()) + 2) + ahead(codes, i)
         else:
             keys = keys << bits | ahead(codes, i)
-    for d in DEPTHS:
+    for d in depths:
         if depth:
             keys = found[depth] * np.int64(len(codes) + 2) + ahead(found[depth], d - depth)
+            if not keep:
+                found = {}
         found[d], depth = np.unique(keys, return_inverse=True)[1].astype(np.int64), d
     return found
 
 
+def _joined(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The strings as one row of codes, each ending in a separator of its own; and the separators' places."""
+    ends = np.cumsum([len(s) + 1 for s in strings]) - 1
+    codes = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + len(strings)
+    codes[ends] = np.arange(len(strings))
+    return codes, ends
+
+
 def enhanced_array(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text codes, suffix array in the order of the first 384 symbols, and neighbours' common prefixes.
 
     Every string ends in a separator of its own, so no common prefix leaves a string, and none here is longer
     than 384 bytes.
     """
-    ends = np.cumsum([len(s) + 1 for s in strings]) - 1
-    codes = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + len(strings)
-    codes[ends] = np.arange(len(strings))
+    codes, _ = _joined(strings)
     level = ranks(codes)
     order = np.argsort(level[DEPTHS[-1]], kind="stable")
     i, j = order[:-1].copy(), order[1:].copy()
@@ -116,73 +120,113 @@ def maximal_repeats(codes: np.ndarray, order: np.ndarray, common: np.ndarray, le
                 stack.append((depth, low))
 
 
-def _candidates(strings: list[bytes], places: dict[bytes, int]) -> list[bytes]:
+def _candidates(group: list[int], texts: list[bytes], places: np.ndarray) -> list[int]:
     """Strings that can share a window with another one: a common window holds the piece and reaches at
     least (WINDOW - PIECE) / 2 bytes to its left or to its right."""
     reach = (WINDOW - PIECE) // 2
     sides = []
-    for s in strings:
-        p = places[s]
+    for s, p in ((texts[k], int(places[k])) for k in group):
         sides.append((s[p - reach : p + PIECE] if p >= reach else None, s[p : p + PIECE + reach] if len(s) >= p + PIECE + reach else None))
     left, right = Counter(a for a, _ in sides if a), Counter(b for _, b in sides if b)
-    return [s for s, (a, b) in zip(strings, sides, strict=True) if (a and left[a] > 1) or (b and right[b] > 1)]
+    return [k for k, (a, b) in zip(group, sides, strict=True) if (a and left[a] > 1) or (b and right[b] > 1)]
 
 
-def repeats_by_digest(strings: list[bytes]) -> list[np.ndarray]:
-    """Marks of the windows that occur again, for a family of strings too large for one suffix array: 16 bytes a window."""
-    sizes = [len(s) - WINDOW + 1 for s in strings]
-    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s[i : i + WINDOW]) for s, n in zip(strings, sizes, strict=True) for i in range(n)), np.uint64).reshape(-1, 2)
-    order = np.lexsort((raw[:, 0], raw[:, 1]))
-    same = (raw[order[1:]] == raw[order[:-1]]).all(axis=1)
-    again = np.zeros(len(raw), bool)
-    again[order[1:][same]] = again[order[:-1][same]] = True
-    return np.split(again, np.cumsum(sizes)[:-1])
+def repeats_by_rank(strings: list[bytes]) -> list[np.ndarray]:
+    """Marks of the windows that occur again, for a family too large for the interval tree: the ranks of the
+    suffix array at the depth of a window, without common prefixes (some 40 bytes a symbol)."""
+    codes, _ = _joined(strings)
+    rank = ranks(codes, (*DEPTHS[:-2], WINDOW), keep=False)[WINDOW]
+    ends = np.cumsum([len(s) + 1 for s in strings])
+    sizes = np.array([len(s) - WINDOW + 1 for s in strings], np.int64)
+    at = B.spread(rank, np.concatenate([[0], ends[:-1]]).astype(np.int64), sizes)
+    _, inverse, counts = np.unique(at, return_inverse=True, return_counts=True)
+    return np.split(counts[inverse] > 1, np.cumsum(sizes)[:-1])
 
 
 def mark_repeats(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     """The windows of one bucket that start in two or more places."""
     strings, c = B.unpack(blobs)
-    low = c["low"]
-    _, inverse, heads = np.unique(low, return_inverse=True, return_counts=True)
-    rows = np.flatnonzero(heads[inverse] > 1).tolist()
-    times = Counter(strings[i] for i in rows)
-    places = {strings[i]: int(c["place"][i]) for i in rows}
-    groups: dict[int, dict[bytes, None]] = {}
-    for i in rows:
-        groups.setdefault(int(low[i]), {})[strings[i]] = None
-    flags = {s: np.ones(len(s) - WINDOW + 1, bool) for s, n in times.items() if n > 1}
-    held: list[bytes] = []
+    _, inverse, heads = np.unique(c["low"], return_inverse=True, return_counts=True)
+    rows = np.flatnonzero(heads[inverse] > 1)
+    if not len(rows):
+        return
+    number: dict[bytes, int] = {}
+    kind = np.fromiter((number.setdefault(strings[i], len(number)) for i in rows.tolist()), np.int64, len(rows))
+    texts, times = list(number), np.bincount(kind)
+    one = np.zeros(len(texts), np.int64)
+    one[kind] = rows
+    groups: dict[int, list[int]] = {}
+    for k, low in enumerate(c["low"][one].tolist()):
+        groups.setdefault(low, []).append(k)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) - WINDOW + 1
+    starts = np.cumsum(sizes) - sizes
+    flags = np.repeat(times > 1, sizes)
+    held: list[int] = []
     size = 0
     for group in [*groups.values(), None]:
         if group is not None and len(group) > 1:
-            found = _candidates(list(group), places)
-            if sum(map(len, found)) > 8 * ARRAY_BYTES:
-                for text, again in zip(found, repeats_by_digest(found), strict=True):
-                    flags[text] = flags.get(text, False) | again
-                found = []
+            found = _candidates(group, texts, c["place"][one])
+            weight = int(sizes[found].sum()) + WINDOW * len(found)
+            if weight > 8 * ARRAY_BYTES:
+                for k, again in zip(found, repeats_by_rank([texts[k] for k in found]), strict=True):
+                    flags[starts[k] : starts[k] + sizes[k]] |= again
+                found, weight = [], 0
             held += found
-            size += sum(map(len, found))
+            size += weight
         if held and (group is None or size >= ARRAY_BYTES):
-            starts = np.cumsum([0] + [len(s) + 1 for s in held])
-            codes, order, common = enhanced_array(held)
+            mine = np.array(held)
+            begin = np.cumsum(sizes[mine] + WINDOW) - sizes[mine] - WINDOW
+            codes, order, common = enhanced_array([texts[k] for k in held])
             for length, where in maximal_repeats(codes, order, common, WINDOW):
-                owner = np.searchsorted(starts, where, "right") - 1
-                for o, p in zip(owner.tolist(), (where - starts[owner]).tolist(), strict=True):
-                    flags.setdefault(held[o], np.zeros(len(held[o]) - WINDOW + 1, bool))[p : p + length - WINDOW + 1] = True
+                owner = np.searchsorted(begin, where, "right") - 1
+                for p in (starts[mine[owner]] + where - begin[owner]).tolist():
+                    flags[p : p + length - WINDOW + 1] = True
             held, size = [], 0
-    at = np.array([i for i in rows if strings[i] in flags and flags[strings[i]].any()], np.int64)
-    if len(at):
-        yield B.runs_of(c["doc"][at], c["row"][at], c["first"][at], [flags[strings[i]] for i in at.tolist()])
+    flat = B.spread(flags, starts[kind], sizes[kind])
+    yield B.runs_of(c["doc"][rows], c["row"][rows], c["first"][rows], sizes[kind], flat)
+
 
+#: Into so many families a hot minimiser's windows are dealt, by how far they reach to its left; those of a family share all but 184 / PARTS bytes.
+PARTS = 8
 
-def _hot_repeats(each: DataFrame) -> DataFrame:
-    often = each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    return each.join(often, "digest").select("doc", "row", "first", F.lit(1).alias("count"))
+
+def _families(classes: DataFrame) -> DataFrame:
+    """Repeated windows of hot distinct super-strings, ``(id, first, count)``.
+
+    A window that holds the piece with so many bytes before it shares at least the fewest such bytes, the piece and
+    what must follow with every equal window; that context names its family, which meets in a bucket and
+    goes through the suffix array like any other.
+    """
+    buckets = max(8, PARTS * classes.count() // BUCKET_STRINGS)
+    steps = np.linspace(0, WINDOW - PIECE + 1, PARTS + 1).astype(int).tolist()
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[tuple] = []
+            for name, string, least, n, place in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                for few, most in zip(steps, steps[1:], strict=False):  # windows with few..most - 1 bytes before the piece
+                    low, high = max(0, place - most + 1), min(n, place - few + 1)
+                    if low < high:
+                        key = xxhash.xxh64_intdigest(string[place - few : place - most + 1 + WINDOW], few)
+                        held.append((least, name, low, high - low, place - low, key, string[low : high + WINDOW - 1]))
+                if len(held) > 50_000:
+                    yield packed(held)
+                    held = []
+            if held:
+                yield packed(held)
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        columns = [np.array(c) for c in list(zip(*held, strict=True))[:5]]
+        low, texts = np.array([h[5] for h in held], np.uint64), [h[6] for h in held]
+        return B.pack_strings(*columns, low, texts, buckets)
+
+    marks = B.by_bucket(classes.select("id", "string", "least", "windows", "place").mapInArrow(dealt, "bucket int, blob binary"), buckets, mark_repeats, B.RUNS)
+    return marks.select(F.col("row").alias("id"), "first", "count")
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """``(doc, row, first, count)``: runs of windows that also start somewhere else."""
-    return B.marked_windows(docs, cut, windows, BUCKET_STRINGS, mark_repeats, _hot_repeats, across=False)
+    return B.marked_windows(docs, cut, BUCKET_STRINGS, mark_repeats, _families, F.col("n") > 1, across=False)
 
 
 def _kept(doc_id: int | None, text: str | None, runs: list[tuple[int, int]]) -> tuple:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -29,7 +31,9 @@ def test_contaminated_pairs(spark, make, prose):
     ]
     got = sorted((str(r.doc_id), str(r.item_id), r.coverage) for r in decontaminate.contaminated(make(rows), bench).collect())
     assert got == sorted([("2", "1", 1.0), ("3", "1", 1.0), ("5", "3", 1.0), ("None", "2", 1.0), ("7", "None", 1.0), ("7", "None", 1.0)])
-    assert sorted(str(r.doc_id) for r in decontaminate.uncontaminated(make(rows), bench).collect()) == ["1", "4", "6", "None"]
+    assert sorted(str(r.doc_id) for r in decontaminate.uncontaminated(make(rows), bench).collect()) == ["1", "4", "6"]
+    mixed = [(8, "clean words"), (8, items[0][1]), (None, "clean"), (None, items[1][1])]  # each row by its own text
+    assert sorted((str(r.doc_id), r.text) for r in decontaminate.uncontaminated(make(mixed), bench).collect()) == [("8", "clean words"), ("None", "clean")]
     assert decontaminate.contaminated(make([]), bench).count() == 0
     assert decontaminate.contaminated(make(rows), bench.limit(0)).count() == 0
 
@@ -41,6 +45,28 @@ def test_filter_limit_changes_nothing(spark, make, prose, monkeypatch):
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(make(rows), bench).collect()] == [(1, 1)]
 
 
+def test_filtered_runs_and_whole_texts_give_the_same_tiles():
+    rng = random.Random(4)
+    for _ in range(600):
+        vocabulary = [bytes([97 + i]) for i in range(rng.randrange(2, 9))]
+        item = b" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 40)))
+        text = b" ".join(rng.choice(vocabulary + [b"other"]) for _ in range(rng.randrange(1, 120))).decode()
+        (entry,) = decontaminate._item_rows({"item_id": [1], "item": [1], "text": [item.decode()]}, 5)
+        seen = []
+        for known in (None, np.sort(np.array(entry[5], np.int64))):
+            runs = [r[2] for r in decontaminate._run_rows({"doc_id": [1], "doc": [1], "text": [text]}, [entry[3]], known)]
+            tiles = decontaminate.tile(item.split(), [r.split() for r in runs[0]], entry[3]) if runs else []
+            seen.append([(i, n) for i, _, _, n in tiles])
+        assert seen[0] == seen[1]
+
+
+def test_longest_match_comes_first():
+    """A remainder of 5 tokens is marked before a match of 4, whatever length the search is at."""
+    item = "a b c d e f g h i j k l m n".split()
+    tiles = decontaminate.tile(item, ["a b c d e f g h i".split(), "e f g h i j k l m n".split()], 2)
+    assert [(i, n) for i, _, _, n in tiles] == [(4, 10), (0, 4)]
+
+
 def fill(words):
     """Targets by repeated resharing."""
     names = sorted((k for k in words if k is not None), key=lambda s: s.encode()) + [k for k in words if k is None]

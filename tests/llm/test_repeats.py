@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from chainloom.llm import buckets, substring, suffix
+from chainloom.llm import buckets, hashing, substring, suffix
 
 
 def words_brute(rows):
@@ -58,21 +58,36 @@ def rows(prose):
     return out
 
 
-@pytest.mark.parametrize("hot", [200_000, 3])  # the second sends nearly every group down the way of hot minimisers
-def test_word_windows_match_brute_force(make, rows, hot, monkeypatch):
+@pytest.mark.parametrize("hot,pack", [(200_000, 1_000), (3, 1_000), (200_000, 1)])  # the others send nearly every group down the way of hot minimisers
+def test_word_windows_match_brute_force(make, rows, hot, pack, monkeypatch):
     monkeypatch.setattr(buckets, "HOT", hot)
+    monkeypatch.setattr(buckets, "PACK_HOT", pack)
     got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(make(rows), with_text=False).collect())
     assert got == words_brute(rows)
 
 
-@pytest.mark.parametrize("hot", [200_000, 3])
-def test_byte_strings_match_brute_force(make, rows, hot, monkeypatch):
+@pytest.mark.parametrize("hot,pack", [(200_000, 1_000), (3, 1_000), (200_000, 1)])
+def test_byte_strings_match_brute_force(make, rows, hot, pack, monkeypatch):
     monkeypatch.setattr(buckets, "HOT", hot)
+    monkeypatch.setattr(buckets, "PACK_HOT", pack)
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(make(rows), with_bytes=False).collect())
     assert got == bytes_brute(rows)
 
 
-def test_large_families_go_by_digest(make, rows, monkeypatch):
+@pytest.mark.parametrize("length", [600_000, 1_100_000])
+def test_very_long_words_are_hashed_whole(make, length):
+    """A window with one huge word, alone and inside a longer text, on both sides of a segment."""
+    long = "w" * length
+    window = [f"a{i}" for i in range(6)] + [long] + [f"b{i}" for i in range(6)]
+    other = [*window[:6], long[:-1] + "x", *window[7:]]
+    rows = [(1, " ".join(window)), (2, " ".join(["start"] * 40 + window + ["end"] * 40)), (3, " ".join(other)), (4, " ".join(window))]
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(make(rows), with_text=False).collect())
+    assert got == words_brute(rows) and [g[2] for g in got] == [0, 13, 0, 13]
+    alone, inside = (hashing.token_hashes(t.split(b" ")) for t in (long.encode(), b"x y " + long.encode() + b" z"))
+    assert alone[0] == inside[2]
+
+
+def test_large_families_go_by_rank(make, rows, monkeypatch):
     monkeypatch.setattr(suffix, "ARRAY_BYTES", 10)
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(make(rows), with_bytes=False).collect())
     assert got == bytes_brute(rows)
