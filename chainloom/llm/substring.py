@@ -68,7 +68,7 @@ def window_least(strings: list[bytes], least: np.ndarray) -> tuple[np.ndarray, n
     counts = np.maximum(sizes - WINDOW + 1, 0)
     at = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
     key = rank[at] * np.int64(len(words) + 1) + rank[at + WINDOW - width]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key, owner = key[order], np.repeat(least, counts)[order]
     edges = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])[: len(order)])
     found = np.empty(len(order), np.int64)
@@ -80,7 +80,7 @@ def window_least(strings: list[bytes], least: np.ndarray) -> tuple[np.ndarray, n
 def _ranked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The rank of every pair ``(a, b)``: equal pairs, equal ranks."""
     key = a * np.int64(int(b.max(initial=0)) + 1) + b
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     out = np.empty(len(key), np.int64)
     out[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]])[: len(key)])

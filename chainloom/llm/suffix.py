@@ -105,17 +105,17 @@ def maximal_repeats(codes: np.ndarray, order: np.ndarray, common: np.ndarray, le
     at = np.flatnonzero(common >= least)
     if not len(at):
         return
+    before = np.where(order > 0, codes[order - 1], -1)
+    turns = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])]).tolist()  # neighbours in the array that follow different symbols
     for stretch in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
         base = int(stretch[0])
         stack: list[tuple[int, int]] = []
-        for k, depth in enumerate([*common[stretch].tolist(), 0]):
+        for k, depth in enumerate([*common[stretch].tolist(), 0], base):
             low = k
             while stack and stack[-1][0] > depth:
                 length, low = stack.pop()
-                where = order[base + low : base + k + 1]
-                before = np.where(where > 0, codes[where - 1], -1)
-                if len(where) > 1 and (before != before[0]).any():
-                    yield length, where
+                if turns[k] > turns[low]:
+                    yield length, order[low : k + 1]
             if depth and (not stack or stack[-1][0] < depth):
                 stack.append((depth, low))
 
@@ -162,6 +162,7 @@ def mark_repeats(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     starts = np.cumsum(sizes) - sizes
     flags = np.repeat(times > 1, sizes)
     held: list[int] = []
+    marked: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for group in [*groups.values(), None]:
         if group is not None and len(group) > 1:
@@ -177,11 +178,17 @@ def mark_repeats(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
             mine = np.array(held)
             begin = np.cumsum(sizes[mine] + WINDOW) - sizes[mine] - WINDOW
             codes, order, common = enhanced_array([texts[k] for k in held])
-            for length, where in maximal_repeats(codes, order, common, WINDOW):
+            found = list(maximal_repeats(codes, order, common, WINDOW))
+            if found:
+                where = np.concatenate([w for _, w in found])
+                length = np.repeat([n for n, _ in found], [len(w) for _, w in found])
                 owner = np.searchsorted(begin, where, "right") - 1
-                for p in (starts[mine[owner]] + where - begin[owner]).tolist():
-                    flags[p : p + length - WINDOW + 1] = True
+                at = starts[mine[owner]] + where - begin[owner]
+                marked.append((at, at + length - WINDOW + 1))
             held, size = [], 0
+    if marked:
+        opened, closed = (np.bincount(np.concatenate(c), minlength=len(flags) + 1) for c in zip(*marked, strict=True))
+        flags |= np.cumsum(opened - closed)[:-1] > 0
     flat = B.spread(flags, starts[kind], sizes[kind])
     yield B.runs_of(c["doc"][rows], c["row"][rows], c["first"][rows], sizes[kind], flat)
 
