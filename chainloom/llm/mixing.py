@@ -24,7 +24,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 CYCLE = (5, 2, 1)
 #: The golden ratio's fractional part over 2**31; odd, so that 2**31 slots pass before a point repeats.
 GOLDEN, SPAN = 1327217885, 2**31
-RANGE = 1 << 16
+RANGE = 1 << 12
 BINS = 1 << 12
 
 
@@ -114,36 +114,55 @@ def mix(sizes: DataFrame, seed: int = 1, most_block: int = 4096, least_slots: in
 
 
 def mix_totals(sizes: DataFrame, seed: int = 1) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)``, one row per row of ``sizes``.
+    """``(doc_id, size, source_size, target, taken, first_slot)``, one row per row of ``sizes``.
 
-    Rows that agree in id, source and size are interchangeable: what the mix takes of them together
-    is split evenly, the remainder going to the first.
+    ``first_slot`` is the slot of the schedule that first draws from the document, null if none does: in its
+    order the mix keeps to the weights at any length.  Rows that agree in id, source and size are
+    interchangeable: what the mix takes of them together is split evenly, the remainder going to the
+    first, and they share the first slot.  Null ids and sources are values like others, an empty table
+    gives an empty one.
     """
+    each, goals = _shares(sizes, seed)
+    spread = each.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    goals = goals.select("source", F.col("words").alias("source_size"), "target")
+    return null_safe_join(spread, goals, ["source"]).select("doc_id", "size", "source_size", "target", _share(F.col("n")).alias("taken"), "first_slot")
+
+
+def _shares(sizes: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, source, size, copies, all_taken, first_slot)``, a row per distinct key, and the goals."""
     taken, goals = mix(sizes, seed)
     keys = ["doc_id", "source", "size"]
-    sums = taken.groupBy(*keys).agg(F.sum("words").alias("taken"))
+    sums = taken.groupBy(*keys).agg(F.sum("words").alias("all_taken"), F.min("slot").alias("first_slot"))
     copies = sizes.groupBy(*keys).agg(F.count("*").alias("copies"))
-    both = null_safe_join(copies, sums, keys, "left").select(*keys, "copies", F.coalesce("taken", F.lit(0)).alias("all_taken"))
-    spread = both.select(*keys, F.expr("all_taken div copies").alias("each"), (F.col("all_taken") % F.col("copies")).alias("more"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("n"))
-    goals = goals.select("source", F.col("words").alias("source_size"), "target")
-    return null_safe_join(spread, goals, ["source"]).select("doc_id", "size", "source_size", "target", (F.col("each") + F.when(F.col("n") <= F.col("more"), 1).otherwise(0)).alias("taken"))
+    return null_safe_join(copies, sums, keys, "left").select(*keys, "copies", F.coalesce("all_taken", F.lit(0)).alias("all_taken"), "first_slot"), goals
+
+
+def _share(n: Column) -> Column:
+    """What the n-th of the copies gets."""
+    return F.expr("all_taken div copies") + F.when(n <= F.col("all_taken") % F.col("copies"), 1).otherwise(0)
 
 
 def mixed(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with ``mix_words``: how many of their words, up to twice their number.
+    """The rows of ``docs`` that the mix takes, with ``mix_words``, how many of their words, up to twice their number, and
+    ``mix_slot``, the slot of the schedule that first draws from them: read in its order, any beginning of the
+    mix has the weights.
 
-    Rows that agree in doc_id, source and size share what the mix takes of them evenly.
+    Rows that agree in doc_id, source and size share what the mix takes of them evenly, ties by text.  Columns of
+    ``docs`` named ``mix_words`` or ``mix_slot`` are replaced, all others stay.  Null and empty texts are not
+    taken; null ids and sources are values like others; an empty table gives an empty one.
     """
-    keys = ["doc_id", "source", "__size"]
-    whole = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    sizes = settle(whole.select("doc_id", "source", F.col("__size").alias("size")), "sizes")
-    taken = mix(sizes, seed)[0].groupBy("doc_id", "source", F.col("size").alias("__size")).agg(F.sum("words").alias("__all"))
-    copies = sizes.groupBy("doc_id", "source", F.col("size").alias("__size")).agg(F.count("*").alias("__copies"))
-    each = null_safe_join(taken, copies, keys).select(*keys, F.ceil(F.col("__all") / F.col("__copies")).alias("mix_words"))
-    return null_safe_join(whole.drop("mix_words"), each, keys).drop("__size")
+    rest = [c for c in docs.columns if c not in ("mix_words", "mix_slot")]
+    whole = docs.select(F.struct(*rest).alias("row"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sizes = settle(whole.select("doc_id", "source", "size"), "sizes")
+    each = settle(_shares(sizes, seed)[0].where("all_taken > 0"), "shares")
+    keys = ["doc_id", "source", "size"]
+    once = null_safe_join(whole, each.where("copies = 1"), keys).withColumn("n", F.lit(1))
+    again = null_safe_join(whole, each.where("copies > 1"), keys).withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("row.text")))
+    both = once.unionByName(again).withColumn("mix_words", _share(F.col("n"))).where("mix_words > 0")
+    return both.select(*(F.col("row").getField(c).alias(c) for c in rest), "mix_words", F.col("first_slot").alias("mix_slot"))
 
 
-#: The same rows in DuckDB: shuffled streams of the sources, cut at their targets.
+#: The same rows in DuckDB: shuffled streams of the sources, cut at their targets, and the golden-ratio draw of their blocks.
 MIX_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -158,11 +177,16 @@ r AS (
          full_ OR share * weight > 2.0 * words
   FROM (SELECT *, (1.5 * sum(words) OVER () - coalesce(sum(target) FILTER (full_) OVER (), 0)) / nullif(sum(weight) FILTER (NOT full_) OVER (), 0) AS share FROM r)
   WHERE step < 60),
-g AS (SELECT source, words, target FROM r WHERE step = 60),
+g AS (SELECT source, words, target, sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto, sum(target) OVER () AS total FROM r WHERE step = 60),
+b AS (SELECT greatest(1, least(4096, floor(max(total) / 131072)))::BIGINT AS block FROM g),
+n AS (SELECT block, ceil(max(total) / block)::BIGINT AS slots FROM g, b GROUP BY block),
+p AS (SELECT id AS slot, (id % 2147483648 * 1327217885 % 2147483648) / 2147483648.0::DOUBLE AS u FROM n, generate_series(1::BIGINT, slots) t(id)),
+k AS (SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k
+      FROM p JOIN g ON u >= (upto - target) / total AND u < upto / total WHERE target >= 0.5),
 o AS (SELECT d.*, g.words, g.target, round(g.target)::BIGINT AS quota,
              coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY shuffle, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS lo
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, words AS source_size, round(target, 6) AS target,
-       (greatest(least(lo + size, quota) - lo, 0) + greatest(least(lo + words + size, quota) - lo - words, 0))::BIGINT AS taken
-FROM o
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+t AS (SELECT *, (greatest(least(lo + size, quota) - lo, 0) + greatest(least(lo + words + size, quota) - lo - words, 0))::BIGINT AS taken FROM o)
+SELECT doc_id, size, words AS source_size, round(target, 6) AS target, taken, CASE WHEN taken > 0 THEN coalesce(k.slot, slots + 1) END AS first_slot
+FROM t CROSS JOIN n LEFT JOIN k ON k.source IS NOT DISTINCT FROM t.source AND k.k = t.lo // block
 """

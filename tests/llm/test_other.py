@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from chainloom.llm import decontaminate, embeddings, licences, mixing
@@ -104,9 +105,30 @@ def test_mix_meets_its_targets(make, prose):
     slots = mixing.mix(sizes)[0].where("slot <= 2000").groupBy("source").sum("words").collect()
     part = sum(r[1] for r in slots)
     assert all(abs(r[1] / part - expect[r[0]] / sum(expect.values())) < 0.05 for r in slots)
+    slots = {r.doc_id: r.first_slot for r in got}
+    assert all((r.first_slot is None) == (r.taken == 0) for r in got)
+    # in the order of the schedule every beginning of the mix has the weights; in the order of ids it has not
+    order = sorted((r for r in got if r.taken), key=lambda r: slots[r.doc_id])
+    half = {}
+    for r in order[: len(order) // 2]:
+        half[by_id[r.doc_id][0]] = half.get(by_id[r.doc_id][0], 0) + r.taken
+    total = sum(half.values())
+    assert all(abs(half.get(k, 0) / total - v / sum(expect.values())) < 0.12 for k, v in expect.items())
     assert mixing.mix_totals(mixing.sized(make([]))).count() == 0
 
 
+def test_mixed_documents_get_all_that_the_mix_takes(make, prose):
+    rows = [(i, prose(9, i), f"s{i % 3}") for i in range(20)] + [(50, prose(9, 99), "s0")] * 3 + [(51, None, "s1"), (None, prose(5, 7), None)]
+    docs = make(rows).withColumn("mix_words", F.lit("old")).withColumn("__size", F.lit(1))
+    out = mixing.mixed(docs)
+    assert set(out.columns) == {*docs.columns, "mix_slot"}
+    got = out.collect()
+    want = mixing.mix_totals(mixing.sized(make(rows))).collect()
+    assert sum(r.mix_words for r in got) == sum(r.taken for r in want)
+    assert sorted(str((r.doc_id, r.mix_words, r.mix_slot)) for r in got) == sorted(str((r.doc_id, r.taken, r.first_slot)) for r in want if r.taken)
+    assert mixing.mixed(make([])).count() == 0
+
+
 def test_licences_whole_texts_and_notices(make):
     mit = licences.KNOWN_TEXTS["MIT"]
     rows = [
