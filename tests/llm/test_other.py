@@ -1,4 +1,6 @@
+import pathlib
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -145,6 +147,32 @@ def test_licences_whole_texts_and_notices(make):
     assert licences.scan_licences(make([])).count() == 0
 
 
+def test_licences_rewrapped_match_and_additions_do_not(make):
+    rows, expect = [], {}
+    for name, text in licences.KNOWN_TEXTS.items():
+        for width in range(60, 101):
+            wrapped = "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+            title, rest = wrapped.split("\n\n", 1)
+            rows.append((len(rows), f"{title}\n\nCopyright (c) 2019, Ann Example and others\nAll rights reserved.\n\n{rest}"))
+            expect[len(rows) - 1] = name
+    plain = licences.KNOWN_TEXTS["MIT"]
+    more = ["\u0414\u043e\u0431\u0440\u044b\u0439 \u0434\u0435\u043d\u044c", "\u6587\u66f8", "one word", "7"]
+    rows += [(100_000 + i, plain + "\n" + t) for i, t in enumerate(more)]
+    expect |= {100_000 + i: None for i in range(len(more))}
+    got = {r.doc_id: r.license_id for r in licences.scan_licences(make(rows)).collect()}
+    assert got == expect and len(set(expect.values())) > 9
+
+
+def test_long_licences_by_their_digests(make):
+    """The published files, where the machine has them."""
+    folder = pathlib.Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "GPL-2": "GPL-2.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = [(i, (folder / f).read_text()) for i, f in enumerate(names) if (folder / f).exists()]
+    got = {r.doc_id: r.license_id for r in licences.scan_licences(make(rows)).collect()}
+    assert got == {i: list(names.values())[i] for i, _ in rows}
+    assert len(licences.KNOWN_TEXTS) + len(set(licences.KNOWN_DIGESTS.values()) - set(licences.KNOWN_TEXTS)) >= 20
+
+
 def test_embeddings_match_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(30, 8))
