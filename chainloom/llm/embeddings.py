@@ -1,11 +1,12 @@
 """Embedding near-duplicates by dual traversal of cover trees: exact threshold pairs.
 
-Vectors of unit length are grouped around centres into blocks of bounded size; a block carries its centre
-and covering radius, and two blocks meet in a task only if those radii leave room for a pair within
-the distance.  Each task builds a cover tree per block, nested levels of centres with halving radii,
-and descends both trees together, dropping a pair of nodes when the distance of their points exceeds
-the threshold plus both covering radii.  Equal vectors are one point with a multiplicity, and a task hands on link
-counts and a spanning forest, never all pairs.
+Vectors of unit length are grouped around centres into blocks of bounded size, neighbouring blocks into tiles.
+Blocks and tiles carry a centre and a covering radius.  Every block gets its cover tree once, nested levels of
+centres with halving radii, and travels with it.  Two tiles meet in a task only if their radii leave room
+for a pair within the distance; there two blocks are compared only if theirs do, by descending both trees
+together and dropping a pair of nodes when the distance of their points exceeds the threshold plus both
+covering radii.  Equal vectors are one point with a multiplicity, and a task hands on link counts and a
+spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from chainloom.llm.simhash import join_roots
 from chainloom.operators.components import connected_components
 from chainloom.storage import settle
 
-#: Vectors per block; centres that attract vectors (both bound what a task and the driver hold).
-BLOCK, CENTRES = 4096, 64
+#: Numbers (vectors times dimension) and vectors per block; blocks of neighbouring cells and parts per tile; centres that attract vectors.
+BLOCK_VALUES, BLOCK, CELLS, PARTS, CENTRES = 1 << 18, 4096, 8, 4, 64
+#: Tile heads that one task compares with as many others.
+HEADS = 512
 #: Slack of the pruning in single precision; every link is decided in double precision.
 SLACK = 1e-4
-#: Node pairs whose distances are worked out at once.
-PAIRS = 1 << 22
+#: Bytes of vectors gathered for pairs at once.
+GATHERED = 1 << 27
 
 
 class CoverTree:
@@ -37,6 +40,28 @@ class CoverTree:
     distance from the node to its farthest descendant.  The last level holds every point.
     """
 
+    @classmethod
+    def packed(cls, points: np.ndarray, data: bytes) -> CoverTree:
+        """The tree over ``points`` that :meth:`pack` wrote down."""
+        self, at = cls.__new__(cls), 0
+
+        def read(kind: type, n: int) -> np.ndarray:
+            nonlocal at
+            at += n * np.dtype(kind).itemsize
+            return np.frombuffer(data, kind, n, at - n * np.dtype(kind).itemsize)
+
+        sizes = read(np.int32, int(read(np.int32, 1)[0])).tolist()
+        self.points, self.nodes = points, [read(np.int32, n) for n in sizes]
+        self.begin = [read(np.int32, n + 1) for n in sizes[:-1]]
+        self.cover = [read(np.float32, n) for n in sizes]
+        return self
+
+    def pack(self) -> bytes:
+        """Nodes, children and covering radii; these are rounded up to single precision."""
+        cover = [np.nextafter(c.astype(np.float32), np.float32(np.inf)) for c in self.cover]
+        head = np.array([len(self.nodes), *map(len, self.nodes)], np.int32)
+        return b"".join(c.tobytes() for c in [head, *(c.astype(np.int32) for c in self.nodes + self.begin), *cover])
+
     def __init__(self, points: np.ndarray, top: float = 2.0, bottom: float = 0.1) -> None:
         n = len(points)
         self.points, parents, levels, radius = points, [], [np.zeros(min(n, 1), np.int64)], top
@@ -105,6 +130,8 @@ def _expand(begin: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def dual_pairs(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs of points (row of a, row of b) within about ``threshold``; with ``same`` each pair once."""
 
+    at_once = max(1024, GATHERED // (8 * max(1, a.points.shape[1])))
+
     def descend(level: int, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         last = len(a.nodes) - 1
         while len(x):
@@ -114,7 +141,7 @@ def dual_pairs(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> Iter
                 yield a.nodes[level][x], b.nodes[level][y]
                 return
             one, two = np.diff(a.begin[level])[x], np.diff(b.begin[level])[y]
-            if len(x) > 1 and int((one * two).sum()) > PAIRS:
+            if len(x) > 1 and int((one.astype(np.int64) * two).sum()) > at_once:
                 half = len(x) // 2
                 yield from descend(level, x[:half], y[:half])
                 x, y = x[half:], y[half:]
@@ -162,8 +189,8 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _centres(points: DataFrame, most: int) -> list[np.ndarray]:
-    """Up to ``most`` vectors per dimension, by hash order: where blocks gather is a matter of speed only."""
-    picked = points.orderBy(F.xxhash64(F.lit(3), F.col("least"))).limit(8 * most).select("embedding").collect()
+    """Up to ``most`` vectors per dimension, by hash order, neighbours in a row: where blocks gather is a matter of speed only."""
+    picked = points.orderBy(F.xxhash64(F.lit(3), F.col("point"))).limit(8 * most).select("embedding").collect()
     groups: dict[int, list] = {}
     for r in picked:
         groups.setdefault(len(r[0]), []).append(r[0])
@@ -174,16 +201,21 @@ def _centres(points: DataFrame, most: int) -> list[np.ndarray]:
         while len(chosen) < min(most, len(unit)) and gap.max() > 1e-6:
             chosen.append(int(gap.argmax()))
             gap = np.minimum(gap, 2 - 2 * unit @ unit[chosen[-1]])
-        out.append(unit[chosen])
+        row, left = [chosen[0]], chosen[1:]
+        while left:
+            row.append(left.pop(int((unit[left] @ unit[row[-1]]).argmax())))
+        out.append(unit[row])
     return out
 
 
-BLOCKS = "block long, dim int, n int, ids binary, weights binary, vectors binary, centre binary, radius double"
+BLOCKS = "tile long, block long, dim int, n int, ids binary, weights binary, vectors binary, tree binary, centre binary, radius double"
 
 
 def _pack_blocks(points: DataFrame, centres: list[np.ndarray]) -> DataFrame:
-    """One row per block of at most ``BLOCK`` vectors of one cell."""
+    """One row per block: at most ``BLOCK`` vectors of one cell and ``BLOCK_VALUES`` numbers."""
     by_dim = {c.shape[1]: c for c in centres}
+    element = points.schema["embedding"].dataType.elementType.typeName()
+    kind = np.float32 if element == "float" else np.float64
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,79 +226,108 @@ def _pack_blocks(points: DataFrame, centres: list[np.ndarray]) -> DataFrame:
                 if dim in by_dim:
                     for i, c in zip(at, (_unit(np.array([vectors[i] for i in at], np.float64)) @ by_dim[dim].T).argmax(axis=1).tolist(), strict=True):
                         cell[i] = c
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(map(len, vectors), pa.int32())], ["least", "weight", "embedding", "cell", "dim"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(map(len, vectors), pa.int32())], ["point", "weight", "embedding", "cell", "dim"])
 
-    placed = settle(points.select("least", "weight", "embedding").mapInArrow(cells, "least long, weight long, embedding array<float>, cell int, dim int"), "cells")
-    sizes = placed.groupBy("dim", "cell").count().select("dim", "cell", F.ceil(F.col("count") / (BLOCK * 0.9)).alias("parts"))
-    dealt = placed.join(sizes, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("least"), "parts"))
+    placed = settle(points.select("point", "weight", "embedding").mapInArrow(cells, f"point long, weight long, embedding array<{element}>, cell int, dim int"), "cells")
+    most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.expr(f"{BLOCK_VALUES} div dim"))).cast("int")
+    sizes = placed.groupBy("dim", "cell").count().withColumn("most", most).select("dim", "cell", "most", F.ceil(F.col("count") / (F.col("most") * 0.9)).alias("parts"))
+    dealt = placed.join(F.broadcast(sizes) if len(by_dim) <= 64 else sizes, ["dim", "cell"])  # at most CENTRES rows per dimension
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("point"), "parts"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if held and (row[:3] != held[0][:3] or len(held) >= BLOCK):
-                    yield _block(held)
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if held and (row[:3] != held[0][:3] or len(held) >= row[3]):
+                    yield _block(held, kind)
                     held = []
                 held.append(row)
         if held:
-            yield _block(held)
+            yield _block(held, kind)
 
-    return dealt.select("dim", "cell", "part", "least", "weight", "embedding").repartition("dim", "cell", "part").sortWithinPartitions("dim", "cell", "part", "least").mapInArrow(blocks, BLOCKS)
+    return dealt.select("dim", "cell", "part", "most", "point", "weight", "embedding").repartition("dim", "cell", "part").sortWithinPartitions("dim", "cell", "part", "point").mapInArrow(blocks, BLOCKS)
 
 
-def _block(held: list[tuple]) -> pa.RecordBatch:
-    unit = _unit(np.array([r[5] for r in held], np.float64))
+def _block(held: list[tuple], kind: type) -> pa.RecordBatch:
+    raw = np.array([r[6] for r in held], kind)
+    unit = _unit(raw.astype(np.float64))
     middle = unit.mean(axis=0)
     radius = float(np.linalg.norm(unit - middle, axis=1).max())
-    ids, weights = np.array([r[3] for r in held], np.int64), np.array([r[4] for r in held], np.int64)
-    return pa.RecordBatch.from_pylist([{"block": int(ids[0]), "dim": int(held[0][0]), "n": len(held), "ids": ids.tobytes(), "weights": weights.tobytes(), "vectors": unit.tobytes(), "centre": middle.tobytes(), "radius": radius}], pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("weights", pa.binary()), ("vectors", pa.binary()), ("centre", pa.binary()), ("radius", pa.float64())]))
+    ids, weights = np.array([r[4] for r in held], np.int64), np.array([r[5] for r in held], np.int64)
+    dim, cell, part = held[0][:3]
+    tile = (dim << 40) + (cell // CELLS << 32) + part // PARTS
+    values = [tile, int(ids[0]), dim, len(held), ids.tobytes(), weights.tobytes(), raw.tobytes(), CoverTree(unit.astype(np.float32)).pack(), middle.tobytes(), radius]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
+
+
+class _Block:
+    """A block in a task: ids, weights, unit vectors in double precision, and its tree over them in single precision."""
 
+    def __init__(self, row: tuple, kind: type) -> None:
+        self.name, dim, n, ids, weights, vectors, tree, centre, self.radius = row
+        self.ids, self.weights = np.frombuffer(ids, np.int64), np.frombuffer(weights, np.int64)
+        self.unit = _unit(np.frombuffer(vectors, kind).reshape(n, dim).astype(np.float64))
+        self.tree, self.centre = CoverTree.packed(self.unit.astype(np.float32), tree), np.frombuffer(centre, np.float64)
 
-def _meet(one: tuple, two: tuple, cosine: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
+
+def _meet(one: _Block, two: _Block, cosine: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
     """Link weights per point and a spanning forest between two blocks (or within one)."""
-    same = one[0] == two[0]
-    load = lambda r: (np.frombuffer(r[3], np.int64), np.frombuffer(r[4], np.int64), np.frombuffer(r[5], np.float64).reshape(r[2], r[1]))
-    ids_a, weight_a, a = load(one)
-    ids_b, weight_b, b = load(two)
-    tree_a = CoverTree(a.astype(np.float32))
-    tree_b = tree_a if same else CoverTree(b.astype(np.float32))
+    same, a, b = one is two, one.unit, two.unit
     counts_a, counts_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
     parent, shift = np.arange(len(a) + (0 if same else len(b))), 0 if same else len(a)
-    for i, j in dual_pairs(tree_a, tree_b, float(np.sqrt(max(0.0, 2 - 2 * cosine))), same):
-        for s in range(0, len(i), 1 << 16):
-            x, y = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+    step = max(256, GATHERED // (32 * a.shape[1]))
+    for i, j in dual_pairs(one.tree, two.tree, float(np.sqrt(max(0.0, 2 - 2 * cosine))), same):
+        for s in range(0, len(i), step):
+            x, y = i[s : s + step], j[s : s + step]
             hit = np.einsum("ij,ij->i", a[x], b[y]) >= cosine
             x, y = x[hit], y[hit]
-            np.add.at(counts_a, x, weight_b[y])
-            np.add.at(counts_a if same else counts_b, y, weight_a[x])
+            np.add.at(counts_a, x, two.weights[y])
+            np.add.at(counts_a if same else counts_b, y, one.weights[x])
             join_roots(parent, x, y + shift)
-    everyone = ids_a if same else np.concatenate([ids_a, ids_b])
+    everyone = one.ids if same else np.concatenate([one.ids, two.ids])
     counts = counts_a if same else np.concatenate([counts_a, counts_b])
     at = np.flatnonzero(counts)
     tied = np.flatnonzero(parent != np.arange(len(parent)))
     return dict(zip(everyone[at].tolist(), counts[at].tolist(), strict=True)), list(zip(everyone[tied].tolist(), everyone[parent[tied]].tolist(), strict=True))
 
 
-def _partners(blocks: DataFrame, cosine: float) -> DataFrame:
-    """``(block, other, low, high)``: which block pairs can hold a link.
+def _tile_pairs(blocks: DataFrame, cosine: float) -> DataFrame:
+    """``(low, high)``: which tiles can hold a link, each pair once, a tile with itself too.
 
-    Block heads (centre and radius, a few hundred bytes for thousands of vectors) are compared in pieces of
-    the table against all heads, which every task reads from the shared table.
+    A tile's head is its centre and covering radius, a few hundred bytes for some hundred thousand vectors.  Heads
+    are packed ``HEADS`` to a row and packs joined in pairs, so no row, task or driver holds all of them.
     """
-    heads = settle(blocks.select("block", "dim", "centre", "radius"), "heads")
     gap = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    groups = heads.groupBy("dim").agg(F.collect_list(F.struct("block", "centre", "radius")).alias("all"))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile, dim, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                c = np.frombuffer(b"".join(p["centre"] for p in parts), np.float64).reshape(-1, dim)
+                middle = c.mean(axis=0)
+                radius = float((np.linalg.norm(c - middle, axis=1) + np.array([p["radius"] for p in parts])).max())
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((tile, pa.int64()), (dim, pa.int32()), (middle.tobytes(), pa.binary()), (radius, pa.float64()))], ["tile", "dim", "centre", "radius"])
+
+    parts = blocks.groupBy("tile", "dim").agg(F.collect_list(F.struct("centre", "radius")).alias("parts"))  # CELLS * PARTS blocks and the few that hashing overfilled
+    tiles = settle(parts.mapInArrow(heads, "tile long, dim int, centre binary, radius double"), "tiles")
+    number = tiles.groupBy("dim").agg(F.ceil(F.count("*") / HEADS).cast("int").alias("packs"))
+    dealt = tiles.join(number, "dim").withColumn("pack", F.pmod(F.xxhash64("tile"), F.col("packs")).cast("int"))
+    packs = settle(dealt.groupBy("dim", "packs", "pack").agg(F.collect_list(F.struct("tile", "centre", "radius")).alias("some")), "tile_packs")
+    right = packs.select("dim", F.col("pack").alias("other"), F.col("some").alias("others"))
+    pairs = packs.withColumn("other", F.explode(F.sequence("pack", F.col("packs") - 1))).join(right, ["dim", "other"]).select("dim", "some", "others")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, dim, centre, radius, every in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                c = np.frombuffer(b"".join(e["centre"] for e in every), np.float64).reshape(-1, dim)
-                far = np.linalg.norm(c - np.frombuffer(centre, np.float64), axis=1)
-                ok = far <= gap + radius + np.array([e["radius"] for e in every]) + SLACK
-                other = [e["block"] for e, k in zip(every, ok.tolist(), strict=True) if k]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(other), pa.int64()), pa.array(other, pa.int64())], ["block", "other"])
+            for dim, *sides in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                centre = [np.frombuffer(b"".join(h["centre"] for h in side), np.float64).reshape(-1, dim) for side in sides]
+                radius = [np.array([h["radius"] for h in side]) for side in sides]
+                name = [np.array([h["tile"] for h in side], np.int64) for side in sides]
+                squares = (centre[0] ** 2).sum(axis=1)[:, None] + (centre[1] ** 2).sum(axis=1) - 2 * centre[0] @ centre[1].T
+                i, j = np.nonzero(np.sqrt(np.maximum(squares, 0)) <= gap + radius[0][:, None] + radius[1] + SLACK)
+                one, two = name[0][i], name[1][j]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["low", "high"])
 
-    return heads.join(groups, "dim").select("block", "dim", "centre", "radius", "all").mapInArrow(near, "block long, other long")
+    return pairs.mapInArrow(near, "low long, high long").distinct()
 
 
 def link_summary(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
@@ -274,33 +335,47 @@ def link_summary(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
 
     Links join vectors of one dimension whose cosine, in double precision, is at least ``cosine`` (positive).
     Null and zero vectors and those with null or non-finite components link with nothing; a null vec_id takes part but is
-    never the smallest of a component.  Repeated rows link with each other; other columns are ignored.
+    never the smallest of a component.  Repeated rows link with each other, and rows of one vec_id are
+    vectors of their own; other columns are ignored, an empty table gives an empty one.
     """
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), usable("embedding").alias("usable"))
+    element = vectors.schema["embedding"].dataType.elementType.typeName()
+    kind = np.float32 if element == "float" else np.float64
+    rows = vectors.select("vec_id", F.col("embedding").cast(f"array<{'float' if element == 'float' else 'double'}>").alias("embedding"))
+    rows = rows.withColumn("usable", usable("embedding"))
     ident = F.coalesce("vec_id", F.lit(2**63 - 1))
-    points = settle(rows.where("usable").groupBy("embedding").agg(F.min(ident).alias("least"), F.count("*").alias("weight")), "points")
+    points = rows.where("usable").groupBy("embedding").agg(F.min(ident).alias("least"), F.count("*").alias("weight"))
+    points = settle(points.withColumn("point", F.monotonically_increasing_id()), "points")
     blocks = settle(_pack_blocks(points, _centres(points, CENTRES)), "blocks")
-    pairs = _partners(blocks, cosine).select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.col("block"))
-    visits = blocks.join(pairs, "block").select("low", "high", "block", "dim", "n", "ids", "weights", "vectors")
+    pairs = settle(_tile_pairs(blocks.select("tile", "dim", "centre", "radius"), cosine), "tile_pairs")
+    sides = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("tile"))
+    columns = ("low", "high", "tile", *(c.split()[0] for c in BLOCKS.split(", ")[1:]))
+    visits = blocks.join(sides, "tile").select(*columns)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        now, held = None, []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                if held and row[:2] != held[0][:2]:
-                    held = []
-                held.append(row)
-                if row[0] == row[1] or len(held) == 2:
-                    counts, forest = _meet(held[0][2:], held[-1][2:], cosine)
-                    out = [(k, v, None) for k, v in counts.items()] + [(a, 0, b) for a, b in forest]
-                    held = []
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "n", "b"])
-
-    found = settle(visits.repartition(F.col("low"), F.col("high")).sortWithinPartitions("low", "high", "block").mapInArrow(meet, "a long, n long, b long"), "links")
-    counts = found.where("b is null").groupBy(F.col("a").alias("least")).agg(F.sum("n").alias("n"))
-    roots = connected_components(found.where("b is not null"), "a", "b").select(F.col("node").alias("least"), "component")
-    classes = points.join(counts, "least", "left").join(roots, "least", "left").select("embedding", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "least").alias("component"))
-    named = rows.where("usable").join(classes, "embedding").select("vec_id", F.col("n").alias("n_links"), F.nullif("component", F.lit(2**63 - 1)).alias("component_id"))
+            for i in range(batch.num_rows):
+                low, high, tile, *row = (batch.column(k)[i].as_py() for k in range(len(columns)))
+                if (low, high) != now:
+                    now, held = (low, high), []
+                mine, out = _Block(tuple(row), kind), []
+                if tile == low:
+                    held.append(mine)
+                if tile == high:  # the blocks of the lower tile are held, those of the higher pass by
+                    for other in held:
+                        if np.linalg.norm(mine.centre - other.centre) <= np.sqrt(max(0.0, 2 - 2 * cosine)) + mine.radius + other.radius + SLACK:
+                            counts, forest = _meet(other, mine, cosine)
+                            out += [(None, 1, None), *((k, v, None) for k, v in counts.items()), *((a, 0, b) for a, b in forest)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "n", "b"])
+
+    found = settle(visits.repartition(F.col("low"), F.col("high")).sortWithinPartitions("low", "high", "tile", "block").mapInArrow(meet, "a long, n long, b long"), "links")
+    counts = found.where("a is not null and b is null").groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("n"))
+    roots = connected_components(found.where("b is not null"), "a", "b").select(F.col("node").alias("point"), "component")
+    classes = points.join(counts, "point", "left").join(roots, "point", "left")
+    classes = settle(classes.select("embedding", "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("component", "point").alias("component")), "classes")
+    names = settle(classes.groupBy("component").agg(F.min("least").alias("name")), "names")
+    classes = classes.join(names, "component").select("embedding", "n", "name")
+    named = rows.where("usable").join(classes, "embedding").select("vec_id", F.col("n").alias("n_links"), F.nullif("name", F.lit(2**63 - 1)).alias("component_id"))
     lone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return named.unionByName(lone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -173,15 +173,21 @@ def test_long_licences_by_their_digests(make):
     assert len(licences.KNOWN_TEXTS) + len(set(licences.KNOWN_DIGESTS.values()) - set(licences.KNOWN_TEXTS)) >= 20
 
 
-def test_embeddings_match_brute_force(spark):
+@pytest.mark.parametrize("kind,block,heads", [("float", 4096, 512), ("double", 4096, 512), ("float", 20, 2), ("double", 20, 2)])
+def test_embeddings_match_brute_force(spark, kind, block, heads, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "HEADS", heads)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(30, 8))
     vectors = [(base[rng.integers(30)] + rng.normal(scale=0.25, size=8)).astype(np.float32).tolist() for _ in range(250)]
-    rows = [(i, v) for i, v in enumerate(vectors)] + [(900, None), (901, [0.0] * 8), (902, [None] + [1.0] * 7), (903, [float("nan")] * 8), (904, vectors[0]), (905, [1.0, 0.0]), (905, [2.0, 0.0]), (None, vectors[1]), (906, [float("inf")] * 8)]
-    df = spark.createDataFrame([(*r, 0, "x") for r in rows], "vec_id long, embedding array<float>, label int, cell string")
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(900, None), (901, [0.0] * 8), (902, [None] + [1.0] * 7), (903, [float("nan")] * 8), (904, vectors[0]), (905, [1.0, 0.0]), (905, [2.0, 0.0]), (905, [0.0, 3.0]), (None, vectors[1]), (None, [0.0, -1.0]), (None, [-1.0, 0.0]), (906, [float("inf")] * 8)]
+    if kind == "double":
+        rows += [(907, [1e300, 1e290]), (908, [1e-60, 1e-70]), (909, [0.9, 0.43588989435406733]), (910, [0.9, 0.4358898943540674])]
+    df = spark.createDataFrame([(*r, 0, "x") for r in rows], f"vec_id long, embedding array<{kind}>, label int, cell string")
     got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in embeddings.link_summary(df).collect())
     ok = [v is not None and None not in v and bool(np.isfinite(v).all()) and any(v) for _, v in rows]
-    cos = lambda a, b: len(a) == len(b) and np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b)) >= 0.9
+    unit = lambda a: a / np.abs(a).max() / np.linalg.norm(a / np.abs(a).max())
+    cos = lambda a, b: len(a) == len(b) and np.dot(unit(a), unit(b)) >= 0.9
     near = {i: [j for j in range(len(rows)) if j != i and ok[i] and ok[j] and cos(np.array(rows[i][1], float), np.array(rows[j][1], float))] for i in range(len(rows))}
     expect = []
     for i, (vec, _) in enumerate(rows):
@@ -194,6 +200,7 @@ def test_embeddings_match_brute_force(spark):
         ids = [rows[j][0] for j in seen if rows[j][0] is not None]
         expect.append((str(vec), len(near[i]), str(min(ids)) if ids else "None"))
     assert got == sorted(expect)
+    assert embeddings.link_summary(df.limit(0)).count() == 0
 
 
 def test_pipeline_stages(spark, make, prose, tmp_path):
