@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NOTHING = ("", "na", "n/a", "null", "none", "nan", "nil", "unknown", "?", "-", "--")
+#: Texts that stand for nothing.
+PLACEHOLDERS = ("", "na", "n/a", "null", "none", "nan", "nil", "unknown", "?", "-", "--")
 _NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+)([eE][+-]?\d+)?$"
 _ODD = r"(?i)^[+-]?(inf|infinity|nan)$"
 
@@ -14,7 +15,7 @@ def parse_array(text: Column) -> Column:
     """Items of the first separator present, of ``|``, ``;``, ``,`` in this order; placeholders give no items."""
     split = F.when(F.instr(text, "|") > 0, F.split(text, r"\|")).when(F.instr(text, ";") > 0, F.split(text, ";")).when(F.instr(text, ",") > 0, F.split(text, ",")).otherwise(F.array(text))
     items = F.filter(F.transform(split, lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(F.lower(text).isin(*_NOTHING), F.array().cast("array<string>")).otherwise(items)
+    return F.when(F.lower(text).isin(*PLACEHOLDERS), F.array().cast("array<string>")).otherwise(items)
 
 
 def _amount(item: Column) -> Column:
@@ -43,8 +44,3 @@ def parse_amounts(items: Column) -> Column:
 def encode(items: Column) -> Column:
     """A list as one text cell."""
     return F.array_join(items.cast("array<string>"), "|")
-
-
-def union_of_lists(lists: str) -> Column:
-    """Aggregate: the sorted distinct items of all lists of a group."""
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(lists))))

@@ -7,12 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.functions.arrays import amount_error, parse_amounts, parse_array
+from chainloom.functions.arrays import PLACEHOLDERS, amount_error, parse_amounts, parse_array
 
 REQUIRED = ("timestamp", "txid", "src_ip", "dst_ip", "src_port", "dst_port", "input_addresses", "output_addresses", "input_amounts", "output_amounts")
 OPTIONAL = ("geo_country", "asn")
-#: Texts that stand for nothing, and a dotted quad.
-PLACEHOLDERS = ("", "na", "n/a", "null", "none", "nan", "nil", "unknown", "?", "-", "--")
+#: Fixed value: a dotted quad.
 IPV4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
 NUMBER = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+)([eE][+-]?\d+)?$"
 

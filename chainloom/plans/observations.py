@@ -47,4 +47,8 @@ FROM p)
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(OBS_SPARK, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    """The view; a capture in fewer splits than there are cores (one row group, say) is dealt out once, before any work on its rows."""
+    events, cores = spark.read.parquet(f"{sf_dir}/events.parquet"), spark.sparkContext.defaultParallelism
+    if events.rdd.getNumPartitions() < cores:
+        events = events.repartition(cores, "event_id")
+    return spark.sql(OBS_SPARK, events=events)
