@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chainloom.operators.resolve import stable_id
+from chainloom.storage import settle
 
 #: Risk bands by lower bound.
 BANDS = (("critical", 85), ("high", 70), ("medium", 50))
@@ -16,11 +17,30 @@ def band(risk: Column) -> Column:
     return F.coalesce(*(F.when(risk >= low, F.lit(name)) for name, low in BANDS), F.lit("low"))
 
 
-def leads(scored: DataFrame, n: int | None = None) -> DataFrame:
-    """Entities by risk, then value, then id, numbered from 1."""
-    order = W.orderBy(F.desc("risk"), F.desc("value_btc"), "entity_id")
-    top = scored.orderBy(F.desc("risk"), F.desc("value_btc"), "entity_id").limit(n) if n else scored
-    return top.select("entity_id", "risk", band(F.col("risk")).alias("band"), "value_btc", F.row_number().over(order).alias("rank"))
+#: Rows of one part of a ranking: a task numbers one part at a time.
+PART_ROWS = 1 << 16
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """``rows`` numbered from 1 in the order, which must be total.
+
+    Two-level: the rows are dealt out by ranges of the order, numbered within their partition, and each partition
+    starts behind the rows of those before it; no window spans the table.
+    """
+    parts = max(1, -(-rows.count() // PART_ROWS))
+    part, inside = "__part", "__inside"
+    dealt = settle(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).withColumn(inside, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranked")
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("n"))
+    starts = sizes.select(part, F.coalesce(F.sum("n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row per part
+    return dealt.join(starts, part).withColumn(name, (F.col("start") + F.col(inside) + 1).cast("int")).drop(part, inside, "start")
+
+
+def leads(scored: DataFrame, n: int | None = None, probability: str | None = None) -> DataFrame:
+    """Entities by risk, then the model's probability (six places; without a model the risk), then id, numbered from 1."""
+    p = F.round(F.col(probability), 6) if probability else F.round(F.col("risk") / 100, 6)
+    order = [F.desc("risk"), F.desc("confidence"), F.asc("entity_id")]
+    whole = scored.select("entity_id", "risk", band(F.col("risk")).alias("band"), "value_btc", p.alias("confidence"))
+    return ranked(whole.orderBy(*order).limit(n) if n else whole, order)
 
 
 def alert_ids(ranked: DataFrame) -> DataFrame:
@@ -74,15 +94,16 @@ def node_kind(scored: DataFrame) -> DataFrame:
     return scored.select("entity_id", kind.alias("kind"), F.concat(F.substring(F.col("addresses")[0], 1, 10), F.when(F.col("address_count") > 1, F.format_string(" (+%d)", F.col("address_count") - 1)).otherwise("")).alias("label"))
 
 
-def integrity(edges: DataFrame, scored: DataFrame, ranked: DataFrame) -> DataFrame:
+def integrity(edges: DataFrame, scored: DataFrame, lined: DataFrame) -> DataFrame:
     """``(check, violations)``: references that lead nowhere, self-payments, order and ranges."""
     ids = scored.select("entity_id")
     dangling = edges.select(F.explode(F.array("src", "dst")).alias("entity_id")).join(ids, "entity_id", "left_anti")
-    ordered = ranked.withColumn("before", F.lag("risk").over(W.orderBy("rank")))
+    ahead = lined.select((F.col("rank") + 1).alias("rank"), F.col("risk").alias("before"))
+    ordered = lined.join(ahead, "rank")
     checks = {
         "dangling_edges": dangling,
         "self_flows": edges.where("src = dst"),
-        "unknown_leads": ranked.join(ids, "entity_id", "left_anti"),
+        "unknown_leads": lined.join(ids, "entity_id", "left_anti"),
         "rank_disorder": ordered.where("before < risk"),
         "risk_out_of_range": scored.where("risk < 0 or risk > 100"),
         "bad_ids": scored.where(~F.col("entity_id").rlike("^[EN]-[0-9]{4,}$")),

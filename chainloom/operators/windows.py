@@ -12,7 +12,11 @@ from chainloom.operators.results import band
 
 FLOOR = 50
 SHIFT_Z = 2.0
-STATUSES = ("new", "triaged", "investigating", "escalated", "closed_false_positive", "closed_merged")
+#: What an alert's status may be; the last is no analyst's judgement.
+STATUSES = ("new", "acknowledged", "investigating", "closed_false_positive", "closed_escalated", "closed_merged")
+#: Statuses from which a new detection reopens an alert.
+REOPENED = ("closed_false_positive", "closed_escalated")
+ALERTS = "entity_key string, opened int, last_window int, peak_risk int, current_risk int, status string, assignee string, note string"
 
 
 def day_windows(obs: DataFrame, least_share: float = 0.1) -> DataFrame:
@@ -110,17 +114,18 @@ def growth(now: DataFrame) -> Column:
     return F.coalesce((F.col("country_count") > F.col("country_count0")) | more("address_count") | more("ip_count"), F.lit(False))
 
 
-def detect_events(history: DataFrame, changes: DataFrame | None = None, floor: int = FLOOR) -> DataFrame:
+def detect_events(history: DataFrame, changes: DataFrame | None = None, floor: int = FLOOR, seen: DataFrame | None = None) -> DataFrame:
     """``(window_id, entity_key, type, severity, risk_from, risk_to)``: what changed from each window to the next.
 
     ``history`` is ``(window_id, entity_key, risk, address_count, country_count, ip_count)``, ``changes`` the
     output of :func:`delta_attribution`.  All windows at once: a full join of every window with its predecessor.
+    ``seen`` gives ``(entity_key, first_window)`` where ``history`` does not reach back to the first.
     """
     steps = with_previous(history, history.select("window_id").distinct())
     counts = ("risk", "address_count", "country_count", "ip_count")
     ahead = F.broadcast(steps.select(F.col("window_id").alias("to_window"), F.col("prev").alias("window_id")).where("window_id is not null"))
     before = history.join(ahead, "window_id").select(F.col("to_window").alias("window_id"), "entity_key", *(F.col(c).alias(f"{c}0") for c in counts))
-    first = history.groupBy("entity_key").agg(F.min("window_id").alias("first_window"))
+    first = history.groupBy("entity_key").agg(F.min("window_id").alias("first_window")) if seen is None else seen
     both = history.select("window_id", "entity_key", *counts).join(before, ["window_id", "entity_key"], "full").join(first, "entity_key")
     if changes is not None:
         both = both.join(changes.select("window_id", "entity_key", "biggest"), ["window_id", "entity_key"], "left")
@@ -143,37 +148,102 @@ def detect_events(history: DataFrame, changes: DataFrame | None = None, floor: i
     return both.select("window_id", "entity_key", F.explode(kinds).alias("type"), level.alias("severity"), F.col("risk0").alias("risk_from"), F.col("risk").alias("risk_to"))
 
 
+def with_detail(events: DataFrame, changes: DataFrame, history: DataFrame) -> DataFrame:
+    """``events`` with ``detail``, a JSON text: bands, the features that moved, what grew, and the reason in words."""
+    steps = with_previous(history, history.select("window_id").distinct())
+    counts = ("address_count", "country_count", "ip_count")
+    now = history.select("window_id", "entity_key", *counts)
+    before = history.select(F.col("window_id").alias("prev"), "entity_key", *(F.col(c).alias(f"{c}0") for c in counts))
+    grown = now.join(F.broadcast(steps), "window_id").join(before, ["prev", "entity_key"]).drop("prev")
+    whole = events.join(changes.select("window_id", "entity_key", "changes"), ["window_id", "entity_key"], "left").join(grown, ["window_id", "entity_key"], "left")
+    kind = F.col("type")
+    moved = kind.isin("ESCALATION", "BEHAVIOUR_SHIFT", "RESURGENT")
+    text = lambda c: F.concat(F.replace(c["feature"], F.lit("_"), F.lit(" ")), F.lit(" "), c["before"].cast("string"), F.lit(" -> "), c["after"].cast("string"))
+    told = F.array_join(F.transform("changes", text), " and ")
+    step = lambda c: F.when((F.col(c) - F.col(f"{c}0") >= 2) & (F.col(c) >= F.col(f"{c}0") * 1.25), F.struct(F.col(f"{c}0").alias("from"), F.col(c).alias("to")))
+    reasons = F.when(kind == "NEW_ENTITY", "not seen in any previous window").when(kind == "RESURGENT", "absent last window, active again").when(kind == "CLUSTER_GROWTH", "footprint expanded").when(kind == "DORMANT", "was above the risk floor, silent this window")
+    bands = kind.isin("ESCALATION", "DE_ESCALATION")
+    grew = kind == "CLUSTER_GROWTH"
+    detail = F.to_json(
+        F.struct(
+            F.when(kind.isin("NEW_ENTITY", "RESURGENT", "BEHAVIOUR_SHIFT"), F.col("risk_to")).alias("risk"),
+            F.when(bands, band(F.col("risk_from"))).alias("band_from"),
+            F.when(bands, band(F.col("risk_to"))).alias("band_to"),
+            F.when(kind == "DORMANT", F.col("risk_from")).alias("last_risk"),
+            F.when(kind == "BEHAVIOUR_SHIFT", F.lit(SHIFT_Z)).alias("threshold_z"),
+            F.when(moved, F.col("changes")).alias("changes"),
+            F.when(grew & (F.col("country_count") > F.col("country_count0")), F.col("country_count") - F.col("country_count0")).alias("new_countries"),
+            F.when(grew, step("address_count")).alias("addresses"),
+            F.when(grew, step("ip_count")).alias("IPs"),
+            reasons.alias("reason"),
+            F.when(moved, F.when(F.size("changes") > 0, told).otherwise("no single dominant feature")).alias("reason_text"),
+        )
+    )
+    return whole.select(*events.columns, detail.alias("detail"))
+
+
 def merge_events(merges: DataFrame, window_id: int) -> DataFrame:
-    """CLUSTER_MERGE events of a window, for the surviving keys."""
-    return merges.groupBy("survivor").agg(F.array_sort(F.collect_list("absorbed")).alias("absorbed")).select(F.lit(window_id).alias("window_id"), F.col("survivor").alias("entity_key"), F.lit("CLUSTER_MERGE").alias("type"), F.lit("info").alias("severity"), "absorbed")
+    """CLUSTER_MERGE events of a window, for the surviving keys, in the columns of :func:`with_detail`."""
+    folded = merges.groupBy("survivor").agg(F.array_sort(F.collect_list("absorbed")).alias("absorbed"))
+    detail = F.to_json(F.struct("absorbed", F.lit("a transaction co-spent addresses from both clusters").alias("reason")))
+    none = F.lit(None).cast("int")
+    return folded.select(F.lit(window_id).alias("window_id"), F.col("survivor").alias("entity_key"), F.lit("CLUSTER_MERGE").alias("type"), F.lit("high").alias("severity"), none.alias("risk_from"), none.alias("risk_to"), detail.alias("detail"))
 
 
 def raise_alerts(history: DataFrame, floor: int = FLOOR) -> DataFrame:
-    """``(entity_key, opened, last_window, peak_risk, status)`` of everything that reached the floor."""
+    """Alerts (``ALERTS``) of everything that reached the floor: first and last such window, highest and latest such risk."""
     loud = history.where(F.col("risk") >= floor)
-    return loud.groupBy("entity_key").agg(F.min("window_id").alias("opened"), F.max("window_id").alias("last_window"), F.max("risk").alias("peak_risk")).withColumn("status", F.lit("new"))
+    none = F.lit(None).cast("string")
+    return loud.groupBy("entity_key").agg(F.min("window_id").alias("opened"), F.max("window_id").alias("last_window"), F.max("risk").alias("peak_risk"), F.max_by("risk", "window_id").alias("current_risk")).withColumns({"status": F.lit("new"), "assignee": none, "note": none})
 
 
 def upsert_alerts(alerts: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Alerts after a window's ``(entity_key, window_id, risk)``: peaks grow; a closed or escalated alert reopens on a higher risk."""
+    """Alerts after a window's ``(entity_key, window_id, risk)``: one row per entity, whose peak grows and whose risk is the latest.
+
+    An alert that was closed as false or as escalated opens again with any new detection; other statuses stay.
+    """
     both = alerts.join(fresh.select("entity_key", F.col("window_id").alias("w"), F.col("risk").alias("r")), "entity_key", "full")
-    again = F.col("r").isNotNull() & F.col("status").isin("closed_false_positive", "escalated") & (F.col("r") > F.col("peak_risk"))
-    return both.select("entity_key", F.coalesce("opened", "w").alias("opened"), F.greatest("last_window", "w").alias("last_window"), F.greatest("peak_risk", "r").alias("peak_risk"), F.when(F.col("status").isNull() | again, "new").otherwise(F.col("status")).alias("status"))
+    again = F.col("r").isNotNull() & F.col("status").isin(*REOPENED)
+    return both.select(
+        "entity_key",
+        F.coalesce("opened", "w").alias("opened"),
+        F.coalesce("w", "last_window").alias("last_window"),
+        F.greatest("peak_risk", "r").alias("peak_risk"),
+        F.coalesce("r", "current_risk").alias("current_risk"),
+        F.when(F.col("status").isNull() | again, "new").otherwise(F.col("status")).alias("status"),
+        "assignee",
+        "note",
+    )
+
+
+def close_merged(alerts: DataFrame, merges: DataFrame, window_id: int) -> DataFrame:
+    """Open alerts of absorbed keys are closed with a note; their peaks stay with them, and closed ones are left alone."""
+    into = merges.groupBy(F.col("absorbed").alias("entity_key")).agg(F.min("survivor").alias("survivor"))
+    ended = F.col("survivor").isNotNull() & ~F.col("status").startswith("closed")
+    both = alerts.join(into, "entity_key", "left")
+    note = F.concat_ws(" | ", "note", F.concat(F.lit("merged into "), "survivor"))
+    return both.withColumns({"note": F.when(ended, note).otherwise(F.col("note")), "last_window": F.when(ended, F.lit(window_id)).otherwise(F.col("last_window")), "status": F.when(ended, "closed_merged").otherwise(F.col("status"))}).select(*alerts.columns)
+
+
+def set_status(alerts: DataFrame, entity_key: str, status: str, assignee: str | None = None, note: str | None = None) -> DataFrame:
+    """Alerts with one status changed; assignee and note stay unless given."""
+    if status not in STATUSES:
+        raise ValueError(f"status must be one of {', '.join(STATUSES)}")
+    mine = F.col("entity_key") == entity_key
+    given = {n: F.when(mine, F.coalesce(F.lit(v).cast("string"), F.col(n))).otherwise(F.col(n)) for n, v in (("assignee", assignee), ("note", note)) if n in alerts.columns}
+    return alerts.withColumns({"status": F.when(mine, status).otherwise(F.col("status"))} | given)
 
 
-def close_merged(alerts: DataFrame, merges: DataFrame) -> DataFrame:
-    """Alerts of absorbed keys are closed; the survivor takes over the peak."""
-    gone = alerts.join(merges.withColumnRenamed("absorbed", "entity_key"), "entity_key")
-    passed = gone.groupBy(F.col("survivor").alias("entity_key")).agg(F.max("peak_risk").alias("p"))
-    kept = alerts.join(merges.select(F.col("absorbed").alias("entity_key"), F.lit(True).alias("gone")).distinct(), "entity_key", "left").join(passed, "entity_key", "left")
-    return kept.select("entity_key", "opened", "last_window", F.greatest("peak_risk", "p").alias("peak_risk"), F.when("gone", "closed_merged").otherwise(F.col("status")).alias("status"))
+def alert_queue(alerts: DataFrame, status: str | None = None) -> DataFrame:
+    """Alerts, of one status if given, by current risk, then key."""
+    return (alerts if status is None else alerts.where(F.col("status") == status)).orderBy(F.desc("current_risk"), "entity_key")
 
 
-def set_status(alerts: DataFrame, entity_key: str, status: str) -> DataFrame:
-    """Alerts with one status changed."""
-    if status not in STATUSES:
-        raise ValueError(f"status must be one of {', '.join(STATUSES)}")
-    return alerts.withColumn("status", F.when(F.col("entity_key") == entity_key, status).otherwise(F.col("status")))
+def alert_cards(alerts: DataFrame, entities: DataFrame, spans: DataFrame) -> DataFrame:
+    """Alerts whose entity is known, with its label (``entities``: entity_key, label) and the labels of their windows (``spans``: window_id, label)."""
+    at = lambda c: spans.select(F.col("window_id").alias(c), F.col("label").alias(f"{c}_label"))
+    both = alerts.join(entities.select("entity_key", "label"), "entity_key").join(at("opened"), "opened", "left").join(at("last_window"), "last_window", "left")
+    return both.select("entity_key", "label", band(F.col("current_risk")).alias("severity"), F.col("current_risk").alias("score"), "peak_risk", "status", F.col("opened_label").alias("first_window"), F.col("last_window_label").alias("last_window"))
 
 
 def upsert_entities(state: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -73,6 +73,13 @@ class Capture:
     def features(self) -> DataFrame:
         return settle(features.feature_table(self.entities, self.structural, self.metrics), "features")
 
+    @cached_property
+    def replayed(self):
+        """The state after every window in turn (:class:`chainloom.operators.monitor.Monitor`)."""
+        from chainloom.plans.replay import replayed
+
+        return replayed(self)
+
     @cached_property
     def history(self) -> DataFrame:
         from chainloom.plans.replay import history

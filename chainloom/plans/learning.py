@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainloom.operators import evaluate, features, models
-from chainloom.plans import replay, resolution
+from chainloom.plans import replay, resolution, twins
 from chainloom.plans.resolution import rounded
 from chainloom.sources import readers, writers
 from chainloom.storage import shared_dir
@@ -72,9 +72,10 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, "json")
+    """The observation view through JSON lines, the reader and the gate."""
+    path = _folder(spark, "json") + ".jsonl"
     writers.write_payload(_texts(spark, sf_dir), path)
-    found = readers.gate(readers.as_text(spark.read.option("primitivesAsString", True).json(path))).clean
+    found = readers.gate(readers.scan_json(spark, path)).clean
     return found.select("txid", "dst_ip", F.size("output_addresses").alias("n_out"))
 
 
@@ -85,6 +86,40 @@ def scan_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("txid", "src_port", F.size("output_addresses").alias("n_out"))
 
 
+def scan_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observation view through a Parquet folder, the reader that its suffix names, and the gate."""
+    path = _folder(spark, "any") + ".parquet"
+    _texts(spark, sf_dir).write.parquet(path)
+    return readers.scan_any(spark, path).clean.select("txid", "src_ip", F.size("input_addresses").alias("n_in"))
+
+
+def from_dataframe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observation view, lists and numbers as they are, straight into the gate."""
+    from chainloom.plans.observations import observations
+
+    obs = observations(spark, sf_dir).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
+    return readers.from_dataframe(obs.drop("obs_id")).clean.select("txid", "src_port", F.size("output_amounts").alias("n_out"))
+
+
+def window_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observation view cut into one CSV folder per day and read back through the gate."""
+    path = _folder(spark, "windows")
+    writers.write_windows(_texts(spark, sf_dir).withColumn("window_label", F.substring("timestamp", 1, 10)), path)
+    back = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return readers.gate(readers.as_text(back)).clean.select("txid", F.to_date("timestamp").cast("string").alias("day"), F.size("input_addresses").alias("n_in"))
+
+
+def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted labels through the two label files and back."""
+    from chainloom.plans.capture import capture
+
+    told, base = replay.truth(capture(spark, sf_dir)), _folder(spark, "truth")
+    named = told.withColumn("entity_id", F.concat(F.lit("W"), "owner"))
+    named.groupBy("entity_id").agg(F.max("label").alias("label"), F.max("typology").alias("typology")).write.option("header", True).csv(f"{base}/entities")
+    named.select("address", "entity_id").write.option("header", True).csv(f"{base}/addresses")
+    return readers.load_ground_truth(spark, f"{base}/entities", f"{base}/addresses")
+
+
 def streaming_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-hour volumes by a stream over the events table; windows the watermark has not passed are not final and absent."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -107,21 +142,26 @@ _OTHERS = {
     "scan_csv": (scan_csv, "SELECT txid, src_ip, len(input_addresses) AS n_in, round(list_sum(output_amounts), 6) AS value_out FROM obs"),
     "scan_json": (scan_json, "SELECT txid, dst_ip, len(output_addresses) AS n_out FROM obs"),
     "scan_xml": (scan_xml, "SELECT txid, src_port, len(output_addresses) AS n_out FROM obs"),
+    "scan_any": (scan_any, "SELECT txid, src_ip, len(input_addresses) AS n_in FROM obs"),
+    "from_dataframe": (from_dataframe, "SELECT txid, src_port, len(output_amounts) AS n_out FROM obs"),
+    "window_files": (window_files, 'SELECT txid, "timestamp"::DATE::VARCHAR AS day, len(input_addresses) AS n_in FROM obs'),
     "streaming_totals": (streaming_totals, "SELECT user_id, round(sum(value), 6) AS value, count(*) AS n FROM events GROUP BY 1"),
     "streaming_volume": (
         streaming_volume,
         "SELECT start, count(*) AS transactions, round(sum(value), 6) AS value FROM (SELECT time_bucket(INTERVAL 3 HOUR, ts) AS start, value FROM events) WHERE start + INTERVAL 4 HOUR <= (SELECT max(ts) FROM events) GROUP BY 1",
     ),
 }
-QUERIES = _CAPTURE | _OTHERS
+#: As above, with the CTEs that the twin needs.
+_TRUTH = {"ground_truth": (ground_truth, twins.over("SELECT address, 'W' || owner AS entity_id, label, typology FROM truth", "judged_rows"))}
+QUERIES = _CAPTURE | _OTHERS | _TRUTH
 
 
 def build(found: dict) -> tuple[dict, dict]:
-    from chainloom.plans.twins import over
-
     runs, texts = resolution.build({n: q for n, q in found.items() if n in _CAPTURE})
     for n, (f, s) in _OTHERS.items():
         runs[n] = f
         if s:
-            texts[n] = over(s, "obs")
+            texts[n] = twins.over(s, "obs")
+    for n, (f, s) in _TRUTH.items():
+        runs[n], texts[n] = f, s
     return runs, texts

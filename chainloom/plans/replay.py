@@ -5,34 +5,77 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.operators import evaluate, features, resolve, windows
+from chainloom.operators import evaluate, features, monitor, resolve, results, windows
 from chainloom.plans import twins
 from chainloom.plans.resolution import build, rounded
 from chainloom.plans.twins import over
+from chainloom.storage import settle, shared_dir
 
 __all__ = ["QUERIES", "build"]
 
-COUNTS = ("tx", "address_count", "country_count", "ip_count")
+COUNTS = monitor.COUNTS
+#: Days per window of the replays.
+SPAN = 5
 
 
 def history(c) -> DataFrame:
-    """``(window_id, entity_key, tx, address_count, country_count, ip_count, risk)`` per day and sender, all days in one pass.
-
-    Entities whose id ends in 4 fall silent on even days, so that some come back.
-    """
+    """``(window_id, entity_key, tx, address_count, country_count, ip_count, risk)`` per day and sender, all days in one pass."""
     obs = windows.assign_windows(c.obs, windows.day_windows(c.obs)).select("obs_id", "window_id", "src_ip", "geo_country").join(c.senders, "obs_id")
     base = obs.groupBy("window_id", "entity_id").agg(F.count("*").alias("tx"), F.count_distinct(F.when(F.col("geo_country") != "", F.col("geo_country"))).alias("country_count"), F.count_distinct("src_ip").alias("ip_count"))
     used = resolve.exploded(c.obs, "input_addresses", c.mapping).select("obs_id", "address").join(obs.select("obs_id", "window_id", "entity_id"), "obs_id").groupBy("window_id", "entity_id").agg(F.count_distinct("address").alias("address_count"))
-    whole = base.join(used, ["window_id", "entity_id"]).where("not (entity_id like '%4' and window_id % 2 = 0)")
-    risk = F.least(F.lit(100), 9 * F.col("ip_count") + 11 * F.col("country_count") + 4 * F.col("tx") + 6 * F.col("address_count"))
-    return whole.select("window_id", F.col("entity_id").alias("entity_key"), *COUNTS, risk.cast("int").alias("risk"))
+    whole = monitor.score(base.join(used, ["window_id", "entity_id"]))
+    return whole.select("window_id", F.col("entity_id").alias("entity_key"), *COUNTS, "risk")
+
+
+def _baseline(h: DataFrame) -> DataFrame:
+    table = h.select("window_id", F.col("entity_key").alias("entity_id"), *(F.col(n).cast("double").alias(n) for n in COUNTS))
+    return features.fit_baseline(table, COUNTS)
 
 
 def _z(h: DataFrame) -> DataFrame:
-    table = h.select("window_id", "entity_key", *(F.col(n).cast("double").alias(n) for n in COUNTS))
-    base = features.fit_baseline(table.withColumnRenamed("entity_key", "entity_id"), COUNTS)
-    cells = table.unpivot(["window_id", "entity_key"], list(COUNTS), "feature", "x").join(F.broadcast(base), "feature")
-    return cells.select("window_id", "entity_key", "feature", "x", (features.ROBUST_Z * (F.greatest("lower", F.least("upper", "x")) - F.col("median")) / F.col("mad")).alias("z"))
+    return monitor.z_scores(h, _baseline(h))
+
+
+def _spans(c) -> DataFrame:
+    return monitor.span_windows(c.obs, SPAN)
+
+
+def _monitor(c) -> monitor.Monitor:
+    import uuid
+
+    spark = c.obs.sparkSession
+    return monitor.Monitor(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/monitor-{uuid.uuid4().hex}")
+
+
+def replayed(c) -> monitor.Monitor:
+    """All windows of ``SPAN`` days in turn, with the identities of the whole capture, which its SQL twin can follow."""
+    state, obs = _monitor(c), _spans(c)
+    spans = obs.select("obs_id", "window_id")
+    sent = spans.join(c.senders, "obs_id").join(c.obs.select("obs_id", "src_ip", "geo_country"), "obs_id")
+    base = sent.groupBy("window_id", "entity_id").agg(F.count("*").alias("tx"), F.count_distinct(F.when(F.col("geo_country") != "", F.col("geo_country"))).alias("country_count"), F.count_distinct("src_ip").alias("ip_count"))
+    used = resolve.exploded(c.obs, "input_addresses", c.mapping).select("obs_id", "address").join(spans.join(c.senders, "obs_id"), "obs_id").groupBy("window_id", "entity_id").agg(F.count_distinct("address").alias("address_count"))
+    baseline = settle(_baseline(base.join(used, ["window_id", "entity_id"]).withColumnRenamed("entity_id", "entity_key")), "baseline")
+    monitor.replay(state, obs, members=c.mapping.select("address", F.col("entity_id").alias("derived")), baseline=baseline)
+    return state
+
+
+def _pinned(c) -> monitor.Monitor:
+    """The same with the clusters that each window sees, pinned from window to window."""
+    state = _monitor(c)
+    monitor.replay(state, _spans(c))
+    return state
+
+
+def _aliases(c) -> DataFrame:
+    """Planted: every key that ends in 7 was absorbed by one."""
+    return c.history.select("entity_key").distinct().where("entity_key like '%7'").select(F.col("entity_key").alias("old_key"), F.lit("E-merged").alias("new_key"))
+
+
+def _judged_alerts(c) -> DataFrame:
+    """Alerts up to window 15, some of them already judged (by the last digit of the key)."""
+    digit = F.substring("entity_key", -1, 1)
+    judged = F.when(digit == "1", "closed_escalated").when(digit == "2", "closed_false_positive").when(digit == "3", "investigating").otherwise("new")
+    return windows.raise_alerts(c.history.where("window_id <= 15")).withColumn("status", judged)
 
 
 def _changes(c) -> DataFrame:
@@ -72,14 +115,16 @@ def _registry(c) -> tuple[DataFrame, DataFrame]:
     return members, pinned
 
 
-twins.add("win", ("cj",), 'win AS (SELECT d, row_number() OVER (ORDER BY d) AS window_id FROM (SELECT DISTINCT "timestamp"::DATE AS d FROM cj))')
+_DAYS = 'win AS (SELECT d, row_number() OVER (ORDER BY d) AS window_id FROM (SELECT DISTINCT "timestamp"::DATE AS d FROM cj))'
+_FIVE_DAYS = f'win AS (SELECT d, (d - min(d) OVER ()) // {SPAN} + 1 AS window_id FROM (SELECT DISTINCT "timestamp"::DATE AS d FROM cj))'
+twins.add("win", ("cj",), _DAYS)
 twins.add(
     "history",
     ("win", "senders"),
     """used AS (SELECT window_id, s.entity_id, count(DISTINCT f.address) AS address_count FROM flat_in f JOIN senders s USING (obs_id) JOIN cj USING (obs_id) JOIN win ON d = "timestamp"::DATE GROUP BY 1, 2),
 base AS (SELECT window_id, entity_id, count(*) AS tx, count(DISTINCT nullif(geo_country, '')) AS country_count, count(DISTINCT src_ip) AS ip_count FROM cj JOIN senders USING (obs_id) JOIN win ON d = "timestamp"::DATE GROUP BY 1, 2),
 history AS (SELECT window_id, entity_id AS entity_key, tx, address_count, country_count, ip_count, least(100, 9 * ip_count + 11 * country_count + 4 * tx + 6 * address_count)::INT AS risk
-  FROM base JOIN used USING (window_id, entity_id) WHERE NOT (entity_id LIKE '%4' AND window_id % 2 = 0))""",
+  FROM base JOIN used USING (window_id, entity_id))""",
 )
 twins.add("hcells", ("history",), "hcells AS (SELECT window_id, entity_key, unnest(['tx', 'address_count', 'country_count', 'ip_count']) AS feature, unnest([tx, address_count, country_count, ip_count])::DOUBLE AS x FROM history)")
 twins.add(
@@ -109,7 +154,14 @@ evts AS (SELECT window_id, entity_key, type, CASE {_LEVEL.format("coalesce(risk,
   UNION ALL SELECT *, 'BEHAVIOUR_SHIFT' FROM facts WHERE risk >= 50 AND risk0 IS NOT NULL AND way = 0 AND biggest >= 2
   UNION ALL SELECT *, 'DORMANT' FROM facts WHERE risk IS NULL AND risk0 >= 50))""",
 )
-twins.add("alerts", ("history",), "alerts AS (SELECT entity_key, min(window_id) AS opened, max(window_id) AS last_window, max(risk) AS peak_risk, 'new' AS status FROM history WHERE risk >= 50 GROUP BY 1)")
+twins.add("alerts", ("history",), "alerts AS (SELECT entity_key, min(window_id) AS opened, max(window_id) AS last_window, max(risk) AS peak_risk, arg_max(risk, window_id) AS current_risk, 'new' AS status FROM history WHERE risk >= 50 GROUP BY 1)")
+_ABSORBED = "CASE WHEN entity_key LIKE '%7' THEN 'E-merged' ELSE entity_key END"
+twins.add(
+    "judged_alerts",
+    ("history",),
+    """judged_alerts AS (SELECT entity_key, min(window_id) AS opened, max(window_id) AS last_window, max(risk) AS peak_risk, arg_max(risk, window_id) AS current_risk,
+  CASE right(entity_key, 1) WHEN '1' THEN 'closed_escalated' WHEN '2' THEN 'closed_false_positive' WHEN '3' THEN 'investigating' ELSE 'new' END AS status FROM history WHERE risk >= 50 AND window_id <= 15 GROUP BY 1)""",
+)
 twins.add(
     "judged_rows",
     ("scored",),
@@ -141,17 +193,44 @@ QUERIES = {
     ),
     "events": (_events, over("SELECT window_id::INT AS window_id, entity_key, type, severity, risk_from, risk_to FROM evts", "events")),
     "event_counts": (lambda c: windows.event_counts(_events(c), windows.day_windows(c.obs)), over("SELECT window_id::INT AS window_id, type, count(type) AS n FROM win LEFT JOIN evts USING (window_id) GROUP BY 1, 2", "events")),
-    "alerts": (lambda c: windows.raise_alerts(c.history), over("SELECT entity_key, opened::INT AS opened, last_window::INT AS last_window, peak_risk, status FROM alerts", "alerts")),
+    "alerts": (lambda c: windows.raise_alerts(c.history).drop("assignee", "note"), over("SELECT entity_key, opened::INT AS opened, last_window::INT AS last_window, peak_risk, current_risk, status FROM alerts", "alerts")),
     "alert_upsert": (
-        lambda c: windows.upsert_alerts(windows.raise_alerts(c.history.where("window_id <= 15")).withColumn("status", F.when(F.col("entity_key").like("%1"), "escalated").otherwise(F.col("status"))), c.history.where("window_id = 16 and risk >= 50")),
+        lambda c: windows.upsert_alerts(_judged_alerts(c), c.history.where("window_id = 16 and risk >= 50")).drop("assignee", "note"),
         over(
-            """SELECT coalesce(a.entity_key, f.entity_key) AS entity_key, coalesce(a.opened, f.window_id)::INT AS opened, greatest(a.last_window, f.window_id)::INT AS last_window, greatest(a.peak_risk, f.risk) AS peak_risk,
-  CASE WHEN a.status IS NULL OR (a.status = 'escalated' AND f.risk > a.peak_risk) THEN 'new' ELSE a.status END AS status
-  FROM (SELECT entity_key, min(window_id) AS opened, max(window_id) AS last_window, max(risk) AS peak_risk, CASE WHEN entity_key LIKE '%1' THEN 'escalated' ELSE 'new' END AS status FROM history WHERE risk >= 50 AND window_id <= 15 GROUP BY 1) a
-  FULL JOIN (SELECT * FROM history WHERE window_id = 16 AND risk >= 50) f ON a.entity_key = f.entity_key""",
-            "history",
+            """SELECT coalesce(a.entity_key, f.entity_key) AS entity_key, coalesce(a.opened, f.window_id)::INT AS opened, coalesce(f.window_id, a.last_window)::INT AS last_window, greatest(a.peak_risk, f.risk) AS peak_risk, coalesce(f.risk, a.current_risk) AS current_risk,
+  CASE WHEN a.status IS NULL OR (a.status IN ('closed_escalated', 'closed_false_positive') AND f.risk IS NOT NULL) THEN 'new' ELSE a.status END AS status
+  FROM judged_alerts a FULL JOIN (SELECT * FROM history WHERE window_id = 16 AND risk >= 50) f ON a.entity_key = f.entity_key""",
+            "judged_alerts",
         ),
     ),
+    "alert_close_merged": (
+        lambda c: windows.close_merged(windows.upsert_alerts(_judged_alerts(c), c.history.where("window_id = 16 and entity_key like '%7' and risk >= 50")).withColumn("status", F.when(F.substring("entity_key", -2, 1) == "1", "closed_false_positive").otherwise(F.col("status"))), _aliases(c).select(F.col("old_key").alias("absorbed"), F.col("new_key").alias("survivor")), 17).select("entity_key", "last_window", "peak_risk", "status", "note"),
+        over(
+            """SELECT entity_key, (CASE WHEN gone THEN 17 ELSE last_window END)::INT AS last_window, peak_risk, CASE WHEN gone THEN 'closed_merged' ELSE status END AS status, CASE WHEN gone THEN 'merged into E-merged' END AS note FROM (
+  SELECT *, entity_key LIKE '%7' AND status NOT LIKE 'closed%' AS gone FROM (
+    SELECT coalesce(a.entity_key, f.entity_key) AS entity_key, coalesce(f.window_id, a.last_window) AS last_window, greatest(a.peak_risk, f.risk) AS peak_risk,
+           CASE WHEN substr(coalesce(a.entity_key, f.entity_key), -2, 1) = '1' THEN 'closed_false_positive' ELSE coalesce(a.status, 'new') END AS status
+    FROM judged_alerts a FULL JOIN (SELECT * FROM history WHERE window_id = 16 AND entity_key LIKE '%7' AND risk >= 50) f ON a.entity_key = f.entity_key))""",
+            "judged_alerts",
+        ),
+    ),
+    "alert_queue": (lambda c: windows.alert_queue(_judged_alerts(c), "investigating").select("entity_key", "current_risk", "peak_risk"), over("SELECT entity_key, current_risk, peak_risk FROM judged_alerts WHERE status = 'investigating'", "judged_alerts")),
+    "alert_cards": (
+        lambda c: windows.alert_cards(windows.raise_alerts(c.history), results.node_kind(c.scored).withColumnRenamed("entity_id", "entity_key"), windows.day_windows(c.obs)),
+        over(
+            """SELECT entity_key, substr(addresses[1], 1, 10) || CASE WHEN address_count > 1 THEN ' (+' || (address_count - 1) || ')' ELSE '' END AS label, CASE WHEN current_risk >= 85 THEN 'critical' WHEN current_risk >= 70 THEN 'high' WHEN current_risk >= 50 THEN 'medium' ELSE 'low' END AS severity,
+  current_risk AS score, peak_risk, status, f.d::VARCHAR AS first_window, l.d::VARCHAR AS last_window FROM alerts JOIN scored ON entity_id = entity_key LEFT JOIN win f ON f.window_id = opened LEFT JOIN win l ON l.window_id = last_window""",
+            "alerts",
+            "scored",
+        ),
+    ),
+    "alias_resolution": (lambda c: windows.canonical(_aliases(c)), over("SELECT old_key, min(old_key) OVER () AS key FROM (SELECT DISTINCT entity_key AS old_key FROM history WHERE entity_key LIKE '%7' UNION ALL SELECT 'E-merged' WHERE EXISTS (SELECT 1 FROM history WHERE entity_key LIKE '%7'))", "history")),
+    "replay": (lambda c: c.replayed.events().drop("detail"), over("SELECT window_id::INT AS window_id, entity_key, type, severity, risk_from, risk_to FROM evts", "events").replace(_DAYS, _FIVE_DAYS)),
+    "replay_pinned": (lambda c: _pinned(c).windows.read(), None),
+    "features_at_peak": (
+        lambda c: c.replayed.features_at_peak().select("entity_key", "window_id", *COUNTS, "risk"),
+        over("SELECT entity_key, window_id::INT AS window_id, tx, address_count, country_count, ip_count, risk FROM (SELECT *, row_number() OVER (PARTITION BY entity_key ORDER BY risk DESC, window_id) AS place FROM history) WHERE place = 1", "history").replace(_DAYS, _FIVE_DAYS),
+    ),
     "peak_scores": (
         lambda c: windows.peak_scores(c.history),
         over("SELECT entity_key, peak_risk, arg_max(window_id, (risk, -window_id))::INT AS peak_window, CASE WHEN peak_risk >= 85 THEN 'critical' WHEN peak_risk >= 70 THEN 'high' WHEN peak_risk >= 50 THEN 'medium' ELSE 'low' END AS band FROM history JOIN (SELECT entity_key, max(risk) AS peak_risk FROM history GROUP BY 1) USING (entity_key) GROUP BY 1, 2", "history"),
@@ -161,6 +240,10 @@ QUERIES = {
         lambda c: windows.store_summary(c.history, _events(c), windows.raise_alerts(c.history)),
         over("SELECT (SELECT count(DISTINCT window_id) FROM history) AS windows, (SELECT count(DISTINCT entity_key) FROM history) AS entities, (SELECT count(*) FROM evts) AS events, (SELECT count(*) FROM alerts) AS open_alerts", "events", "alerts"),
     ),
+    "store_summary_merged": (
+        lambda c: windows.store_summary(c.history, _events(c), windows.raise_alerts(c.history), windows.canonical(_aliases(c))),
+        over(f"SELECT (SELECT count(DISTINCT window_id) FROM history) AS windows, (SELECT count(DISTINCT entity_key) FROM history) AS entities, (SELECT count(*) FROM evts) AS events, (SELECT count(DISTINCT {_ABSORBED}) FROM alerts) AS open_alerts", "events", "alerts"),
+    ),
     "entity_state": (
         lambda c: windows.upsert_entities(*(c.history.where(w).groupBy("entity_key").agg(F.min("window_id").alias("first_window"), F.max("window_id").alias("last_window"), F.max_by("address_count", "window_id").alias("address_count")) for w in ("window_id <= 20", "window_id > 20"))),
         over("SELECT entity_key, min(window_id)::INT AS first_window, max(window_id)::INT AS last_window, arg_max(address_count, window_id) AS address_count FROM history GROUP BY 1", "history"),

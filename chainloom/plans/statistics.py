@@ -44,7 +44,7 @@ twins.add(
 )
 twins.add("valued", ("cj",), 'valued AS (SELECT "timestamp", txid, list_sum(output_amounts) AS value FROM cj)')
 twins.add("control_pairs", ("controls",), "control_pairs AS (SELECT ip, entity, count(*) AS n FROM controls GROUP BY 1, 2)")
-twins.add("ranked", ("scored",), f"""ranked AS (SELECT entity_id, risk, CASE {" ".join(f"WHEN risk >= {low} THEN '{n}'" for n, low in results.BANDS)} ELSE 'low' END AS band, value_btc, row_number() OVER (ORDER BY risk DESC, value_btc DESC, entity_id) AS rank FROM scored)""")
+twins.add("ranked", ("scored",), f"""ranked AS (SELECT entity_id, risk, CASE {" ".join(f"WHEN risk >= {low} THEN '{n}'" for n, low in results.BANDS)} ELSE 'low' END AS band, value_btc, round(risk / 100, 6) AS confidence, row_number() OVER (ORDER BY risk DESC, entity_id) AS rank FROM scored)""")
 twins.add(
     "near",
     ("pairs", "control_pairs"),
@@ -99,8 +99,9 @@ QUERIES = {
     ),
     "daily_volume": (lambda c: rounded(corpus.daily_volume(c.obs), "value_btc"), over("SELECT label AS day, sum(n)::BIGINT AS transactions, round(sum(v), 6) AS value_btc FROM folded GROUP BY 1", "folded")),
     "daily_volume_folded": (
-        lambda c: rounded(corpus.daily_volume(c.obs.where("to_date(timestamp) < (date'2024-01-30') or obs_id % 40 = 0")), "value_btc"),
-        None,
+        lambda c: rounded(corpus.daily_volume(c.obs, 1e9), "value_btc"),  # a share that no last day reaches: it always joins the day before
+        over("""SELECT CASE WHEN d >= p THEN p::VARCHAR || '..' || substr(m::VARCHAR, 6, 5) ELSE d::VARCHAR END AS day, sum(n)::BIGINT AS transactions, round(sum(v), 6) AS value_btc
+  FROM (SELECT *, max(d) OVER () AS m, (SELECT max(d) FROM days WHERE d < (SELECT max(d) FROM days)) AS p FROM (SELECT "timestamp"::DATE AS d, count(*) AS n, sum(value) AS v FROM valued GROUP BY 1)) GROUP BY 1""".replace("FROM days", "FROM (SELECT DISTINCT \"timestamp\"::DATE AS d FROM valued)"), "valued"),
     ),
     "hourly_profile": (lambda c: rounded(corpus.hourly_profile(c.obs), "value_btc"), over('SELECT h::INT AS hour, count(value) AS transactions, round(coalesce(sum(value), 0), 6) AS value_btc FROM range(24) r(h) LEFT JOIN valued ON hour("timestamp") = h GROUP BY 1', "valued")),
     "volume_3h": (lambda c: rounded(corpus.volume_series(c.obs), "value_btc"), over("SELECT time_bucket(INTERVAL 3 HOUR, \"timestamp\") AS start, count(*) AS transactions, round(sum(value), 6) AS value_btc FROM valued GROUP BY 1", "valued")),
@@ -119,7 +120,7 @@ QUERIES = {
         ),
     ),
     "summary_sentence": (lambda c: corpus.summary_sentence(corpus.totals(c.obs, c.entities, c.mapping, c.controls), corpus.coverage(c.scored, FLOOR)), None),
-    "leads": (lambda c: rounded(results.leads(c.scored), "value_btc"), over("SELECT entity_id, risk, band, round(value_btc, 6) AS value_btc, rank::INT AS rank FROM ranked", "ranked")),
+    "leads": (lambda c: rounded(results.leads(c.scored), "value_btc"), over("SELECT entity_id, risk, band, round(value_btc, 6) AS value_btc, confidence, rank::INT AS rank FROM ranked", "ranked")),
     "alert_ids": (lambda c: results.alert_ids(results.leads(c.scored, 25)), over("SELECT 'A-' || lpad(rank::VARCHAR, 4, '0') AS alert_id, entity_id, risk, band FROM ranked WHERE rank <= 25", "ranked")),
     "flow_edges_topk": (lambda c: rounded(results.top_flow_edges(c.pairs), "value"), over("SELECT src, dst, round(value, 6) AS value, n FROM (SELECT * FROM pairs ORDER BY value DESC, src, dst LIMIT 130)", "pairs")),
     "control_edges_topk": (lambda c: results.top_control_edges(c.controls), over("SELECT ip, entity, n FROM control_pairs ORDER BY n DESC, ip, entity LIMIT 60", "control_pairs")),

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainloom.operators import resolve
 from chainloom.operators.gate import gate
+from chainloom.operators.monitor import Monitor
 from chainloom.sources.writers import StateTable
 from chainloom.storage import shared_dir
 
@@ -49,3 +51,19 @@ def fold_batches(stream: DataFrame, keys: list[str], sums: list[str], tag: str)
 def gated_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A folder of CSV files as a stream of clean observations."""
     return gate(spark.readStream.schema(schema).option("header", True).csv(path)).clean
+
+
+def monitor_stream(stream: DataFrame, monitor: Monitor, **how) -> DataFrame:
+    """Clean observations with ``window_id`` as a stream through :meth:`Monitor.process_window`; returns the rows of ``windows``.
+
+    A window's rows must arrive in one micro-batch (one file per window, say); a batch may hold several windows.  A
+    batch that is replayed after a failure writes the same windows again and changes nothing.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        obs = resolve.coinjoin_like(batch)
+        for (window_id,) in sorted(obs.select("window_id").distinct().collect()):  # a few numbers
+            monitor.process_window(obs.where(F.col("window_id") == window_id).drop("window_id"), window_id, **how)
+
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{monitor.path}/marks").trigger(availableNow=True).start().awaitTermination()
+    return monitor.windows.read()

@@ -79,8 +79,9 @@ def test_aliases_end_even_in_cycles(spark):
 
 
 def test_status_is_validated(spark):
-    alerts = spark.createDataFrame([("k", 1, 1, 60, "new")], "entity_key string, opened int, last_window int, peak_risk int, status string")
-    assert windows.set_status(alerts, "k", "triaged").first().status == "triaged"
+    alerts = spark.createDataFrame([("k", 1, 1, 60, 60, "new", "ann", None), ("l", 1, 1, 60, 60, "new", "ann", None)], windows.ALERTS)
+    got = {r.entity_key: r for r in windows.set_status(alerts, "k", "acknowledged", note="seen").collect()}
+    assert (got["k"].status, got["k"].assignee, got["k"].note) == ("acknowledged", "ann", "seen") and (got["l"].status, got["l"].note) == ("new", None)
     with pytest.raises(ValueError, match="status"):
         windows.set_status(alerts, "k", "gone")
 
