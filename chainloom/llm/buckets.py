@@ -218,7 +218,7 @@ def marked_windows(
     whole: Column,
     across: bool,
 ) -> DataFrame:
-    """``(doc, row, first, count)``: runs of marked windows.
+    """``(doc, row, runs array<struct<first, count>>)``: runs of marked windows, a row per super-string and run or per hot super-string.
 
     ``compare`` marks the windows of one bucket, which gets about ``per_bucket`` super-strings.  ``families``
     gives ``(id, first, count)`` for the distinct super-strings of hot minimisers, a table ``(id, string, least,
@@ -263,7 +263,7 @@ def marked_windows(
                     n = len(texts)
                     yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([row] * n, pa.int64()), *(pa.array(c, pa.int32()) for c in (first, count, place)), pa.array(texts, pa.binary())], ["doc", "row", "first", "windows", "place", "string"])
 
-    cold = by_bucket(joined.select("doc", "row", "zip", "seqs").mapInArrow(strings, "bucket int, blob binary"), buckets, compare, RUNS)
+    cold = by_bucket(joined.select("doc", "row", "zip", "seqs").mapInArrow(strings, "bucket int, blob binary"), buckets, compare, RUNS).select("doc", "row", F.array(F.struct("first", "count")).alias("runs"))
     hot_lists = lists.where(F.size("hot") > 0)
     if hot_lists.isEmpty():
         return cold
@@ -273,9 +273,10 @@ def marked_windows(
     classes = settle(classes.withColumn("id", F.monotonically_increasing_id()), "hot_strings")
     runs = families(classes).groupBy("id").agg(F.collect_set(F.struct(F.col("first").alias("at"), F.col("count").alias("many"))).alias("runs"))
     told = settle(classes.join(runs, "id", "left").select("string", "least", "n", "runs"), "hot_runs")  # settled, so that the join below may be split where it is skewed
-    all_of_it = F.array(F.struct(F.lit(0).alias("at"), F.col("windows").alias("many")))
-    marks = each.join(told, "string").withColumn("run", F.explode(F.when(whole, all_of_it).otherwise(F.col("runs"))))
-    return cold.unionByName(marks.select("doc", "row", (F.col("first") + F.col("run.at")).alias("first"), F.col("run.many").alias("count")))
+    all_of_it = F.array(F.struct("first", F.col("windows").alias("count")))
+    some_of_it = F.transform("runs", lambda r: F.struct((F.col("first") + r["at"]).alias("first"), r["many"].alias("count")))
+    marks = each.join(told, "string").select("doc", "row", F.when(whole, all_of_it).otherwise(some_of_it).alias("runs")).where("runs is not null")
+    return cold.unionByName(marks)
 
 
 def runs_of(doc: np.ndarray, row: np.ndarray, first: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
@@ -297,7 +298,7 @@ def spread(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 def with_runs(docs: DataFrame, marks: DataFrame, work: Callable[[int | None, str | None, list], tuple], schema: str) -> DataFrame:
     """``work(doc_id, text, runs)`` for every row of ``docs``; runs is empty for documents without marks."""
     kind = to_arrow_schema(T.StructType.fromDDL(schema))
-    runs = marks.groupBy("doc", "row").agg(F.collect_set(F.struct("first", "count")).alias("runs"))
+    runs = marks.groupBy("doc", "row").agg(F.flatten(F.collect_set("runs")).alias("runs"))
     joined = zipped(docs).join(runs, ["doc", "row"], "left").select("doc_id", "zip", "runs")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -119,7 +119,7 @@ def _families(classes: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """``(doc, row, first, count)``: runs of windows that also start in a document of smaller id."""
+    """``(doc, row, runs)``: runs of windows that also start in a document of smaller id."""
     return B.marked_windows(docs, cut, BUCKET_STRINGS, count_windows, _families, F.col("least") < F.col("doc"), across=True)
 
 

@@ -232,7 +232,7 @@ def _families(classes: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """``(doc, row, first, count)``: runs of windows that also start somewhere else."""
+    """``(doc, row, runs)``: runs of windows that also start somewhere else."""
     return B.marked_windows(docs, cut, BUCKET_STRINGS, mark_repeats, _families, F.col("n") > 1, across=False)
 
 
