@@ -259,22 +259,27 @@ def marked_windows(
     def hot_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, row, blob, seqs in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                held: dict[bytes, tuple[int, int, list[int]]] = {}  # a string that a text repeats is one row
                 for first, count, place, _, texts in chosen(blob, seqs):
-                    n = len(texts)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([row] * n, pa.int64()), *(pa.array(c, pa.int32()) for c in (first, count, place)), pa.array(texts, pa.binary())], ["doc", "row", "first", "windows", "place", "string"])
+                    for f, n, p, t in zip(first.tolist(), count.tolist(), place.tolist(), texts, strict=True):
+                        held.setdefault(t, (n, p, []))[2].append(f)
+                if held:
+                    count, place, firsts = zip(*held.values(), strict=True)
+                    kinds = (pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * len(held), pa.int64()), pa.array([row] * len(held), pa.int64()), *(pa.array(c, k) for c, k in zip((firsts, count, place, list(held)), kinds, strict=True))], ["doc", "row", "firsts", "windows", "place", "string"])
 
     cold = by_bucket(joined.select("doc", "row", "zip", "seqs").mapInArrow(strings, "bucket int, blob binary"), buckets, compare, RUNS).select("doc", "row", F.array(F.struct("first", "count")).alias("runs"))
     hot_lists = lists.where(F.size("hot") > 0)
     if hot_lists.isEmpty():
         return cold
     asked = joined.where(F.size("hot") > 0).select("doc", "row", "zip", "hot")
-    each = settle(asked.mapInArrow(hot_strings, "doc long, row long, first int, windows int, place int, string binary"), "hot")
-    classes = each.groupBy("string").agg(F.min("doc").alias("least"), F.count("*").alias("n"), F.first("windows").alias("windows"), F.first("place").alias("place"))
+    each = settle(asked.mapInArrow(hot_strings, "doc long, row long, firsts array<int>, windows int, place int, string binary"), "hot")
+    classes = each.groupBy("string").agg(F.min("doc").alias("least"), F.sum(F.size("firsts")).alias("n"), F.first("windows").alias("windows"), F.first("place").alias("place"))
     classes = settle(classes.withColumn("id", F.monotonically_increasing_id()), "hot_strings")
     runs = families(classes).groupBy("id").agg(F.collect_set(F.struct(F.col("first").alias("at"), F.col("count").alias("many"))).alias("runs"))
     told = settle(classes.join(runs, "id", "left").select("string", "least", "n", "runs"), "hot_runs")  # settled, so that the join below may be split where it is skewed
-    all_of_it = F.array(F.struct("first", F.col("windows").alias("count")))
-    some_of_it = F.transform("runs", lambda r: F.struct((F.col("first") + r["at"]).alias("first"), r["many"].alias("count")))
+    all_of_it = F.transform("firsts", lambda f: F.struct(f.alias("first"), F.col("windows").alias("count")))
+    some_of_it = F.flatten(F.transform("firsts", lambda f: F.transform("runs", lambda r: F.struct((f + r["at"]).alias("first"), r["many"].alias("count")))))
     marks = each.join(told, "string").select("doc", "row", F.when(whole, all_of_it).otherwise(some_of_it).alias("runs")).where("runs is not null")
     return cold.unionByName(marks)
 
