@@ -115,3 +115,27 @@ def summary_sentence(whole: DataFrame, cover: DataFrame) -> DataFrame:
     """One row ``sentence`` from :func:`totals` and :func:`coverage`."""
     text = F.format_string("%d records over %.1f hours: %d addresses in %d entities, controlled from %d IPs in %d countries; %d flagged.", "records", "span_hours", "addresses", "entities", "distinct_ips", "countries", "flagged")
     return whole.crossJoin(cover).select(text.alias("sentence"))
+
+
+def summary_notes(daily: DataFrame, hourly: DataFrame) -> DataFrame:
+    """One row ``notes``: a last day of under half the typical one, and whether the busiest hour stands out.
+
+    ``daily`` has a row per day, ``hourly`` 24.  The typical day is the upper median of all but the last, from three days on; an
+    hour stands out from a fifth above an even share on.
+    """
+    days = daily.agg(F.array_sort(F.collect_list(F.struct("day", "transactions"))).alias("d")).select(F.get("d", F.size("d") - 1)["transactions"].alias("tail"), F.array_sort(F.transform(F.slice("d", 1, F.greatest(F.size("d") - 1, F.lit(0))), lambda x: x["transactions"])).alias("rest"))
+    typical = F.when(F.size("rest") >= 2, F.get("rest", F.floor(F.size("rest") / 2).cast("int")))
+    busiest = hourly.agg(F.min_by("hour", F.struct(-F.col("transactions"), F.col("hour"))).alias("hour"), (F.max("transactions") / F.sum("transactions")).alias("share"))
+    whole = days.select("tail", typical.alias("typical")).crossJoin(busiest)  # one row each
+    fragment = F.when((F.col("typical") > 0) & (F.col("tail") < F.col("typical") * 0.5), F.format_string("last day incomplete: %d transactions, a typical day has %d", "tail", "typical"))
+    percent = F.format_string("%.1f%%", F.col("share") * 100)
+    rhythm = F.when(F.col("share") <= 0.042 * 1.2, F.concat(F.lit("no daily rhythm: the busiest hour ("), "hour", F.lit(") has "), percent)).when(F.col("share").isNotNull(), F.concat(F.lit("hour "), "hour", F.lit(" is the busiest with "), percent))
+    return whole.select(F.array_compact(F.array(fragment, rhythm)).alias("notes"))
+
+
+def profile(obs: DataFrame) -> DataFrame:
+    """One row on a data set as it came: rows, distinct transactions, address places on both sides, distinct addresses and IPs."""
+    counts = obs.agg(F.count("*").alias("rows"), F.count_distinct("txid").alias("distinct_tx"), F.sum(F.size("input_addresses")).alias("input_places"), F.sum(F.size("output_addresses")).alias("output_places"))
+    addresses = obs.select(F.explode(F.concat("input_addresses", "output_addresses")).alias("a")).distinct().agg(F.count("*").alias("addresses"))
+    ips = obs.select(F.explode(F.array("src_ip", "dst_ip")).alias("ip")).distinct().agg(F.count("ip").alias("ips"))
+    return counts.crossJoin(addresses).crossJoin(ips)  # one row each

@@ -138,3 +138,13 @@ RULES = {"peel_score": 0.25, "mixer_score": 0.5, "collector_score": 0.3, "mixer_
 def rules_baseline(scored: DataFrame) -> DataFrame:
     """``(entity_id, flagged)`` by thresholds alone."""
     return scored.select("entity_id", reduce(lambda a, b: a | b, (F.col(c) >= t for c, t in RULES.items())).alias("flagged"))
+
+
+def rules_metrics(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: how many the rules alone flag, with precision, recall and F1 against ``(entity_id, label)``; without a label 0."""
+    both = rules_baseline(scored).join(labels.select("entity_id", "label"), "entity_id", "left")
+    y, hit = F.coalesce("label", F.lit(0)) == 1, F.col("flagged")
+    sums = both.agg(F.count_if(hit).alias("flags"), F.count_if(hit & y).alias("tp"), F.count_if(y).alias("positives"))
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    tp, flags, known = F.col("tp"), F.col("flags"), F.col("positives")
+    return sums.select("flags", share(tp, flags).alias("precision"), share(tp, known).alias("recall"), share(2 * tp, flags + known).alias("f1"))

@@ -125,3 +125,16 @@ def gate(raw: DataFrame) -> GateResult:
         *map(blank, OPTIONAL),
     )
     return GateResult(checked, clean, checked.where("reason is not null").select("obs_id", *REQUIRED, *OPTIONAL, "reason"))
+
+
+def reports(checked: DataFrame, window: Column) -> DataFrame:
+    """``(window, reason, n)``: the report of each window; reason null counts what was accepted."""
+    return checked.groupBy(window.alias("window"), "reason").agg(F.count("*").alias("n"))
+
+
+def union_report(reports: DataFrame) -> DataFrame:
+    """``(item, n)``: the reports of all windows added up: total, accepted, rejected, and every reason."""
+    sums = reports.groupBy("reason").agg(F.sum("n").alias("n"))
+    whole = sums.agg(*(F.coalesce(F.sum(F.when(t, F.col("n"))), F.lit(0)).alias(n) for n, t in (("total", F.lit(True)), ("accepted", F.col("reason").isNull()), ("rejected", F.col("reason").isNotNull()))))
+    items = whole.select(F.explode(F.array(*(F.struct(F.lit(n).alias("item"), F.col(n).alias("n")) for n in whole.columns))).alias("i")).select("i.item", "i.n")
+    return items.unionByName(sums.where("reason is not null").select(F.col("reason").alias("item"), "n"))

@@ -133,9 +133,11 @@ def explanation_block(explained: DataFrame, listed: int = 8) -> DataFrame:
 def fit_isolation(table: DataFrame, names: tuple[str, ...] = FEATURES, trees: int = 200, sample: int = 256, seed: int = 42) -> DataFrame:
     """``(tree, nodes)``: isolation trees, each grown in a task of its own on its own ``sample`` rows by hash."""
     rows = settle(table.select("entity_id", F.array(*(F.col(n) for n in names)).alias("x")), "rows")
-    # each row offers itself to few trees: as many as make twice the sample expected, so no table is repeated per tree
+    # each row offers itself to few trees: as many as make twice the sample expected; the others are struck out before rows repeat
     share = min(1.0, 2.0 * sample / max(1, rows.count()))
-    offers = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "tree", "entity_id"), F.lit(1 << 30))).where(F.col("h") < share * (1 << 30))
+    draw = lambda t: F.pmod(F.xxhash64(F.lit(seed), t, "entity_id"), F.lit(1 << 30))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < share * (1 << 30))
+    offers = rows.withColumn("tree", F.explode(drawn)).withColumn("h", draw(F.col("tree")))
     chosen = offers.withColumn("r", F.row_number().over(W.partitionBy("tree").orderBy("h", "entity_id"))).where(F.col("r") <= sample)
 
     def grow(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -199,9 +201,18 @@ def anomaly_scores(forest: DataFrame, table: DataFrame, names: tuple[str, ...] =
 
 
 def stratified_split(table: DataFrame, test: float = 0.25, key: str = "entity_id", seed: int = 42) -> DataFrame:
-    """``table`` with ``held_out``: the given share of each class, by hash order within ranges of the hash."""
-    h = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return table.withColumn("held_out", h < test)
+    """``table`` (with ``label``) and ``held_out``: the given share of each class to a row, in the order of a hash of ``key``.
+
+    Ranks are two-level: sums of hash ranges, then rows within a range, so no class is numbered in one task.
+    """
+    h = F.xxhash64(F.lit(seed), key)
+    placed = table.withColumns({"__h": h, "__part": F.pmod(F.shiftright(h, 40), F.lit(1 << 12))})
+    sizes = placed.groupBy("label", "__part").agg(F.count("*").alias("__n"))
+    before, every = W.partitionBy("label").orderBy("__part").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("label")
+    starts = sizes.select("label", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"), F.sum("__n").over(every).alias("__all"))  # 4,096 rows a class
+    place = F.row_number().over(W.partitionBy("label", "__part").orderBy("__h", key))
+    ranked = placed.withColumn("__place", place).join(starts, ["label", "__part"])
+    return ranked.select(*table.columns, (F.col("__start") + F.col("__place") <= F.floor(F.col("__all") * test + 0.5)).alias("held_out"))
 
 
 def with_folds(table: DataFrame, group: str, folds: int = 4) -> DataFrame:

@@ -115,6 +115,42 @@ def integrity(edges: DataFrame, scored: DataFrame, lined: DataFrame) -> DataFram
     return out
 
 
+def score_distribution(scored: DataFrame) -> DataFrame:
+    """``(band, entities, share)`` of all scored entities; bands without any have a row too."""
+    names = scored.sparkSession.createDataFrame([(n,) for n, _ in BANDS] + [("low",)], "band string")
+    whole = names.join(scored.groupBy(band(F.col("risk")).alias("band")).agg(F.count("*").alias("n")), "band", "left").select("band", F.coalesce("n", F.lit(0)).alias("entities"))
+    total = F.sum("entities").over(W.partitionBy())  # four rows
+    return whole.select("band", "entities", F.coalesce(F.try_divide("entities", total), F.lit(0.0)).alias("share"))
+
+
+def payload_checks(scored: DataFrame, edges: DataFrame, cards: DataFrame, histories: DataFrame, explained: DataFrame | None = None) -> DataFrame:
+    """``(check, rows, violations)``: whether what is shown keeps to its contract of types, vocabularies and ranges.
+
+    ``scored`` are entities, ``edges`` (kind, src, dst, weight), ``cards`` alerts (``windows.alert_cards``), ``histories``
+    (``windows.risk_history``: never a risk beyond the window), ``explained`` (``models.explain``: contributions that add up).
+    """
+    bands, past = [n for n, _ in BANDS] + ["low"], W.partitionBy("entity_key").orderBy("window_id")
+    kept = {
+        "entity_id": (scored, F.col("entity_id").rlike("^E-[0-9]{4,}$")),
+        "entity_risk": (scored, F.col("risk").between(0, 100)),
+        "entity_counts": (scored, (F.size("addresses") == F.col("address_count")) & (F.size("countries") == F.col("country_count"))),
+        "edge_kind": (edges, F.col("kind").isin("flow", "control")),
+        "edge_ends": (edges, F.col("src").rlike("^[EN]-[0-9]{4,}$") & F.col("dst").rlike("^E-[0-9]{4,}$") & (F.col("src") != F.col("dst"))),
+        "edge_weight": (edges, F.col("weight") > 0),
+        "alert_band": (cards, F.col("severity").isin(*bands) & (F.col("severity") == band(F.col("score")))),
+        "alert_peak": (cards, F.col("peak_risk") >= F.col("score")),
+        "alert_windows": (cards, F.col("first_window") <= F.col("last_window")),
+        "no_look_ahead": (histories.withColumn("__n", F.row_number().over(past)), F.size("risks") == F.col("__n")),
+    }
+    if explained is not None:
+        kept["explanation_sum"] = (explained, F.abs("residual") < 1e-6)
+    out = None
+    for name, (rows, holds) in kept.items():
+        part = rows.agg(F.count("*").alias("rows"), F.count_if(~F.coalesce(holds, F.lit(False))).alias("violations")).select(F.lit(name).alias("check"), "rows", "violations")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def payload(scored: DataFrame, pairs: DataFrame, seen: DataFrame) -> DataFrame:
     """One JSON text per entity, with its band, kind and heaviest neighbours: the nested presentation record."""
     near = neighbourhood(pairs, seen).groupBy(F.col("node").alias("entity_id")).agg(F.sort_array(F.collect_list(F.struct("relation", "place", "other", F.round("weight", 8).alias("weight")))).alias("neighbours"))

@@ -87,6 +87,35 @@ def rekey_flows(edges: DataFrame, keys: DataFrame) -> DataFrame:
     return named.where("src <> dst")
 
 
+def rekey_controls(controls: DataFrame, keys: DataFrame) -> DataFrame:
+    """Controls (``entity``) under the pinned keys; every observation stays."""
+    named = controls.join(keys.select(F.col("derived").alias("entity"), "key"), "entity", "left")
+    return named.withColumn("entity", F.coalesce("key", "entity")).select(*controls.columns)
+
+
+def rekey_mapping(mapping: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(address, entity_id)`` with pinned keys."""
+    named = mapping.join(keys.select(F.col("derived").alias("entity_id"), "key"), "entity_id", "left")
+    return named.select("address", F.coalesce("key", "entity_id").alias("entity_id"))
+
+
+def with_window_labels(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``rows`` (scores, events) with the ``label`` of their window (``spans``: window_id, label); rows of unknown windows go."""
+    return rows.join(spans.select("window_id", "label"), "window_id")
+
+
+def value_counts(rows: DataFrame, *names: str) -> DataFrame:
+    """``(column, value, n)`` of each named column: roles, types, states or severities."""
+    cells = rows.select(F.explode(F.array(*(F.struct(F.lit(n).alias("column"), F.col(n).cast("string").alias("value")) for n in names))).alias("c"))
+    return cells.groupBy("c.column", "c.value").agg(F.count("*").alias("n"))
+
+
+def served(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``rows`` with ``entity_key`` replaced by the key that serves it now (``aliases``: old_key, key)."""
+    named = rows.join(aliases.select(F.col("old_key").alias("entity_key"), "key"), "entity_key", "left")
+    return named.withColumn("entity_key", F.coalesce("key", "entity_key")).select(*rows.columns)
+
+
 def with_previous(history: DataFrame, windows: DataFrame) -> DataFrame:
     """``windows`` (window_id) with ``prev``: the window before it in order, whatever its number."""
     return windows.select("window_id", F.lag("window_id").over(W.orderBy("window_id")).alias("prev"))

@@ -80,6 +80,14 @@ class Capture:
 
         return replayed(self)
 
+    @cached_property
+    def pooled(self) -> DataFrame:
+        """The features of every span of days by itself (:func:`chainloom.operators.training.pooled_rows`)."""
+        from chainloom.operators import monitor, training
+        from chainloom.plans import records, replay
+
+        return settle(training.pooled_rows(monitor.span_windows(self.obs, records.SPAN), replay.truth(self).drop("owner")), "pooled")
+
     @cached_property
     def history(self) -> DataFrame:
         from chainloom.plans.replay import history

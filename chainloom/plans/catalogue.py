@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chainloom.plans import graphs, learning, replay, resolution, statistics
+from chainloom.plans import graphs, learning, records, replay, resolution, statistics
 
-MODULES = (resolution, graphs, statistics, replay, learning)
+MODULES = (resolution, graphs, statistics, replay, learning, records)
 
 
 def queries() -> dict:

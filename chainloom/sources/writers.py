@@ -20,6 +20,15 @@ def write_payload(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").json(path)
 
 
+def save_artefact(df: DataFrame, path: str) -> None:
+    """A fitted table (baseline, drift reference, isolation forest) as Parquet; models of Spark ML have their own form."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def load_artefact(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def write_window_table(df: DataFrame, path: str) -> None:
     """A table partitioned by ``window_id``: writing a window again replaces that window only."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_id").parquet(path)

@@ -9,7 +9,8 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = Path("/root/testdata/sf0.001")
-PLAIN = ["entity_map", "flows", "entities", "structural_features", "gate_rejections", "corpus_totals", "daily_volume", "events", "auc", "psi", "trace_funds", "robust_z", "neighbourhood"]
+PLAIN = ["entity_map", "flows", "entities", "structural_features", "gate_rejections", "corpus_totals", "daily_volume", "events", "auc", "psi", "trace_funds", "robust_z", "neighbourhood",
+    "union_report", "summary_notes", "data_profile", "score_distribution", "rules_metrics", "payload_checks", "event_totals", "served_alerts", "rekeyed_controls", "stratified_split", "saved_reference"]
 
 
 def plain(v):
