@@ -1,4 +1,5 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -68,3 +69,20 @@ def test_quality_on_held_out_rows(spark, make, prose):
     assert got[900].score == got[901].score
     empty = quality.train(make([]).selectExpr("doc_id", "text", "1 AS quality"))
     assert {r.score for r in quality.score(make(rows), empty).collect()} == {0.5}
+
+
+DATA = Path("/root/testdata/sf0.01")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
+def test_floors_on_the_given_tables(spark):
+    """Held-out quality by rank and held-out language by share on the given documents."""
+    docs = spark.read.parquet(str(DATA / "documents.parquet"))
+    labels = spark.read.parquet(str(DATA / "labels.parquet")).where("quality is not null").select("doc_id", "quality")
+    scored = quality.score_with_folds(docs, labels).where("held_out").join(labels, "doc_id").select("score", "quality").collect()
+    good, bad = ([r.score for r in scored if r.quality == q] for q in (1, 0))
+    assert good and bad
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) >= 0.85
+    truth = docs.where("lang is not null").select("doc_id", "lang")
+    told = language.identify_with_folds(docs).where("held_out").join(truth, "doc_id").selectExpr("avg(int(lang = lang_pred))").first()[0]
+    assert told >= 0.97
