@@ -21,7 +21,7 @@ def band(risk: Column) -> Column:
 PART_ROWS = 1 << 16
 
 
-def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+def ranked(rows: DataFrame, order: list[Column], name: str = "rank", kind: str = "int") -> DataFrame:
     """``rows`` numbered from 1 in the order, which must be total.
 
     Two-level: the rows are dealt out by ranges of the order, numbered within their partition, and each partition
@@ -32,7 +32,7 @@ def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFram
     dealt = settle(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()).withColumn(inside, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranked")
     sizes = dealt.groupBy(part).agg(F.count("*").alias("n"))
     starts = sizes.select(part, F.coalesce(F.sum("n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row per part
-    return dealt.join(starts, part).withColumn(name, (F.col("start") + F.col(inside) + 1).cast("int")).drop(part, inside, "start")
+    return dealt.join(starts, part).withColumn(name, (F.col("start") + F.col(inside) + 1).cast(kind)).drop(part, inside, "start")
 
 
 def leads(scored: DataFrame, n: int | None = None, probability: str | None = None) -> DataFrame:
