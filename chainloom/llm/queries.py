@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import decontaminate, embeddings, language, licences, mixing, quality, secrets, simhash, substring, suffix
+from chainloom.llm import decontaminate, embeddings, language, licences, mixing, quality, resampling, secrets, simhash, substring, suffix, whitening
 from chainloom.storage import settle
 
 
@@ -55,9 +55,17 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.link_summary(table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality, op4_secrets, op5_mixing, op6_substring, op7_language, op8_suffix_array, op9_licences, op10_embeddings)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality, op4_secrets, op5_mixing, op6_substring, op7_language, op8_suffix_array, op9_licences, op10_embeddings, op11_whitening, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.MIX_SQL, "op9_licences": licences.LICENCE_SQL}
+    return {"op5_mixing": mixing.MIX_SQL, "op9_licences": licences.LICENCE_SQL, "op13_resampling": resampling.RESAMPLE_SQL}
