@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.llm import decontaminate, embeddings, language, licences, mixing, quality, resampling, secrets, simhash, substring, suffix, whitening
+from chainloom.llm import decontaminate, embeddings, language, licences, mixing, perplexity, quality, resampling, secrets, simhash, substring, suffix, whitening
 from chainloom.storage import settle
 
 
@@ -59,12 +59,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.score_with_folds(table(spark, sf_dir, "documents"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality, op4_secrets, op5_mixing, op6_substring, op7_language, op8_suffix_array, op9_licences, op10_embeddings, op11_whitening, op13_resampling)}
+    return {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_quality, op4_secrets, op5_mixing, op6_substring, op7_language, op8_suffix_array, op9_licences, op10_embeddings, op11_whitening, op12_perplexity, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
