@@ -41,6 +41,8 @@ GAPS = b"\t\n\x0b\x0c\r "
 END = np.uint64(0x9D5C0F3B7A1E2468)
 #: Keys that a task holds before it sums them and hands them on, and that one bucket of pairs merges on average.
 HELD = 1 << 22
+#: Tokens that a task looks up at once: some 200 bytes each.
+AT_ONCE = 1 << 19
 RECORD = np.dtype([("count", "<u8"), ("before", "<u4"), ("once", "<u4"), ("twice", "<u4"), ("more", "<u4")])
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -422,7 +424,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for row, keys in reader.pairs(batch.column(1)):
                 held.append((row, keys))
                 size += len(keys)
-                if size >= HELD // 2:
+                if size >= AT_ONCE:
                     close()
                     held, size = [], 0
             if held:

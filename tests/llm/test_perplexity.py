@@ -81,6 +81,7 @@ def test_equals_brute_force(make, rows, monkeypatch):
     model = Brute(t for d, t in rows if not held_out(d))
     want = sorted(((str(d), held_out(d), *model.row(t)) for d, t in rows), key=lambda r: (r[0], r[5]))
     monkeypatch.setattr(perplexity, "HELD", 5000)  # several rounds per task
+    monkeypatch.setattr(perplexity, "AT_ONCE", 700)
     got = perplexity.score_with_folds(make(rows).repartition(6)).collect()
     got = sorted(((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=lambda r: (r[0], r[5]))
     assert [g[:5] for g in got] == [w[:5] for w in want]
