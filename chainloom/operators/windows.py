@@ -64,6 +64,24 @@ def resolve_identity(clusters: DataFrame, registry: DataFrame) -> tuple[DataFram
     return whole.select("derived", F.coalesce("survivor", "derived").alias("key"), state.alias("state")), merges
 
 
+def resolve_incremental(clusters: DataFrame, held: DataFrame, roots: DataFrame, window_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """:func:`resolve_identity` from what a window meets of the registry alone.
+
+    ``held`` is ``(address, key)`` of the window's addresses as they were pinned, ``roots`` ``(key, first_window, root,
+    root_first)`` of those keys and of the derived ids that are keys.  Returns keys and merges, between
+    roots, and the rows ``(key, first_window, parent)`` that change: new keys, absorbed roots, and pointers that now can skip a step.
+    """
+    known = held.unionByName(clusters.select("address", F.col("derived").alias("key")))
+    rooted = known.join(roots.select("key", F.col("root"), "root_first"), "key").select("address", F.col("root").alias("key"), F.col("root_first").alias("first_window")).distinct()
+    keys, merges = resolve_identity(clusters, rooted)
+    new = keys.where("state = 'new'").select("key", F.lit(window_id).alias("first_window"), F.col("key").alias("parent")).distinct()
+    now = roots.join(merges.select(F.col("absorbed").alias("root"), "survivor"), "root", "left").withColumn("to", F.coalesce("survivor", "root"))
+    inner = roots.where("key = root").select("key")
+    far = now.where("key <> root").select("key", "first_window", F.col("to").alias("parent"))
+    gone = merges.join(rooted.select(F.col("key").alias("absorbed"), "first_window").distinct(), "absorbed").select(F.col("absorbed").alias("key"), "first_window", F.col("survivor").alias("parent"))
+    return keys, merges, new.unionByName(far.join(inner, "key", "left_anti")).unionByName(gone)
+
+
 def remap_derived(clusters: DataFrame, registry: DataFrame) -> DataFrame:
     """``(derived, key)`` for reading back: the earliest, then smallest registered key of a cluster's addresses, else its own id."""
     held = clusters.join(registry, "address", "left").groupBy("derived").agg(F.min_by("key", F.struct("first_window", "key")).alias("key"))
@@ -227,18 +245,19 @@ def raise_alerts(history: DataFrame, floor: int = FLOOR) -> DataFrame:
 
 
 def upsert_alerts(alerts: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Alerts after a window's ``(entity_key, window_id, risk)``: one row per entity, whose peak grows and whose risk is the latest.
+    """Alerts after a window's ``(entity_key, window_id, risk)``: one row per entity, whose peak grows and whose risk is that of the latest window.
 
     An alert that was closed as false or as escalated opens again with any new detection; other statuses stay.
     """
     both = alerts.join(fresh.select("entity_key", F.col("window_id").alias("w"), F.col("risk").alias("r")), "entity_key", "full")
-    again = F.col("r").isNotNull() & F.col("status").isin(*REOPENED)
+    later = F.coalesce(F.col("w") >= F.col("last_window"), F.col("w").isNotNull())
+    again = later & F.col("r").isNotNull() & F.col("status").isin(*REOPENED)
     return both.select(
         "entity_key",
-        F.coalesce("opened", "w").alias("opened"),
-        F.coalesce("w", "last_window").alias("last_window"),
+        F.least("opened", "w").alias("opened"),
+        F.greatest("last_window", "w").alias("last_window"),
         F.greatest("peak_risk", "r").alias("peak_risk"),
-        F.coalesce("r", "current_risk").alias("current_risk"),
+        F.when(later, F.col("r")).otherwise(F.col("current_risk")).alias("current_risk"),
         F.when(F.col("status").isNull() | again, "new").otherwise(F.col("status")).alias("status"),
         "assignee",
         "note",
