@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from chainloom.operators.components import connected_components
 from chainloom.operators.corpus import fold_last_day
 from chainloom.operators.results import band
+from chainloom.storage import settle
 
 FLOOR = 50
 SHIFT_Z = 2.0
@@ -53,7 +54,7 @@ def resolve_identity(clusters: DataFrame, registry: DataFrame) -> tuple[DataFram
     """
     held = clusters.join(registry, "address", "left")
     pairs = held.where("key is not null").select(F.concat(F.lit("c:"), "derived").alias("a"), F.concat(F.lit("k:"), "key").alias("b")).distinct()
-    group = connected_components(pairs, "a", "b")
+    group = settle(connected_components(settle(pairs, "pairs"), "a", "b"), "groups")
     keys = registry.groupBy("key").agg(F.min("first_window").alias("first_window"))
     named = group.where(F.col("node").startswith("k:")).select(F.substring("node", 3, 1000).alias("key"), "component").join(keys, "key")
     best = named.groupBy("component").agg(F.min_by("key", F.struct("first_window", "key")).alias("survivor"), F.count("*").alias("n"))

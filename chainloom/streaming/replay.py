@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,17 +54,43 @@ def gated_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return gate(spark.readStream.schema(schema).option("header", True).csv(path)).clean
 
 
-def monitor_stream(stream: DataFrame, monitor: Monitor, **how) -> DataFrame:
+def monitor_stream(stream: DataFrame, monitor: Monitor, delay_days: int = 0, finish: bool = True, **how) -> DataFrame:
     """Clean observations with ``window_id`` as a stream through :meth:`Monitor.process_window`; returns the rows of ``windows``.
 
-    A window's rows must arrive in one micro-batch (one file per window, say); a batch may hold several windows.  A
-    batch that is replayed after a failure writes the same windows again and changes nothing.
+    Batches may split and mix windows.  Their rows wait in an inbox under the batch's number, so a batch that is delivered
+    again writes the same folder.  A window is taken, whole and in order, once rows of a window ``delay_days`` days or more after its last
+    row have come (with 0: rows of a later window in a later batch), all that are left at the end of the stream if ``finish``.  Rows of a window that was taken, or of one before the
+    last taken, come too late: they change nothing and are read by :func:`late_rows`.
     """
-
-    def take(batch: DataFrame, number: int) -> None:
-        obs = resolve.coinjoin_like(batch)
-        for (window_id,) in sorted(obs.select("window_id").distinct().collect()):  # a few numbers
-            monitor.process_window(obs.where(F.col("window_id") == window_id).drop("window_id"), window_id, **how)
+    spark, inbox = stream.sparkSession, f"{monitor.path}/inbox"
+
+    def take(batch: DataFrame, number: int | None) -> None:
+        if number is not None:
+            last = monitor._at()
+            on_time = F.lit(True) if last is None else F.col("window_id") > last.window
+            own = f"{inbox}/batch={number}"
+            try:  # rows were on time or late when they first came
+                spark.read.parquet(own)
+            except AnalysisException:
+                batch.withColumn("late", ~on_time).write.mode("overwrite").parquet(own)
+        held = spark.read.option("basePath", inbox).parquet(f"{inbox}/batch=*").where("not late").drop("late", "batch")
+        done = monitor._at()
+        ahead = held if done is None else held.where(F.col("window_id") > done.window)
+        spans = ahead.groupBy("window_id").agg(F.max("timestamp").alias("last"), F.min("timestamp").alias("first")).orderBy("window_id").collect()  # a row per open window
+        for span, *after in (spans[i:] for i in range(len(spans))):
+            passed = any((later.first - span.last).days >= delay_days for later in after)
+            if not (number is None or passed):
+                break
+            obs = resolve.coinjoin_like(held.where(F.col("window_id") == span.window_id))
+            monitor.process_window(obs.drop("window_id"), span.window_id, **how)
 
     stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{monitor.path}/marks").trigger(availableNow=True).start().awaitTermination()
+    if finish:
+        take(spark.createDataFrame([], stream.schema), None)
     return monitor.windows.read()
+
+
+def late_rows(monitor: Monitor) -> DataFrame:
+    """What came after its window had been taken."""
+    inbox = f"{monitor.path}/inbox"
+    return monitor.spark.read.option("basePath", inbox).parquet(f"{inbox}/batch=*").where("late").drop("late", "batch")

@@ -1,12 +1,15 @@
 """Windows one after the other, as a batch and as a stream, against all of them at once."""
 
 import json
+import random
+from functools import partialmethod
 
 import pytest
 from pyspark.sql import functions as F
 
 from chainloom.operators import monitor, resolve, windows
-from chainloom.streaming.replay import monitor_stream
+from chainloom.sources.commits import Attempt, Commit, CommitLog
+from chainloom.streaming.replay import late_rows, monitor_stream
 
 SCHEMA = "obs_id long, ts string, src_ip string, input_addresses array<string>, output_addresses array<string>, input_amounts array<double>, output_amounts array<double>, geo_country string"
 
@@ -62,32 +65,167 @@ def test_replay_equals_all_windows_at_once(spark, obs, tmp_path):
         assert "reason" in detail or "reason_text" in detail or "band_from" in detail
 
 
-def test_pinned_keys_merge_and_their_alerts_close(spark, obs, tmp_path):
-    state = monitor.Monitor(spark, str(tmp_path / "m"))
+@pytest.fixture(scope="module")
+def clean(spark, obs, tmp_path_factory):
+    """The state after one run over all windows."""
+    state = monitor.Monitor(spark, str(tmp_path_factory.mktemp("clean")))
     monitor.replay(state, obs)
-    registry = {r.address: r.key for r in state.registry.read().collect()}
+    return state
+
+
+def whole(state):
+    return [plain(t) for t in (state.scores(), state.events(), state.alerts.read(), state.registry.read(), state.entities.read(), state.aliases.read(), state.windows.read())]
+
+
+def test_pinned_keys_merge_and_their_alerts_close(clean):
+    registry = {r.address: r.key for r in clean.registry.read().collect()}
     assert registry["b"] == registry["c"] != registry["a"]
-    (merge,) = state.events().where("type = 'CLUSTER_MERGE'").collect()
+    (merge,) = clean.events().where("type = 'CLUSTER_MERGE'").collect()
     assert (merge.window_id, merge.entity_key, merge.severity) == (3, registry["b"], "high")
     (gone,) = json.loads(merge.detail)["absorbed"]
-    closed = {r.entity_key: r for r in state.alerts.read().collect()}[gone]
+    closed = {r.entity_key: r for r in clean.alerts.read().collect()}[gone]
     assert closed.status == "closed_merged" and closed.note == f"merged into {registry['b']}" and closed.last_window == 3
-    assert state.summary().first().open_alerts == len({registry["a"], registry["b"]})
-    before = [plain(t) for t in (state.scores(), state.events(), state.alerts.read(), state.registry.read(), state.windows.read())]
-    state.process_window(obs.where("window_id = 4").drop("window_id"), 4)
-    assert [plain(t) for t in (state.scores(), state.events(), state.alerts.read(), state.registry.read(), state.windows.read())] == before
+    assert clean.summary().first().open_alerts == len({registry["a"], registry["b"]})
 
 
-def test_stream_equals_batch(spark, obs, tmp_path):
-    one, two = (monitor.Monitor(spark, str(tmp_path / n)) for n in ("batch", "stream"))
-    monitor.replay(one, obs)
+def test_no_window_that_comes_again_changes_anything(clean, obs):
+    before = whole(clean)
+    for w in (1, 3, 4):
+        mine = obs.where(F.col("window_id") == w).drop("window_id")
+        row = plain(clean.process_window(mine, w))
+        assert plain(clean.process_window(mine, w, again=True)) == row  # worked out once more
+    assert whole(clean) == before
+    with pytest.raises(ValueError, match="comes after"):
+        clean.process_window(obs.where("window_id = 2").drop("window_id").limit(3), 2)
+    with pytest.raises(ValueError, match="is window"):
+        clean._window_id(1, "x", [Commit(1, 4, 0, label="x")])
+    assert clean._window_id(None, "x", [Commit(1, 4, 0, label="x")]) == 4 and clean._window_id(None, "y", clean.log.commits()) == 5
+    assert whole(clean) == before
+
+
+WRITES = ("registry", "keys", "scores", "entities", "events", "alerts", "windows", "commit")
+
+
+def test_a_window_that_dies_at_any_write_leaves_no_trace(spark, obs, clean, tmp_path, monkeypatch):
+    state = monitor.Monitor(spark, str(tmp_path / "m"))
+    take = lambda w: state.process_window(obs.where(F.col("window_id") == w).drop("window_id"), w)
+    take(1)
+    take(2)
+    held = state.log.commits()
+    for point in WRITES:
+        with monkeypatch.context() as patch:
+
+            def die(self, name="commit", rows=None, real=None, point=point):
+                if name == point:
+                    raise OSError("lost")
+                return real(self, name, rows) if rows is not None else real(self)
+
+            for method in ("put", "add", "commit"):
+                patch.setattr(Attempt, method, partialmethod(die, real=getattr(Attempt, method)))
+            with pytest.raises(OSError, match="lost"):
+                take(3)
+        assert state.log.commits() == held
+    take(3)
+    take(4)
+    assert whole(state) == whole(clean)
+
+
+def test_other_rows_for_the_last_window_replace_it(spark, obs, tmp_path):
+    one, two = (monitor.Monitor(spark, str(tmp_path / n)) for n in ("one", "two"))
+    first, second = (obs.where(F.col("window_id") == w).drop("window_id") for w in (1, 3))
+    for state in (one, two):
+        state.process_window(first, label="day one")
+    key = two.registry.read().where("address = 'a'").first().key
+    two.process_window(second.where("input_addresses[0] <> 'a'"), label="day three")
+    two.judge(key, "investigating", "kim")
+    for state in (one, two):
+        state.process_window(second, label="day three")
+    assert [(c.window, c.step) for c in two.log.commits()] == [(1, 0), (2, 0)]  # what was said went into the second
+    one.judge(key, "investigating", "kim")
+    assert whole(one) == whole(two)
+    assert two.alerts.read().where("assignee = 'kim'").count() == 1 and two.alerts.read(1).where("assignee = 'kim'").count() == 0
+    two.process_window(first.limit(4), label="day one", drop_later=True)
+    assert [c.window for c in two.log.commits()] == [1] and two.windows.read().count() == 1
+
+
+def test_deltas_follow_the_window(spark, tmp_path):
+    log = CommitLog(spark, str(tmp_path), {"t": ("k", "k long, x int")}, {}, buckets=2, fan_in=3)
+    want, written = {}, []
+    real = CommitLog._write
+
+    def counted(self, rows, folder, key):
+        written.append(rows.count())
+        real(self, rows, folder, key)
+
+    CommitLog._write = counted
+    try:
+        for w in range(1, 15):
+            rows = [(k, w) for k in range(w * 3, w * 3 + 9)]
+            want.update(dict(rows))
+            step = log.begin(w, 0)
+            step.put("t", spark.createDataFrame(rows, "k long, x int"))
+            last = step.commit()
+    finally:
+        CommitLog._write = real
+    assert {r.k: r.x for r in log.read("t", last).collect()} == want
+    assert {r.k: r.x for r in log.lookup("t", last, spark.createDataFrame([(5,), (30,), (99,)], "k long")).collect()} == {k: want[k] for k in (5, 30)}
+    assert len(last.tables["t"]) <= 2 * 3 and sum(written) < 14 * 9 * 3  # not 14 * 15 / 2 * 9
+    early = log.commits()[4]
+    assert {r.x for r in log.read("t", early).collect()} == {1, 2, 3, 4, 5}
+
+
+def test_identity_from_the_keys_that_a_window_meets(spark, tmp_path):
+    """Random histories against a registry that is kept whole."""
+    rng = random.Random(6)
+    state, registry, roots = monitor.Monitor(spark, str(tmp_path)), {}, {}
+    for w in range(1, 6):
+        parts = [[f"a{x}" for x in rng.sample(range(14), rng.choice([1, 2, 3]))] for _ in range(4)]
+        clusters = []
+        for p in parts:
+            p = set(p)
+            for c in [c for c in clusters if c & p]:
+                clusters.remove(c)
+                p |= c
+            clusters.append(p)
+        members = spark.createDataFrame([(a, f"w{w}{min(c)}") for c in clusters for a in sorted(c)], "address string, derived string")
+        step = state.log.begin(w, 0)
+        held = state.log.lookup("registry", step.base, members.select("address")).select("address", "key")
+        met = held.select("key").unionByName(members.select(F.col("derived").alias("key"))).distinct()
+        keys, merges, moved = windows.resolve_incremental(members, held, state._roots(met, step.base), w)
+        mapping = members.join(keys, "derived").select("address", F.col("key"), F.lit(w).alias("first_window"))
+        step.put("registry", mapping.join(held, "address", "left_anti"))
+        step.put("keys", moved)
+        step.commit()
+
+        groups = [({registry[a] for a in c if a in registry}, c) for c in clusters]  # clusters that share a key are one
+        while True:
+            joined = next(((g, h) for i, g in enumerate(groups) for h in groups[:i] if g[0] & h[0]), None)
+            if not joined:
+                break
+            groups = [g for g in groups if g not in joined] + [(joined[0][0] | joined[1][0], joined[0][1] | joined[1][1])]
+        for olds, c in groups:
+            best = min(olds, key=lambda k: (roots[k], k)) if olds else None
+            for a, k in list(registry.items()):
+                if k in olds:
+                    registry[a] = best
+            for a in c:
+                registry[a] = best or f"w{w}{min(c)}"
+            if not olds:
+                roots[f"w{w}{min(c)}"] = w
+        assert {r.address: r.key for r in state.registry.read().collect()} == registry
+
+
+def test_stream_equals_batch(spark, obs, clean, tmp_path):
+    """Files that split and mix windows; a window is taken once the watermark has passed it, and what comes later is kept apart."""
+    two = monitor.Monitor(spark, str(tmp_path / "stream"))
     raw = obs.drop("is_coinjoin")
-    for w in (1, 2, 3, 4):
-        raw.where(F.col("window_id") == w).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    late = raw.where("window_id = 1").limit(1).withColumn("obs_id", F.lit(999).cast("long"))
+    for i, part in enumerate([raw.where("window_id = 1 and obs_id % 2 = 0"), raw.where("window_id = 2 or (window_id = 1 and obs_id % 2 = 1)"), raw.where("window_id = 3 and obs_id % 3 = 0"), late.unionByName(raw.where("(window_id = 3 and obs_id % 3 > 0) or window_id = 4"))]):
+        part.coalesce(1).write.parquet(str(tmp_path / "in" / f"b={i}"))
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     monitor_stream(stream, two)
-    for read in (lambda m: m.scores(), lambda m: m.events(), lambda m: m.alerts.read(), lambda m: m.registry.read(), lambda m: m.windows.read().drop("label")):
-        assert plain(read(one)) == plain(read(two))
+    assert whole(two) == whole(clean)
+    assert [r.obs_id for r in late_rows(two).collect()] == [999]
 
 
 def test_reopening_follows_the_status(spark):
