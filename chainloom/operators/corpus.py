@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chainloom.operators.correlate import list_sum
+from chainloom.operators.quantiles import column_quantiles
 
 #: Half-open value classes.
 SIZE_CLASSES = (("dust (< 0.01 BTC)", 0.0, 0.01), ("small (0.01 - 1 BTC)", 0.01, 1.0), ("medium (1 - 10 BTC)", 1.0, 10.0), ("large (10 - 100 BTC)", 10.0, 100.0), ("very large (>= 100 BTC)", 100.0, float("inf")))
@@ -20,7 +21,8 @@ def valued(obs: DataFrame) -> DataFrame:
 def totals(obs: DataFrame, entities: DataFrame, mapping: DataFrame, seen: DataFrame) -> DataFrame:
     """One row of capture totals; distinct IPs both as a set and as the sum of per-entity counts."""
     parts = [
-        valued(obs).agg(F.count("*").alias("records"), F.count_distinct("txid").alias("distinct_tx"), F.sum("value").alias("value_btc"), F.avg("value").alias("mean_value"), F.percentile("value", F.lit(0.5)).alias("median_value"), ((F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))) / 3.6e9).alias("span_hours")),
+        valued(obs).agg(F.count("*").alias("records"), F.count_distinct("txid").alias("distinct_tx"), F.sum("value").alias("value_btc"), F.avg("value").alias("mean_value"), ((F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))) / 3.6e9).alias("span_hours")),
+        column_quantiles(valued(obs), "value", [0.5]).toDF("median_value"),
         entities.agg(F.count("*").alias("entities"), F.sum("ip_count").alias("entity_ip_pairs")),
         mapping.agg(F.count("*").alias("addresses")),
         seen.agg(F.count_distinct("ip").alias("distinct_ips"), F.count_distinct(F.when(F.col("country") != "", F.col("country"))).alias("countries"), F.count_distinct(F.when(F.col("asn") != "", F.col("asn"))).alias("asns")),
@@ -32,9 +34,13 @@ def totals(obs: DataFrame, entities: DataFrame, mapping: DataFrame, seen: DataFr
 
 
 def value_percentiles(obs: DataFrame, points: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99, 0.999, 1.0), exact: bool = True) -> DataFrame:
-    """``(p, value)``; ``exact`` off uses a mergeable sketch, for captures whose distinct values do not fit a task."""
+    """``(p, value)``; ``exact`` off uses a mergeable sketch, which reads the values once."""
     at = F.array(*map(F.lit, points))
-    found = valued(obs).agg((F.percentile("value", at) if exact else F.percentile_approx("value", at, 100_000)).alias("v"))
+    if exact:
+        found = column_quantiles(valued(obs), "value", list(points))
+        found = found.select(F.array(*found.columns).alias("v"))
+    else:
+        found = valued(obs).agg(F.percentile_approx("value", at, 100_000).alias("v"))
     return found.select(F.explode(F.arrays_zip(at.alias("p"), F.col("v").alias("value"))).alias("z")).select("z.p", "z.value")
 
 

@@ -85,6 +85,7 @@ def structural_features(entities: DataFrame, obs: DataFrame, mapping: DataFrame,
 
 
 #: Tag, score column and threshold, in the order in which tags are listed.
+#: Thresholds of the typologies, of shown behaviour and of the plain rules.
 TYPOLOGIES = (
     ("coinjoin_mixer", "mixer_score", 0.5),
     ("mixer_interaction", "mixer_interaction", 0.5),

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chainloom.operators.quantiles import column_quantiles, exact_quantiles, running_sums
+from chainloom.storage import settle
+
 
 def project_labels(mapping: DataFrame, truth: DataFrame) -> DataFrame:
     """``(entity_id, label, typology)`` of entities through their addresses only.
@@ -83,13 +86,15 @@ def time_to_detection(history: DataFrame, labels: DataFrame, floor: int = 50) ->
     bad = labels.where("label = 1").select("entity_id")
     seen = history.join(bad, "entity_id").groupBy("entity_id").agg(F.min("window_id").alias("first"), F.min(F.when(F.col("risk") >= floor, F.col("window_id"))).alias("caught"))
     gap = F.col("caught") - F.col("first")
-    return seen.agg(F.count("*").alias("illicit"), F.count("caught").alias("detected"), F.avg(gap).alias("mean_windows"), F.percentile(gap, F.lit(0.5)).alias("median_windows"))
+    seen = settle(seen.withColumn("gap", gap), "seen")
+    middle = F.broadcast(column_quantiles(seen, "gap", [0.5]).toDF("median_windows"))  # one row
+    return seen.agg(F.count("*").alias("illicit"), F.count("caught").alias("detected"), F.avg("gap").alias("mean_windows")).crossJoin(middle)
 
 
 def fit_reference(cells: DataFrame, bins: int = 10, most: int = 500) -> DataFrame:
     """``(feature, edges, shares, median, sample)`` from ``(key, feature, x)``: decile edges, bin shares, a hash-ordered sample."""
-    cuts = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    edges = cells.groupBy("feature").agg(F.array_sort(F.array_distinct(F.percentile("x", cuts))).alias("edges"), F.percentile("x", F.lit(0.5)).alias("median"))
+    cuts = exact_quantiles(cells, [*(i / bins for i in range(1, bins)), 0.5])
+    edges = cuts.select("feature", F.array_sort(F.array_distinct(F.array(*cuts.columns[1:bins]))).alias("edges"), F.col(cuts.columns[-1]).alias("median"))
     counts = binned(cells, edges).groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "share"))).alias("shares"))
     order = W.partitionBy("feature").orderBy(F.xxhash64(F.col(cells.columns[0])), cells.columns[0])
     sample = cells.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).groupBy("feature").agg(F.array_sort(F.collect_list("x")).alias("sample"))
@@ -111,12 +116,15 @@ def psi(cells: DataFrame, now: DataFrame, edges: DataFrame, floor: float = 1e-6)
 
 
 def ks_statistic(cells: DataFrame, now: DataFrame) -> DataFrame:
-    """``(feature, ks, n, m, p_value)``: largest gap of the two distribution functions, asymptotic p-value."""
+    """``(feature, ks, n, m, p_value)``: largest gap of the two distribution functions, asymptotic p-value.
+
+    A feature that only one side has gives null.  Equal values are summed first, running sums are two-level.
+    """
     both = cells.select("feature", "x", F.lit(1).alias("i"), F.lit(0).alias("j")).unionByName(now.select("feature", "x", F.lit(0).alias("i"), F.lit(1).alias("j")))
-    steps = both.groupBy("feature", "x").agg(F.sum("i").alias("i"), F.sum("j").alias("j"))
-    run, every = W.partitionBy("feature").orderBy("x"), W.partitionBy("feature")
-    gap = F.abs(F.sum("i").over(run) / F.sum("i").over(every) - F.sum("j").over(run) / F.sum("j").over(every))
-    found = steps.select("feature", "i", "j", gap.alias("gap")).groupBy("feature").agg(F.max("gap").alias("ks"), F.sum("i").alias("n"), F.sum("j").alias("m"))
+    steps = running_sums(settle(both.groupBy("feature", "x").agg(F.sum("i").alias("i"), F.sum("j").alias("j")), "steps"), "feature", "x", ["i", "j"])
+    sizes = steps.groupBy("feature").agg(F.sum("i").alias("n"), F.sum("j").alias("m"))
+    gap = F.abs(F.try_divide("upto_i", "n") - F.try_divide("upto_j", "m"))
+    found = steps.join(F.broadcast(sizes), "feature").groupBy("feature", "n", "m").agg(F.max(gap).alias("ks")).select("feature", "ks", "n", "m")  # a row per feature
     return found.withColumn("p_value", kolmogorov(F.col("ks"), F.col("n"), F.col("m")))
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.operators.quantiles import exact_quantiles
+from chainloom.storage import settle
+
 #: Fixed order of the model's inputs.
 FEATURES = (
     "address_count", "tx_count", "tx_sent", "tx_received", "log_value_btc", "value_per_tx", "fan_in", "fan_out",
@@ -38,9 +41,9 @@ def long_form(table: DataFrame, key: str = "entity_id", names: tuple[str, ...] =
 
 def fit_baseline(table: DataFrame, names: tuple[str, ...] = FEATURES, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """``(feature, median, mad, lower, upper)``: exact percentiles; a spread of 0, but for float noise, counts as 1."""
-    cells = long_form(table, names=names)
-    middle = cells.groupBy("feature").agg(F.percentile("x", F.lit(0.5)).alias("median"), F.percentile("x", F.lit(low)).alias("lower"), F.percentile("x", F.lit(high)).alias("upper"))
-    spread = cells.join(F.broadcast(middle), "feature").groupBy("feature").agg(F.percentile(F.abs(F.col("x") - F.col("median")), F.lit(0.5)).alias("mad"))
+    cells = long_form(settle(table.select(*names), "cells").withColumn("entity_id", F.lit(0)), names=names)
+    middle = exact_quantiles(cells, [0.5, low, high]).toDF("feature", "median", "lower", "upper")
+    spread = exact_quantiles(cells.join(F.broadcast(middle), "feature").select("feature", F.abs(F.col("x") - F.col("median")).alias("x")), [0.5]).toDF("feature", "mad")
     return middle.join(spread, "feature").select("feature", "median", F.when(F.col("mad") < 1e-12, 1.0).otherwise(F.col("mad")).alias("mad"), "lower", "upper")
 
 

@@ -73,9 +73,9 @@ QUERIES = {
             """SELECT entity_id, CASE WHEN kind = 'exchange' THEN 'cash-out/exchange' WHEN kind IS NOT NULL THEN 'mixing service'
   WHEN fan_in >= 3 * greatest(fan_out, 1) AND value_received >= value_sent THEN 'collector' WHEN fan_out >= 3 * greatest(fan_in, 1) AND value_sent > value_received THEN 'distributor'
   WHEN fan_in * fan_out >= cut AND cut > 0 THEN 'relay' ELSE 'wallet' END AS role,
-  CASE WHEN kind IS NOT NULL THEN 'identified as a ' || kind
-  WHEN fan_in >= 3 * greatest(fan_out, 1) AND value_received >= value_sent THEN fan_in || ' senders vs ' || fan_out || ' recipients, net receiver' WHEN fan_out >= 3 * greatest(fan_in, 1) AND value_sent > value_received THEN fan_out || ' recipients vs ' || fan_in || ' senders, net payer'
-  WHEN fan_in * fan_out >= cut AND cut > 0 THEN 'high betweenness: funds pass through this wallet' ELSE 'ordinary flow shape' END AS role_reason
+  CASE WHEN kind = 'exchange' THEN 'pays out like an exchange' WHEN kind IS NOT NULL THEN 'its rounds mix funds'
+  WHEN fan_in >= 3 * greatest(fan_out, 1) AND value_received >= value_sent THEN 'takes from ' || fan_in || ' and pays ' || fan_out || ', keeps more than it passes on' WHEN fan_out >= 3 * greatest(fan_in, 1) AND value_sent > value_received THEN 'pays ' || fan_out || ' and takes from ' || fan_in || ', gives more than it gets'
+  WHEN fan_in * fan_out >= cut AND cut > 0 THEN 'lies on many of the shortest ways between others' ELSE 'nothing about its payments stands out' END AS role_reason
   FROM entities LEFT JOIN sinks USING (entity_id), (SELECT quantile_cont((fan_in * fan_out)::DOUBLE, 0.8) AS cut FROM entities)""",
             "entities",
             "sinks",
