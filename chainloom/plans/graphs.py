@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chainloom.operators import features, graph
+from chainloom.operators import features, graph, modularity
 from chainloom.plans import twins
 from chainloom.plans.resolution import build, rounded
 from chainloom.plans.twins import over
@@ -85,6 +85,7 @@ QUERIES = {
     "pagerank_full": (lambda c: rounded(graph.pagerank(c.pairs), "pagerank"), None),
     "roles_full": (lambda c: graph.assign_roles(c.metrics, c.entities, graph.sink_entities(c.structural)), None),
     "modularity_full": (lambda c: rounded(graph.modularity(graph.undirected(graph.backbone(c.pairs)), c.metrics.where("community >= 0").select(F.col("entity_id").alias("node"), "community")), "modularity"), None),
+    "communities_by_modularity": (lambda c: modularity.modularity_communities(graph.undirected(graph.backbone(c.pairs))), None),
     "trace_funds": (
         lambda c: rounded(graph.trace_funds(c.flows, _seeds(c), graph.sink_entities(c.structural)).drop("path"), "amount"),
         over("SELECT seed, entity, kind, round(amount, 6) AS amount, hops FROM trace", "trace"),
