@@ -85,7 +85,8 @@ def resolve_incremental(clusters: DataFrame, held: DataFrame, roots: DataFrame,
 
 def remap_derived(clusters: DataFrame, registry: DataFrame) -> DataFrame:
     """``(derived, key)`` for reading back: the earliest, then smallest registered key of a cluster's addresses, else its own id."""
-    held = clusters.join(registry, "address", "left").groupBy("derived").agg(F.min_by("key", F.struct("first_window", "key")).alias("key"))
+    order = F.when(F.col("key").isNotNull(), F.struct("first_window", "key"))  # addresses that are not registered have no say
+    held = clusters.join(registry, "address", "left").groupBy("derived").agg(F.min_by("key", order).alias("key"))
     return held.select("derived", F.coalesce("key", "derived").alias("key"))
 
 

@@ -69,15 +69,31 @@ twins.add(
 pwalk(node, root) AS (SELECT a, a FROM psym UNION SELECT s.b, w.root FROM pwalk w JOIN psym s ON s.a = w.node),
 pooled AS (SELECT root, (avg((regexp_extract(node, '\\|A(\\d+)-', 1)::INT % 11 = 3)::INT) >= 0.5)::INT AS label FROM (SELECT node, min(root) AS root FROM pwalk GROUP BY 1) GROUP BY 1)""",
 )
+_LEVEL = replay._LEVEL
 _BANDS = "CASE " + " ".join(f"WHEN risk >= {low} THEN '{n}'" for n, low in results.BANDS) + " ELSE 'low' END"
-_CHECKS = {
-    "entity_id": "(SELECT count(*) FROM scored)",
-    "entity_risk": "(SELECT count(*) FROM scored)",
-    "entity_counts": "(SELECT count(*) FROM scored)",
-    **{n: "(SELECT least(130, (SELECT count(*) FROM pairs)) + least(60, (SELECT count(*) FROM control_pairs)))" for n in ("edge_kind", "edge_ends", "edge_weight")},
-    **{n: "(SELECT count(*) FROM alerts JOIN scored ON entity_id = entity_key)" for n in ("alert_band", "alert_peak", "alert_windows")},
-    "no_look_ahead": "(SELECT count(*) FROM history)",
-}
+_NODE = "'N-' || lpad(((('0x' || substr(sha256(ip), 1, 16))::UBIGINT) % 1000000000)::VARCHAR, 9, '0')"
+twins.add("shown", ("pairs", "control_pairs"), f"""shown AS (SELECT 'flow' AS kind, src, dst, value AS weight FROM (SELECT * FROM pairs ORDER BY value DESC, src, dst LIMIT 130)
+  UNION ALL SELECT 'control', {_NODE}, entity, n::DOUBLE FROM (SELECT * FROM control_pairs ORDER BY n DESC, ip, entity LIMIT 60))""")
+twins.add(
+    "cards",
+    ("alerts", "scored"),
+    f"""cards AS (SELECT current_risk AS score, peak_risk, CASE {_LEVEL.format("current_risk")} WHEN 3 THEN 'critical' WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity, f.d::VARCHAR AS first_window, l.d::VARCHAR AS last_window
+  FROM alerts JOIN scored ON entity_id = entity_key LEFT JOIN win f ON f.window_id = opened LEFT JOIN win l ON l.window_id = last_window)""",
+)
+twins.add("past", ("history",), "past AS (SELECT len(list(risk) OVER w) AS told, row_number() OVER w AS n FROM history WINDOW w AS (PARTITION BY entity_key ORDER BY window_id))")
+#: Name of a check, the table it looks at, what must hold there.
+_CHECKS = (
+    ("entity_id", "scored", "regexp_full_match(entity_id, 'E-[0-9]{4,}')"),
+    ("entity_risk", "scored", "risk BETWEEN 0 AND 100"),
+    ("entity_counts", "scored", "len(addresses) = address_count AND len(countries) = country_count"),
+    ("edge_kind", "shown", "kind IN ('flow', 'control')"),
+    ("edge_ends", "shown", "regexp_full_match(src, '[EN]-[0-9]{4,}') AND regexp_full_match(dst, 'E-[0-9]{4,}') AND src <> dst"),
+    ("edge_weight", "shown", "weight > 0"),
+    ("alert_band", "cards", "severity = CASE WHEN score >= 85 THEN 'critical' WHEN score >= 70 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'low' END"),
+    ("alert_peak", "cards", "peak_risk >= score"),
+    ("alert_windows", "cards", "first_window <= last_window"),
+    ("no_look_ahead", "past", "told = n"),
+)
 
 #: name -> (query over a capture, SQL twin)
 QUERIES = {
@@ -118,7 +134,7 @@ QUERIES = {
     ),
     "payload_checks": (
         _checks,
-        over(f"SELECT unnest([{', '.join(repr(n) for n in _CHECKS)}]) AS \"check\", unnest([{', '.join(_CHECKS.values())}]) AS rows, 0::BIGINT AS violations", "scored", "pairs", "control_pairs", "alerts"),
+        over(" UNION ALL ".join(f"SELECT '{n}' AS \"check\", count(*) AS rows, count(*) FILTER (NOT coalesce({holds}, false)) AS violations FROM {t}" for n, t, holds in _CHECKS), "shown", "cards", "past"),
     ),
     "explanation_checks": (lambda c: results.payload_checks(c.scored, results.graph_edges(c.pairs, c.controls, c.scored), _cards(c), _histories(c), models.explain(models.fit_risk(c.features.join(replay.judged(c).select("entity_id", F.col("y").cast("double").alias("label")), "entity_id"), features.fit_baseline(c.features)), c.features)), None),
     "labelled_scores": (

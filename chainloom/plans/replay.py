@@ -181,6 +181,26 @@ psis AS (SELECT feature, sum((b - a) * ln(b / a)) AS psi FROM (SELECT feature, g
 kss AS (SELECT feature, max(abs(ci / ni - cj / nj)) AS ks, max(ni)::BIGINT AS n, max(nj)::BIGINT AS m FROM (SELECT feature, sum(i) OVER w AS ci, sum(j) OVER w AS cj, sum(i) OVER e AS ni, sum(j) OVER e AS nj FROM
   (SELECT feature, x, count(*) FILTER (window_id <= 15) AS i, count(*) FILTER (window_id > 15) AS j FROM hcells GROUP BY 1, 2) WINDOW w AS (PARTITION BY feature ORDER BY x), e AS (PARTITION BY feature)) GROUP BY 1)""",
 )
+twins.add(
+    "drifts",
+    ("drifted",),
+    """drifts AS (SELECT feature, psi, ks, p_value, psi > 0.1 AND p_value < 0.01 AS drifted FROM (SELECT feature, psi, ks,
+  CASE WHEN z2 < 0.04 THEN 1.0 ELSE greatest(0.0, least(1.0, (SELECT sum(CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END * exp(-2.0 * k * k * z2)) FROM range(1, 101) t(k)))) END AS p_value
+  FROM psis JOIN (SELECT *, ks * ks * n * m / (n + m) AS z2 FROM kss) USING (feature)))""",
+)
+_ID = "'E-' || lpad(((('0x' || substr(sha256(min(root)), 1, 16))::UBIGINT) % 1000000000)::VARCHAR, 9, '0')"
+_LATE = '"timestamp"::DATE > DATE \'2024-01-15\''
+twins.add(
+    "registry",
+    ("cj",),
+    f"""early AS (SELECT DISTINCT input_addresses[1] AS a, unnest(input_addresses) AS b FROM cj WHERE NOT is_coinjoin AND len(input_addresses) > 0 AND NOT {_LATE}),
+late AS (SELECT DISTINCT input_addresses[1] AS a, unnest(input_addresses) AS b FROM cj WHERE NOT is_coinjoin AND len(input_addresses) > 0 AND {_LATE}
+  UNION SELECT input_addresses[1], 'A' || (regexp_extract(input_addresses[1], '^A(\\d+)-', 1)::INT + 1) || '-0' FROM cj WHERE NOT is_coinjoin AND len(input_addresses) > 0 AND {_LATE} AND obs_id % 97 = 1),
+early_walk(node, root) AS (SELECT a, a FROM (SELECT a FROM early UNION SELECT b FROM early) UNION SELECT s.b, w.root FROM early_walk w JOIN (SELECT a, b FROM early UNION SELECT b, a FROM early) s ON s.a = w.node),
+late_walk(node, root) AS (SELECT a, a FROM (SELECT a FROM late UNION SELECT b FROM late) UNION SELECT s.b, w.root FROM late_walk w JOIN (SELECT a, b FROM late UNION SELECT b, a FROM late) s ON s.a = w.node),
+early_ids AS (SELECT node AS address, {_ID} AS entity_id FROM early_walk GROUP BY node),
+late_ids AS (SELECT node AS address, {_ID} AS entity_id FROM late_walk GROUP BY node)""",
+)
 
 #: name -> (query over a capture, SQL twin)
 QUERIES = {
@@ -251,7 +271,7 @@ QUERIES = {
     "lead_dossier": (lambda c: windows.lead_dossier(c.scored.agg(F.min("entity_id")).first()[0], c.history, _events(c), windows.raise_alerts(c.history)), None),
     "resolve_identity": (lambda c: windows.resolve_identity(*_registry(c))[0], None),
     "identity_merges": (lambda c: windows.resolve_identity(*_registry(c))[1], None),
-    "remap_derived": (lambda c: windows.remap_derived(*_registry(c)), None),
+    "remap_derived": (lambda c: windows.remap_derived(*_registry(c)), over("SELECT l.entity_id AS derived, coalesce(min(e.entity_id), l.entity_id) AS key FROM late_ids l LEFT JOIN early_ids e USING (address) GROUP BY l.entity_id", "registry")),
     "rekeyed_flows": (
         lambda c: rounded(windows.rekey_flows(c.flows, c.entities.select(F.col("entity_id").alias("derived"), F.concat(F.lit("K"), F.substring("entity_id", -1, 1)).alias("key"))).groupBy("src", "dst").agg(F.sum("value").alias("value"), F.count("*").alias("n")), "value"),
         over("SELECT 'K' || right(src, 1) AS src, 'K' || right(dst, 1) AS dst, round(sum(value), 6) AS value, count(*) AS n FROM flows WHERE right(src, 1) <> right(dst, 1) GROUP BY 1, 2", "flows"),
@@ -299,6 +319,9 @@ QUERIES = {
     ),
     "psi": (lambda c: rounded(evaluate.psi(*_halves(c), evaluate.fit_reference(_halves(c)[0])), "psi"), over("SELECT feature, round(psi, 6) AS psi FROM psis", "drifted")),
     "ks_statistic": (lambda c: rounded(evaluate.ks_statistic(*_halves(c)), "ks").drop("p_value"), over("SELECT feature, round(ks, 6) AS ks, n, m FROM kss", "drifted")),
-    "drift": (lambda c: rounded(evaluate.drift(*_halves(c)), "psi", "ks", "p_value"), None),
-    "drift_verdict": (lambda c: evaluate.verdict(evaluate.drift(*_halves(c))), None),
+    "drift": (lambda c: rounded(evaluate.drift(*_halves(c)), "psi", "ks", "p_value"), over("SELECT feature, round(psi, 6) AS psi, round(ks, 6) AS ks, round(p_value, 6) AS p_value, drifted FROM drifts", "drifts")),
+    "drift_verdict": (
+        lambda c: evaluate.verdict(evaluate.drift(*_halves(c))),
+        over("SELECT features, drifted, CASE WHEN drifted = 0 THEN 'stable' WHEN drifted < 0.25 * features THEN 'some drift' ELSE 'drifted' END AS verdict FROM (SELECT count(*) AS features, count(*) FILTER (drifted) AS drifted FROM drifts)", "drifts"),
+    ),
 }

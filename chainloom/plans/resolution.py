@@ -23,6 +23,9 @@ def _r(*columns: str) -> str:
 _ENTITY = "entity_id, address_count, addresses, tx_count, tx_sent, tx_received, round(value_sent, 6) AS value_sent, round(value_received, 6) AS value_received, round(value_btc, 6) AS value_btc, fan_in, fan_out, distinct_counterparties, ip_count, ips, countries, country_count, asns, asn_count, active_days, first_seen, last_seen, round(burst_score, 6) AS burst_score, in_coinjoin"
 STRUCTURAL = ("change_ratio", "peel_score", "output_uniformity", "mixer_score", "mixer_interaction", "collector_score", "exchange_score", "round_amount_ratio", "mean_payment_btc")
 
+_SPEAKS = (("against", "collector_score", 0.3), ("against", "peel_score", 0.25), ("against", "mixer_score", 0.5), ("against", "mixer_interaction", 0.5), ("against", "country_count", 2), ("against", "burst_score", 0.5), ("for", "exchange_score", 0.5), ("for", "round_amount_ratio", 0.5))
+_REASONS = f"SELECT entity_id, len(kinds)::INT AS n, kinds FROM (SELECT entity_id, list_filter([{', '.join(f"CASE WHEN {c} >= {t} THEN '{k}' END" for k, c, t in _SPEAKS)}], lambda x: x IS NOT NULL) AS kinds FROM scored)"
+
 #: name -> (query over a capture, SQL twin)
 QUERIES = {
     "obs_view": (lambda c: c.raw, over("SELECT * FROM obs", "obs")),
@@ -77,7 +80,7 @@ QUERIES = {
         lambda c: detectors.rules_baseline(c.scored),
         over("SELECT entity_id, " + " OR ".join(f"{k} >= {v}" for k, v in detectors.RULES.items()) + " AS flagged FROM scored", "scored"),
     ),
-    "reasons": (lambda c: detectors.reasons(c.scored).select("entity_id", F.size("reasons").alias("n"), F.transform("reasons", lambda r: r["kind"]).alias("kinds")), None),
+    "reasons": (lambda c: detectors.reasons(c.scored).select("entity_id", F.size("reasons").alias("n"), F.transform("reasons", lambda r: r["kind"]).alias("kinds")), over(_REASONS, "scored")),
 }
 
 

@@ -119,7 +119,13 @@ QUERIES = {
             "folded",
         ),
     ),
-    "summary_sentence": (lambda c: corpus.summary_sentence(corpus.totals(c.obs, c.entities, c.mapping, c.controls), corpus.coverage(c.scored, FLOOR)), None),
+    "summary_sentence": (lambda c: corpus.summary_sentence(corpus.totals(c.obs, c.entities, c.mapping, c.controls), corpus.coverage(c.scored, FLOOR)), over(
+        f"""SELECT format('{{}} records over {{:.1f}} hours: {{}} addresses in {{}} entities, controlled from {{}} IPs in {{}} countries; {{}} flagged.', (SELECT count(*) FROM valued),
+  (SELECT (epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) / 3.6e9 FROM valued), (SELECT count(*) FROM mapping), (SELECT count(*) FROM entities), (SELECT count(DISTINCT ip) FROM controls),
+  (SELECT count(DISTINCT country) FROM controls WHERE country <> ''), (SELECT count(*) FROM scored WHERE risk >= {FLOOR})) AS sentence""",
+        "valued",
+        "scored",
+    )),
     "leads": (lambda c: rounded(results.leads(c.scored), "value_btc"), over("SELECT entity_id, risk, band, round(value_btc, 6) AS value_btc, confidence, rank::INT AS rank FROM ranked", "ranked")),
     "alert_ids": (lambda c: results.alert_ids(results.leads(c.scored, 25)), over("SELECT 'A-' || lpad(rank::VARCHAR, 4, '0') AS alert_id, entity_id, risk, band FROM ranked WHERE rank <= 25", "ranked")),
     "flow_edges_topk": (lambda c: rounded(results.top_flow_edges(c.pairs), "value"), over("SELECT src, dst, round(value, 6) AS value, n FROM (SELECT * FROM pairs ORDER BY value DESC, src, dst LIMIT 130)", "pairs")),
