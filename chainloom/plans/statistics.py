@@ -60,6 +60,16 @@ folded AS (SELECT d.*, CASE WHEN fold AND d = last_ THEN prev_ || '..' || substr
        (SELECT count(*) >= 3 AND max(n) FILTER (d = m) < 0.1 * quantile_cont(n, 0.5) FILTER (d <> m) AS fold FROM days, (SELECT max(d) AS m FROM days)))"""
 twins.add("folded", ("valued",), _days)
 
+def _union_estimates(c):
+    """``(item, exact, within)``: counts over all windows, and whether those from merged sketches of the windows lie within four standard errors."""
+    from chainloom.operators import monitor
+
+    found = corpus.merged_counts(corpus.window_sketches(monitor.span_windows(c.obs, 5)))
+    exact = corpus.profile(c.obs).select(F.explode(F.array(*(F.struct(F.lit(n).alias("item"), F.col(k).cast("long").alias("exact")) for n, k in (("rows", "rows"), ("transactions", "distinct_tx"), ("addresses", "addresses"))))).alias("i")).select("i.item", "i.exact")
+    exact = exact.unionByName(c.obs.agg(F.count_distinct("src_ip").alias("exact")).select(F.lit("ips").alias("item"), "exact"))
+    return found.join(exact, "item").select("item", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.033 * F.col("exact")).alias("within"))
+
+
 #: name -> (query over a capture, SQL twin)
 QUERIES = {
     "gate_clean": (
@@ -88,6 +98,14 @@ QUERIES = {
         lambda c: rounded(corpus.value_percentiles(c.obs), "value"),
         over("SELECT unnest([0.5, 0.9, 0.95, 0.99, 0.999, 1.0]::DOUBLE[]) AS p, unnest(list_transform(quantile_cont(value, [0.5, 0.9, 0.95, 0.99, 0.999, 1.0]), lambda x: round(x, 6))) AS value FROM valued", "valued"),
     ),
+    "union_estimates": (
+        _union_estimates,
+        over(
+            """SELECT item, exact, true AS within FROM (SELECT 'rows' AS item, count(*) AS exact FROM obs UNION ALL SELECT 'transactions', count(DISTINCT txid) FROM obs UNION ALL SELECT 'ips', count(DISTINCT src_ip) FROM obs
+  UNION ALL SELECT 'addresses', count(DISTINCT a) FROM (SELECT unnest(input_addresses) AS a FROM obs UNION ALL SELECT unnest(output_addresses) FROM obs))""",
+            "obs",
+        ),
+    ),
     "size_classes": (
         lambda c: rounded(corpus.size_classes(c.obs), "tx_share", "value_btc", "value_share"),
         over(
