@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from chainloom.operators import resolve
+from chainloom.operators import resolve, windows
 from chainloom.operators.gate import gate
 from chainloom.operators.monitor import Monitor
 from chainloom.sources.writers import StateTable
@@ -94,3 +97,62 @@ def late_rows(monitor: Monitor) -> DataFrame:
     """What came after its window had been taken."""
     inbox = f"{monitor.path}/inbox"
     return monitor.spark.read.option("basePath", inbox).parquet(f"{inbox}/batch=*").where("late").drop("late", "batch")
+
+
+class PresenceTimer(StatefulProcessor):
+    """Per entity the risk of its last window; a timer at the end of the next window tells if it stayed away."""
+
+    def __init__(self, floor: int, days: int) -> None:
+        self.floor, self.span = floor, days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "window_id int, risk int, ends long, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        told = []
+        seen = pd.concat(list(rows)).sort_values("window_id")
+        for r in seen.itertuples():
+            ends = int(r.ends.timestamp() * 1000)
+            held = self.last.get() if self.last.exists() else None
+            if held and held[0] >= r.window_id:
+                continue  # a row that came again, or out of order beyond the watermark
+            if held is None or r.window_id > held[0] + 1:
+                if held and held[1] >= self.floor and held[3]:  # its timer had no chance yet
+                    told.append((held[0] + 1, key[0], "DORMANT", held[1], None))
+                if r.risk >= self.floor:
+                    told.append((r.window_id, key[0], "RESURGENT" if held else "NEW_ENTITY", None, r.risk))
+            if held and held[3]:
+                self.handle.deleteTimer(held[3])
+            timer = ends + self.span if r.risk >= self.floor else 0
+            if timer:
+                self.handle.registerTimer(timer)
+            self.last.update((int(r.window_id), int(r.risk), ends, timer))
+        yield _presence(told)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        window_id, risk, ends, _ = self.last.get()
+        self.last.update((window_id, risk, ends, 0))
+        yield _presence([(window_id + 1, key[0], "DORMANT", risk, None)])
+
+    def close(self) -> None:
+        pass
+
+
+PRESENCE = "window_id int, entity_key string, type string, risk_from int, risk_to int"
+
+
+def _presence(told: list[tuple]) -> pd.DataFrame:
+    rows = pd.DataFrame(told, columns=[p.split()[0] for p in PRESENCE.split(", ")])
+    return rows.astype({"window_id": "int32", "entity_key": "object", "type": "object", "risk_from": "Int32", "risk_to": "Int32"})
+
+
+def presence_stream(scores: DataFrame, days: int = 1, floor: int = windows.FLOOR, late: str = "0 seconds") -> DataFrame:
+    """``(window_id, entity_key, type, risk_from, risk_to)``: NEW_ENTITY, RESURGENT and DORMANT as scores arrive.
+
+    ``scores`` is a stream of ``(window_id, entity_key, risk, ends)`` with windows of so many days, numbered without gaps, that end at
+    ``ends``.  State is a row per entity, spread by its key.  Silence is told when the watermark passes the end of the window
+    in which an entity did not appear, whether or not anything of that entity ever comes again.  Needs the RocksDB state store.
+    """
+    keyed = scores.withWatermark("ends", late).groupBy("entity_key")
+    return keyed.transformWithStateInPandas(PresenceTimer(floor, days), PRESENCE, "Append", "EventTime")
