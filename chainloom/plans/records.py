@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.operators import corpus, detectors, evaluate, features, gate, graph, models, results, training, windows
+from chainloom.operators import corpus, detectors, evaluate, features, gate, graph, models, presentation, results, training, windows
 from chainloom.plans import replay, twins
 from chainloom.plans.resolution import build, rounded
 from chainloom.plans.statistics import raw_text
@@ -49,10 +49,41 @@ def _checks(c) -> DataFrame:
     return results.payload_checks(c.scored, results.graph_edges(c.pairs, c.controls, c.scored), _cards(c), _histories(c))
 
 
-def _grouped(c) -> DataFrame:
+def _grouped(c, fit=models.fit_logistic) -> DataFrame:
     table = models.with_folds(c.pooled.withColumn("label", F.col("label").cast("double")), "window_id")
-    fit = lambda t: models.fit_logistic(t, features.fit_baseline(t))
-    return models.fold_summary(models.cross_validate(table, fit))
+    return models.fold_summary(models.cross_validate(table, lambda t: fit(t, features.fit_baseline(t))))
+
+
+def _windowed_flows(c) -> DataFrame:
+    days = windows.day_windows(c.obs)
+    return windows.assign_windows(c.flows, days).select("window_id", "src", "dst", "value")
+
+
+def _case_file(c) -> DataFrame:
+    """On the lead with the highest risk."""
+    key = c.scored.orderBy(F.desc("risk"), "entity_id").first()["entity_id"]
+    events = windows.with_detail(replay._events(c), replay._changes(c), c.history)
+    none = c.history.sparkSession.createDataFrame([], "old_key string, new_key string")
+    return presentation.case_file(key, c.history, events, windows.raise_alerts(c.history), none, _windowed_flows(c), graph.sink_entities(c.structural))
+
+
+def _document(c) -> DataFrame:
+    top = results.leads(c.scored, 25)
+    first = top.select(F.col("entity_id")).limit(5)
+    return presentation.document(
+        totals=corpus.totals(c.obs, c.entities, c.mapping, c.controls),
+        leads=top.select("rank", "entity_id", "risk", "band", "value_btc"),
+        entities=results.payload(c.scored.join(top.select("entity_id"), "entity_id", "left_semi"), c.pairs, c.controls),
+        edges=results.graph_edges(c.pairs, c.controls, c.scored),
+        endpoints=results.endpoint_nodes(c.controls, c.scored),
+        alerts=_cards(c).where("score >= 85").orderBy(F.desc("score"), "entity_key").limit(100),
+        traces=graph.trace_funds(c.flows, first, graph.sink_entities(c.structural)),
+        values=corpus.value_percentiles(c.obs),
+        sizes=corpus.size_classes(c.obs),
+        days=corpus.daily_volume(c.obs),
+        hours=corpus.hourly_profile(c.obs),
+        scores=results.score_distribution(c.scored),
+    )
 
 
 def _split(c) -> DataFrame:
@@ -166,6 +197,10 @@ QUERIES = {
     ),
     "training_rows": (lambda c: c.pooled, None),
     "grouped_validation": (_grouped, None),
+    "grouped_validation_forest": (lambda c: _grouped(c, models.fit_risk), None),
+    "case_file": (_case_file, None),
+    "capture_document": (_document, None),
+    "community_cards": (lambda c: presentation.community_cards(c.metrics.where("community >= 0").select(F.col("entity_id").alias("node"), "community")), None),
     "saved_baseline": (
         lambda c: rounded(_saved(replay._baseline(c.history), "baseline"), "median", "mad", "lower", "upper"),
         over("SELECT feature, round(median, 6) AS median, round(mad, 6) AS mad, round(lower, 6) AS lower, round(upper, 6) AS upper FROM hbase", "moves"),
