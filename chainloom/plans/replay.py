@@ -201,6 +201,14 @@ late_walk(node, root) AS (SELECT a, a FROM (SELECT a FROM late UNION SELECT b FR
 early_ids AS (SELECT node AS address, {_ID} AS entity_id FROM early_walk GROUP BY node),
 late_ids AS (SELECT node AS address, {_ID} AS entity_id FROM late_walk GROUP BY node)""",
 )
+twins.add(
+    "met",
+    ("registry",),
+    """links_met AS (SELECT DISTINCT 'c:' || l.entity_id AS a, 'k:' || e.entity_id AS b FROM late_ids l JOIN early_ids e USING (address)),
+met_walk(node, root) AS (SELECT a, a FROM (SELECT a FROM links_met UNION SELECT b FROM links_met) UNION SELECT s.b, w.root FROM met_walk w JOIN (SELECT a, b FROM links_met UNION SELECT b, a FROM links_met) s ON s.a = w.node),
+met AS (SELECT node, min(root) AS grp FROM met_walk GROUP BY node),
+best AS (SELECT grp, min(substr(node, 3)) AS survivor, count(*) AS n FROM met WHERE node LIKE 'k:%' GROUP BY grp)""",
+)
 
 #: name -> (query over a capture, SQL twin)
 QUERIES = {
@@ -268,9 +276,23 @@ QUERIES = {
         lambda c: windows.upsert_entities(*(c.history.where(w).groupBy("entity_key").agg(F.min("window_id").alias("first_window"), F.max("window_id").alias("last_window"), F.max_by("address_count", "window_id").alias("address_count")) for w in ("window_id <= 20", "window_id > 20"))),
         over("SELECT entity_key, min(window_id)::INT AS first_window, max(window_id)::INT AS last_window, arg_max(address_count, window_id) AS address_count FROM history GROUP BY 1", "history"),
     ),
-    "lead_dossier": (lambda c: windows.lead_dossier(c.scored.agg(F.min("entity_id")).first()[0], c.history, _events(c), windows.raise_alerts(c.history)), None),
-    "resolve_identity": (lambda c: windows.resolve_identity(*_registry(c))[0], None),
-    "identity_merges": (lambda c: windows.resolve_identity(*_registry(c))[1], None),
+    "lead_dossier": (
+        lambda c: windows.lead_dossier(c.scored.agg(F.min("entity_id")).first()[0], c.history, _events(c), windows.raise_alerts(c.history)).withColumns({n: F.to_json(n) for n in ("risks", "events")}),
+        over(
+            """SELECT k AS entity_key, (SELECT max(window_id)::INT FROM history WHERE entity_key = k) AS latest_window,
+  coalesce((SELECT to_json(list({'window_id': window_id::INT, 'risk': risk} ORDER BY window_id))::VARCHAR FROM history WHERE entity_key = k), '[]') AS risks,
+  coalesce((SELECT to_json(list({'window_id': window_id::INT, 'type': type} ORDER BY window_id, type))::VARCHAR FROM evts WHERE entity_key = k), '[]') AS events,
+  (SELECT max(peak_risk) FROM alerts WHERE entity_key = k) AS peak_risk, (SELECT max(status) FROM alerts WHERE entity_key = k) AS status FROM (SELECT min(entity_id) AS k FROM scored)""",
+            "scored",
+            "events",
+            "alerts",
+        ),
+    ),
+    "resolve_identity": (
+        lambda c: windows.resolve_identity(*_registry(c))[0],
+        over("SELECT derived, coalesce(survivor, derived) AS key, CASE WHEN survivor IS NULL THEN 'new' WHEN n > 1 THEN 'merged' ELSE 'kept' END AS state FROM (SELECT DISTINCT entity_id AS derived FROM late_ids) LEFT JOIN (SELECT substr(node, 3) AS derived, grp FROM met WHERE node LIKE 'c:%') USING (derived) LEFT JOIN best USING (grp)", "met"),
+    ),
+    "identity_merges": (lambda c: windows.resolve_identity(*_registry(c))[1], over("SELECT substr(node, 3) AS absorbed, survivor FROM met JOIN best USING (grp) WHERE node LIKE 'k:%' AND substr(node, 3) <> survivor", "met")),
     "remap_derived": (lambda c: windows.remap_derived(*_registry(c)), over("SELECT l.entity_id AS derived, coalesce(min(e.entity_id), l.entity_id) AS key FROM late_ids l LEFT JOIN early_ids e USING (address) GROUP BY l.entity_id", "registry")),
     "rekeyed_flows": (
         lambda c: rounded(windows.rekey_flows(c.flows, c.entities.select(F.col("entity_id").alias("derived"), F.concat(F.lit("K"), F.substring("entity_id", -1, 1)).alias("key"))).groupBy("src", "dst").agg(F.sum("value").alias("value"), F.count("*").alias("n")), "value"),
