@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from chainloom.operators.graph import number_communities
 from chainloom.operators.quantiles import running_sums
-from chainloom.storage import settle
+from chainloom.storage import release, settle
 
 #: Gains below this share of the whole count as none.
 LEAST = 1e-12
@@ -73,7 +73,10 @@ def _moved(both: DataFrame, degrees: DataFrame, labels: DataFrame, twice: float,
         if wants.isEmpty():
             break
         any_ = True
+        before = labels
         labels = settle(labels.join(free.select("node", "to"), "node", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        release(before)
+        release(wants)
     return labels, any_
 
 
@@ -88,12 +91,14 @@ def modularity_communities(links: DataFrame, rounds: int = 20, passes: int = 3,
     both = settle(links.select(F.col("a").alias("node"), F.col("b").alias("other"), "value").unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other"), "value")), "both")
     degrees = settle(both.groupBy("node").agg(F.sum("value").alias("degree")), "degrees")
     twice = degrees.agg(F.sum("degree")).first()[0]
-    labels = degrees.select("node", F.col("node").alias("label"))
+    labels = settle(degrees.select("node", F.col("node").alias("label")), "labels")
     if twice:
         for _ in range(passes):
             while not (joins := settle(_merge_round(*_contracted(links, labels), twice), "joins")).isEmpty():
-                into = joins.select(F.col("node").alias("label"), "into")
+                into, before = joins.select(F.col("node").alias("label"), "into"), labels
                 labels = settle(labels.join(into, "label", "left").select("node", F.coalesce("into", "label").alias("label")), "labels")
+                release(before)
+                release(joins)
                 labels, _ = _moved(both, degrees, labels, twice, polish)
             labels, moved = _moved(both, degrees, labels, twice, rounds)
             if not moved:

@@ -29,3 +29,16 @@ def settle(df: DataFrame, tag: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(settled: DataFrame | None) -> None:
+    """Deletes the folder of a settled table that another has replaced; nothing lazy may still read it."""
+    if settled is None:
+        return
+    spark = settled.sparkSession
+    own = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/"
+    folders = {f.rsplit("/", 1)[0] for f in settled.inputFiles()}
+    for folder in folders:
+        if own.split(":", 1)[-1].replace("//", "/").strip("/") in folder:  # only what settle() wrote in this session
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
