@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.functions.keys import graph_of
 from chainloom.operators.resolve import exploded
 
 
@@ -56,13 +57,14 @@ def mixer_scores(entities: DataFrame, obs: DataFrame, mapping: DataFrame, edges:
     )
 
 
-def flow_shape(entities: DataFrame) -> DataFrame:
-    """``(entity_id, collector_score, exchange_score)``, fans scaled by the largest of the capture (one row, joined)."""
-    tops = entities.agg(F.greatest(F.max("fan_in"), F.lit(1)).alias("top_in"), F.greatest(F.max("fan_out"), F.lit(1)).alias("top_out"))
+def flow_shape(entities: DataFrame, many: bool = False) -> DataFrame:
+    """``(entity_id, collector_score, exchange_score)``, fans scaled by the largest of the capture (a row for each, joined)."""
+    entities = entities.select("*", graph_of("entity_id", many).alias("graph"))
+    tops = entities.groupBy("graph").agg(F.greatest(F.max("fan_in"), F.lit(1)).alias("top_in"), F.greatest(F.max("fan_out"), F.lit(1)).alias("top_out"))
     fi, fo = F.col("fan_in").cast("double"), F.col("fan_out").cast("double")
     lean = clip((fi - fo) / F.greatest(fi, F.lit(1.0)))
     even = 1.0 - F.abs(fi - fo) / F.greatest(fi + fo, F.lit(1.0))
-    return entities.crossJoin(F.broadcast(tops)).select(
+    return entities.join(F.broadcast(tops), "graph").select(
         "entity_id",
         clip(fi / F.col("top_in") * lean * 1.5).alias("collector_score"),
         clip(F.least(fi / F.col("top_in"), fo / F.col("top_out")) * even * 1.4).alias("exchange_score"),
@@ -78,9 +80,9 @@ def value_shape(entities: DataFrame, obs: DataFrame, first: DataFrame) -> DataFr
     return entities.select("entity_id").join(shape, "entity_id", "left").select("entity_id", F.coalesce("r", F.lit(0.0)).alias("round_amount_ratio"), F.coalesce("m", F.lit(0.0)).alias("mean_payment_btc"))
 
 
-def structural_features(entities: DataFrame, obs: DataFrame, mapping: DataFrame, edges: DataFrame, first: DataFrame) -> DataFrame:
+def structural_features(entities: DataFrame, obs: DataFrame, mapping: DataFrame, edges: DataFrame, first: DataFrame, many: bool = False) -> DataFrame:
     """All detector columns, one row per entity."""
-    parts = [peel_scores(entities, edges), mixer_scores(entities, obs, mapping, edges, first), flow_shape(entities), value_shape(entities, obs, first)]
+    parts = [peel_scores(entities, edges), mixer_scores(entities, obs, mapping, edges, first), flow_shape(entities, many), value_shape(entities, obs, first)]
     return reduce(lambda a, b: a.join(b, "entity_id", "full"), parts).fillna(0.0)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chainloom.functions.keys import graph_of, keyed, name_of
 from chainloom.operators.components import connected_components
 
 
@@ -40,21 +41,21 @@ def stable_id(anchor: Column, prefix: str = "E-", digits: int = 9) -> Column:
     return F.concat(F.lit(prefix), F.lpad((head % F.lit(10**digits).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string"), digits, "0"))
 
 
-def with_stable_ids(sizes: DataFrame, prefix: str = "E-") -> DataFrame:
+def with_stable_ids(sizes: DataFrame, prefix: str = "E-", many: bool = False) -> DataFrame:
     """``(anchor, n)`` to ``(anchor, entity_id)``: among clusters of one 9-digit id the largest keeps it, then by
-    anchor; the others take 12 digits, and 15 where that collides too."""
+    anchor; the others take 12 digits, and 15 where that collides too.  Anchors of many graphs get keys of theirs."""
     order = lambda c: W.partitionBy(c).orderBy(F.desc("n"), "anchor")
-    ids = sizes.select("anchor", "n", *(stable_id(F.col("anchor"), prefix, d).alias(f"d{d}") for d in (9, 12, 15)))
+    ids = sizes.select("anchor", "n", *((keyed(graph_of("anchor"), stable_id(name_of("anchor"), prefix, d)) if many else stable_id(F.col("anchor"), prefix, d)).alias(f"d{d}") for d in (9, 12, 15)))
     ids = ids.withColumn("r9", F.row_number().over(order("d9")))
     first = ids.where("r9 = 1").select("anchor", F.col("d9").alias("entity_id"))
     rest = ids.where("r9 > 1").withColumn("r12", F.row_number().over(order("d12")))
     return first.unionByName(rest.select("anchor", F.when(F.col("r12") == 1, F.col("d12")).otherwise(F.col("d15")).alias("entity_id")))
 
 
-def entity_map(obs: DataFrame) -> DataFrame:
+def entity_map(obs: DataFrame, many: bool = False) -> DataFrame:
     """``(address, entity_id)`` of every input address outside coordinated rounds (common-input ownership)."""
     members = connected_components(co_spend_edges(obs), "anchor", "other").select(F.col("node").alias("address"), F.col("component").alias("anchor"))
-    return members.join(with_stable_ids(members.groupBy("anchor").agg(F.count("*").alias("n"))), "anchor").select("address", "entity_id")
+    return members.join(with_stable_ids(members.groupBy("anchor").agg(F.count("*").alias("n")), many=many), "anchor").select("address", "entity_id")
 
 
 def entity_members(mapping: DataFrame) -> DataFrame:

@@ -3,42 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.functions.keys import graph_of, keyed, name_of
 from chainloom.operators import correlate, detectors, evaluate, features, graph, resolve
 from chainloom.storage import settle
 
 
-def full_features(obs: DataFrame, mapping: DataFrame) -> DataFrame:
+def full_features(obs: DataFrame, mapping: DataFrame, many: bool = False) -> DataFrame:
     """``entity_id`` and the 28 features of ``obs`` (``resolve.coinjoin_like`` columns): correlate, detectors, graph, table."""
     senders = settle(resolve.dominant_owner(obs, "input_addresses", mapping), "senders")
     receivers = settle(resolve.dominant_owner(obs, "output_addresses", mapping), "receivers")
     flows = settle(correlate.flows(obs, senders, mapping), "flows")
     entities = settle(correlate.entities(obs, mapping, senders, receivers, flows, correlate.controls(obs, senders)), "entities")
-    structural = detectors.structural_features(entities, obs, mapping, flows, resolve.first_owner(obs, "input_addresses", mapping))
-    return features.feature_table(entities, settle(structural, "structural"), graph.graph_metrics(flows))
+    structural = detectors.structural_features(entities, obs, mapping, flows, resolve.first_owner(obs, "input_addresses", mapping), many)
+    return features.feature_table(entities, settle(structural, "structural"), graph.graph_metrics(flows, many=many))
 
 
-def pooled_rows(obs: DataFrame, truth: DataFrame, describe: Callable[[DataFrame, DataFrame], DataFrame] = full_features) -> DataFrame:
+def keyed_by_window(obs: DataFrame) -> DataFrame:
+    """``obs`` without ``window_id``, its observation ids and addresses keyed by it, so that windows share nothing.
+
+    A null address stays null; rows without a window are left out.
+    """
+    window = F.col("window_id")
+    inside = lambda c: F.transform(c, lambda a: keyed(window, a))
+    return obs.where("window_id is not null").withColumns({"obs_id": keyed(window, F.col("obs_id")), "input_addresses": inside("input_addresses"), "output_addresses": inside("output_addresses")}).drop("window_id")
+
+
+def pooled_rows(obs: DataFrame, truth: DataFrame, describe: Callable[[DataFrame, DataFrame], DataFrame] = partial(full_features, many=True)) -> DataFrame:
     """``(window_id, entity_id, label, features...)``: each window resolved and described by itself, then pooled.
 
     ``obs`` has ``window_id``, ``truth`` is ``(address, label, typology)``; an entity without known addresses has label 0.
-    The windows are a handful of numbers, looped over on the driver; their observations stay distributed.
+    All windows go through one job, however many: addresses, observations and entities are keyed by window
+    (:mod:`chainloom.functions.keys`), so components, edges and graphs of different windows do not touch.  ``describe`` gets such keys and must
+    not compare entities of different windows, as :func:`full_features` does not with ``many``.
     Folds by ``window_id`` (:func:`chainloom.operators.models.with_folds`) keep one wallet's rows of one window together.
     """
-    out = None
-    for (window_id,) in sorted(obs.select("window_id").distinct().collect()):
-        mine = settle(obs.where(F.col("window_id") == window_id).drop("window_id"), "window")
-        mapping = settle(resolve.entity_map(mine), "mapping")
-        labels = evaluate.project_labels(mapping, truth).select("entity_id", "label")
-        rows = describe(mine, mapping).join(labels, "entity_id", "left").withColumns({"window_id": F.lit(window_id), "label": F.coalesce("label", F.lit(0))})
-        rows = settle(rows.select("window_id", "entity_id", "label", *(c for c in rows.columns if c not in ("window_id", "entity_id", "label"))), "rows")
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    whole = settle(keyed_by_window(obs), "windows")
+    if whole.isEmpty():
         raise ValueError("no window has observations")
-    return out
+    mapping = settle(resolve.entity_map(whole, many=True), "mapping")
+    labels = evaluate.project_labels(mapping.select(name_of("address").alias("address"), "entity_id"), truth).select("entity_id", "label")
+    rows = describe(whole, mapping).join(labels, "entity_id", "left")
+    names = [c for c in rows.columns if c not in ("entity_id", "label")]
+    kind = obs.schema["window_id"].dataType
+    return settle(rows.select(graph_of("entity_id").cast(kind).alias("window_id"), name_of("entity_id").alias("entity_id"), F.coalesce("label", F.lit(0)).alias("label"), *names), "rows")
 
 
 def window_sizes(pooled: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Reports added up, notes, checks of what is shown, pooled training rows, splits by class."""
 
+import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from chainloom.operators import corpus, gate, models, monitor, resolve, results, training, windows
@@ -68,3 +70,25 @@ def test_isolation_trees_get_full_samples(spark):
     table = spark.range(600).select(F.concat(F.lit("E-"), "id").alias("entity_id"), F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"))
     forest = models.fit_isolation(table, ("x", "y"), trees=8, sample=64).collect()
     assert len(forest) == 8 and all(r.rows == 64 for r in forest)
+
+
+def test_one_job_for_all_windows_gives_what_each_gives_alone(spark):
+    draw, rows = random.Random(5), []
+    for i in range(160):
+        day, some = 1 + i % 3, lambda n: [f"a{draw.randrange(24):02}" for _ in range(n)]
+        inputs, outputs = some(4 if i % 20 == 0 else draw.choice([1, 1, 2])), some(draw.choice([1, 2, 3]))
+        paid = [2.0] * 4 if i % 20 == 0 else [float(draw.randrange(1, 90)) / 10 for _ in inputs]
+        gained = [1.0] * len(outputs) if i % 20 == 0 else [float(draw.randrange(1, 90)) / 10 for _ in outputs]
+        rows.append((i, f"t{i}", datetime(2024, 1, day, draw.randrange(24)), f"10.0.0.{draw.randrange(9)}", "10.0.0.2", draw.choice(["DE", "NL", ""]), draw.choice(["1", "2"]), inputs, outputs, paid, gained))
+    raw = spark.createDataFrame(rows, "obs_id long, txid string, timestamp timestamp, src_ip string, dst_ip string, geo_country string, asn string, input_addresses array<string>, output_addresses array<string>, input_amounts array<double>, output_amounts array<double>")
+    obs = monitor.span_windows(resolve.coinjoin_like(raw), 1)
+    truth = spark.createDataFrame([(f"a{i:02}", i % 2, "wallet") for i in range(0, 24, 3)], "address string, label int, typology string")
+    pooled = {(r.window_id, r.entity_id): r.asDict() for r in training.pooled_rows(obs, truth).collect()}
+    alone = {}
+    for window_id in (1, 2, 3):
+        mine = obs.where(obs.window_id == window_id).drop("window_id")
+        for r in training.full_features(mine, resolve.entity_map(mine)).collect():
+            alone[window_id, r.entity_id] = r.asDict()
+    assert pooled.keys() == alone.keys() and {w for w, _ in alone} == {1, 2, 3}
+    for at, row in alone.items():
+        assert all(pooled[at][n] == pytest.approx(v) for n, v in row.items()), (at, row, pooled[at])
