@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Benchmark items and documents are joined on shared token seeds (hashes of a few consecutive tokens).
+Benchmark items and documents are joined on shared token seeds (hashes of a few consecutive tokens), of each item
+those that are rarest among the items and that a contaminated document cannot all lack.
 For every pair whose shared seeds could cover enough of the item, running Karp-Rabin matching marks
 the longest common stretches first, without overlap, wherever they stand: a passage whose sentences
 were reordered is covered as well as an intact one.  A document is contaminated by an item if the
@@ -9,12 +10,12 @@ tiles cover at least ``coverage`` of the item's tokens.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chainloom.llm.common import map_rows
@@ -44,57 +45,84 @@ def seeds(hashes: np.ndarray, width: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _running(row: np.ndarray, least: int) -> np.ndarray:
+    """Karp-Rabin hashes (modulo 2^64) of every ``least`` numbers: differences of one running sum, brought to one power."""
+    row = (row.astype(np.uint64) + np.uint64(1)) * _STEP
+    up, down = (np.cumprod(np.full(len(row), x, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(row * down, dtype=np.uint64)])
+    return (sums[least:] - sums[:-least]) * up[least - 1 :]
+
+
+def _matches(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, length)`` of the common stretches of ``least`` or more that can be extended neither way.
+
+    Equal windows are met ``_MEET`` pairs at a time, and only those are kept that begin or end a stretch; along a diagonal
+    beginnings and ends alternate, so they pair up in order.  No pair is walked token by token.
+    """
+    none = np.zeros(0, np.int64)
+    if min(len(a), len(b)) < least:
+        return none, none, none
+    mine, other = _running(a, least), _running(b, least)
+    order = np.argsort(mine, kind="stable").astype(np.int32)
+    mine = mine[order]
+    left = np.searchsorted(mine, other)
+    counts = np.searchsorted(mine, other, "right") - left
+    some = np.flatnonzero(counts)
+    upto = np.concatenate([[0], np.cumsum(counts[some])])
+    before_a, before_b = np.concatenate([[-1], a]), np.concatenate([[-2], b])  # what stands before the window at a place
+    after_a, after_b = np.concatenate([a[least:], [-1]]), np.concatenate([b[least:], [-2]])  # and after it
+    ends: list[list[np.ndarray]] = [[], []]
+    low = 0
+    while low < len(some):
+        high = max(low + 1, int(np.searchsorted(upto, upto[low] + _MEET, "right")) - 1)
+        take = some[low:high]
+        j = np.repeat(take.astype(np.int32), counts[take])
+        i = order[np.arange(len(j)) + np.repeat(left[take] - upto[low:high] + upto[low], counts[take])]
+        for side, edge in enumerate((before_a[i] != before_b[j], after_a[i] != after_b[j])):
+            x, y = i[edge].astype(np.int64), j[edge].astype(np.int64)
+            real = np.ones(len(x), bool)
+            for t in range(least):
+                real &= a[x + t] == b[y + t]
+            ends[side].append(np.stack([y - x, x])[:, real])
+        low = high
+    first, last = (np.concatenate(e, axis=1) if e else np.zeros((2, 0), np.int64) for e in ends)
+    first, last = (e[:, np.lexsort((e[1], e[0]))] for e in (first, last))
+    return first[1], first[0] + first[1], last[1] - first[1] + least
+
+
+#: Base of the running hashes (odd, so it has an inverse); pairs of equal windows looked at together.
+_BASE, _MEET = 0x9E3779B97F4A7C15, 1 << 20
+
+
 def tile(item: list, runs: list[list], least: int) -> list[tuple[int, int, int, int]]:
     """Greedy string tiling: ``(item position, run, position in run, length)``, longest first.
 
     Every token of the item and of the runs belongs to one tile at most; no tile is shorter than ``least``.  Running
-    Karp-Rabin hashes of ``least`` tokens find where matches start; each is extended as far as it goes.  The
+    Karp-Rabin hashes of ``least`` tokens find where matches start and end.  The
     longest match left is marked next, ties by place; one that marked tiles overlap comes back as the stretches
-    that are still free.  So the tiles do not depend on how much else the runs hold.
+    that are still free.  So the tiles do not depend on how much else the runs hold.  It ends when no ``least`` tokens of the item are free.
     """
-    base, mod = 1_000_003, (1 << 61) - 1
     number = {t: i + 1 for i, t in enumerate(dict.fromkeys(item))}
-    a, b = [number[t] for t in item], [[number.get(t, 0) for t in r] for r in runs]
-    top = pow(base, least, mod)
-
-    def windows(row: list[int]) -> Iterator[tuple[int, int]]:
-        h = 0
-        for j, x in enumerate(row):
-            h = (h * base + x - (row[j - least] * top if j >= least else 0)) % mod
-            if j >= least - 1:
-                yield j - least + 1, h
-
-    at = defaultdict(list)
-    for i, h in windows(a):
-        at[h].append(i)
+    a, b = np.array([number[t] for t in item], np.int64), [np.array([number.get(t, 0) for t in r], np.int64) for r in runs]
     heap: list[tuple[int, int, int, int]] = []
     for r, row in enumerate(b):
-        for j, h in windows(row):
-            for i in at.get(h, ()):
-                if (i and j and a[i - 1] == row[j - 1]) or a[i : i + least] != row[j : j + least]:
-                    continue  # part of a match that starts earlier, or a hash collision
-                n = least
-                while i + n < len(a) and j + n < len(row) and a[i + n] == row[j + n]:
-                    n += 1
-                heap.append((-n, i, r, j))
+        i, j, n = _matches(a, row, least)
+        heap += zip((-n).tolist(), i.tolist(), [r] * len(i), j.tolist(), strict=True)
     heapify(heap)
-    free_item, free_runs = bytearray(b"\1" * len(item)), [bytearray(b"\1" * len(r)) for r in runs]
+    free_item, free_runs, left = np.ones(len(a), bool), [np.ones(len(r), bool) for r in b], len(a)
     found: list[tuple[int, int, int, int]] = []
-    while heap:
+    while heap and left >= least:
         n, i, r, j = heappop(heap)
         n = -n
-        if 0 not in free_item[i : i + n] and 0 not in free_runs[r][j : j + n]:
-            free_item[i : i + n], free_runs[r][j : j + n] = bytes(n), bytes(n)
+        free = free_item[i : i + n] & free_runs[r][j : j + n]
+        if free.all():
+            free_item[i : i + n], free_runs[r][j : j + n], left = False, False, left - n
             found.append((i, r, j, n))
-            continue
-        start = None
-        for k in range(n + 1):
-            if k < n and free_item[i + k] and free_runs[r][j + k]:
-                start = k if start is None else start
-            elif start is not None:
-                if k - start >= least:
-                    heappush(heap, (start - k, i + start, r, j + start))
-                start = None
+        elif free.any():
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8))).tolist()
+            for start, end in zip(edges[::2], edges[1::2], strict=True):
+                if end - start >= least:
+                    heappush(heap, (start - end, i + start, r, j + start))
     return found
 
 
@@ -125,15 +153,26 @@ def _findings(docs: DataFrame, benchmark: DataFrame, coverage: float, width: int
         known = np.sort(distinct.toArrow()["seed"].to_numpy())
     rows = docs.select("doc_id", _row_key().alias("doc"), "text")
     hits = settle(map_rows(rows, lambda c: _run_rows(c, widths, known), "doc_id long, doc long, runs array<binary>, seeds array<long>"), "seed_hits")
-    shared = hits.select("doc", F.explode("seeds").alias("seed")).distinct().join(entries, "seed")
-    pairs = shared.groupBy("doc", "item", "n", "width").agg(F.countDistinct("pos").alias("positions"))
-    pairs = pairs.where(F.col("positions") * F.col("width") >= F.col("n") * F.lit(coverage)).select("doc", "item")
+    pairs = hits.select("doc", F.explode("seeds").alias("seed")).join(_telling(entries, coverage), "seed").select("doc", "item").distinct()
     texts = items.select("item", "n", "width", "words").distinct()
     both = hits.select("doc_id", "doc", "runs").join(pairs, "doc").join(texts, "item")  # a row per pair: no list grows with the items of a document
     tiled = map_rows(both, lambda c: _tile_rows(c, coverage), "doc_id long, doc long, item long, covered int, tiles int")
     return tiled.join(items.select("item_id", "item", F.col("n").alias("n_tokens")), "item")
 
 
+def _telling(entries: DataFrame, coverage: float) -> DataFrame:
+    """``(item, seed)``: of each item the seeds that a contaminated document cannot all lack, the rarest among the items.
+
+    A document that covers enough of an item shares at least n * coverage / width of its positions, so it shares one of any set that leaves
+    fewer out.  Seeds of a template that many items have are those left out, as far as their items have others.
+    """
+    spread = entries.groupBy("seed").agg(F.count_distinct("item").alias("items"))
+    # the positions of one item, which one row held before
+    ranked = entries.join(spread, "seed").withColumn("at", F.row_number().over(W.partitionBy("item", "n", "width").orderBy("items", "pos")))
+    needed = F.greatest(F.ceil(F.col("n") * F.lit(coverage) / F.col("width") - 1e-9), F.lit(1))
+    return ranked.where(F.col("at") <= F.col("n") - F.col("width") + 1 - needed + 1).select("item", "seed").distinct()
+
+
 def _item_rows(c: dict, width: int):
     for item_id, item, text in zip(c["item_id"], c["item"], c["text"], strict=True):
         if words := tokens(text):
@@ -162,9 +201,12 @@ def _run_rows(c: dict, widths: list[int], known: np.ndarray | None):
 
 def _tile_rows(c: dict, coverage: float):
     for doc_id, doc, runs, item, n, width, text in zip(*(c[k] for k in ("doc_id", "doc", "runs", "item", "n", "width", "words")), strict=True):
-        words = text.split()
+        words, parts = text.split(), list(map(bytes.split, runs))
+        shared = np.isin(seeds(token_hashes(words), width), np.concatenate([seeds(token_hashes(r), width) for r in parts]))
+        if shared.sum() * width < coverage * n:
+            continue
         wanted = set(words)
-        tiles = tile(words, [r for r in map(bytes.split, runs) if not wanted.isdisjoint(r)], width)
+        tiles = tile(words, [r for r in parts if not wanted.isdisjoint(r)], width)
         covered = sum(t[3] for t in tiles)
         if covered >= coverage * n:
             yield doc_id, doc, item, covered, len(tiles)

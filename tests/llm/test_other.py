@@ -1,6 +1,7 @@
 import pathlib
 import random
 import textwrap
+import time
 
 import numpy as np
 import pytest
@@ -17,6 +18,69 @@ def test_tiles_cover_reordered_passages():
     assert decontaminate.tile("a b a b".split(), ["a b".split(), "a b a".split()], 2) == [(0, 1, 0, 3)]
 
 
+def plain_tiles(item, runs, least):
+    """Looks at all pairs of places for the longest free match again and again."""
+    taken, found = set(), []
+    while True:
+        best = None
+        for i in range(len(item)):
+            for r, row in enumerate(runs):
+                for j in range(len(row)):
+                    n = 0
+                    while i + n < len(item) and j + n < len(row) and item[i + n] == row[j + n] and not {i + n, (r, j + n)} & taken:
+                        n += 1
+                    if n >= least and (best is None or (-n, i, r, j) < best):
+                        best = (-n, i, r, j)
+        if best is None:
+            return found
+        n, i, r, j = -best[0], *best[1:]
+        taken |= {i + k for k in range(n)} | {(r, j + k) for k in range(n)}
+        found.append((i, r, j, n))
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "abc", "abcdefgh"])
+def test_tiles_equal_those_of_plain_search(letters, monkeypatch):
+    draw = random.Random(letters)
+    for case in range(60):
+        monkeypatch.setattr(decontaminate, "_MEET", draw.choice([1, 7, 1 << 20]))
+        item = draw.choices(letters, k=draw.randrange(14))
+        runs = [draw.choices(letters + "x", k=draw.randrange(16)) for _ in range(draw.randrange(3))]
+        least = draw.randrange(1, 5)
+        assert decontaminate.tile(item, runs, least) == plain_tiles(item, runs, least), (item, runs, least)
+
+
+def test_repetitive_text_is_tiled_in_seconds():
+    began = time.time()
+    assert decontaminate.tile(["a"] * 1000, [["a"] * 20_000], 5) == [(0, 0, 0, 1000)]
+    assert decontaminate.tile(["a", "b"] * 300, [["a", "b"] * 5000], 5) == [(0, 0, 0, 600)]
+    assert time.time() - began < 20  # some 2 s on one core; the plain product of both lengths took 26
+
+
+def test_contamination_equals_that_of_all_pairs(spark, make):
+    """Items that share a template, documents that hold pieces of them in any order."""
+    draw = random.Random(8)
+    template = "which of the following is the best answer to this question".split()
+    items = [(k, " ".join(template + draw.choices([f"w{k}{c}" for c in "abcdefgh"], k=draw.randrange(0, 24)))) for k in range(12)]
+    docs = [(900 + d, " ".join(template)) for d in range(3)]
+    for d in range(60):
+        words = []
+        for _ in range(draw.randrange(1, 4)):
+            piece = draw.choice(items)[1].split()
+            start = draw.randrange(len(piece))
+            words += piece[start : start + draw.randrange(3, 30)] + draw.choices("uvxyz", k=draw.randrange(4))
+        docs.append((d, " ".join(words)))
+    expect = set()
+    for d, text in docs:
+        for k, item in items:
+            n = len(item.split())
+            covered = sum(t[3] for t in plain_tiles(item.split(), [text.split()], 5))
+            if covered >= 0.6 * n:
+                expect.add((d, k, covered))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.covered) for r in decontaminate.contaminated(make(docs), bench).collect()}
+    assert found == expect and len(found) > 20
+
+
 def test_contaminated_pairs(spark, make, prose):
     items = [(1, prose(40, 500)), (2, prose(30, 501)), (3, "tiny item"), (4, None), (4, ""), (None, prose(25, 502))]
     bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc string")
