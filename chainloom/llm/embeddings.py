@@ -1,8 +1,8 @@
 """Embedding near-duplicates by dual traversal of cover trees: exact threshold pairs.
 
-Vectors of unit length are grouped around centres into blocks of bounded size, neighbouring blocks into tiles.
-Blocks and tiles carry a centre and a covering radius.  Every block gets its cover tree once, nested levels of
-centres with halving radii, and travels with it.  Two tiles meet in a task only if their radii leave room
+Vectors of unit length are grouped around centres into cells, cells too large for a block around centres of their own, and so on; a cell is
+a block, neighbouring blocks are a tile.  Blocks and tiles carry a centre and a covering radius.  Every block gets its cover tree once, nested levels of
+centres with halving radii, and travels with it.  Two tiles meet in a task only if the radii of two of their blocks leave room
 for a pair within the distance; there two blocks are compared only if theirs do, by descending both trees
 together and dropping a pair of nodes when the distance of their points exceeds the threshold plus both
 covering radii.  Equal vectors are one point with a multiplicity, and a task hands on link counts and a
@@ -22,10 +22,14 @@ from chainloom.llm.simhash import join_roots
 from chainloom.operators.components import connected_components
 from chainloom.storage import settle
 
-#: Numbers (vectors times dimension) and vectors per block; blocks of neighbouring cells and parts per tile; centres that attract vectors.
-BLOCK_VALUES, BLOCK, CELLS, PARTS, CENTRES = 1 << 18, 4096, 8, 4, 64
+#: Numbers (vectors times dimension) and vectors per block; neighbouring cells per tile; centres that attract vectors, at each division.
+BLOCK_VALUES, BLOCK, CELLS, CENTRES = 1 << 18, 4096, 8, 64
+#: Vectors of a cell from which the centres of its division come; vectors that a task gives their centre; divisions by centres.
+PICKED, DEALT, DIVISIONS = 256, 512, 16
+#: Blocks that a wide cell makes at most where it falls into clumps, and the radius from which a cell counts as wide.
+CLUMPS, NARROW = 8, 0.25
 #: Tile heads that one task compares with as many others.
-HEADS = 512
+HEADS = 64
 #: Slack of the pruning in single precision; every link is decided in double precision.
 SLACK = 1e-4
 #: Bytes of vectors gathered for pairs at once.
@@ -211,11 +215,14 @@ def _centres(points: DataFrame, most: int) -> list[np.ndarray]:
 BLOCKS = "tile long, block long, dim int, n int, ids binary, weights binary, vectors binary, tree binary, centre binary, radius double"
 
 
-def _pack_blocks(points: DataFrame, centres: list[np.ndarray]) -> DataFrame:
-    """One row per block: at most ``BLOCK`` vectors of one cell and ``BLOCK_VALUES`` numbers."""
+def _named_tile(dim: str, *within: F.Column) -> F.Column:
+    """A tile's name: its dimension, and 40 bits for the neighbouring cells that it holds; tiles of equal bits become one."""
+    return F.shiftleft(F.col(dim).cast("long"), 40) + F.xxhash64(*within).bitwiseAND(F.lit((1 << 40) - 1))
+
+
+def _in_cells(points: DataFrame, centres: list[np.ndarray], element: str) -> DataFrame:
+    """Every vector in the cell of the nearest of its dimension's ``centres``, in one pass without a shuffle."""
     by_dim = {c.shape[1]: c for c in centres}
-    element = points.schema["embedding"].dataType.elementType.typeName()
-    kind = np.float32 if element == "float" else np.float64
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,26 +233,151 @@ def _pack_blocks(points: DataFrame, centres: list[np.ndarray]) -> DataFrame:
                 if dim in by_dim:
                     for i, c in zip(at, (_unit(np.array([vectors[i] for i in at], np.float64)) @ by_dim[dim].T).argmax(axis=1).tolist(), strict=True):
                         cell[i] = c
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(map(len, vectors), pa.int32())], ["point", "weight", "embedding", "cell", "dim"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64()), pa.array(map(len, vectors), pa.int32())], ["point", "weight", "embedding", "cell", "dim"])
 
-    placed = settle(points.select("point", "weight", "embedding").mapInArrow(cells, f"point long, weight long, embedding array<{element}>, cell int, dim int"), "cells")
+    placed = points.select("point", "weight", "embedding").mapInArrow(cells, f"point long, weight long, embedding array<{element}>, cell long, dim int")
     most = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.expr(f"{BLOCK_VALUES} div dim"))).cast("int")
-    sizes = placed.groupBy("dim", "cell").count().withColumn("most", most).select("dim", "cell", "most", F.ceil(F.col("count") / (F.col("most") * 0.9)).alias("parts"))
-    dealt = placed.join(F.broadcast(sizes) if len(by_dim) <= 64 else sizes, ["dim", "cell"])  # at most CENTRES rows per dimension
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("point"), "parts"))
+    return placed.withColumn("most", most).withColumn("tile", _named_tile("dim", F.floor(F.col("cell") / CELLS)))
+
+
+def _picked(unit: np.ndarray, ways: int) -> np.ndarray:
+    """Up to ``ways`` rows as centres, neighbours in a row: half of them far from each other, which halves radii, half as they come, which halves crowds."""
+    chosen, gap = [0], 2 - 2 * unit @ unit[0]
+    while len(chosen) < ways and gap.max() > 1e-9:
+        crowd = np.flatnonzero(gap > 1e-9)[0] if 2 * len(chosen) >= ways else gap.argmax()
+        chosen.append(int(crowd))
+        gap = np.minimum(gap, 2 - 2 * unit @ unit[chosen[-1]])
+    row, left = [chosen[0]], chosen[1:]
+    while left:
+        row.append(left.pop(int((unit[left] @ unit[row[-1]]).argmax())))
+    return unit[row]
+
+
+def _runs(batch: pa.RecordBatch, keys: int) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The batch's stretches of equal first ``keys`` columns, and those columns' values."""
+    key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
+    cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        if high > low:
+            yield tuple(key[:, low].tolist()), batch.slice(low, high - low)
+
+
+def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    return _unit(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+
+
+def _divide(full: DataFrame, level: int, element: str) -> DataFrame:
+    """Cells of over ``most`` vectors (``n`` of them) divided around vectors of their own, whatever the size of the cell or their number.
+
+    Some ``PICKED`` vectors of a cell, chosen by hash, give its centres.  The cell's vectors are dealt to tasks ``DEALT`` at a time, and the
+    centres go to each of these tasks ahead of them.  Vectors that nothing parts (equal but for their length) are dealt by
+    hash, and so are cells that ``DIVISIONS`` divisions left too large.
+    """
+    by_hash = level >= DIVISIONS
+    full = full.withColumn("ways", F.greatest(F.lit(2), F.least(F.lit(CENTRES), F.ceil(3 * F.col("n") / F.col("most")))).cast("int"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out() -> pa.RecordBatch:
+            dim, cell, n, ways = now
+            centres = _picked(np.concatenate(held), ways)
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([cell], pa.int64()), pa.array([n], pa.int64()), pa.array([centres.tobytes()], pa.binary())], ["dim", "cell", "n", "centres"])
+
+        for batch in batches:
+            for key, rows in _runs(batch, 4):
+                if key != now:
+                    if now:
+                        yield out()
+                    now, held = key, []
+                held.append(_matrix(rows.column(4), key[0]))
+        if now:
+            yield out()
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, centres = None, None
+        for batch in batches:
+            for key, rows in _runs(batch, 3):
+                if key != now:
+                    now, centres = key, None
+                head = rows.column(6)[0].as_py()
+                if head is not None:
+                    centres, rows = np.frombuffer(head, np.float64).reshape(-1, key[0]), rows.slice(1)
+                if not rows.num_rows:
+                    continue
+                child = rows.column(7)
+                if not by_hash and centres is not None and len(centres) > 1:
+                    child = pa.array((_matrix(rows.column(5), key[0]) @ centres.T).argmax(axis=1), pa.int32())
+                yield pa.RecordBatch.from_arrays([rows.column(3), rows.column(4), rows.column(5), rows.column(1), rows.column(0), rows.column(8), child], ["point", "weight", "embedding", "cell", "dim", "most", "child"])
+
+    some = full.where(F.pmod(F.xxhash64(F.lit(level), "point"), F.col("n")) < PICKED).select("dim", "cell", "n", "ways", "embedding", "point")
+    centres = some.repartition("dim", "cell").sortWithinPartitions("dim", "cell", "point").mapInArrow(pick, "dim int, cell long, n long, centres binary")
+    deals = F.expr(f"n div {DEALT} + 1")
+    heads = centres.select("dim", "cell", F.explode(F.sequence(F.lit(0).cast("long"), deals - 1)).alias("deal"), "centres")
+    spread = F.pmod(F.xxhash64(F.lit(level), F.lit(1), "point"), "ways").cast("int").alias("spread")
+    rows = full.select("dim", "cell", F.pmod(F.xxhash64(F.lit(level), F.lit(2), "point"), deals).alias("deal"), "point", "weight", "embedding", spread, "most")
+    both = rows.unionByName(heads, allowMissingColumns=True).select("dim", "cell", "deal", "point", "weight", "embedding", "centres", "spread", "most")
+    ordered = both.repartition("dim", "cell", "deal").sortWithinPartitions("dim", "cell", "deal", F.col("point").asc_nulls_first())
+    given = ordered.mapInArrow(assign, f"point long, weight long, embedding array<{element}>, cell long, dim int, most int, child int")
+    return given.select("point", "weight", "embedding", F.xxhash64("cell", "child").alias("cell"), "dim", "most", _named_tile("dim", F.col("cell"), F.floor(F.col("child") / CELLS)).alias("tile"))
+
+
+def _fitting_cells(placed: DataFrame, element: str) -> DataFrame:
+    """``placed`` in cells of at most ``most`` vectors; larger ones are divided level by level, which takes about the logarithm of their size."""
+    fitting, level = [], 0
+    while True:
+        sizes = placed.groupBy("dim", "cell", "most").agg(F.count("*").alias("n")).where("n > most")
+        full = settle(sizes.select("dim", "cell", "n"), "full_cells")
+        if full.isEmpty():
+            break
+        fitting.append(placed.join(full, ["dim", "cell"], "left_anti"))
+        placed, level = settle(_divide(placed.join(full, ["dim", "cell"]), level, element), "cells"), level + 1
+    for some in fitting:
+        placed = placed.unionByName(some)
+    return placed
+
+
+def _pack_blocks(points: DataFrame, centres: list[np.ndarray]) -> DataFrame:
+    """One row per block: the vectors of one cell, at most ``BLOCK`` of them and ``BLOCK_VALUES`` numbers."""
+    element = points.schema["embedding"].dataType.elementType.typeName()
+    kind = np.float32 if element == "float" else np.float64
+    fitting = _fitting_cells(settle(_in_cells(points, centres, element), "cells"), element)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if held and (row[:3] != held[0][:3] or len(held) >= row[3]):
-                    yield _block(held, kind)
+                if held and (row[:2] != held[0][:2] or len(held) >= row[3]):
+                    yield from _blocks(held, kind)
                     held = []
                 held.append(row)
         if held:
-            yield _block(held, kind)
+            yield from _blocks(held, kind)
 
-    return dealt.select("dim", "cell", "part", "most", "point", "weight", "embedding").repartition("dim", "cell", "part").sortWithinPartitions("dim", "cell", "part", "point").mapInArrow(blocks, BLOCKS)
+    return fitting.select("dim", "cell", "tile", "most", "point", "weight", "embedding").repartition("dim", "cell").sortWithinPartitions("dim", "cell", "point").mapInArrow(blocks, BLOCKS)
+
+
+def _clumps(unit: np.ndarray) -> np.ndarray:
+    """Which part each row belongs to, where up to ``CLUMPS`` parts of at most half the radius cover all; otherwise they are one part."""
+    middle = unit.mean(axis=0)
+    radius, part = float(np.linalg.norm(unit - middle, axis=1).max()), np.zeros(len(unit), np.int64)
+    if radius <= NARROW:
+        return part
+    gap = np.maximum(2 - 2 * unit @ unit[0], 0)
+    for k in range(1, CLUMPS):
+        if np.sqrt(gap.max()) <= radius / 2:
+            break
+        fresh = np.maximum(2 - 2 * unit @ unit[int(gap.argmax())], 0)
+        part[fresh < gap] = k
+        gap = np.minimum(gap, fresh)
+    return part if np.sqrt(gap.max()) <= radius / 2 else np.zeros(len(unit), np.int64)
+
+
+def _blocks(held: list[tuple], kind: type) -> Iterator[pa.RecordBatch]:
+    """A cell's block, or one for each of its clumps: a wide block over two far clumps would meet every tile."""
+    part = _clumps(_unit(np.array([r[6] for r in held], np.float64)))
+    for k in np.unique(part):
+        yield _block([held[i] for i in np.flatnonzero(part == k)], kind)
 
 
 def _block(held: list[tuple], kind: type) -> pa.RecordBatch:
@@ -254,8 +386,7 @@ def _block(held: list[tuple], kind: type) -> pa.RecordBatch:
     middle = unit.mean(axis=0)
     radius = float(np.linalg.norm(unit - middle, axis=1).max())
     ids, weights = np.array([r[4] for r in held], np.int64), np.array([r[5] for r in held], np.int64)
-    dim, cell, part = held[0][:3]
-    tile = (dim << 40) + (cell // CELLS << 32) + part // PARTS
+    dim, _, tile = held[0][:3]
     values = [tile, int(ids[0]), dim, len(held), ids.tobytes(), weights.tobytes(), raw.tobytes(), CoverTree(unit.astype(np.float32)).pack(), middle.tobytes(), radius]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.float64()]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
@@ -292,11 +423,17 @@ def _meet(one: _Block, two: _Block, cosine: float) -> tuple[dict[int, int], list
     return dict(zip(everyone[at].tolist(), counts[at].tolist(), strict=True)), list(zip(everyone[tied].tolist(), everyone[parent[tied]].tolist(), strict=True))
 
 
+def _near_heads(centre: np.ndarray, radius: np.ndarray, other: np.ndarray, reach: np.ndarray, gap: float) -> bool:
+    """Whether two balls, one of each side, leave room for a pair within ``gap``."""
+    squares = (centre**2).sum(axis=1)[:, None] + (other**2).sum(axis=1) - 2 * centre @ other.T
+    return bool((np.sqrt(np.maximum(squares, 0)) <= gap + radius[:, None] + reach + SLACK).any())
+
+
 def _tile_pairs(blocks: DataFrame, cosine: float) -> DataFrame:
     """``(low, high)``: which tiles can hold a link, each pair once, a tile with itself too.
 
-    A tile's head is its centre and covering radius, a few hundred bytes for some hundred thousand vectors.  Heads
-    are packed ``HEADS`` to a row and packs joined in pairs, so no row, task or driver holds all of them.
+    A tile's head is its centre and covering radius and those of its blocks, some kilobytes for tens of thousands of vectors.  Tiles whose
+    own radii leave room meet if those of two of their blocks do.  Heads are packed ``HEADS`` to a row and packs joined in pairs, so no row, task or driver holds all of them.
     """
     gap = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
@@ -306,13 +443,15 @@ def _tile_pairs(blocks: DataFrame, cosine: float) -> DataFrame:
                 c = np.frombuffer(b"".join(p["centre"] for p in parts), np.float64).reshape(-1, dim)
                 middle = c.mean(axis=0)
                 radius = float((np.linalg.norm(c - middle, axis=1) + np.array([p["radius"] for p in parts])).max())
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in ((tile, pa.int64()), (dim, pa.int32()), (middle.tobytes(), pa.binary()), (radius, pa.float64()))], ["tile", "dim", "centre", "radius"])
+                own = np.array([p["radius"] for p in parts])
+                head = (tile, pa.int64()), (dim, pa.int32()), (middle.tobytes(), pa.binary()), (radius, pa.float64()), (c.tobytes(), pa.binary()), (own.tobytes(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in head], ["tile", "dim", "centre", "radius", "centres", "radii"])
 
-    parts = blocks.groupBy("tile", "dim").agg(F.collect_list(F.struct("centre", "radius")).alias("parts"))  # CELLS * PARTS blocks and the few that hashing overfilled
-    tiles = settle(parts.mapInArrow(heads, "tile long, dim int, centre binary, radius double"), "tiles")
+    parts = blocks.groupBy("tile", "dim").agg(F.collect_list(F.struct("centre", "radius")).alias("parts"))  # CELLS * CLUMPS blocks
+    tiles = settle(parts.mapInArrow(heads, "tile long, dim int, centre binary, radius double, centres binary, radii binary"), "tiles")
     number = tiles.groupBy("dim").agg(F.ceil(F.count("*") / HEADS).cast("int").alias("packs"))
     dealt = tiles.join(number, "dim").withColumn("pack", F.pmod(F.xxhash64("tile"), F.col("packs")).cast("int"))
-    packs = settle(dealt.groupBy("dim", "packs", "pack").agg(F.collect_list(F.struct("tile", "centre", "radius")).alias("some")), "tile_packs")
+    packs = settle(dealt.groupBy("dim", "packs", "pack").agg(F.collect_list(F.struct("tile", "centre", "radius", "centres", "radii")).alias("some")), "tile_packs")
     right = packs.select("dim", F.col("pack").alias("other"), F.col("some").alias("others"))
     pairs = packs.withColumn("other", F.explode(F.sequence("pack", F.col("packs") - 1))).join(right, ["dim", "other"]).select("dim", "some", "others")
 
@@ -324,7 +463,9 @@ def _tile_pairs(blocks: DataFrame, cosine: float) -> DataFrame:
                 name = [np.array([h["tile"] for h in side], np.int64) for side in sides]
                 squares = (centre[0] ** 2).sum(axis=1)[:, None] + (centre[1] ** 2).sum(axis=1) - 2 * centre[0] @ centre[1].T
                 i, j = np.nonzero(np.sqrt(np.maximum(squares, 0)) <= gap + radius[0][:, None] + radius[1] + SLACK)
-                one, two = name[0][i], name[1][j]
+                part = [[(np.frombuffer(h["centres"], np.float64).reshape(-1, dim), np.frombuffer(h["radii"], np.float64)) for h in side] for side in sides]
+                meets = np.array([_near_heads(*part[0][x], *part[1][y], gap) for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                one, two = name[0][i[meets]], name[1][j[meets]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], ["low", "high"])
 
     return pairs.mapInArrow(near, "low long, high long").distinct()
