@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chainloom.functions.sums import exact_sum
 from chainloom.operators.correlate import list_sum
 from chainloom.operators.quantiles import column_quantiles
 
@@ -21,7 +22,7 @@ def valued(obs: DataFrame) -> DataFrame:
 def totals(obs: DataFrame, entities: DataFrame, mapping: DataFrame, seen: DataFrame) -> DataFrame:
     """One row of capture totals; distinct IPs both as a set and as the sum of per-entity counts."""
     parts = [
-        valued(obs).agg(F.count("*").alias("records"), F.count_distinct("txid").alias("distinct_tx"), F.sum("value").alias("value_btc"), F.avg("value").alias("mean_value"), ((F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))) / 3.6e9).alias("span_hours")),
+        valued(obs).agg(F.count("*").alias("records"), F.count_distinct("txid").alias("distinct_tx"), exact_sum("value").alias("value_btc"), (exact_sum("value") / F.count("value")).alias("mean_value"), ((F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))) / 3.6e9).alias("span_hours")),
         column_quantiles(valued(obs), "value", [0.5]).toDF("median_value"),
         entities.agg(F.count("*").alias("entities"), F.sum("ip_count").alias("entity_ip_pairs")),
         mapping.agg(F.count("*").alias("addresses")),

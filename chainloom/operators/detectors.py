@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.functions.keys import graph_of
+from chainloom.functions.sums import exact_sum
 from chainloom.operators.resolve import exploded
 
 
@@ -112,7 +113,7 @@ def behaviour_class() -> Column:
 
 def behaviour_composition(scored: DataFrame) -> DataFrame:
     """``(behaviour, entities, share, value_btc)``; shares sum to one."""
-    groups = scored.select(behaviour_class().alias("behaviour"), "value_btc").groupBy("behaviour").agg(F.count("*").alias("entities"), F.round(F.sum("value_btc"), 6).alias("value_btc"))
+    groups = scored.select(behaviour_class().alias("behaviour"), "value_btc").groupBy("behaviour").agg(F.count("*").alias("entities"), F.round(exact_sum("value_btc"), 6).alias("value_btc"))
     total = groups.agg(F.sum("entities").alias("total"))
     return groups.crossJoin(F.broadcast(total)).select("behaviour", "entities", F.round(F.col("entities") / F.col("total"), 6).alias("share"), "value_btc")
 
