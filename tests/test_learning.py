@@ -14,3 +14,12 @@ def test_registered_forests_have_the_operators_sizes(monkeypatch):
     for name in ("anomaly_model", "cross_validation", "ablation"):
         learning.QUERIES[name][0](c)
     assert asked == [{}] * 4
+
+
+def test_short_training_tables_are_dealt_to_all_cores(spark):
+    from chainloom.operators import models
+
+    table = spark.range(200).coalesce(1).selectExpr("concat('E-', id) AS entity_id", "CAST(id AS double) AS x", "CAST(id % 2 AS double) AS label")
+    rows = models.balanced(table)
+    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.entity_id for r in rows.collect()) == sorted(f"E-{i}" for i in range(200)) and {r.weight for r in rows.collect()} == {1.0}
