@@ -95,7 +95,7 @@ def mix(sizes: DataFrame, seed: int = 1, most_block: int = 4096, least_slots: in
     blocks; ``words`` sums to what the mix takes of it, twice its size at most.  A null source is a
     source of its own; empty documents take no part; repeated rows are documents of their own.
     """
-    goals = targets(sizes.groupBy("source").agg(F.sum("size").alias("words")))
+    goals = settle(targets(sizes.groupBy("source").agg(F.sum("size").alias("words"))), "goals")  # read six times below; its windows would be planned and compiled each time
     wanted = goals.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
     block = int(max(1, min(most_block, wanted // least_slots)))
     slots = int(-(-wanted // block))
