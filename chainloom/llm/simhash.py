@@ -61,8 +61,18 @@ def _mixed(h: np.ndarray, w: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 3, words: int = 1) -> np.ndarray:
     """``words`` 64-bit words; a bit is set if more than half of the shingles' hashes set it."""
+    return _majority(shingle_hashes(text, width, words), words)
+
+
+def set_fingerprint(shingles: np.ndarray, words: int, at_once: int = 1 << 12) -> np.ndarray:
+    """The fingerprint of a set of shingles, from their first hashes: each counts once."""
+    pieces = (shingles[at : at + at_once] for at in range(0, len(shingles), at_once))
+    return _majority((np.stack([h, *(_mixed(h, w) for w in range(1, words))], axis=1) for h in pieces), words)
+
+
+def _majority(pieces: Iterator[np.ndarray], words: int) -> np.ndarray:
     ones, n = np.zeros(64 * words, np.int64), 0
-    for h in shingle_hashes(text, width, words):
+    for h in pieces:
         bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(len(h), -1), axis=1)
         for low in range(0, len(h), 255):  # so many ones fit in a byte
             ones += bits[low : low + 255].sum(axis=0, dtype=np.uint8)
@@ -94,9 +104,9 @@ def exact_tables(bits: int, radius: int, rows: int) -> list[np.ndarray]:
     return [np.concatenate(c) for c in combinations(blocks, extra)]
 
 
-def sampled_tables(bits: int, differing: float, rows: int, miss: float = 0.01, seed: int = 5) -> list[np.ndarray]:
-    """Random bit subsets: fingerprints of which a share ``differing`` of the bits differs meet but for ``miss``."""
-    key = max(12, min(32, math.ceil(math.log2(max(2, rows) / 64))))
+def sampled_tables(bits: int, differing: float, rows: int, miss: float = 0.01, seed: int = 5, bucket: int = 64) -> list[np.ndarray]:
+    """Random bit subsets: fingerprints of which a share ``differing`` of the bits differs meet but for ``miss``; a bucket of random ones has ``bucket`` at most, or a key 12 bits."""
+    key = max(12, min(32, math.ceil(math.log2(max(2, rows) / bucket))))
     tables = math.ceil(math.log(miss) / math.log(1 - (1 - differing) ** key))
     rng = np.random.default_rng(seed)
     return [np.sort(rng.choice(bits, key, replace=False)) for _ in range(tables)]
@@ -210,7 +220,7 @@ def _bucket_rows(prints: DataFrame, tables: list[np.ndarray], words: int) -> Dat
     return prints.select("fingerprint").mapInArrow(run, "bucket long, fingerprint binary")
 
 
-def links(prints: DataFrame, radius: int, words: int = 1, differing: float | None = None) -> DataFrame:
+def links(prints: DataFrame, radius: int, words: int = 1, differing: float | None = None, **sampling) -> DataFrame:
     """``(a, b)``: links between distinct fingerprints, enough to connect all within ``radius``.
 
     ``prints`` holds each fingerprint once and is read several times: pass a settled table.  Bucket rows
@@ -219,7 +229,7 @@ def links(prints: DataFrame, radius: int, words: int = 1, differing: float | Non
     its own, so no task holds an unbounded bucket.
     """
     rows = prints.count()
-    tables = exact_tables(64 * words, radius, rows) if differing is None else sampled_tables(64 * words, differing, rows)
+    tables = exact_tables(64 * words, radius, rows) if differing is None else sampled_tables(64 * words, differing, rows, **sampling)
     keyed = _bucket_rows(prints, tables, words)
     chunks = F.ceil(F.col("count") / CHUNK).cast("int")
     large = keyed.groupBy("bucket").count().where(F.col("count") > CHUNK).select("bucket", chunks.alias("chunks"))

@@ -65,3 +65,24 @@ def test_filter_holds_every_key(spark):
     found = jaccard.key_filter(spark.createDataFrame([(k,) for k in keys], "key long"))
     assert all(jaccard.in_filter(found, k) for k in keys)
     assert sum(jaccard.in_filter(found, jaccard.text_key(f"x{i}")) for i in range(2000)) < 5
+
+
+def test_fingerprints_meet_where_sets_are_alike():
+    rng = np.random.default_rng(8)
+    tables = simhash.sampled_tables(512, jaccard.FUZZY["differing"], 10**6, jaccard.FUZZY["miss"], bucket=jaccard.FUZZY["bucket"])
+    for n in (4, 36, 400):  # of n + n / 4 shingles n are shared
+        met = 0
+        for _ in range(300):
+            whole = rng.integers(0, 2**63, n + n // 4, dtype=np.uint64)
+            a, b = (np.unpackbits(simhash.set_fingerprint(s, 8).astype(">u8").view(np.uint8)) for s in (whole, whole[:n]))
+            met += bool((a != b).sum() <= jaccard.FUZZY["radius"] and any((a[t] == b[t]).all() for t in tables))
+        assert met >= 297
+
+
+def test_candidates_come_from_fingerprints(make, prose, monkeypatch):
+    words = prose(150, 1).split()
+    docs = make([(1, " ".join(words)), (2, " ".join([*words, "added"])), (3, prose(150, 2))])
+    met = []
+    monkeypatch.setattr(jaccard, "links", lambda prints, **how: met.append(prints.count()) or simhash.links(prints, **how))
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert met == [3]
