@@ -30,6 +30,9 @@ from chainloom.storage import settle
 #: Fingerprints that one task compares at once; larger buckets are split into pairs of chunks.
 CHUNK = 1 << 14
 WORDS_AT_ONCE = 1 << 15
+#: More tables than ``MANY`` are taken in two passes: what the ``FIRST`` ones have linked is not linked again by the others, where
+#: a group of near copies would be handed on once per table.
+MANY, FIRST = 20, 4
 
 
 def shingle_hashes(text: str | None, width: int, words: int, at_once: int = 1 << 14) -> Iterator[np.ndarray]:
@@ -124,8 +127,8 @@ def join_roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
                 parent[:] = hop
 
 
-def sliced_links(prints: np.ndarray, upto: np.ndarray, radius: int) -> np.ndarray:
-    """``parent`` of a spanning forest over the links within ``radius``.
+def sliced_links(prints: np.ndarray, upto: np.ndarray, radius: int, linked: np.ndarray | None = None) -> np.ndarray:
+    """``parent`` of a spanning forest over the links within ``radius``, grown from the forest ``linked`` (compressed) if given.
 
     ``prints`` is ``[n, words]`` with the members of a bucket side by side; row i is compared with the
     rows from i + 1 up to ``upto[i]``, and with whatever else lies in the same machine words.
@@ -141,7 +144,7 @@ def sliced_links(prints: np.ndarray, upto: np.ndarray, radius: int) -> np.ndarra
     counters = max(3, radius.bit_length())
     start = (np.arange(n) + 1) // 64
     spans = np.maximum((upto + 63) // 64 - start, 0)
-    parent = np.arange(n)
+    parent = np.arange(n) if linked is None else linked.copy()
     edges = np.concatenate([[0], np.cumsum(spans)])
     row = 0
     while row < n:
@@ -205,7 +208,7 @@ def _above(count: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def _bucket_rows(prints: DataFrame, tables: list[np.ndarray], words: int) -> DataFrame:
-    """``(bucket, fingerprint)``, a row per table; a bucket is the table's number and the key's bits, 48 at most."""
+    """``(bucket, known, fingerprint)``, a row per table; a bucket is the table's number and the key's bits, 48 at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,9 +218,9 @@ def _bucket_rows(prints: DataFrame, tables: list[np.ndarray], words: int) -> Dat
                 key = np.packbits(spread[:, bits[:48]], axis=1)
                 wide = np.zeros((len(key), 8), np.uint8)
                 wide[:, 8 - key.shape[1] :] = key
-                yield pa.RecordBatch.from_arrays([pa.array(wide.view(">i8").ravel().astype(np.int64) + (t << 48)), column.cast(pa.binary())], names=["bucket", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([pa.array(wide.view(">i8").ravel().astype(np.int64) + (t << 48)), batch.column(1), column.cast(pa.binary())], names=["bucket", "known", "fingerprint"])
 
-    return prints.select("fingerprint").mapInArrow(run, "bucket long, fingerprint binary")
+    return prints.select("fingerprint", "known").mapInArrow(run, "bucket long, known long, fingerprint binary")
 
 
 def links(prints: DataFrame, radius: int, words: int = 1, differing: float | None = None, **sampling) -> DataFrame:
@@ -230,16 +233,27 @@ def links(prints: DataFrame, radius: int, words: int = 1, differing: float | Non
     """
     rows = prints.count()
     tables = exact_tables(64 * words, radius, rows) if differing is None else sampled_tables(64 * words, differing, rows, **sampling)
+    if len(tables) <= MANY:
+        return _table_links(prints.select("fingerprint", F.lit(None).cast("long").alias("known")), tables, radius, words)
+    first = _table_links(prints.select("fingerprint", F.lit(None).cast("long").alias("known")), tables[:FIRST], radius, words)
+    stars = settle(connected_components(first, "a", "b"), "first_links")
+    both = prints.select("fingerprint").join(stars.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
+    known = settle(both.select("fingerprint", F.when(F.col("component").isNotNull(), F.xxhash64("component")).alias("known")), "known")
+    return stars.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_table_links(known, tables[FIRST:], radius, words))
+
+
+def _table_links(prints: DataFrame, tables: list[np.ndarray], radius: int, words: int) -> DataFrame:
+    """``(a, b)`` from the buckets of ``tables``; rows of ``prints`` (fingerprint, known) with one ``known`` are linked already, those without (null) with none."""
     keyed = _bucket_rows(prints, tables, words)
     chunks = F.ceil(F.col("count") / CHUNK).cast("int")
     large = keyed.groupBy("bucket").count().where(F.col("count") > CHUNK).select("bucket", chunks.alias("chunks"))
     large = settle(large, "large_buckets")  # at most rows * tables / CHUNK of them
     split = not large.isEmpty()
-    small = (keyed.join(large, "bucket", "left_anti") if split else keyed).select("bucket", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("part"), "fingerprint")
+    small = (keyed.join(large, "bucket", "left_anti") if split else keyed).select("bucket", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("part"), "known", "fingerprint")
     mine = F.pmod(F.xxhash64("fingerprint"), F.col("chunks")).cast("int")
     pair = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     big = keyed.join(large, "bucket").withColumn("part", mine).withColumn("other", pair)
-    big = big.select("bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "fingerprint")
+    big = big.select("bucket", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "known", "fingerprint")
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -272,8 +286,11 @@ def _forest(held: pa.Table, words: int, radius: int) -> Iterator[pa.RecordBatch]
     prints = held["fingerprint"].to_pylist()
     bits = np.frombuffer(b"".join(prints), ">u8").reshape(-1, words).astype(np.uint64)
     ends = np.append(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, len(held))
-    parent = sliced_links(bits, ends[np.searchsorted(ends, np.arange(len(held)), "right")], radius)
-    at = np.flatnonzero(parent != np.arange(len(held)))
+    linked, given = np.arange(len(held)), np.flatnonzero(held["known"].is_valid().to_numpy())
+    _, first, group = np.unique(held["known"].drop_null().to_numpy(), return_index=True, return_inverse=True)
+    linked[given] = given[first[group]]
+    parent = sliced_links(bits, ends[np.searchsorted(ends, np.arange(len(held)), "right")], radius, linked)
+    at = np.flatnonzero((linked == np.arange(len(held))) & (parent != linked))  # what was linked before is handed on once, by its first row
     yield pa.RecordBatch.from_pydict({"a": pa.array([prints[i] for i in at], pa.binary()), "b": pa.array([prints[i] for i in parent[at]], pa.binary())})
 
 

@@ -86,3 +86,17 @@ def test_candidates_come_from_fingerprints(make, prose, monkeypatch):
     monkeypatch.setattr(jaccard, "links", lambda prints, **how: met.append(prints.count()) or simhash.links(prints, **how))
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
     assert met == [3]
+
+
+def test_near_copies_are_handed_on_once_not_once_a_table(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2, 512)
+    bits = np.array([*((base ^ (rng.random(512) < 0.06)) for _ in range(200)), *rng.integers(0, 2, (20, 512))], np.uint8)
+    prints = spark.createDataFrame([(bytearray(np.packbits(b).tobytes()),) for b in bits], "fingerprint binary").distinct()
+    found = simhash.links(prints, **jaccard.FUZZY).collect()
+    assert len(found) <= 2 * len(bits)  # one pass over all tables made some 80 times as many
+    at = {np.packbits(b).tobytes(): i for i, b in enumerate(bits)}
+    parent = np.arange(len(bits))
+    simhash.join_roots(parent, np.array([at[bytes(r.a)] for r in found]), np.array([at[bytes(r.b)] for r in found]))
+    near = (bits[:, None] != bits[None]).sum(axis=2) <= jaccard.FUZZY["radius"]
+    assert parent.tolist() == roots(len(bits), near)
