@@ -79,9 +79,14 @@ def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("txid", "dst_ip", F.size("output_addresses").alias("n_out"))
 
 
+#: Some 50 MB of XML.
+XML_RECORDS = 1 << 16
+
+
 def scan_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observation view through XML files, the reader and the gate; a file, which one task reads, holds ``XML_RECORDS`` records at most."""
     path = _folder(spark, "xml")
-    _texts(spark, sf_dir).write.format("xml").option("rowTag", "record").option("rootTag", "records").save(path)
+    _texts(spark, sf_dir).write.format("xml").option("maxRecordsPerFile", XML_RECORDS).option("rowTag", "record").option("rootTag", "records").save(path)
     found = readers.gate(readers.scan_xml(spark, path, "record")).clean
     return found.select("txid", "src_port", F.size("output_addresses").alias("n_out"))
 
