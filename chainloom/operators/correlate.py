@@ -40,14 +40,15 @@ def timeline(obs: DataFrame, senders: DataFrame, receivers: DataFrame) -> DataFr
 def burst_score(times: DataFrame, minutes: int = 60) -> DataFrame:
     """``(entity_id, burst_score)``: the largest share of an entity's events in any closed window of that length.
 
-    Events of one instant are summed first.  Time is cut into buckets of the length: a window that begins in one ends in it or in the
-    next, so a bucket is looked at together with the one after it, and however many events an entity has, a
-    task sees those of two buckets.
+    Time is cut into buckets of eight lengths: a window that begins in one ends in it or in the first eighth of the next, so a bucket is
+    looked at together with that, and however many events an entity has, a task sees those of nine lengths.  Events of one
+    instant are summed first, after the one shuffle.
     """
     span = minutes * 60_000_000
-    own = F.floor(F.col("at") / span)
-    moments = times.where("timestamp is not null").groupBy("entity_id", F.unix_micros("timestamp").alias("at")).agg(F.count("*").alias("n"))
-    placed = moments.select("entity_id", "at", "n", F.explode(F.array(own, own - 1)).alias("bucket"))
+    own, before = F.floor(F.col("at") / (8 * span)), F.floor((F.col("at") - span) / (8 * span))
+    moments = times.where("timestamp is not null").select("entity_id", F.unix_micros("timestamp").alias("at"))
+    placed = moments.select("entity_id", "at", F.explode(F.array_distinct(F.array(own, before))).alias("bucket")).repartition("entity_id", "bucket")
+    placed = placed.groupBy("entity_id", "bucket", "at").agg(F.count("*").alias("n"))
     window = W.partitionBy("entity_id", "bucket").orderBy("at").rangeBetween(0, span)
     begun = placed.withColumn("within", F.sum("n").over(window)).where(own == F.col("bucket"))
     return begun.groupBy("entity_id").agg((F.max("within") / F.sum("n")).alias("burst_score"))

@@ -75,10 +75,15 @@ def exploded(obs: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     return flat.join(mapping, "address").select("obs_id", "pos", "address", "entity_id")
 
 
+def owners(obs: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
+    """``(obs_id, entity_id, first)``: the owner of most addresses of the list (ties go to the earliest position), and that of the first address that has one."""
+    votes = exploded(obs, column, mapping).repartition("obs_id").groupBy("obs_id", "entity_id").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    return votes.groupBy("obs_id").agg(F.min_by("entity_id", F.struct(-F.col("n"), F.col("pos"))).alias("entity_id"), F.min_by("entity_id", "pos").alias("first"))
+
+
 def dominant_owner(obs: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """``(obs_id, entity_id)``: the owner of most addresses of the list; ties go to the earliest position."""
-    votes = exploded(obs, column, mapping).groupBy("obs_id", "entity_id").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
-    return votes.groupBy("obs_id").agg(F.min_by("entity_id", F.struct(-F.col("n"), F.col("pos"))).alias("entity_id"))
+    return owners(obs, column, mapping).select("obs_id", "entity_id")
 
 
 def first_owner(obs: DataFrame, column: str, mapping: DataFrame) -> DataFrame:

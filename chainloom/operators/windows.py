@@ -163,14 +163,15 @@ def growth(now: DataFrame) -> Column:
     return F.coalesce((F.col("country_count") > F.col("country_count0")) | more("address_count") | more("ip_count"), F.lit(False))
 
 
-def detect_events(history: DataFrame, changes: DataFrame | None = None, floor: int = FLOOR, seen: DataFrame | None = None) -> DataFrame:
+def detect_events(history: DataFrame, changes: DataFrame | None = None, floor: int = FLOOR, seen: DataFrame | None = None, present: DataFrame | None = None) -> DataFrame:
     """``(window_id, entity_key, type, severity, risk_from, risk_to)``: what changed from each window to the next.
 
     ``history`` is ``(window_id, entity_key, risk, address_count, country_count, ip_count)``, ``changes`` the
     output of :func:`delta_attribution`.  All windows at once: a full join of every window with its predecessor.
-    ``seen`` gives ``(entity_key, first_window)`` where ``history`` does not reach back to the first.
+    ``seen`` gives ``(entity_key, first_window)`` where ``history`` does not reach back to the first, ``present`` the windows
+    (window_id) where it holds some entities only.
     """
-    steps = with_previous(history, history.select("window_id").distinct())
+    steps = with_previous(history, history.select("window_id").distinct() if present is None else present)
     counts = ("risk", "address_count", "country_count", "ip_count")
     ahead = F.broadcast(steps.select(F.col("window_id").alias("to_window"), F.col("prev").alias("window_id")).where("window_id is not null"))
     before = history.join(ahead, "window_id").select(F.col("to_window").alias("window_id"), "entity_key", *(F.col(c).alias(f"{c}0") for c in counts))
@@ -197,9 +198,9 @@ def detect_events(history: DataFrame, changes: DataFrame | None = None, floor: i
     return both.select("window_id", "entity_key", F.explode(kinds).alias("type"), level.alias("severity"), F.col("risk0").alias("risk_from"), F.col("risk").alias("risk_to"))
 
 
-def with_detail(events: DataFrame, changes: DataFrame, history: DataFrame) -> DataFrame:
-    """``events`` with ``detail``, a JSON text: bands, the features that moved, what grew, and the reason in words."""
-    steps = with_previous(history, history.select("window_id").distinct())
+def with_detail(events: DataFrame, changes: DataFrame, history: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """``events`` with ``detail``, a JSON text: bands, the features that moved, what grew, and the reason in words (``present`` as in :func:`detect_events`)."""
+    steps = with_previous(history, history.select("window_id").distinct() if present is None else present)
     counts = ("address_count", "country_count", "ip_count")
     now = history.select("window_id", "entity_key", *counts)
     before = history.select(F.col("window_id").alias("prev"), "entity_key", *(F.col(c).alias(f"{c}0") for c in counts))

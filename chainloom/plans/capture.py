@@ -9,34 +9,39 @@ from pyspark.sql import functions as F
 
 from chainloom.operators import correlate, detectors, features, graph, resolve
 from chainloom.plans.observations import observations
-from chainloom.storage import settle
+from chainloom.storage import bucket_number, settle, settle_by
 
 
 class Capture:
     """Observations and what is resolved from them; every attribute is a DataFrame over a settled table."""
 
-    def __init__(self, obs: DataFrame) -> None:
-        self.raw = obs
+    def __init__(self, obs: DataFrame, dealt: DataFrame | None = None) -> None:
+        """``dealt``: the same rows, dealt for :func:`chainloom.storage.settle_by` by ``obs_id``."""
+        self.raw, self._dealt = obs, dealt
 
     @cached_property
     def obs(self) -> DataFrame:
-        return settle(resolve.coinjoin_like(self.raw), "obs")
+        return settle_by(resolve.coinjoin_like(self.raw if self._dealt is None else self._dealt), "obs_id", "obs", self._dealt is not None)
 
     @cached_property
     def mapping(self) -> DataFrame:
         return settle(resolve.entity_map(self.obs), "mapping")
 
+    @cached_property
+    def owners(self) -> DataFrame:
+        return settle_by(resolve.owners(self.obs, "input_addresses", self.mapping), "obs_id", "owners")
+
     @cached_property
     def senders(self) -> DataFrame:
-        return settle(resolve.dominant_owner(self.obs, "input_addresses", self.mapping), "senders")
+        return self.owners.select("obs_id", "entity_id")
 
     @cached_property
     def receivers(self) -> DataFrame:
-        return settle(resolve.dominant_owner(self.obs, "output_addresses", self.mapping), "receivers")
+        return settle_by(resolve.dominant_owner(self.obs, "output_addresses", self.mapping), "obs_id", "receivers")
 
     @cached_property
     def first(self) -> DataFrame:
-        return settle(resolve.first_owner(self.obs, "input_addresses", self.mapping), "first")
+        return self.owners.select("obs_id", F.col("first").alias("entity_id"))
 
     @cached_property
     def flows(self) -> DataFrame:
@@ -102,5 +107,5 @@ def capture(spark: SparkSession, sf_dir: str) -> Capture:
     """The capture of one folder; its settled tables serve all queries of the session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _open:
-        _open[key] = Capture(observations(spark, sf_dir))
+        _open[key] = Capture(observations(spark, sf_dir), observations(spark, sf_dir, bucket_number(spark)))
     return _open[key]
