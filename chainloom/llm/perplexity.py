@@ -40,9 +40,9 @@ GAPS = b"\t\n\x0b\x0c\r "
 #: Stands for the end token among word hashes.
 END = np.uint64(0x9D5C0F3B7A1E2468)
 #: Keys that a task holds before it sums them and hands them on, and that one bucket of pairs merges on average.
-HELD = 1 << 22
-#: Tokens that a task looks up at once: some 200 bytes each.
-AT_ONCE = 1 << 19
+HANDED, HELD = 1 << 21, 1 << 22
+#: Tokens that a task looks up at once, some 80 bytes each, and pairs whose logarithms it takes at once, some 200 bytes each.
+AT_ONCE, LOGS = 1 << 18, 1 << 16
 RECORD = np.dtype([("count", "<u8"), ("before", "<u4"), ("once", "<u4"), ("twice", "<u4"), ("more", "<u4")])
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -104,12 +104,13 @@ def find(array: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Different keys in order and their total counts (1 each where none are given)."""
+    """Different keys in order and their total counts (1 each where none are given: then ``keys`` is sorted in place)."""
     if counts is None:
-        keys = np.sort(keys)
+        keys.sort()
     else:
         order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
+        keys, counts = keys[order], counts[order].astype(np.uint64)
+        del order
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     total = np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts, first) if len(first) else counts
     return keys[first], total
@@ -141,7 +142,7 @@ def dealt(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> pa.Record
 def gathered(group: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
     """``(bucket, keys, counts)`` of all rows of a bucket."""
     keys = np.concatenate([unplaned(b.as_py(), "<u8") for b in group["keys"]])
-    counts = np.concatenate([unplaned(b.as_py(), "<u4") for b in group["counts"]]).astype(np.uint64)
+    counts = np.concatenate([unplaned(b.as_py(), "<u4") for b in group["counts"]])
     return group["bucket"][0].as_py(), *summed(keys, counts)
 
 
@@ -245,12 +246,18 @@ class Reader:
 
     def logs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(log10 of the model, log10 of the base, known)`` of different keys in order."""
+        met, out = self.pair_counts(keys), (np.empty(len(keys)), np.empty(len(keys)), np.empty(len(keys), bool))
+        for low in range(0, len(keys), LOGS):
+            for whole, part in zip(out, self._logs(keys[low : low + LOGS], met[low : low + LOGS]), strict=True):
+                whole[low : low + LOGS] = part
+        return out
+
+    def _logs(self, keys: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = self.model
         first, second = self.records_of(keys >> np.uint64(32)), self.records_of(keys & np.uint64(0xFFFFFFFF))
         count, before = second["count"].astype(float), second["before"].astype(np.int64)
         total = sum(m.pairs)
         alone = np.full(len(keys), 1 / (m.size + 1)) if not total else (before - m.word_discounts[np.minimum(before, 3)]) / total + m.left / (m.size + 1)
-        met = self.pair_counts(keys)
         context = np.where(first["count"] > 0, first["count"], 1).astype(float)
         rest = (m.pair_discounts[1] * first["once"] + m.pair_discounts[2] * first["twice"] + m.pair_discounts[3] * first["more"]) / context
         p = (met - m.pair_discounts[np.minimum(met, 3)]) / context + np.where(first["count"] > 0, rest, 1.0) * alone
@@ -278,10 +285,10 @@ def count_words(texts: DataFrame, folder: str) -> tuple[list[int], int, int]:
                 different, counts = summed(span_hashes(data, start, end))
                 held.append((different, counts.astype(np.uint64)))
                 n += len(different)
-                if n >= HELD // 2:
+                if n >= HANDED // 2:
                     held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
                     n = len(held[0][0])
-                    if n >= HELD // 4:
+                    if n >= HANDED // 4:
                         yield from handed_on(held)
                         held, n = [], 0
         yield from handed_on(held)
@@ -322,14 +329,17 @@ def count_pairs(texts: DataFrame, model: Model) -> DataFrame:
             for _, keys in reader.pairs(batch.column(0)):
                 held.append(keys)
                 n += len(keys)
-                if n >= HELD:
+                if n >= HANDED:
                     yield handed_on(held)
-                    held, n = [], 0
+                    n = 0
         if n:
             yield handed_on(held)
 
     def handed_on(held: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = summed(np.concatenate(held))
+        joined = np.concatenate(held)
+        held.clear()
+        keys, counts = summed(joined)
+        del joined
         return dealt(keys, counts, pair_bucket(keys, buckets))
 
     def by_shard(kind: int, numbers: np.ndarray, values: np.ndarray) -> Iterator[tuple]:
@@ -404,31 +414,38 @@ def fit(docs: DataFrame, held: int = HELD) -> Model:
     return model
 
 
+def text_sums(reader: Reader, texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Per text its tokens, those known, and the sums of both logarithms; ``AT_ONCE`` tokens and a piece of text are looked up at once."""
+    rows = len(texts)
+    sums = tuple(np.zeros(rows) for _ in range(4))
+    held, size = [], 0
+
+    def close() -> None:
+        row, keys = map(np.concatenate, zip(*held, strict=True))
+        held.clear()
+        different, which = np.unique(keys, return_inverse=True)
+        logs, plain, met = reader.logs(different)
+        for out, values in zip(sums, (None, met, plain, logs), strict=True):
+            out += np.bincount(row, None if values is None else values[which], minlength=rows)
+
+    for row, keys in reader.pairs(texts):
+        held.append((row, keys))
+        size += len(keys)
+        if size >= AT_ONCE:
+            close()
+            size = 0
+    if held:
+        close()
+    return sums
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, n_tokens, n_known, base_score, score, perplexity)`` of every row: a narrow pass over mapped arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = model.opened()
         for batch in batches:
-            rows = batch.num_rows
-            n, known, base, total = (np.zeros(rows) for _ in range(4))
-            held, size = [], 0
-
-            def close() -> None:
-                row, keys = map(np.concatenate, zip(*held, strict=True))  # noqa: B023
-                different, which = np.unique(keys, return_inverse=True)
-                logs, plain, met = reader.logs(different)
-                for out, values in ((n, None), (known, met[which]), (base, plain[which]), (total, logs[which])):  # noqa: B023
-                    out += np.bincount(row, values, minlength=rows)  # noqa: B023
-
-            for row, keys in reader.pairs(batch.column(1)):
-                held.append((row, keys))
-                size += len(keys)
-                if size >= AT_ONCE:
-                    close()
-                    held, size = [], 0
-            if held:
-                close()
+            n, known, base, total = text_sums(reader, batch.column(1))
             columns = [batch.column(0), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total), pa.array(10 ** np.minimum(-total / np.maximum(n, 1), 300))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"])
 
