@@ -32,6 +32,8 @@ CLUMPS, NARROW = 8, 0.25
 HEADS = 64
 #: Slack of the pruning in single precision; every link is decided in double precision.
 SLACK = 1e-4
+#: What sums of products in single precision may lack.
+ROUNDING = 1e-5
 #: Bytes of vectors gathered for pairs at once.
 GATHERED = 1 << 27
 
@@ -152,14 +154,13 @@ def dual_pairs(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> Iter
                 continue
             level += 1
             if len(x) == 1:  # two large families: one matrix product
-                got = self_product(level, int(x[0]), int(y[0]))
-            else:
-                cx, entry = _expand(a.begin[level - 1], x)
-                cy, other = _expand(b.begin[level - 1], y[entry])
-                cx = cx[other]
-                pa_, pb_ = a.points[a.nodes[level][cx]], b.points[b.nodes[level][cy]]
-                got = cx, cy, np.einsum("ij,ij->i", pa_, pb_)
-            x, y, dot = got
+                found = [(cx[cx <= cy], cy[cx <= cy]) if same else (cx, cy) for cx, cy in self_product(level, int(x[0]), int(y[0]))]
+                x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+                continue
+            cx, entry = _expand(a.begin[level - 1], x)
+            cy, other = _expand(b.begin[level - 1], y[entry])
+            x, y = cx[other], cy
+            dot = np.einsum("ij,ij->i", a.points[a.nodes[level][x]], b.points[b.nodes[level][y]])
             bound = threshold + a.cover[level][x] + b.cover[level][y] + SLACK
             keep = np.maximum(2 - 2 * dot, 0) <= bound * bound
             if same:
@@ -167,16 +168,14 @@ def dual_pairs(a: CoverTree, b: CoverTree, threshold: float, same: bool) -> Iter
             x, y = x[keep], y[keep]
 
     def self_product(level: int, x: int, y: int):
+        """Children of two nodes that leave room for a pair within the threshold: ``dot + bound ** 2 / 2 >= 1``, of which the square of the two nodes' sum is three more columns."""
         ra, rb = np.arange(a.begin[level - 1][x], a.begin[level - 1][x + 1]), np.arange(b.begin[level - 1][y], b.begin[level - 1][y + 1])
-        pb_, farthest = b.points[b.nodes[level][rb]].T, b.cover[level][rb].max()
-        out = []
+        own, far = threshold + a.cover[level][ra] + SLACK, b.cover[level][rb]
+        left = np.column_stack([a.points[a.nodes[level][ra]], own, own**2 / 2, np.ones(len(ra))]).astype(a.points.dtype)
+        right = np.column_stack([b.points[b.nodes[level][rb]], far, np.ones(len(rb)), far**2 / 2]).astype(b.points.dtype).T
         for s in range(0, len(ra), 1024):
-            part = ra[s : s + 1024]
-            dot = a.points[a.nodes[level][part]] @ pb_
-            bound = threshold + a.cover[level][part].max() + farthest + SLACK
-            i, j = np.nonzero(2 - 2 * dot <= bound * bound)
-            out.append((part[i], rb[j], dot[i, j]))
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+            i, j = np.divmod(np.flatnonzero(left[s : s + 1024] @ right >= 1 - ROUNDING), len(rb))
+            yield ra[s + i], rb[j]
 
     yield from descend(0, np.zeros(min(1, len(a.points)), np.int64), np.zeros(min(1, len(b.points)), np.int64))
 
