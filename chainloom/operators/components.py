@@ -42,7 +42,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     brought to the driver.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    state = settle(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    pairs = settle(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")  # ``edges`` may be a costly plan: it runs once
+    state = pairs.where("a <> b")
     for _ in range(max_rounds):
         after = settle(_small_star(_large_star(state)).distinct(), "stars")
         # a forest of stars is stable: no node has two parents and no parent has one
