@@ -1,11 +1,12 @@
 """What only larger captures show: ids that collide, sums whose order is left to chance."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from chainloom.functions.sums import exact_sum
 from chainloom.operators import detectors, resolve
-from chainloom.plans import twins
+from chainloom.plans import replay, twins
 from chainloom.plans.observations import observations
 
 
@@ -26,3 +27,13 @@ def test_sums_do_not_depend_on_the_order_of_rows(spark):
     values = spark.createDataFrame([(1e10,)] + [(6e-7,)] * 1000, "value_btc double").coalesce(1)
     scored = values.select("value_btc", *(F.lit(0.0).alias(c) for c in {col for _, col, _ in detectors.BEHAVIOUR}))
     assert detectors.behaviour_composition(scored).first()["value_btc"] == 10000000000.0006
+
+
+@pytest.mark.parametrize("query", ["remap_derived", "resolve_identity", "identity_merges"])
+def test_pinned_keys_of_one_short_id_are_those_of_the_twin(spark, tmp_path, query):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-10' + INTERVAL 1 DAY * (i % 12) AS ts, CASE WHEN i % 2 = 0 THEN 77813 ELSE 81623 END AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, '{\"k\": 1}' AS props FROM range(2, 40) t(i)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    runs, texts = replay.build({query: replay.QUERIES[query]})
+    found = runs[query](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(f"SELECT {', '.join(found.columns)} FROM ({texts[query]})").fetchall())
