@@ -42,15 +42,34 @@ def pooled_rows(obs: DataFrame, truth: DataFrame, describe: Callable[[DataFrame,
     not compare entities of different windows, as :func:`full_features` does not with ``many``.
     Folds by ``window_id`` (:func:`chainloom.operators.models.with_folds`) keep one wallet's rows of one window together.
     """
+    whole, mapping = _resolved(obs)
+    labels = _labels(mapping, truth)
+    rows = describe(whole, mapping).join(labels, "entity_id", "left")
+    names = [c for c in rows.columns if c not in ("entity_id", "label")]
+    return settle(_pooled(rows, obs, names), "rows")
+
+
+def pooled_entities(obs: DataFrame, truth: DataFrame) -> DataFrame:
+    """``(window_id, entity_id, label)`` of the rows of :func:`pooled_rows`, which none of the features decides."""
+    mapping = _resolved(obs)[1]
+    return _pooled(mapping.select("entity_id").distinct().join(_labels(mapping, truth), "entity_id", "left"), obs)
+
+
+def _resolved(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The observations keyed by window and the entities of each window."""
     whole = settle(keyed_by_window(obs), "windows")
     if whole.isEmpty():
         raise ValueError("no window has observations")
-    mapping = settle(resolve.entity_map(whole, many=True), "mapping")
-    labels = evaluate.project_labels(mapping.select(name_of("address").alias("address"), "entity_id"), truth).select("entity_id", "label")
-    rows = describe(whole, mapping).join(labels, "entity_id", "left")
-    names = [c for c in rows.columns if c not in ("entity_id", "label")]
+    return whole, settle(resolve.entity_map(whole, many=True), "mapping")
+
+
+def _labels(mapping: DataFrame, truth: DataFrame) -> DataFrame:
+    return evaluate.project_labels(mapping.select(name_of("address").alias("address"), "entity_id"), truth).select("entity_id", "label")
+
+
+def _pooled(rows: DataFrame, obs: DataFrame, names: list[str] | tuple[str, ...] = ()) -> DataFrame:
     kind = obs.schema["window_id"].dataType
-    return settle(rows.select(graph_of("entity_id").cast(kind).alias("window_id"), name_of("entity_id").alias("entity_id"), F.coalesce("label", F.lit(0)).alias("label"), *names), "rows")
+    return rows.select(graph_of("entity_id").cast(kind).alias("window_id"), name_of("entity_id").alias("entity_id"), F.coalesce("label", F.lit(0)).alias("label"), *names)
 
 
 def window_sizes(pooled: DataFrame) -> DataFrame:

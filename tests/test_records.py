@@ -92,3 +92,13 @@ def test_one_job_for_all_windows_gives_what_each_gives_alone(spark):
     assert pooled.keys() == alone.keys() and {w for w, _ in alone} == {1, 2, 3}
     for at, row in alone.items():
         assert all(pooled[at][n] == pytest.approx(v) for n, v in row.items()), (at, row, pooled[at])
+
+
+def test_windows_are_counted_without_describing_their_entities(spark):
+    from chainloom.plans import records
+
+    row = lambda i, day, inputs: (i, datetime(2024, 1, day), inputs, [1.0] * len(inputs), ["A9-0"], [1.0])
+    raw = spark.createDataFrame([row(1, 1, ["A3-0", "A4-0"]), row(2, 1, ["A5-0"]), row(3, 12, ["A4-0", "A5-0"]), row(4, 12, ["A3-0"])], "obs_id long, timestamp timestamp, input_addresses array<string>, input_amounts array<double>, output_addresses array<string>, output_amounts array<double>")
+    obs = resolve.coinjoin_like(raw)
+    c = type("Capture", (), {"obs": obs, "mapping": resolve.entity_map(obs)})  # without pooled features
+    assert {tuple(r) for r in records.QUERIES["training_windows"][0](c).collect()} == {(1, 2, 1), (2, 2, 1)}
